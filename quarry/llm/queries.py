@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_search, decontaminate, packing, token_counts
+from . import bin_search, decontaminate, packing, token_counts, toxicity
 from .common import table
 
 
@@ -26,7 +26,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_token_ids, op6_best_fit_search, op7_decontaminate, op8_token_counts)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_token_ids, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity)}
 
 #: Words of a text: A-Z lower-cased, then runs of anything but ASCII that is no digit or letter. DuckDB's lower() would fold more.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
