@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_search, decontaminate, packing, token_counts, toxicity
+from . import bin_search, decontaminate, ngram_join, packing, token_counts, toxicity
 from .common import table
 
 
@@ -31,7 +31,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_token_ids, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_token_ids, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity, op10_ngram_jaccard)}
 
 #: Words of a text: A-Z lower-cased, then runs of anything but ASCII that is no digit or letter. DuckDB's lower() would fold more.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,4 +57,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hw USING (r) LEFT JOIN hi USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL}
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+e AS (SELECT dx.doc_id AS u, dy.doc_id AS v FROM l JOIN d dx ON dx.r = x JOIN d dy ON dy.r = y UNION SELECT dy.doc_id, dx.doc_id FROM l JOIN d dx ON dx.r = x JOIN d dy ON dy.r = y),
+t AS (SELECT DISTINCT u, u AS c FROM e UNION SELECT e.u, t.c FROM t JOIN e ON e.v = t.u WHERE t.c < e.u),
+m AS (SELECT u, min(c) AS c FROM t GROUP BY u)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN m ON m.u = doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7_SQL, "op10_ngram_jaccard": OP10_SQL}
