@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_search, decontaminate, ngram_join, packing, token_counts, toxicity
+from . import bin_search, decontaminate, ngram_join, packing, quality, token_counts, toxicity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op2_pack_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.rate_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_best_fit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_search.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_token_ids, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity, op10_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_pack_token_ids, op3_quality_lines, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity, op10_ngram_jaccard)}
 
 #: Words of a text: A-Z lower-cased, then runs of anything but ASCII that is no digit or letter. DuckDB's lower() would fold more.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
