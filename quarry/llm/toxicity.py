@@ -36,6 +36,8 @@ from .arrays import ragged, run_hashes, text_slices, words
 DECAY, SPAN, LONGEST, LETTERS = 0.7, 7, 24, 64
 WHITE = 255
 TRAIN_UNITS = 4000
+#: Log-likelihood gain from which a word can be a toxic text's witness.
+EVIDENCE = 11.0
 REMEMBERED = 2_000_000
 _WHITE_TABLE = np.arange(256) == WHITE
 
@@ -123,11 +125,15 @@ def expand(flat: np.ndarray, first: np.ndarray, length: np.ndarray, weights: np.
     return best
 
 
-def vector(word: np.ndarray) -> np.ndarray:
-    """The explicit feature vector of a landmark of 3 to LONGEST letters."""
-    i, j, k, w = places(len(word))
-    word = word.astype(np.int64)
-    return np.bincount((word[i] * LETTERS + word[j]) * LETTERS + word[k], w, LETTERS**3)
+def landmark_features(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The subsequences that landmarks hold, sorted, and a row for each landmark with the weight of each."""
+    held = []
+    for mark in marks:
+        word = np.frombuffer(mark.encode("latin-1"), np.uint8).astype(np.int64)
+        i, j, k, w = places(len(word))
+        held.append(((word[i] * LETTERS + word[j]) * LETTERS + word[k], w))
+    used = np.unique(np.concatenate([at for at, _ in held]))
+    return used, np.stack([np.bincount(np.searchsorted(used, at), w, len(used)) for at, w in held])
 
 
 @dataclass
@@ -161,7 +167,7 @@ def variants(units: list[str], seed: int = 7) -> list[str]:
     return out
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30000.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 300000.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Squared-hinge SVM by Newton steps on the rows inside the margin; y is 1 or -1."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     ridge = np.eye(x1.shape[1])
@@ -181,11 +187,13 @@ def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 3000
     return w[:-1], float(w[-1])
 
 
-def features(runs: tuple[np.ndarray, np.ndarray, np.ndarray], project: np.ndarray) -> np.ndarray:
-    """The projections of each word's feature vector, summed over the windows of long words; project: a row each."""
+def features(runs: tuple[np.ndarray, np.ndarray, np.ndarray], used: np.ndarray, project: np.ndarray) -> np.ndarray:
+    """The projections of each word's feature vector, summed over the windows of long words; project: a row each, over ``used``."""
     flat, first, length = runs
     owner, at, n = in_windows(first, length)
-    columns = np.ascontiguousarray(project.T.astype(np.float32))
+    columns = np.vstack([np.zeros((1, len(project))), project.T]).astype(np.float32)
+    place = np.zeros(LETTERS**3, np.int32)
+    place[used] = np.arange(1, len(used) + 1)
     out = np.zeros((len(first), len(project)))
     for size in np.unique(n):
         rows = np.flatnonzero(n == size)
@@ -193,11 +201,11 @@ def features(runs: tuple[np.ndarray, np.ndarray, np.ndarray], project: np.ndarra
         for a in range(0, len(rows), 32):
             some = rows[a : a + 32]
             word = flat[at[some][:, None] + np.arange(size)].astype(np.int32)
-            np.add.at(out, owner[some], np.einsum("btm,t->bm", columns[(word[:, i] * LETTERS + word[:, j]) * LETTERS + word[:, k]], w))
+            np.add.at(out, owner[some], np.einsum("btm,t->bm", columns[place[(word[:, i] * LETTERS + word[:, j]) * LETTERS + word[:, k]]], w))
     return out
 
 
-def train(bags: list[tuple[int, list[str]]], landmarks: int = 192, negatives: int = 4000, seed: int = 7) -> Model | None:
+def train(bags: list[tuple[int, list[str]]], landmarks: int = 256, negatives: int = 4000, turns: int = 8, seed: int = 7) -> Model | None:
     """Fit on (toxic, distinct words) of labelled texts; words are strings of letter numbers."""
     counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
     totals = {0: 0, 1: 0}
@@ -210,16 +218,23 @@ def train(bags: list[tuple[int, list[str]]], landmarks: int = 192, negatives: in
     rng = np.random.default_rng(seed)
     odds = {u: np.log((k + 0.5) / (totals[1] + 1)) - np.log((counts[0].get(u, 0) + 0.5) / (totals[0] + 1)) for u, k in counts[1].items()}
 
+    prior = totals[1] / (totals[0] + totals[1])
+
+    def telling(u: str) -> bool:
+        """Whether a word stands in toxic texts more often than chance would have it among so many words."""
+        k, n = counts[1][u], counts[1][u] + counts[0].get(u, 0)
+        p = k / n
+        gain = p * np.log(p / prior) + (1 - p) * np.log((1 - p + 1e-12) / (1 - prior))
+        return p > prior and n * gain > EVIDENCE and len(u) <= LONGEST
+
+    told = {u for u in counts[1] if telling(u)}
+
     def witnesses(value) -> dict[str, int]:
         found: dict[str, int] = {}
         for label, units in bags:
             if label:
-                order = sorted(units, key=lambda u: (-value(u), u))[:6]
-                for rank, u in enumerate(order):
-                    if rank > 1 and (counts[1][u] < 4 or odds[u] < odds[order[0]] - 1.2):
-                        continue
-                    if counts[0].get(u, 0) * totals[1] < 0.2 * counts[1][u] * totals[0] and len(u) <= LONGEST:
-                        found[u] = found.get(u, 0) + 1
+                for u in sorted((u for u in units if u in told), key=lambda u: (-value(u), u))[:4]:
+                    found[u] = found.get(u, 0) + 1
         return found
 
     positive = witnesses(lambda u: odds[u])
@@ -231,36 +246,47 @@ def train(bags: list[tuple[int, list[str]]], landmarks: int = 192, negatives: in
     all_runs = as_runs(all_negative)
     picked = set(rng.permutation(len(all_negative))[:negatives].tolist())
     weights, bias = np.zeros(LETTERS**3, np.float32), 0.0
-    for turn in range(3):
+    hard: dict[int, None] = {}
+    least, model, label = np.inf, None, np.array([x for x, _ in bags], float)
+    often = np.array([counts[0][u] for u in all_negative]) ** 0.5
+    for turn in range(turns):
         pos = sorted(positive, key=lambda u: (-positive[u], u))[:800]
         neg = [all_negative[i] for i in sorted(picked)]
-        near = np.argsort(-expand(*all_runs, weights), kind="stable")[: landmarks // 2].tolist() if turn else []
-        marks = list(dict.fromkeys(pos[: landmarks // 2] + [all_negative[i] for i in near if len(all_negative[i]) <= LONGEST]))
-        phi = np.stack([vector(np.frombuffer(u.encode("latin-1"), np.uint8)) for u in marks])
+        marks = pos[: landmarks * 2 // 5] + [all_negative[i] for i in hard if len(all_negative[i]) <= LONGEST][: landmarks - landmarks * 2 // 5]
+        used, phi = landmark_features(marks)
         values, vectors = np.linalg.eigh(phi @ phi.T)
         good = values > 1e-6 * values.max()
         project = (vectors[:, good] / np.sqrt(values[good])).T @ phi
         bent = variants(pos[:250], seed + turn)
         units = [*pos, *bent, *neg]
         runs = as_runs(units)
-        x = features(runs, project)
+        x = features(runs, used, project)
         y = np.array([1.0] * (len(pos) + len(bent)) + [-1.0] * len(neg))
         # witnesses count by how many texts they tell apart
-        weight = np.array([positive[u] ** 0.5 for u in pos] + [1.0] * len(bent) + [counts[0][u] ** 0.5 for u in neg])
+        weight = np.array([positive[u] for u in pos] + [8.0] * len(bent) + [counts[0][u] ** 0.5 for u in neg])
         weight[y > 0] *= 0.5 / weight[y > 0].sum()
         weight[y < 0] *= 0.5 / max(1, weight[y < 0].sum())
         w, bias = linear_svm(x, y, weight)
-        weights = (w @ project).astype(np.float32)
+        weights = np.zeros(LETTERS**3, np.float32)
+        weights[used] = w @ project
         margin = expand(*all_runs, weights)
-        picked |= set(np.argsort(-margin, kind="stable")[:1000].tolist())
+        wrong = np.maximum(0, 0.5 + margin + bias) ** 2 * often
+        order = np.argsort(-wrong, kind="stable")
+        picked |= set(order[:600].tolist())
+        hard |= dict.fromkeys(order[: landmarks * 3 // (5 * turns - 5)].tolist())
         cache: dict[str, float] = {}
         todo = sorted(counts[1])
         cache.update(zip(todo, expand(*as_runs(todo), weights).tolist(), strict=True))
         positive = witnesses(lambda u: cache[u]) or positive
-    best = np.array([max([float(m) for m in expand(*as_runs(units), weights)], default=-1.0) if units else -1.0 for _, units in bags]) + bias
-    label = np.array([x for x, _ in bags], float)
-    slope, shift = logistic(best, label)
-    return Model(weights, bias, slope, shift)
+        # the turn whose texts are told apart best counts
+        cache.update(zip(all_negative, margin.tolist(), strict=True))
+        best = np.array([max(map(cache.__getitem__, units), default=-1.0) for _, units in bags]) + bias
+        slope, shift = logistic(best, label)
+        p = np.clip(1 / (1 + np.exp(-(slope * best + shift))), 1e-6, 1 - 1e-6)
+        loss = -(np.log(p[label > 0]).mean() + np.log(1 - p[label == 0]).mean())
+        if loss < least:
+            least, model = loss, Model(weights, bias, slope, shift)
+    return model
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
