@@ -5,10 +5,12 @@
 3. A class's prefix for multiplicity l holds its n - ceil(t n) + l first shingles: two sets that link share l of them at
    least. Each class takes the l whose prefix costs least by the sketch (places read, and candidates to verify), so sets made of
    frequent shingles get longer prefixes and must share more of them before they are verified.
+   Places of a prefix from which two sets have too few shingles left to link are not joined.
 4. Large groups are not paired out. Classes with the same smallest hash are first verified against one pivot, the one with
    fewest rare shingles. Those that link stand behind their pivot with their distance; prefixes are then joined by pivot.
-   Pairs of pivots are verified; a pair that doesn't link is opened to the members only where the triangle inequality of the
-   Jaccard distance still allows a link between them. No possible link is left out.
+   Pairs of pivots are verified; where one doesn't link, the pivots aren't in one group by other links, and the triangle
+   inequality of the Jaccard distance allows a link between their members, the members' own prefixes are joined and what comes
+   of that is verified. No link that could join two groups is left out.
 5. Links become groups by alternating large-star and small-star steps over written edge tables.
 
 Shingles are 64-bit hashes of word hashes, classes 128-bit digests of their sets; verification intersects whole sets.
@@ -65,7 +67,8 @@ def sets_of(column, k: int):
 def digest(hashes: np.ndarray) -> bytes:
     """128 bits of a set."""
     a = mix(hashes * _SECOND + np.uint64(1))
-    return np.array([hashes.sum(dtype=np.uint64) + np.uint64(len(hashes)), np.bitwise_xor.reduce(a) + a.sum(dtype=np.uint64)]).tobytes()
+    parts = int(hashes.sum(dtype=np.uint64)) + len(hashes), int(np.bitwise_xor.reduce(a)) + int(a.sum(dtype=np.uint64))
+    return b"".join((x & (1 << 64) - 1).to_bytes(8, "little") for x in parts)
 
 
 def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -103,6 +106,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def least_common(n: int, m: int, percent: int) -> int:
+    """The fewest shingles that two sets of n and m share if they link."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
 def prefix_of(hashes: np.ndarray, frequency: np.ndarray, noise: float, percent: int) -> tuple[int, np.ndarray]:
     """The multiplicity chosen for a set and its prefix: by frequency, then hash."""
     n = len(hashes)
@@ -111,7 +119,9 @@ def prefix_of(hashes: np.ndarray, frequency: np.ndarray, noise: float, percent:
     overlap = least_overlap(n, percent)
     short = n - overlap
     choices = np.arange(1, min(MOST_SHARED, overlap) + 1)
-    read = np.cumsum(np.maximum(held[order[: short + len(choices)]] - noise, 0.0))[short + choices - 1]
+    # what a set of the same size can read of it: later places are beyond the positional bound
+    near = n - least_common(n, n, percent)
+    read = np.cumsum(np.maximum(held[order[: near + len(choices)]] - noise, 0.0))[near + choices - 1]
     need = int(choices[np.argmin(read + VERIFY_COST * read / choices + choices)])
     return need, hashes[order[: short + need]]
 
@@ -151,7 +161,7 @@ def sized_broadcast(ids: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, n and the whole set of the classes named in ``nodes`` (a column node)."""
+    """node and the whole set of the classes named in ``nodes`` (a column node)."""
     wanted = written(classes.select("node", "doc_id", "sig").join(nodes.distinct(), "node"), "wanted")
     texts = docs.join(sized_broadcast(wanted.select("doc_id").distinct()), "doc_id").select("doc_id", "text")
 
@@ -164,14 +174,17 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "shingles"])
 
     found = texts.mapInArrow(build, "sig binary, shingles array<long>")
-    return written(found.join(wanted.select("node", "sig"), "sig").dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    sets = written(found.join(sized_broadcast(wanted.select("node", "sig")), "sig").select("node", "shingles"), "sets")
+    # a row that repeats in the documents gives its set again
+    total, distinct = sets.select(F.count("*"), F.count_distinct("node")).first()
+    return sets if total == distinct else written(sets.dropDuplicates(["node"]), "sets-once")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with the sizes of their sets' intersection and union."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    """Written pairs (a, b) with the sizes of their sets' intersection and union."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(sized_broadcast(pairs), "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
+    both = left.join(right, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
     return both.withColumn("union", F.size("of_a") + F.size("of_b") - F.col("shared")).drop("of_a", "of_b")
 
 
@@ -193,48 +206,63 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def links(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Enough links (u, v) between classes, as their ids, to connect all that link; every one of them is verified."""
+def linked_groups(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(vertex, component) of the ids of classes that link with another; every link used is verified, none that could join two groups is left out."""
     most = 1 - percent / 100 + 1e-9
     linked = F.col("shared") * 100 >= F.col("union") * percent
     distance = 1 - F.col("shared") / F.col("union")
 
     # stars: classes with the same smallest hash against the one among them with the fewest rare shingles
     stars = classes.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "doc_id", "node")).alias("pivot")).where("size > 1")
-    pairs = classes.select("key", F.col("node").alias("a")).join(stars.select("key", F.col("pivot.node").alias("b")), "key").where("a <> b").select("a", "b")
+    near = (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent)
+    pairs = classes.select("key", "n", F.col("node").alias("a")).join(stars.select("key", F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b")), "key").where("a <> b").where(near).select("a", "b")
     pairs = written(pairs, "stars")
     sets = _sets(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), k)
     stood = written(_verified(pairs, sets).where(linked).select("a", "b", distance.alias("distance")), "stood")
 
     # prefixes by pivot
     members = classes.join(stood.select(F.col("a").alias("node"), "b", "distance"), "node", "left").select("node", F.coalesce("b", "node").alias("pivot"), F.coalesce("distance", F.lit(0.0)).alias("distance"), "n", "need", "prefix")
-    places = members.select("pivot", F.col("need").cast("int").alias("need"), F.col("n").cast("int").alias("n"), F.explode("prefix").alias("shingle")).repartition("shingle")
-    places = places.groupBy("shingle", "pivot").agg(F.min("need").alias("need"), F.min("n").alias("low"), F.max("n").alias("high"))
-    one = places.select("shingle", F.col("pivot").alias("a"), F.col("need").alias("need_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    two = places.select("shingle", F.col("pivot").alias("b"), F.col("need").alias("need_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    # left: shingles of the set from this place on; a link's first l common places have that many left in both sets, but for l - 1
+    places = members.select("pivot", F.col("need").cast("int").alias("need"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle")).repartition("shingle")
+    places = places.groupBy("shingle", "pivot").agg(F.min("need").alias("need"), F.max("need").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"))
+    one, two = (places.withColumnsRenamed({c: f"{c}_{side}" for c in ("need", "most", "low", "high", "left")} | {"pivot": side}) for side in "ab")
     fits = (F.col("a") < F.col("b")) & (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    fits &= (F.least("left_a", "left_b") + F.least("most_a", "most_b") - 1) * (100 + percent) >= (F.col("low_a") + F.col("low_b")) * percent
     candidates = one.join(two, "shingle").where(fits).groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.least("need_a", "need_b")).alias("need")).where("common >= need").select("a", "b")
     candidates = written(candidates, "candidates")
     pivot_sets = _sets(docs, classes, candidates.select(F.col("a").alias("node")).union(candidates.select("b")), k)
     checked = written(_verified(candidates, pivot_sets).select("a", "b", linked.alias("linked"), distance.alias("distance")), "checked")
 
-    # pairs of balls whose pivots don't link, opened where the triangle inequality allows a link
+    ids = classes.select("node", "doc_id")
+    named = lambda pairs: pairs.join(ids.withColumnsRenamed({"node": "a", "doc_id": "u"}), "a").join(ids.withColumnsRenamed({"node": "b", "doc_id": "v"}), "b").select("u", "v")
+    found = named(stood.select("a", "b").union(checked.where("linked").select("a", "b")))
+    if checked.where("not linked").isEmpty():
+        return components(found)
+    groups = components(found)
+
+    # pairs of balls whose pivots don't link and aren't in one group yet, opened where the triangle inequality allows a link
     behind = stood.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "distance")
     balls = behind.groupBy("pivot").agg(F.max("distance").alias("radius"))
     apart = checked.where("not linked").join(balls.withColumnsRenamed({"pivot": "a", "radius": "radius_a"}), "a", "left").join(balls.withColumnsRenamed({"pivot": "b", "radius": "radius_b"}), "b", "left")
-    apart = apart.where(F.col("distance") <= most + F.coalesce("radius_a", F.lit(0.0)) + F.coalesce("radius_b", F.lit(0.0))).where("radius_a is not null or radius_b is not null").select("a", "b", "distance")
-    ball = behind.union(balls.select("pivot", F.col("pivot").alias("node"), F.lit(0.0).alias("distance")))
-    in_a = ball.select(F.col("pivot").alias("a"), F.col("node").alias("node_a"), F.col("distance").alias("from_a"))
-    in_b = ball.select(F.col("pivot").alias("b"), F.col("node").alias("node_b"), F.col("distance").alias("from_b"))
-    opened = apart.join(in_a, "a", "left").join(in_b, "b", "left")
-    opened = opened.where(F.coalesce("from_a", F.lit(0.0)) + F.coalesce("from_b", F.lit(0.0)) + most >= F.col("distance"))
-    opened = written(opened.select(F.coalesce("node_a", "a").alias("a"), F.coalesce("node_b", "b").alias("b")).distinct(), "opened")
-    all_sets = sets.union(pivot_sets).dropDuplicates(["node"])
-    inside = _verified(opened, all_sets).where(linked).select("a", "b")
-
-    found = stood.select("a", "b").union(checked.where("linked").select("a", "b")).union(inside)
-    ids = classes.select("node", "doc_id")
-    return found.join(ids.withColumnsRenamed({"node": "a", "doc_id": "u"}), "a").join(ids.withColumnsRenamed({"node": "b", "doc_id": "v"}), "b").select("u", "v")
+    apart = apart.where("radius_a is not null or radius_b is not null").fillna(0.0, ["radius_a", "radius_b"]).where(F.col("distance") <= most + F.col("radius_a") + F.col("radius_b"))
+    group_of = ids.join(groups, ids["doc_id"] == groups["vertex"], "left").select("node", F.coalesce("component", "doc_id").alias("group"))
+    apart = apart.join(group_of.withColumnsRenamed({"node": "a", "group": "group_a"}), "a").join(group_of.withColumnsRenamed({"node": "b", "group": "group_b"}), "b").where("group_a <> group_b")
+    apart = written(apart.select("a", "b"), "apart")
+    if apart.isEmpty():
+        return groups
+    # their members' own prefixes then say which of them may link
+    alone = written(apart.select(F.col("a").alias("pivot")).union(apart.select("b")).distinct(), "alone")
+    places = members.join(sized_broadcast(alone), "pivot").select("pivot", "node", F.col("need").cast("int").alias("need"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
+    one, two = (places.select("shingle", F.col("pivot").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("node", "need", "n")), (F.col("n") - F.col("place")).alias(f"left_{side}")) for side in "ab")
+    fits = (F.col("a") < F.col("b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    fits &= (F.least("left_a", "left_b") + F.least("need_a", "need_b") - 1) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    opened = one.join(two, "shingle").where(fits).groupBy("a", "b", "node_a", "node_b").agg(F.count("*").alias("common"), F.min(F.least("need_a", "need_b")).alias("need")).where("common >= need")
+    opened = opened.join(apart.select("a", "b"), ["a", "b"], "left_semi")
+    opened = written(opened.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "opened")
+    if opened.isEmpty():
+        return groups
+    inside = _verified(opened, sets.union(pivot_sets)).where(linked).select("a", "b")
+    return components(groups.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(named(inside)))
 
 
 def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,7 +275,7 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     some = rows.where("n > 0 and doc_id is not null")
     classes = some.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "key", "rare", "need", "prefix")).alias("c"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("node"), "sig", "copies", "c.*")
     classes = written(classes, "classes")
-    groups = components(links(classes, docs, k, percent))
+    groups = linked_groups(classes, docs, k, percent)
     by_class = classes.select("sig", F.col("doc_id").alias("vertex")).join(groups, "vertex", "left").select("sig", F.coalesce("component", "vertex").alias("component"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(by_class, "sig", "left").select("doc_id", "n_shingles", own.alias("component_id"))
