@@ -1,6 +1,6 @@
 """Registered queries of the record, retrieval, graph, metric, corpus and operation jobs."""
 
-from . import records
+from . import ingest, records, retrieval
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "records"]
+__all__ = ["ORACLES", "QUERIES", "ingest", "records", "retrieval"]
