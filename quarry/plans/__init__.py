@@ -1,6 +1,6 @@
 """Registered queries of the record, retrieval, graph, metric, corpus and operation jobs."""
 
-from . import graph, ingest, metrics, records, retrieval
+from . import corpus, graph, ingest, metrics, records, retrieval
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "ingest", "metrics", "records", "retrieval"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "graph", "ingest", "metrics", "records", "retrieval"]
