@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 

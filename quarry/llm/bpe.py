@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -20,7 +20,7 @@ from .arrays import ragged, run_hashes, text_slices
 
 LETTER, NUMBER, OTHER, WHITE, UNSURE = 0, 1, 2, 3, 4
 #: Pre-tokens remembered by one worker; beyond it the memory starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 
 
 def default_vocabulary() -> str:
@@ -114,11 +114,7 @@ class Vocabulary:
     """The merge table of a tokenizers file, and the library's own encoder for texts that need it."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.path = path
-        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, ids = spec["model"], spec["model"]["vocab"]
@@ -150,6 +146,14 @@ class Vocabulary:
             self.probes += bool(len(keys))
         self.none = len(pairs)
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer, loaded once a text needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 

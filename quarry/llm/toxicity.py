@@ -38,7 +38,7 @@ WHITE = 255
 TRAIN_UNITS = 4000
 #: Log-likelihood gain from which a word can be a toxic text's witness.
 EVIDENCE = 11.0
-REMEMBERED = 2_000_000
+REMEMBERED = 600_000
 _WHITE_TABLE = np.arange(256) == WHITE
 
 
