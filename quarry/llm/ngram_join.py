@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import LOWER, WHITE, mix, run_hashes, shingle_hashes, text_slices, words
-from .common import written
+from .common import discard, written
 
 #: Counters of the frequency sketch, as a power of two, and the counters of one row of it.
 SKETCH_BITS, ROW_BITS = 20, 14
@@ -223,7 +223,10 @@ def linked_groups(classes: DataFrame, docs: DataFrame, k: int, percent: int) ->
     # prefixes by pivot
     members = classes.join(stood.select(F.col("a").alias("node"), "b", "distance"), "node", "left").select("node", F.coalesce("b", "node").alias("pivot"), F.coalesce("distance", F.lit(0.0)).alias("distance"), "n", "need", "prefix")
     # left: shingles of the set from this place on; a link's first l common places have that many left in both sets, but for l - 1
-    places = members.select("pivot", F.col("need").cast("int").alias("need"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle")).repartition("shingle")
+    places = members.select("pivot", "need", "n", F.posexplode("prefix").alias("place", "shingle"))
+    # one number beside shingle and pivot keeps what is shuffled small
+    packed = F.shiftleft("n", 32) + F.shiftleft(F.col("place").cast("long"), 4) + F.col("need")
+    places = places.select("shingle", "pivot", packed.alias("packed")).repartition("shingle").select("shingle", "pivot", F.shiftright("packed", 32).alias("n"), F.shiftright("packed", 4).bitwiseAND(0xFFFFFFF).alias("place"), F.col("packed").bitwiseAND(15).alias("need"))
     places = places.groupBy("shingle", "pivot").agg(F.min("need").alias("need"), F.max("need").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"))
     one, two = (places.withColumnsRenamed({c: f"{c}_{side}" for c in ("need", "most", "low", "high", "left")} | {"pivot": side}) for side in "ab")
     fits = (F.col("a") < F.col("b")) & (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
@@ -271,10 +274,12 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str =
     Two documents link when 100 * shared >= percent * union over their sets of k-word shingles.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(_described(docs, k, percent), "described")
-    some = rows.where("n > 0 and doc_id is not null")
+    described = written(_described(docs, k, percent), "described")
+    some = described.where("n > 0 and doc_id is not null")
     classes = some.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "key", "rare", "need", "prefix")).alias("c"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("node"), "sig", "copies", "c.*")
     classes = written(classes, "classes")
+    rows = written(described.select("doc_id", "n", "sig"), "rows")
+    discard(described)
     groups = linked_groups(classes, docs, k, percent)
     by_class = classes.select("sig", F.col("doc_id").alias("vertex")).join(groups, "vertex", "left").select("sig", F.coalesce("component", "vertex").alias("component"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
