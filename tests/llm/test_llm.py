@@ -265,3 +265,21 @@ def test_pipeline_stages(spark):
             assert out.count() <= seen
             seen, docs = out.count(), out
     assert out.select("doc_id").distinct().count() == seen
+
+
+def test_stages_keep_rows_they_should(spark):
+    """Nulls in any column, clashing names, repeated rows, and empty tables, through every stage."""
+    import corpus_pipeline
+
+    good = " ".join(f"and{chr(97 + k % 26)} the thing{chr(97 + k * 7 % 26)} of it." for k in range(12))
+    schema = "doc_id long, text string, score double, hits int, rest string, node long, sig string, n long, held_out int"
+    rows = [(1, good, 0.5, 1, "r", 2, "s", 3, None), (1, good, 0.5, 1, "r", 2, "s", 3, None), (None, good, None, None, None, None, None, None, None), (2, None, 1.0, 1, "r", 2, "s", 3, 4), (3, "", 1.0, 1, "r", 2, "s", 3, 4)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() <= len(rows)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert ngram_join.keep_one_of_each(docs).where("doc_id = 1").count() == 1
+    assert ngram_join.keep_one_of_each(docs).where("doc_id is null").count() == 1
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == 5
+    assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), SF).count() == 0
