@@ -103,4 +103,34 @@ g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(1
 SELECT conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op7_decontaminate": OP7_SQL, "op10_ngram_jaccard": OP10_SQL}
+
+
+def _plain_text_sql(c: str) -> str:
+    c = f"regexp_replace({c}, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g')"
+    c = f"regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g')"
+    c = f"regexp_replace({c}, '(?i)</?({warc.BLOCKS})(\\s[^>]*)?/?>', chr(10), 'g')"
+    c = f"regexp_replace({c}, '(?s)<[^>]*>', '', 'g')"
+    for reference, character in warc.ENTITIES:
+        c = f"replace({c}, '{reference}', '{character.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+def _record_id_sql(*parts: str) -> str:
+    h = f"sha256(concat_ws(chr(10), {', '.join(parts)}))"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest, {_plain_text_sql("coalesce(html, '')")} AS text FROM pages),
+q AS (SELECT *, {_record_id_sql("'response'", "coalesce(page_id::VARCHAR, '')", "url", "payload_digest")} AS response FROM p),
+r AS (SELECT page_id, url, payload_digest, response, 'response' AS warc_type, 'text/html' AS content_type, html AS block FROM q
+  UNION ALL SELECT page_id, url, payload_digest, response, 'conversion', 'text/plain', text FROM q
+  UNION ALL SELECT page_id, url, payload_digest, response, 'metadata', 'application/warc-fields', 'via: ' || url || chr(13) || chr(10) || 'host: ' || regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1) || chr(13) || chr(10)
+    || 'title: ' || regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g') || chr(13) || chr(10) || 'source-length: ' || strlen(html) || chr(13) || chr(10) || 'text-length: ' || strlen(text) || chr(13) || chr(10) FROM q),
+d AS (SELECT *, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, CASE WHEN warc_type <> 'response' THEN response END AS refers_to FROM r),
+i AS (SELECT *, CASE WHEN warc_type = 'response' THEN response ELSE {_record_id_sql("warc_type", "response", "block_digest")} END AS record_id FROM d)
+SELECT page_id, warc_type, record_id, refers_to, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Date: {warc.DATE}', 'WARC-Target-URI: ' || url, 'WARC-Refers-To: ' || refers_to,
+  'WARC-Payload-Digest: ' || payload_digest, 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type, 'Content-Length: ' || content_length) AS headers, payload_digest, block_digest, content_length::BIGINT AS content_length, block FROM i
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op5_warc_derivatives": OP5_SQL, "op7_decontaminate": OP7_SQL, "op10_ngram_jaccard": OP10_SQL}
