@@ -36,23 +36,27 @@ def ranked(hits: DataFrame, order: Sequence[Column], k: int | None = None) -> Da
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
-    """Q3: the nearest chunks of each query (query_id, scope, embedding) within its scope. Norms are computed once a side."""
+def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, within: DataFrame | None = None) -> DataFrame:
+    """Q3: the nearest chunks of each query (query_id, scope, embedding) within its scope and, if given, its documents (query_id, doc_id, each once). Norms are computed once a side."""
+    on = ["scope"] if within is None else ["scope", "doc_id"]
     left = queries.select("query_id", "scope", F.col("embedding").alias("q"), V.norm(F.col("embedding")).alias("q_norm"))
-    right = chunks.select("scope", "chunk_id", F.col("embedding").alias("c"), V.norm(F.col("embedding")).alias("c_norm"))
-    near = left.join(right, "scope").select("query_id", "scope", "chunk_id", V.cosine_distance(F.col("q"), F.col("c"), F.col("q_norm"), F.col("c_norm")).alias("distance"))
+    left = left if within is None else left.join(within, "query_id")
+    right = chunks.select(*on, "chunk_id", F.col("embedding").alias("c"), V.norm(F.col("embedding")).alias("c_norm"))
+    near = left.join(right, on).select("query_id", "scope", "chunk_id", V.cosine_distance(F.col("q"), F.col("c"), F.col("q_norm"), F.col("c_norm")).alias("distance"))
     return ranked(near, [F.asc("distance"), F.asc("chunk_id")], k).withColumn("retriever", F.lit("vector"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """Token counts of each chunk: (scope, chunk_id, term, tf)."""
-    return chunks.select("scope", "chunk_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("scope", "chunk_id", "term").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, keys: Sequence[str] = ("scope", "chunk_id")) -> DataFrame:
+    """Token counts of each chunk: (scope, chunk_id, term, tf), and what else the keys name."""
+    return chunks.select(*keys, F.explode(X.tokens(F.col("text"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
-def keyword_search(queries: DataFrame, posted: DataFrame, k: int = 20) -> DataFrame:
-    """Q4: the chunks of each query's scope with most occurrences of its terms; an occurrence counts one."""
+def keyword_search(queries: DataFrame, posted: DataFrame, k: int = 20, within: DataFrame | None = None) -> DataFrame:
+    """Q4: the chunks of each query's scope and, if given, its documents (query_id, doc_id, each once) with most occurrences of its terms; an occurrence counts one."""
+    on = ["scope", "term"] if within is None else ["scope", "term", "doc_id"]
     terms = queries.select("query_id", "scope", F.explode(X.keyword_terms(F.col("query"))).alias("term"))
-    hits = terms.join(posted, ["scope", "term"]).groupBy("query_id", "scope", "chunk_id").agg(F.sum("tf").alias("hits"))
+    terms = terms if within is None else terms.join(within, "query_id")
+    hits = terms.join(posted, on).groupBy("query_id", "scope", "chunk_id").agg(F.sum("tf").alias("hits"))
     return ranked(hits, [F.desc("hits"), F.asc("chunk_id")], k).select("query_id", "scope", "chunk_id", F.lit(1.0).alias("distance"), "rank", F.lit("keyword").alias("retriever"), "hits")
 
 
@@ -126,23 +130,25 @@ def pack_context(hits: DataFrame, budget: int = 3000) -> DataFrame:
     return numbered.withColumn("cost", cost).withColumn("spent", spent).where((F.col("spent") <= budget) | (F.col("rank") == 1))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, today, vector_k: int = 20, keyword_k: int = 20, k: int = 5, budget: int = 3000) -> DataFrame:
-    """Queries (query_id, scope, query, embedding) against chunks (scope, chunk_id, text, section, title, chunk_date, embedding)."""
+def retrieve(queries: DataFrame, chunks: DataFrame, today, vector_k: int = 20, keyword_k: int = 20, k: int = 5, budget: int = 3000, within: DataFrame | None = None) -> DataFrame:
+    """Queries (query_id, scope, query, embedding) against chunks (scope, chunk_id, text, section, title, chunk_date, embedding).
+
+    F8: with documents given (query_id, doc_id, each once), only their chunks are candidates of a query; chunks then have a doc_id.
+    """
     queries = queries.withColumn("query", X.normal_query(F.col("query")))
-    fused = rrf([vector_search(queries, chunks, vector_k), keyword_search(queries, postings(chunks), keyword_k)])
+    posted = postings(chunks) if within is None else postings(chunks, ("scope", "doc_id", "chunk_id"))
+    fused = rrf([vector_search(queries, chunks, vector_k, within), keyword_search(queries, posted, keyword_k, within)])
     hits = fused.join(chunks.drop("embedding", "scope"), "chunk_id")
     best = rerank_heuristic(similarity_floor(dedup_passages(hits)).withColumn("rank", F.lit(0)), queries, today, k)
     return pack_context(best, budget)
 
 
 def retrieve_anchored(queries: DataFrame, chunks: DataFrame, anchors: DataFrame, today, k: int = 5) -> DataFrame:
-    """Hits in a query's anchored documents (query_id, doc_id); queries without any get unanchored ones."""
-    wanted = queries.join(anchors, "query_id").select(F.col("query_id").alias("anchored"), "doc_id").distinct()
-    hits = retrieve(queries, chunks, today, 200, 200, 200, 1 << 30)
-    inside = hits.join(wanted, (hits["query_id"] == wanted["anchored"]) & (hits["doc_id"] == wanted["doc_id"]), "left_semi")
-    first = ranked(inside.drop("rank"), [F.desc(F.round("score", 9)), F.asc("chunk_id")], k).withColumn("anchored", F.lit(True))
-    rest = rerank_none(hits.join(first.select("query_id").distinct(), "query_id", "left_anti"), k).withColumn("anchored", F.lit(False))
-    return first.unionByName(rest.select(first.columns))
+    """Hits in a query's anchored documents (query_id, doc_id), which are chosen before anything is ranked; queries without any hit there get unanchored ones."""
+    wanted = anchors.select("query_id", "doc_id").distinct()
+    first = retrieve(queries, chunks, today, k=k, budget=1 << 30, within=wanted)
+    rest = retrieve(queries.join(first.select("query_id").distinct(), "query_id", "left_anti"), chunks, today, k=k, budget=1 << 30)
+    return first.withColumn("anchored", F.lit(True)).unionByName(rest.withColumn("anchored", F.lit(False)))
 
 
 def retrieval_status(queries: DataFrame, chunks: DataFrame, hits: DataFrame) -> DataFrame:

@@ -99,6 +99,22 @@ def test_context_keeps_the_first_and_does_not_skip(spark):
     assert rows(retrieval.pack_context(hits.where("rank > 1"), 40).select("rank"), "rank") == [(2,), (3,)]
 
 
+def test_anchors_come_before_the_candidate_limit(spark):
+    """Three anchored passages behind 250 better ones; one of them has its twin in another document."""
+    day, axis = date(2024, 1, 1), [1.0, 0.0]
+    chunks = [(1, k, 1, f"dose dose dose dose {k}", "Plan", "note_1", day, axis) for k in range(250)]
+    chunks += [(1, 900 + k, 2, text, "Plan", "note_2", day, [0.8 - k / 100, 0.6]) for k, text in enumerate(("dose of the anchor", "dose other", "dose dose dose dose 7"))]
+    chunks += [(1, 950, 3, "dose elsewhere", "Plan", "note_3", day, [0.9, 0.1]), (2, 960, 2, "dose of another scope", "Plan", "note_2", day, axis)]
+    chunks = spark.createDataFrame(chunks, "scope long, chunk_id long, doc_id long, text string, section string, title string, chunk_date date, embedding array<double>")
+    asked = spark.createDataFrame([(q, 1, "dose", axis) for q in (1, 2, 3)], "query_id long, scope long, query string, embedding array<double>")
+    anchors = spark.createDataFrame([(1, 2), (1, 2), (2, 77)], "query_id long, doc_id long")
+    got = rows(retrieval.retrieve_anchored(asked, chunks, anchors, date(2024, 6, 1)).select("query_id", "rank", "chunk_id", "anchored"), "query_id", "rank")
+    alone = lambda df: [r[0] for r in rows(retrieval.retrieve(asked.where("query_id = 1"), df, date(2024, 6, 1), budget=1 << 30).select("chunk_id", "rank"), "rank")]
+    inside, every = alone(chunks.where("doc_id = 2")), alone(chunks)
+    assert sorted(inside) == [900, 901, 902] and len(every) == 5
+    assert got == [(q, i + 1, c, q == 1) for q, ids in ((1, inside), (2, every), (3, every)) for i, c in enumerate(ids)]
+
+
 def test_chunking_cases():
     assert ingest.packed("a. " * 600)[0].startswith("a.")
     long = "word " * 600
