@@ -1,7 +1,9 @@
 """Registered retrieval queries and their SQL.
 
-Passages are the documents' lines of 40 characters or more; a query is the first user turn of every conversation, asked in
-each source of four. Vectors are the stored ones, whose scope is their label.
+Passages are the documents' non-empty lines; a query is the whole first user turn of every conversation, asked in one source of
+four. The queries whose SQL is older (normal_queries, keyword_topk, retrieval_status, chunk_filters, resolve_relevant) keep its
+excerpt: lines of 40 characters or more, and the first 60 characters of turn 0. Vectors are the stored ones, whose scope is their
+label.
 """
 
 from __future__ import annotations
@@ -19,19 +21,39 @@ from .registry import query
 TODAY = date(2024, 6, 1)
 
 
+#: Line numbers are below it, so no two lines share doc_id * AT + line.
+AT = 1 << 31
+
+
+def lines(spark, sf_dir, at=AT):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("at", "text")).where("text <> ''")
+    return docs.select("doc_id", F.col("source").alias("scope"), (F.col("doc_id").cast("long") * at + F.col("at")).alias("chunk_id"), "text", F.element_at(X.words_of(["Plan", "History", "Medications", "Vitals"]), (F.col("at") % 4 + 1).cast("int")).alias("section"), F.concat(F.lit("note_"), F.col("doc_id").cast("string")).alias("title"), F.date_sub(F.lit(TODAY), (F.col("doc_id") % 1500).cast("int")).alias("chunk_date"))
+
+
 def passages(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("at", "text")).where(F.length("text") >= 40)
-    return docs.select("doc_id", F.col("source").alias("scope"), (F.col("doc_id") * 10000 + F.col("at")).alias("chunk_id"), "text", F.element_at(X.words_of(["Plan", "History", "Medications", "Vitals"]), (F.col("at") % 4 + 1).cast("int")).alias("section"), F.concat(F.lit("note_"), F.col("doc_id").cast("string")).alias("title"), F.date_sub(F.lit(TODAY), (F.col("doc_id") % 1500).cast("int")).alias("chunk_date"))
+    """The lines that the older SQL has."""
+    return lines(spark, sf_dir, 10000).where(F.length("text") >= 40)
+
+
+def _asked(first):
+    return first.select(F.col("conv_id").alias("query_id"), F.concat(F.lit("src"), (F.col("conv_id") % 4).cast("string")).alias("scope"), F.concat(F.lit("Hello, please "), F.col("text")).alias("query"))
+
+
+def first_questions(spark, sf_dir):
+    said = load(spark, sf_dir, "conversations").where("role = 'user'")
+    return _asked(said.groupBy("conv_id").agg(F.min_by("text", F.struct("turn", "text")).alias("text")))
 
 
 def questions(spark, sf_dir):
-    first = load(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "text")
-    return first.select(F.col("conv_id").alias("query_id"), F.concat(F.lit("src"), (F.col("conv_id") % 4).cast("string")).alias("scope"), F.concat(F.lit("Hello, please "), F.substring("text", 1, 60)).alias("query"))
+    """The questions that the older SQL has."""
+    return _asked(load(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.substring("text", 1, 60).alias("text")))
 
 
 P = """(SELECT doc_id, source AS scope, doc_id * 10000 + pos - 1 AS chunk_id, text, ['Plan', 'History', 'Medications', 'Vitals'][((pos - 1) % 4 + 1)::INT] AS section, 'note_' || doc_id AS title, DATE '2024-06-01' - (doc_id % 1500)::INTEGER AS chunk_date
 FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(text) >= 40)"""
 QS = "(SELECT conv_id AS query_id, 'src' || conv_id % 4 AS scope, 'Hello, please ' || substr(text, 1, 60) AS query FROM conversations WHERE turn = 0)"
+LINES = P.replace("doc_id * 10000", f"doc_id::BIGINT * {AT}").replace("length(text) >= 40", "text <> ''")
+FIRST = "(SELECT conv_id AS query_id, 'src' || conv_id % 4 AS scope, 'Hello, please ' || first(text ORDER BY turn, text) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id)"
 NORMAL = "trim(regexp_replace(regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '^(hi|hello|hey)[,!.\\s]+', '', 'i'), '^(can you|could you|please|i want to know|tell me)\\s+', '', 'i'))"
 STOP = ", ".join(f"'{w}'" for w in X.QUESTION_WORDS)
 RERANK = ", ".join(f"'{w}'" for w in X.RERANK_STOP)
@@ -40,6 +62,20 @@ t AS (SELECT DISTINCT query_id, scope, unnest(regexp_extract_all(lower(query), '
 p AS (SELECT scope, chunk_id, term, count(*) AS tf FROM (SELECT scope, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM c) GROUP BY ALL),
 k AS (SELECT query_id, scope, chunk_id, sum(tf)::BIGINT AS hits, row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, chunk_id)::INTEGER AS rank FROM t JOIN p USING (scope, term) WHERE length(term) > 1 AND term NOT IN ({STOP}) GROUP BY query_id, scope, chunk_id QUALIFY rank <= 20)"""
 
+NORMAL_OR_ALL = f"coalesce(nullif({NORMAL.format('query')}, ''), trim(query))"
+WHOLE_KEYWORD = KEYWORD.replace(NORMAL.format("query"), NORMAL_OR_ALL).replace(QS, FIRST).replace(P, LINES)
+
+
+@query(f"SELECT query_id, {NORMAL_OR_ALL} AS query FROM {FIRST}")
+def normal_queries_whole(spark, sf_dir):
+    return first_questions(spark, sf_dir).select("query_id", X.normal_query(F.col("query")).alias("query"))
+
+
+@query(f"WITH {WHOLE_KEYWORD} SELECT query_id, chunk_id, hits, rank FROM k")
+def keyword_topk_whole(spark, sf_dir):
+    asked = first_questions(spark, sf_dir).withColumn("query", X.normal_query(F.col("query")))
+    return Q.keyword_search(asked, Q.postings(lines(spark, sf_dir))).select("query_id", "chunk_id", "hits", "rank")
+
 
 @query(f"SELECT query_id, {NORMAL.format('query')} AS query FROM {QS}")
 def normal_queries(spark, sf_dir):
@@ -162,10 +198,21 @@ def distinct_queries(spark, sf_dir):
     return Q.distinct_queries(load(spark, sf_dir, "documents")).select(F.md5("text").alias("text_md5"), "n")
 
 
-@query(f"WITH {KEYWORD} SELECT q.query_id, q.scope, n AS n_indexed, coalesce(h, 0)::BIGINT AS n_hits, CASE WHEN n = 0 THEN 'empty_index' WHEN coalesce(h, 0) = 0 THEN 'no_match' ELSE 'answered' END AS status FROM (SELECT query_id, CASE WHEN query_id % 5 = 0 THEN 'nowhere' ELSE scope END AS scope FROM q) q LEFT JOIN (SELECT query_id, count(*) AS h FROM k WHERE query_id % 5 <> 0 GROUP BY 1) k ON k.query_id = q.query_id JOIN (SELECT 'nowhere' AS scope, 0::BIGINT AS n UNION ALL SELECT scope, count(*)::BIGINT FROM c GROUP BY 1) i ON i.scope = q.scope")
+_STATUS = "SELECT q.query_id, q.scope, n AS n_indexed, coalesce(h, 0)::BIGINT AS n_hits, CASE WHEN n = 0 THEN 'empty_index' WHEN coalesce(h, 0) = 0 THEN 'no_match' ELSE 'answered' END AS status FROM (SELECT query_id, CASE WHEN query_id % 5 = 0 THEN 'nowhere' ELSE scope END AS scope FROM q) q LEFT JOIN (SELECT query_id, count(*) AS h FROM k WHERE query_id % 5 <> 0 GROUP BY 1) k ON k.query_id = q.query_id JOIN (SELECT 'nowhere' AS scope, 0::BIGINT AS n UNION ALL SELECT scope, count(*)::BIGINT FROM c GROUP BY 1) i ON i.scope = q.scope"
+
+
+@query(f"WITH {KEYWORD} {_STATUS}")
 def retrieval_status(spark, sf_dir):
-    asked = questions(spark, sf_dir).withColumns({"query": X.normal_query(F.col("query")), "scope": F.when(F.col("query_id") % 5 == 0, "nowhere").otherwise(F.col("scope"))})
-    chunks = passages(spark, sf_dir)
+    return _status(questions(spark, sf_dir), passages(spark, sf_dir))
+
+
+@query(f"WITH {WHOLE_KEYWORD} {_STATUS}")
+def retrieval_status_whole(spark, sf_dir):
+    return _status(first_questions(spark, sf_dir), lines(spark, sf_dir))
+
+
+def _status(asked, chunks):
+    asked = asked.withColumns({"query": X.normal_query(F.col("query")), "scope": F.when(F.col("query_id") % 5 == 0, "nowhere").otherwise(F.col("scope"))})
     return Q.retrieval_status(asked, chunks, Q.keyword_search(asked, Q.postings(chunks)))
 
 
@@ -184,13 +231,13 @@ def _embedded(df, key, column):
 @query()
 def hybrid_retrieve(spark, sf_dir):
     """Tested against its own steps: every step has an oracle of its own above."""
-    asked = _embedded(questions(spark, sf_dir), "query_id", "query")
-    return Q.retrieve(asked, _embedded(passages(spark, sf_dir), "chunk_id", "text"), TODAY).select("query_id", "chunk_id", "retriever", F.round("score", 6).alias("score"), "rank", "occurrences", "cost", "spent")
+    asked = _embedded(first_questions(spark, sf_dir), "query_id", "query")
+    return Q.retrieve(asked, _embedded(lines(spark, sf_dir), "chunk_id", "text"), TODAY).select("query_id", "chunk_id", "retriever", F.round("score", 6).alias("score"), "rank", "occurrences", "cost", "spent")
 
 
 @query()
 def hybrid_retrieve_anchored(spark, sf_dir):
-    asked = _embedded(questions(spark, sf_dir), "query_id", "query")
-    chunks = _embedded(passages(spark, sf_dir), "chunk_id", "text")
+    asked = _embedded(first_questions(spark, sf_dir), "query_id", "query")
+    chunks = _embedded(lines(spark, sf_dir), "chunk_id", "text")
     anchors = asked.where("query_id % 2 = 0").join(chunks.where("doc_id % 40 < 4").select("scope", "doc_id").distinct(), "scope").select("query_id", "doc_id")
     return Q.retrieve_anchored(asked, chunks, anchors, TODAY).select("query_id", "chunk_id", "rank", "anchored")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import conversations, corpus, graph, ingest, metrics, operations, records, retrieval, rules
+from quarry.plans import retrieval as plans
 from quarry.sources import tables
 
 
@@ -115,6 +116,17 @@ def test_anchors_come_before_the_candidate_limit(spark):
     assert got == [(q, i + 1, c, q == 1) for q, ids in ((1, inside), (2, every), (3, every)) for i, c in enumerate(ids)]
 
 
+def test_questions_and_passages_are_whole(spark, tmp_path):
+    ask = " " * 70 + "zebra"
+    spark.createDataFrame([(4, 0, "system", "be brief"), (4, 1, "user", ask), (4, 2, "user", "later"), (8, 0, "assistant", "hm")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(0, "src0", "\n".join(["a", "", "zebra"] + ["b"] * 10000)), (1, "src0", "zebra zebra"), (2, "src0", "")], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(plans.first_questions(spark, str(tmp_path)).select("query_id", "query")) == [(4, "Hello, please " + ask)]
+    lines = plans.lines(spark, str(tmp_path))
+    assert lines.count() == lines.select("chunk_id").distinct().count() == 10003
+    assert rows(plans.keyword_topk_whole(spark, str(tmp_path)).select("chunk_id", "hits"), "chunk_id") == [(2, 1), (plans.AT, 2)]
+    assert {r["chunk_id"] for r in plans.hybrid_retrieve(spark, str(tmp_path)).collect()} >= {2, plans.AT}
+
+
 def test_chunking_cases():
     assert ingest.packed("a. " * 600)[0].startswith("a.")
     long = "word " * 600
