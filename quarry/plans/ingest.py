@@ -38,11 +38,11 @@ def ingest_report(spark, sf_dir):
 
 @query("SELECT count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_documents, 0::BIGINT AS n_twice FROM documents")
 def ingest_twice_is_once(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"))
-    docs = docs.select("doc_id", F.regexp_replace("text", "\n", " ").alias("text"))
+    """Whole texts; n counts the documents whose chunks, (chunk_index, md5(text)), are the same after both runs."""
+    docs = _docs(spark, sf_dir)
     once = D.ingest(docs, D.chunk_documents(docs.limit(0)))
-    twice = D.ingest(docs, D.ingest(docs, once), missing_only=False)
-    return twice.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_documents"), (F.count("*") - F.count_distinct("doc_id", "chunk_index")).alias("n_twice"))
+    twice = D.ingest(docs, once, missing_only=False)
+    return D.compare_runs(docs, once, twice).agg(F.count_if("same").alias("n"), F.count_if(F.col("n_chunks") > 0).alias("n_documents"), F.coalesce(F.sum("n_twice"), F.lit(0)).alias("n_twice"))
 
 
 @query("SELECT source, count(CASE WHEN doc_id % 3 <> 0 THEN 1 END)::BIGINT AS n_missing, count(CASE WHEN doc_id % 3 = 0 THEN 1 END)::BIGINT AS n_there FROM documents GROUP BY 1")
@@ -62,6 +62,13 @@ def contextualise(spark, sf_dir):
     return D.contextualise(chunks, held).select("doc_id", "embedding_input")
 
 
+@query()
+def contextualise_whole(spark, sf_dir):
+    """Whole chunks of whole texts; a fold, so no SQL."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Note "), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 2 == 1, F.lit("2024-01-05")).alias("day"), F.lit(1).alias("version"), F.lit("final").alias("status"))
+    return D.contextualise(D.chunk_documents(_docs(spark, sf_dir)), docs).select("doc_id", "chunk_index", "embedding_input")
+
+
 _W = "(SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)"
 
 

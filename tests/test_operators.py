@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import conversations, corpus, graph, ingest, metrics, operations, records, retrieval, rules
+from quarry.plans import ingest as ingest_plans
 from quarry.plans import retrieval as plans
 from quarry.sources import tables
 
@@ -153,6 +154,25 @@ def test_ingest_only_missing(spark):
     assert rows(ingest.ingest(docs, held, ids=[1]).select("doc_id", "text"), "doc_id") == [(1, "new")]
 
 
+def test_ingest_and_context_of_whole_texts(spark, tmp_path):
+    """Bodies over 1,200 characters and several sections, as chunks by ``packed``."""
+    texts = {1: "\n".join(f"Line {i} of one. " + "word " * 90 for i in range(9)), 2: "short", 3: "a\nb\nc\nd\ne"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for k, text in texts.items():
+        lines = text.split("\n")
+        parts = [("Preamble", lines[:3])] + [("Plan of Care", lines[i : i + 5]) for i in range(3, len(lines), 5)]
+        cut = [(name, c) for name, body in parts for c in ingest.packed("\n".join(body).strip())]
+        want += [(k, i, " — ".join([f"Note {k}"] + ["2024-01-05"] * (k % 2) + [name]) + "\n" + c) for i, (name, c) in enumerate(cut)]
+    assert len(want) > 6 and any(len(w[2]) > 1000 for w in want)
+    assert rows(ingest_plans.contextualise_whole(spark, str(tmp_path)), "doc_id", "chunk_index") == want
+    assert tuple(ingest_plans.ingest_twice_is_once(spark, str(tmp_path)).first()) == (3, 3, 0)
+    once = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "z")], "doc_id long, chunk_index int, text string")
+    twice = spark.createDataFrame([(1, 0, "x"), (1, 1, "changed"), (1, 1, "y"), (2, 0, "z")], once.schema)
+    assert rows(ingest.compare_runs(docs, once, twice), "doc_id") == [(1, False, 3, 1), (2, True, 1, 0), (3, True, 0, 0)]
+
+
 def test_graph_repair(spark):
     nodes = spark.createDataFrame([("Visit", "v", 1, None), ("Visit", "w", 2, None), ("Owner", "1", 1, None), ("Owner", "2", 2, None)], "label string, id string, scope long, name string")
     edges = spark.createDataFrame([("Owner", "1", "HAD", "Visit", "v"), ("Owner", "2", "HAD", "Visit", "v"), ("Owner", "2", "HAD", "Visit", "w")], "src_label string, src_id string, rel string, dst_label string, dst_id string")
