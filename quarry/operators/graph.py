@@ -133,8 +133,9 @@ def by_severity(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def diagnosis_history(courses: DataFrame) -> DataFrame:
-    """When a condition was first recorded, how often, and by whom."""
-    return courses.groupBy("scope", "condition").agg(F.min("start_date").alias("first_recorded"), F.count("*").alias("times"), F.count_distinct("provider_id").alias("n_providers"), F.array_join(F.slice(F.array_sort(F.collect_set(F.col("provider_id").cast("string"))), 1, 5), ",").alias("providers"))
+    """When a condition was first recorded, how often, by whom (all of them), and under which codes."""
+    every = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ",")
+    return courses.groupBy("scope", "condition").agg(F.min("start_date").alias("first_recorded"), F.count("*").alias("times"), F.count_distinct("provider_id").alias("n_providers"), every("provider_id").alias("providers"), every("code").alias("codes"))
 
 
 def procedures(rows: DataFrame, providers: DataFrame) -> DataFrame:

@@ -123,7 +123,14 @@ def procedures(spark, sf_dir):
 
 @query(f"SELECT scope, condition, min(start_date) AS first_recorded, count(*)::BIGINT AS times, count(DISTINCT provider_id)::BIGINT AS n_providers, array_to_string(list_slice(list_sort(list(DISTINCT provider_id::VARCHAR)), 1, 5), ',') AS providers FROM {M} GROUP BY ALL")
 def diagnosis_history(spark, sf_dir):
-    return G.diagnosis_history(S.medications(spark, sf_dir))
+    """Shows the first five providers, as its SQL does; diagnosis_history_whole shows all."""
+    return diagnosis_history_whole(spark, sf_dir).drop("codes").withColumn("providers", F.substring_index("providers", ",", 5))
+
+
+@query(f"SELECT scope, condition, min(start_date) AS first_recorded, count(*)::BIGINT AS times, count(DISTINCT provider_id)::BIGINT AS n_providers, string_agg(DISTINCT provider_id::VARCHAR, ',' ORDER BY provider_id::VARCHAR) AS providers, string_agg(DISTINCT name, ',' ORDER BY name) AS codes FROM {M} GROUP BY ALL")
+def diagnosis_history_whole(spark, sf_dir):
+    """The name stands in for the code of a diagnosis."""
+    return G.diagnosis_history(S.medications(spark, sf_dir).withColumn("code", F.col("name")))
 
 
 @query(f"SELECT scope, string_agg(name, '; ' ORDER BY d, name) AS summary FROM (SELECT scope, name, min(start_date) AS d FROM {M} GROUP BY ALL) GROUP BY 1")

@@ -173,6 +173,13 @@ def test_ingest_and_context_of_whole_texts(spark, tmp_path):
     assert rows(ingest.compare_runs(docs, once, twice), "doc_id") == [(1, False, 3, 1), (2, True, 1, 0), (3, True, 0, 0)]
 
 
+def test_diagnosis_history_keeps_all(spark):
+    day = date(2020, 1, 1)
+    seen = spark.createDataFrame([(1, "flu", day, p, f"c{p % 7}") for p in range(12)] + [(1, "flu", day, 3, None), (2, "flu", day, None, None)], "scope long, condition string, start_date date, provider_id long, code string")
+    want = (1, "flu", day, 13, 12, ",".join(sorted(map(str, range(12)))), ",".join(f"c{k}" for k in range(7)))
+    assert rows(graph.diagnosis_history(seen), "scope") == [want, (2, "flu", day, 1, 0, "", "")]
+
+
 def test_graph_repair(spark):
     nodes = spark.createDataFrame([("Visit", "v", 1, None), ("Visit", "w", 2, None), ("Owner", "1", 1, None), ("Owner", "2", 2, None)], "label string, id string, scope long, name string")
     edges = spark.createDataFrame([("Owner", "1", "HAD", "Visit", "v"), ("Owner", "2", "HAD", "Visit", "v"), ("Owner", "2", "HAD", "Visit", "w")], "src_label string, src_id string, rel string, dst_label string, dst_id string")
