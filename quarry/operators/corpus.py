@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,11 @@ DECLINES = ["i am not able", "i'm not able", "i can only help", "cannot help wit
 SPECULATION = ["likely", "probably", "should be around", "i'd estimate", "i would estimate", "you can expect", "typically", "usually around", "my prediction"]
 NARRATION = ["let me think", "first, i", "step 1", "my reasoning", "i'll start by", "<think>"]
 DENIALS = ["not in the record", "nothing on record", "no ", "cannot predict"]
+# What may stand before a surname, and the shortest surname that is looked for after it.
+TITLES = "dr|doctor|mr|mrs|ms|miss|patient"
+LEAST_SURNAME = 4
+#: Runs of letters and digits of any alphabet, and of the characters that a regular expression counts as a word's.
+WORD, NAME_WORD = "[\\p{L}\\p{N}]+", "(?U)\\w+"
 FIGURE = "\\b\\d+(?:\\.\\d+)?\\b"
 
 
@@ -90,7 +96,7 @@ def malformed_rows(corpus: DataFrame) -> DataFrame:
 
 
 def contains_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(text_id, term_id) where a text has a term. Candidates share the term's rarest token; then the term is looked for.
+    """(text_id, term_id) where a text has a term. Candidates share the term's rarest token; then the term is looked for.
 
     Terms without a token can't be found.
     """
@@ -102,6 +108,34 @@ def contains_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return pairs.join(texts, "text_id").join(terms, "term_id").where(F.contains(F.lower("text"), F.lower("term"))).select("text_id", "term_id")
 
 
+def name_leaks(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(text_id, name_id) where a text has a full name (name_id, name), as contains_join finds it, or its surname after a title or the first name.
+
+    A candidate has the first word of the surname as a word; then the pattern is looked for. A surname alone is no leak.
+    """
+    parts = F.split(F.trim(F.lower("name")), "(?U)\\s+")
+    quoted = lambda c: F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))  # noqa: E731  # lower-cased, so without \E
+    named = names.where(F.size(parts) > 1).select(F.col("name_id"), F.get(parts, F.lit(0)).alias("first"), F.regexp_replace(F.element_at(parts, -1), "^[,.]+|[,.]+$", "").alias("surname")).where(F.length("surname") >= LEAST_SURNAME)
+    named = named.withColumns({"token": F.get(F.regexp_extract_all("surname", F.lit(NAME_WORD), F.lit(0)), F.lit(0)), "pattern": F.concat(F.lit(f"(?U)\\b(?:{TITLES}|"), quoted("first"), F.lit(")\\.?\\s+"), quoted("surname"), F.lit("\\b"))})
+    posted = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(NAME_WORD), F.lit(0)))).alias("token"))
+    asked = posted.join(named.select("name_id", "token", "pattern"), "token").groupBy("text_id").agg(F.collect_list(F.struct("name_id", "pattern")).alias("asked"))
+    titled = texts.join(asked, "text_id").select("text_id", F.explode(F.filter("asked", lambda x: F.regexp_like(F.lower("text"), x["pattern"])))).select("text_id", "col.name_id")
+    full = contains_join(texts, names.select(F.col("name_id").alias("term_id"), F.trim("name").alias("term"))).withColumnRenamed("term_id", "name_id")
+    return full.unionByName(titled).distinct()
+
+
+def window_leaks(texts: DataFrame, terms: DataFrame, n: int = 3) -> DataFrame:
+    """(text_id, term_id, n_windows) where a text has some n words that follow one another in a term, wherever they stand in it; a shorter term is one window."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    cut = lambda df, key, m: df.where(F.size("words") >= m).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - m + 1), lambda i: F.array_join(F.slice("words", i, m), " ")))).alias("window"))
+    held, asked = texts.select("text_id", words("text").alias("words")), terms.select("term_id", words("term").alias("words"))
+    found = []
+    for m in range(1, n + 1):
+        wanted = cut(asked if m == n else asked.where(F.size("words") == m), "term_id", m)
+        found.append(cut(held, "text_id", m).join(wanted, "window").select("text_id", "term_id"))
+    return reduce(DataFrame.unionByName, found).groupBy("text_id", "term_id").agg(F.count("*").alias("n_windows"))
+
+
 def pair_leaks(texts: DataFrame, pairs: DataFrame, window: int = 40) -> DataFrame:
     """Texts where two values stand as words within a window of characters, in either order (pair_id, first, second)."""
     found = contains_join(texts, pairs.select(F.col("pair_id").alias("term_id"), F.col("first").alias("term")))

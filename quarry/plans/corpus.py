@@ -93,6 +93,24 @@ def leak_scan(spark, sf_dir):
     return C.contains_join(_texts(spark, sf_dir), _terms(spark, sf_dir).where("term <> ''"))
 
 
+def _windows(table: str, key: str, name: str) -> str:
+    words = f"SELECT {key} AS {name}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}"
+    return f"(SELECT DISTINCT {name}, array_to_string(w[i:i + least(len(w), 3) - 1], ' ') AS v FROM (SELECT *, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM ({words}) WHERE len(w) > 0))"
+
+
+@query(f"SELECT text_id, term_id, count(*)::BIGINT AS n_windows FROM {_windows('documents', 'doc_id', 'text_id')} JOIN {_windows('benchmark', 'item_id', 'term_id')} USING (v) GROUP BY ALL")
+def leak_scan_windows(spark, sf_dir):
+    """Every three words of each item; leak_scan has the first three, as its SQL does. No item has less than three words."""
+    return C.window_leaks(_texts(spark, sf_dir), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term")))
+
+
+@query()
+def name_leaks(spark, sf_dir):
+    """The first two words of each benchmark item stand in for a person's names."""
+    names = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name_id"), F.array_join(F.slice(F.split("text", "\\s+"), 1, 2), " ").alias("name"))
+    return C.name_leaks(_texts(spark, sf_dir), names)
+
+
 _PAIRS = "(SELECT item_id AS pair_id, regexp_extract(text, '^([A-Za-z]+) ', 1) AS a, regexp_extract(text, '^[^ ]+ ([A-Za-z]+)', 1) AS b FROM benchmark)"
 
 

@@ -228,6 +228,21 @@ def test_contains_join(spark):
     assert rows(corpus.contains_join(texts, terms)) == [(1, 7)]
 
 
+def test_name_leaks(spark):
+    said = ["Dr White called", "patient  white.", "Anna Q. White", "anna. white", "white cell count", "mr whites", "Mr Lee", "call Bo Lee today", "ms Müller", "dr a.b+c", "Dra White", "doctor\nO'Neil", None]
+    texts = spark.createDataFrame(list(enumerate(said)), "text_id long, text string")
+    names = spark.createDataFrame([(1, "Anna Q. White"), (2, "Bo Lee"), (3, "Eva Müller,"), (4, "x a.b+c"), (5, "White"), (6, "\\E( O'Neil"), (7, None)], "name_id long, name string")
+    got = rows(corpus.name_leaks(texts, names), "text_id", "name_id")
+    assert [x for x in got if x[1] != 5] == [(0, 1), (1, 1), (2, 1), (3, 1), (7, 2), (8, 3), (9, 4), (11, 6)]
+    assert [x[0] for x in got if x[1] == 5] == [0, 1, 2, 3, 4, 10]
+
+
+def test_window_leaks(spark):
+    texts = spark.createDataFrame([(1, "so THE end,\nof it all"), (2, "one two"), (3, "ones two"), (4, None), (5, "the end it")], "text_id long, text string")
+    terms = spark.createDataFrame([(7, "a b c the end of it"), (8, "one two"), (9, "--"), (10, None)], "term_id long, term string")
+    assert rows(corpus.window_leaks(texts, terms), "text_id") == [(1, 7, 2), (2, 8, 1)]
+
+
 @pytest.mark.parametrize(("text", "route"), [("Select the name from my list", "OUT_OF_SCOPE"), ("please book me an appointment", "ACTION"), ("Please update my address where I live now", None), ("what was the average glucose", "TEXT_TO_SQL"), ("when is my next appointment", "API"), ("good morning", None)])
 def test_routes(spark, text, route):
     assert rules.classify_routes(spark.createDataFrame([(text,)], "text string")).first()["route"] == route
