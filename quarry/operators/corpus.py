@@ -98,10 +98,13 @@ def malformed_rows(corpus: DataFrame) -> DataFrame:
 def contains_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_id, term_id) where a text has a term. Candidates share the term's rarest token; then the term is looked for.
 
-    Terms without a token can't be found.
+    The first and the last token of three or more may be parts of words of the text, so the rarest of the others is taken. Terms
+    without a token can't be found.
     """
     posted = texts.select("text_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"))
-    wanted = terms.select("term_id", F.explode(F.array_distinct(X.tokens(F.col("term")))).alias("token"))
+    tokens = X.tokens(F.col("term"))
+    inner = F.when(F.size(tokens) > 2, F.slice(tokens, F.lit(2), F.size(tokens) - 2)).otherwise(tokens)
+    wanted = terms.select("term_id", F.explode(F.array_distinct(inner)).alias("token"))
     common = posted.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     rarest = wanted.join(common, "token", "left").groupBy("term_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), F.col("token"))).alias("token"))
     pairs = posted.join(rarest, "token").select("text_id", "term_id")

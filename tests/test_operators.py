@@ -228,6 +228,11 @@ def test_contains_join(spark):
     assert rows(corpus.contains_join(texts, terms)) == [(1, 7)]
 
 
+def test_contains_join_at_parts_of_words(spark):
+    texts = spark.createDataFrame([(1, "the bobcat sat only"), (2, "cat, sat on")], "text_id long, text string")
+    assert rows(corpus.contains_join(texts, spark.createDataFrame([(7, "Cat sat on")], "term_id long, term string"))) == [(1, 7)]
+
+
 def test_name_leaks(spark):
     said = ["Dr White called", "patient  white.", "Anna Q. White", "anna. white", "white cell count", "mr whites", "Mr Lee", "call Bo Lee today", "ms Müller", "dr a.b+c", "Dra White", "doctor\nO'Neil", None]
     texts = spark.createDataFrame(list(enumerate(said)), "text_id long, text string")
