@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 SLICE_BYTES = 1 << 20
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Values from which a run is hashed by itself.
+LONG_RUN = 4096
 
 
 def byte_table(members: bytes) -> np.ndarray:
@@ -73,13 +75,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of values: Horner's rule by position, over all runs at once, longest first."""
+    """A 64-bit hash of each run of values: Horner's rule by position, over all runs at once, longest first; very long runs one by one."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    capped = np.minimum(lengths, 65535).astype(np.uint16)
-    order = np.argsort(capped, kind="stable")[::-1]
-    if lengths.max() > 65535:
-        order = np.argsort(lengths, kind="stable")[::-1]
+    if lengths.max() > LONG_RUN:
+        out, long = np.empty(len(starts), np.uint64), lengths > LONG_RUN
+        out[~long] = run_hashes(data, starts[~long], lengths[~long])
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lengths.max()), MULTIPLIER)]))
+        for i in np.flatnonzero(long):
+            n, values = int(lengths[i]), data[starts[i] : starts[i] + lengths[i]].astype(np.uint64) + np.uint64(1)
+            out[i : i + 1] = powers[n : n + 1] * np.uint64(n) + (values * powers[n - 1 :: -1]).sum(dtype=np.uint64, keepdims=True)
+        out[long] = mix(out[long])
+        return out
+    order = np.argsort(lengths.astype(np.uint16), kind="stable")[::-1]
     at, sizes = starts[order], lengths[order]
     more = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left")
     h = sizes.astype(np.uint64)

@@ -3,7 +3,8 @@
 The pre-tokenizer's pattern is evaluated on whole byte buffers as class runs, so pre-tokens come out as spans without a
 regular expression per text. Each distinct pre-token is merged once per worker: all new ones of a slice form one ragged
 array of symbols, and in every round each sequence joins all places of its own lowest-ranked pair at once. Sequences
-without a ranked pair left leave the round. Texts whose characters lie outside the stable part of the character table,
+without a ranked pair left leave the round; long ones are cut into blocks that are sequences of their own, and their borders
+mended. Pre-tokens are known by a 64-bit hash. Texts whose characters lie outside the stable part of the character table,
 or that hold one of the vocabulary's special strings, are passed to the tokenizers library itself.
 """
 
@@ -21,6 +22,8 @@ from .arrays import ragged, run_hashes, text_slices
 LETTER, NUMBER, OTHER, WHITE, UNSURE = 0, 1, 2, 3, 4
 #: Pre-tokens remembered by one worker; beyond it the memory starts anew.
 REMEMBERED = 600_000
+#: Bytes from which a pre-token is merged in blocks, and those of a block.
+LONG, BLOCK = 256, 64
 
 
 def default_vocabulary() -> str:
@@ -31,16 +34,22 @@ def default_vocabulary() -> str:
 
 @lru_cache(1)
 def character_classes() -> np.ndarray:
-    """Class of each code point up to U+FFFF; UNSURE where Unicode 3.2 and today's tables differ or know nothing."""
-    table = np.full(0x10000, UNSURE, np.uint8)
+    """Class of each code point up to U+1FFFF; UNSURE where versions of Unicode may differ, and beyond.
+
+    What is no letter, number or space today was none before it was assigned either, so emoji are sure; letters and numbers
+    are if Unicode 3.2 has them.
+    """
+    table = np.full(0x20000, UNSURE, np.uint8)
     white = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
     of = {"L": LETTER, "N": NUMBER}
-    for c in range(0x10000):
+    for c in range(0x20000):
         now, then = unicodedata.category(chr(c))[0], unicodedata.ucd_3_2_0.category(chr(c))
         if c in white:
             table[c] = WHITE
-        elif then != "Cn" and then[0] == now and not 0xD800 <= c < 0xE000 and now != "Z":
-            table[c] = of.get(now, OTHER)
+        elif then[0] == now and now in of:
+            table[c] = of[now]
+        elif now in "SPM" and then[0] not in "LNZ":
+            table[c] = OTHER
     return table
 
 
@@ -61,6 +70,12 @@ def byte_classes(data: np.ndarray) -> np.ndarray:
             point = (data[three].astype(np.uint32) & 0x0F) << 12 | (data[three + 1].astype(np.uint32) & 0x3F) << 6 | (data[three + 2] & 0x3F)
             for k in range(3):
                 out[three + k] = table[point]
+        four = np.flatnonzero(data >= 0xF0)
+        if len(four):
+            point = (data[four].astype(np.uint32) & 0x07) << 18 | (data[four + 1].astype(np.uint32) & 0x3F) << 12 | (data[four + 2].astype(np.uint32) & 0x3F) << 6 | (data[four + 3] & 0x3F)
+            point = np.where(point < len(table), table[np.minimum(point, len(table) - 1)], UNSURE)
+            for k in range(4):
+                out[four + k] = point
     return out
 
 
@@ -126,6 +141,9 @@ class Vocabulary:
         left = np.array([ids[a] for a, _ in pairs], np.int64)
         right = np.array([ids[b] for _, b in pairs], np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int32)
+        self.width = np.ones(max(ids.values()) + 1, np.int64)
+        for token, i in ids.items():
+            self.width[i] = len(token)
         # open addressing in a numpy table: key -> rank
         self.bits = 19
         size = 1 << self.bits
@@ -240,6 +258,47 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, vocabulary: Vocabulary)
     return flat[ragged(place, counts)], counts
 
 
+def merge_long(symbols: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Merge one long sequence of byte symbols: blocks first, all at once, then what lies at their borders.
+
+    A sequence of tokens is the right one if every two neighbours, merged from their bytes alone, come out as those two: the
+    first merge across a border would otherwise happen between these two by themselves as well. Where two don't, the tokens
+    around them are merged anew, more of them each time, until all borders hold. So the rounds see short sequences only.
+    """
+    sizes = np.full(-(-len(symbols) // BLOCK), BLOCK)
+    sizes[-1] -= sizes.sum() - len(symbols)
+    tokens, counts = merge_all(symbols, sizes, vocabulary)
+    border, reach = np.cumsum(counts)[:-1] - 1, 2
+    while len(border):
+        ends = np.cumsum(vocabulary.width[tokens])
+        starts = ends - vocabulary.width[tokens]
+        lengths = ends[border + 1] - starts[border]
+        again, n = merge_all(symbols[ragged(starts[border], lengths)], lengths, vocabulary)
+        first = np.cumsum(n) - n
+        wrong = n != 2
+        wrong[~wrong] = again[first[~wrong]] != tokens[border[~wrong]]
+        border = border[wrong]
+        if not len(border):
+            break
+        low, high = np.maximum(border - reach + 1, 0), np.minimum(border + reach + 1, len(tokens))
+        # stretches that meet become one
+        new = np.ones(len(low), bool)
+        new[1:] = low[1:] > np.maximum.accumulate(high)[:-1]
+        low, high = low[new], np.maximum.reduceat(high, np.flatnonzero(new))
+        lengths = ends[high - 1] - starts[low]
+        again, n = merge_all(symbols[ragged(starts[low], lengths)], lengths, vocabulary)
+        parts, at, k, border, made = [], 0, 0, [], 0
+        for a, b, size in zip(low.tolist(), high.tolist(), n.tolist(), strict=True):
+            made += a - at
+            parts += [tokens[at:a], again[k : k + size]]
+            border += [made - 1, made + size - 1]
+            at, k, made = b, k + size, made + size
+        tokens = np.concatenate([*parts, tokens[at:]])
+        border = np.unique([x for x in border if 0 <= x < len(tokens) - 1]).astype(np.int64)
+        reach *= 2
+    return tokens
+
+
 class Encoder:
     """Token ids and counts of whole texts, slice by slice; one per worker process."""
 
@@ -257,8 +316,18 @@ class Encoder:
         """Merge pre-tokens that aren't known yet; hashes are sorted and distinct."""
         if len(self.known) + len(hashes) > REMEMBERED:
             self.forget()
-        symbols = self.vocabulary.byte_ids[data[ragged(starts, lengths)]]
-        flat, counts = merge_all(symbols, lengths, self.vocabulary)
+        long = np.flatnonzero(lengths > LONG)
+        short = np.flatnonzero(lengths <= LONG)
+        flat, few = merge_all(self.vocabulary.byte_ids[data[ragged(starts[short], lengths[short])]], lengths[short], self.vocabulary)
+        counts = np.zeros(len(lengths), np.int64)
+        counts[short] = few
+        if len(long):
+            parts = np.split(flat, np.cumsum(few)[:-1]) if len(short) else []
+            own = dict(zip(short.tolist(), parts, strict=True))
+            for i in long.tolist():
+                own[i] = merge_long(self.vocabulary.byte_ids[data[starts[i] : starts[i] + lengths[i]]], self.vocabulary)
+                counts[i] = len(own[i])
+            flat = np.concatenate([own[i] for i in range(len(lengths))])
         first = len(self.flat) + np.cumsum(counts) - counts
         self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
         at = np.searchsorted(self.known, hashes)
