@@ -1,18 +1,20 @@
 """Best-fit packing improved by swap-based local search.
 
 Token pieces (id, piece, start, length and a checksum; no ids) are dealt to shards by a hash, about ``SHARD`` pieces each,
-and every shard is packed by one task: best fit first, then exchanges between underfull bins. An exchange takes from the
-emptiest bin and gives to a fuller one, so it raises the sum of squared fills, and it goes on until bins empty or none helps:
+and every shard is packed by one task: best fit first, then exchanges between underfull bins. An exchange takes from a bin and
+gives to one at least as full, so it raises the sum of squared fills; it goes on until bins empty or none helps:
  - move: a piece goes to a bin with room for it;
  - one for one: a piece changes places with a shorter one of another bin;
- - two for one: two pieces of the emptiest bin change places with one piece, or one piece with two.
-Shards of a fixed number of pieces keep a task's work and memory the same at any input size. What a shard can't fill well is
-packed again together with the rest of ``FAN`` other shards, level by level, until a single group is left.
+ - two for one: two pieces of the emptier bin change places with one piece, or one piece with two.
+Shards of a fixed number of pieces keep a task's work and memory the same at any input size. The emptiest bins of a shard, up to
+SHARD / FAN pieces, are packed again together with those of other shards, FAN at a time, level by level, until a single group
+is left; so no group has more than about ``SHARD`` pieces either.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -29,87 +31,93 @@ SHARD = 4096
 FAN = 16
 
 
-def search(lengths: list[int], capacity: int, patience: int = 64, donors: int = 16) -> list[list[int]]:
+def search(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins of item numbers, as few as the search finds. Its result depends on the lengths alone.
 
-    ``patience``: exchanges to empty one bin; ``donors``: bins that may resist before the search ends. It also ends once the
-    bins are as few as the sum of the lengths allows.
+    The emptiest bin that hasn't resisted yet gives until it is empty or no exchange is left; then it has resisted. The search
+    ends when all underfull bins have, or the bins are as few as the sum of the lengths allows.
     """
     bins = best_fit_decreasing(lengths, capacity)
     least = -(-sum(lengths) // capacity)
-    size = np.array(lengths, np.int64)
-    where = np.zeros(len(lengths), np.int64)
-    for b, items in enumerate(bins):
-        where[items] = b
-    room = capacity - np.bincount(where, size, len(bins)).astype(np.int64)
-    stuck: set[int] = set()
+    if len(bins) <= least:
+        return bins
+    room = [capacity - sum(lengths[i] for i in b) for b in bins]
+    resisted: set[int] = set()
     live = len(bins)
-    while live > least and len(stuck) < donors:
-        donor = max((b for b in range(len(bins)) if bins[b] and b not in stuck), key=lambda b: (room[b], -b), default=None)
-        if donor is None or not room[donor]:
+    while live > least:
+        donor = max((b for b in range(len(bins)) if bins[b] and room[b] and b not in resisted), key=lambda b: (room[b], -b), default=None)
+        if donor is None:
             break
-        for _ in range(patience):
-            step = exchange(bins, size, where, room, donor)
+        while bins[donor]:
+            step = exchange(bins, lengths, room, donor)
             if step is None:
+                resisted.add(donor)
                 break
             given, taken, to = step
-            bins[donor] = [i for i in bins[donor] if i not in given] + list(taken)
-            bins[to] = [i for i in bins[to] if i not in taken] + list(given)
-            where[list(given)], where[list(taken)] = to, donor
-            gain = int(size[list(given)].sum() - size[list(taken)].sum())
+            for i in given:
+                bins[donor].remove(i)
+            for i in taken:
+                bins[to].remove(i)
+            bins[donor] += taken
+            bins[to] += given
+            gain = sum(lengths[i] for i in given) - sum(lengths[i] for i in taken)
             room[to] -= gain
             room[donor] += gain
-            if not bins[donor]:
-                break
-        if bins[donor]:
-            stuck.add(donor)
         else:
             live -= 1
             room[donor] = 0
     return [b for b in bins if b]
 
 
-def exchange(bins: list[list[int]], size: np.ndarray, where: np.ndarray, room: np.ndarray, donor: int) -> tuple[tuple, tuple, int] | None:
-    """The exchange that moves most from the donor: (pieces given, pieces taken, bin they go to), or None."""
-    own = sorted(bins[donor], key=lambda i: (-size[i], i))
-    space = room.copy()
-    space[donor] = 0
-    item_room = space[where]
-    found: tuple[int, int, tuple, tuple, int] = (0, 0, (), (), -1)
-
-    def better(gain: int, kind: int, given: tuple, taken: tuple, to: int) -> None:
-        nonlocal found
-        if gain > 0 and (gain, kind) > found[:2]:
-            found = (gain, kind, given, taken, to)
-
-    def swap(total: int, given: tuple, kind: int) -> None:
-        gain = total - size
-        gain[(gain > item_room) | (where == donor)] = 0
-        k = int(gain.argmax())
-        better(int(gain[k]), kind, given, (k,), int(where[k]))
-
-    for i in own:
-        fits = np.flatnonzero(space >= size[i])
-        if len(fits):
-            better(int(size[i]), 3, (i,), (), int(fits[space[fits].argmin()]))
-            break
-    distinct = list({int(size[i]): i for i in own}.values())[:24]
-    for p, i in enumerate(distinct):
-        swap(int(size[i]), (i,), 2)
-        for j in distinct[:p]:
-            swap(int(size[i] + size[j]), (i, j), 1)
-    if not found[0]:
-        # one piece for two of another bin
-        for to in np.flatnonzero(space > 0):
-            items = bins[to][:12]
-            for p, i in enumerate(items):
-                for j in items[:p]:
-                    both = int(size[i] + size[j])
-                    for x in distinct:
-                        gain = int(size[x]) - both
-                        if gain <= space[to]:
-                            better(gain, 0, (x,), (i, j), int(to))
-    return found[2:] if found[0] else None
+def choices(items: list[int], lengths: list[int]) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+    """An item of each length that a bin holds, and two items for each sum of two that it holds.
+
+    A bin's distinct lengths add up to its capacity at most, so there are few, however many items it has.
+    """
+    one: dict[int, int] = {}
+    two: dict[int, tuple[int, int]] = {}
+    for i in items:
+        n = lengths[i]
+        if n in one:
+            two.setdefault(2 * n, (one[n], i))
+        else:
+            for m, j in one.items():
+                two.setdefault(n + m, (j, i))
+            one[n] = i
+    return one, two
+
+
+def exchange(bins: list[list[int]], lengths: list[int], room: list[int], donor: int) -> tuple[list, list, int] | None:
+    """The exchange that moves most from the donor to a bin at least as full: (items given, items taken, bin they go to), or None.
+
+    Of equal gains a move is taken before a swap, a swap of two items before one of three, and the fullest bin first.
+    """
+    own, own_two = choices(bins[donor], lengths)
+    found: tuple[tuple, list, list, int] = ((0, 0, 0), [], [], -1)
+
+    def better(gain: int, kind: int, to: int) -> bool:
+        return 0 < gain <= room[to] and (gain, kind, -room[to]) > found[0]
+
+    receivers = [b for b in range(len(bins)) if b != donor and bins[b] and 0 < room[b] <= room[donor]]
+    for to in receivers:
+        for n, i in own.items():
+            if better(n, 3, to):
+                found = ((n, 3, -room[to]), [i], [], to)
+    if not receivers:
+        return None
+    sizes, pairs = sorted(own), sorted(own_two)
+    for to in receivers:
+        if found[0][0] >= room[to]:
+            continue
+        theirs, their_two = choices(bins[to], lengths)
+        for given, ordered, taken, kind in ((own, sizes, theirs, 2), (own_two, pairs, theirs, 1), (own, sizes, their_two, 0)):
+            for n, k in taken.items():
+                # the largest that the room allows in exchange for n
+                at = bisect_right(ordered, n + room[to]) - 1
+                if at >= 0 and better(ordered[at] - n, kind, to):
+                    i = given[ordered[at]]
+                    found = ((ordered[at] - n, kind, -room[to]), list(i) if isinstance(i, tuple) else [i], list(k) if isinstance(k, tuple) else [k], to)
+    return found[1:] if found[0][0] else None
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,9 +141,13 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int =
             shard = int(group["shard"].iloc[0])
             bins = search(sizes, length)
             totals = [sum(sizes[i] for i in b) for b in bins]
-            # all but the least filled bins are final: what those hold is packed again at the next level
-            poor = sorted(range(len(bins)), key=lambda b: totals[b])[: max(2, len(bins) // 64)]
-            poor = set() if last else {b for b in poor if totals[b] < 0.98 * length}
+            # all but the emptiest bins are final: what those hold is packed again at the next level
+            poor, held = set(), 0
+            for b in sorted(range(len(bins)), key=lambda b: (totals[b], b)):
+                held += len(bins[b])
+                if last or totals[b] == length or held > SHARD // FAN:
+                    break
+                poor.add(b)
             for b, items in enumerate(bins):
                 at = 0
                 for i in items:
