@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bin_search, decontaminate, ngram_join, quality, toxicity
-from quarry.llm.common import shared_folder, small_batches, table
+from quarry.llm.common import batches_of, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,6 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return ngram_join.keep_one_of_each(docs)
 
 
@@ -32,7 +31,6 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return bin_search.pack_documents(docs)
 
 
@@ -44,6 +42,9 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
+#: Whole texts that go to Python at once.
+BATCH_ROWS = 1000
+
 #: The classifiers' verdicts can't be said in SQL.
 ORACLE_SQL = None
 
@@ -53,6 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with batches_of(spark, BATCH_ROWS):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -4,30 +4,39 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Up to this many ids a side of a join is broadcast (16 bytes each); beyond, both sides are shuffled.
+BROADCAST_IDS = 500_000
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows that go to Python at once: whole texts are long, so fewer than Spark's default unless the session says otherwise."""
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most this many rows go to Python at once while the block runs; whole texts are long. The session's own setting comes back after it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "1000")
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder, for an operator on whole texts."""
-    small_batches(spark)
+    """A table of a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset, as in tests, a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset and there is but one machine, a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -42,8 +51,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``written`` made and nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    """Empty the folder of a table that ``written`` made and nothing reads any more, by writing no rows over it."""
+    folder = df.select(F.input_file_name()).first()
+    if folder:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder[0].rsplit("/", 1)[0])
+
+
+def sized_broadcast(ids: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if it is small enough; it must be a written one, of a few numbers a row."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str = "size") -> DataFrame:
+    """Inner join of rows with a written table of their groups: one row a key, with ``size``, how many rows it has at most.
+
+    A small table of groups is broadcast. Of a larger one only the groups are that hold more than a share 1 / BROADCAST_IDS of all
+    rows; there can be no more than BROADCAST_IDS of them, and no task gets more than such a share of one key by the shuffle.
+    """
+    n, total = groups.agg(F.count("*"), F.sum(size)).first()
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(groups), key)
+    large = groups.where(F.col(size) > total / BROADCAST_IDS)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.where(F.col(size) <= total / BROADCAST_IDS), key)
+    return rows.join(F.broadcast(large), key).unionByName(rest)

@@ -7,17 +7,19 @@
    frequent shingles get longer prefixes and must share more of them before they are verified.
    Places of a prefix from which two sets have too few shingles left to link are not joined.
 4. Large groups are not paired out. Classes with the same smallest hash are first verified against one pivot, the one with
-   fewest rare shingles. Those that link stand behind their pivot with their distance; prefixes are then joined by pivot.
-   Pairs of pivots are verified; where one doesn't link, the pivots aren't in one group by other links, and the triangle
-   inequality of the Jaccard distance allows a link between their members, the members' own prefixes are joined and what comes
-   of that is verified. No link that could join two groups is left out.
-5. Links become groups by alternating large-star and small-star steps over written edge tables.
+   fewest rare shingles. Those that link stand behind their pivot with their distance, a ball; prefixes are then joined by pivot,
+   places of a shingle that very many pivots have in blocks. Pairs of pivots are verified.
+5. Where two pivots don't link, aren't in one group by other links, and the triangle inequality of the Jaccard distance allows a
+   link between their balls, each ball's members are verified against the other's pivot. What links joins the groups. Of balls
+   that are still apart, the members near enough to the other pivot have their own prefixes joined, pair of balls by pair, where
+   the distances to both pivots allow a link; what comes of that is verified. No link that could join two groups is left out.
+6. Links become groups by alternating large-star and small-star steps over written edge tables.
 
 Shingles are 64-bit hashes of word hashes, classes 128-bit digests of their sets; verification intersects whole sets.
 
 Texts without words, and null texts, have an empty set and link with nothing, not even each other. A null id takes part in no
-link and has no component. Repeated rows have one class and each a row in the result. An id with several texts stands for each
-of them. An empty table gives an empty result. Only the id and text columns are read.
+link and has no component. Repeated rows have one class and each a row in the result. Rows that share an id but not their text
+are documents of their own, each in its text's group. An empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import LOWER, WHITE, mix, run_hashes, shingle_hashes, text_slices, words
-from .common import discard, written
+from .common import batches_of, discard, join_groups, sized_broadcast, written
 
 #: Counters of the frequency sketch, as a power of two, and the counters of one row of it.
 SKETCH_BITS, ROW_BITS = 20, 14
@@ -40,8 +42,10 @@ SKETCH_BITS, ROW_BITS = 20, 14
 MOST_SHARED = 6
 #: What verifying a candidate costs, in places read.
 VERIFY_COST = 8.0
-#: Up to this many ids a side of a join is broadcast (16 bytes each); beyond, both sides are shuffled.
-BROADCAST_IDS = 500_000
+#: Pivots with one shingle that are joined with each other in one block.
+BLOCK = 4096
+#: Tasks whose sketches are added up in one group.
+FAN = 1024
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
 
@@ -72,9 +76,15 @@ def digest(hashes: np.ndarray) -> bytes:
 
 
 def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Counts of all documents' shingles by the upper bits of their hash: a table of fixed size, summed row by row."""
+    """Counts of all documents' shingles by the upper bits of their hash: a table of fixed size, summed row by row.
+
+    The tasks' tables are added up FAN at a time first, so a group has FAN rows, or as many as there are such groups.
+    """
 
     def count(batches):
+        from pyspark import TaskContext
+
+        group = TaskContext.get().partitionId() // FAN
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             held, n = [], 0
@@ -88,15 +98,15 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
                 total += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         rows = total.reshape(-1, 1 << ROW_BITS)
         some = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([zlib.compress(rows[i].astype("<i8").tobytes(), 1) for i in some], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), group)), pa.array(some, pa.int64()), pa.array([zlib.compress(rows[i].astype("<i8").tobytes(), 1) for i in some], pa.binary())], names=["tasks", "part", "counts"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(c), "<i8") for c in group["counts"])
-        return pd.DataFrame({"part": group["part"].iloc[:1], "counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
+        return pd.DataFrame({"tasks": group["tasks"].iloc[:1], "part": group["part"].iloc[:1], "counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
-    schema = "part long, counts binary"
+    schema = "tasks long, part long, counts binary"
     out = np.zeros((1 << SKETCH_BITS - ROW_BITS, 1 << ROW_BITS), np.int64)
-    for row in docs.mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema).collect():
+    for row in docs.mapInArrow(count, schema).groupBy("tasks", "part").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).collect():
         out[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), "<i8")
     return out.ravel()
 
@@ -126,9 +136,8 @@ def prefix_of(hashes: np.ndarray, frequency: np.ndarray, noise: float, percent:
     return need, hashes[order[: short + need]]
 
 
-def _described(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _described(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
     """doc_id, class digest, set size, smallest hash by a second order, rare shingles, multiplicity and prefix of each row."""
-    sketch = frequency_sketch(docs, k)
     noise = float(np.median(sketch))
     held = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.int64))
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (("sig", T.BinaryType()), ("n", T.LongType()), ("key", T.LongType()), ("rare", T.LongType()), ("need", T.LongType()), ("prefix", T.ArrayType(T.LongType()))))])
@@ -155,11 +164,6 @@ def _described(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.mapInArrow(describe, schema)
 
 
-def sized_broadcast(ids: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if it is small enough; it must be a written one."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-
-
 def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node and the whole set of the classes named in ``nodes`` (a column node)."""
     wanted = written(classes.select("node", "doc_id", "sig").join(nodes.distinct(), "node"), "wanted")
@@ -181,7 +185,7 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> Data
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written pairs (a, b) with the sizes of their sets' intersection and union."""
+    """Written pairs (a, b, ...) with the sizes of their sets' intersection and union."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(sized_broadcast(pairs), "a")
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = left.join(right, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
@@ -206,96 +210,187 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def linked_groups(classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(vertex, component) of the ids of classes that link with another; every link used is verified, none that could join two groups is left out."""
+def _pivot_places(members: DataFrame, sketch: np.ndarray) -> tuple[DataFrame, DataFrame | None]:
+    """Places of the members' prefixes by shingle and pivot, and the shingles that more than BLOCK places have, with their blocks.
+
+    need and most: the least and the largest multiplicity of the pivot's members there; low and high: their set sizes; left: the
+    shingles of a set from the place on, at most.
+    """
+    places = members.select("pivot", "need", "n", F.posexplode("prefix").alias("place", "shingle"))
+    # one number beside shingle and pivot keeps what is shuffled small
+    packed = F.shiftleft("n", 32) + F.shiftleft(F.col("place").cast("long"), 4) + F.col("need")
+    places = places.select("shingle", "pivot", packed.alias("packed"))
+    hot = np.flatnonzero(sketch > BLOCK)
+    often = None
+    if len(hot):
+        # exact counts, of the few shingles that the sketch allows to be so frequent
+        buckets = F.broadcast(members.sparkSession.createDataFrame(pd.DataFrame({"bucket": hot.astype(np.int64)})))
+        often = places.join(buckets, F.shiftrightunsigned("shingle", 64 - SKETCH_BITS) == F.col("bucket"), "left_semi").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        often = written(often.select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "often")
+        often = None if often.isEmpty() else sized_broadcast(often)
+
+    def grouped(some: DataFrame) -> DataFrame:
+        some = some.select("shingle", "pivot", F.shiftright("packed", 32).alias("n"), F.shiftright("packed", 4).bitwiseAND(0xFFFFFFF).alias("place"), F.col("packed").bitwiseAND(15).alias("need"))
+        return some.groupBy("shingle", "pivot").agg(F.min("need").alias("need"), F.max("need").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"))
+
+    if often is None:
+        return grouped(places.repartition("shingle")), None
+    return grouped(places.join(often, "shingle", "left_anti").repartition("shingle")), grouped(places.join(often.select("shingle"), "shingle", "left_semi")).join(often, "shingle")
+
+
+def _candidates(members: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+    """Pairs of pivots (a < b) that share as many places as one of their members' multiplicities asks for."""
+    places, blocked = _pivot_places(members, sketch)
+    sides = ("need", "most", "low", "high", "left")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    fits = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    fits &= (F.least("left_a", "left_b") + F.least("most_a", "most_b") - 1) * (100 + percent) >= (F.col("low_a") + F.col("low_b")) * percent
+    one, two = (places.withColumnsRenamed({c: f"{c}_{side}" for c in sides} | {"pivot": side}) for side in "ab")
+    shared = one.join(two, "shingle").where(F.col("a") < F.col("b")).where(fits).select("a", "b", F.least("need_a", "need_b").alias("need"))
+    if blocked is not None:
+        # every pair of blocks, a block with itself once
+        own = F.pmod(F.xxhash64("pivot"), F.col("blocks")).cast("int")
+        first = blocked.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)))
+        second = blocked.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
+        one, two = (x.drop("blocks").withColumnsRenamed({c: f"{c}_{side}" for c in sides} | {"pivot": side}) for x, side in ((first, "a"), (second, "b")))
+        pairs = one.join(two, ["shingle", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))).where(fits)
+        shared = shared.unionByName(pairs.select(low.alias("a"), high.alias("b"), F.least("need_a", "need_b").alias("need")))
+    return shared.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
+
+
+def linked_groups(classes: DataFrame, docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
+    """(vertex, component) of the nodes of classes that link with another; every link used is verified, none that could join two groups is left out."""
     most = 1 - percent / 100 + 1e-9
     linked = F.col("shared") * 100 >= F.col("union") * percent
     distance = 1 - F.col("shared") / F.col("union")
 
     # stars: classes with the same smallest hash against the one among them with the fewest rare shingles
     stars = classes.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "doc_id", "node")).alias("pivot")).where("size > 1")
+    stars = written(stars.select("key", "size", F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b")), "heads")
     near = (F.col("n") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n") * percent)
-    pairs = classes.select("key", "n", F.col("node").alias("a")).join(stars.select("key", F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b")), "key").where("a <> b").where(near).select("a", "b")
+    pairs = join_groups(classes.select("key", "n", F.col("node").alias("a")), stars, "key").where("a <> b").where(near).select("a", "b")
     pairs = written(pairs, "stars")
     sets = _sets(docs, classes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), k)
     stood = written(_verified(pairs, sets).where(linked).select("a", "b", distance.alias("distance")), "stood")
 
     # prefixes by pivot
     members = classes.join(stood.select(F.col("a").alias("node"), "b", "distance"), "node", "left").select("node", F.coalesce("b", "node").alias("pivot"), F.coalesce("distance", F.lit(0.0)).alias("distance"), "n", "need", "prefix")
-    # left: shingles of the set from this place on; a link's first l common places have that many left in both sets, but for l - 1
-    places = members.select("pivot", "need", "n", F.posexplode("prefix").alias("place", "shingle"))
-    # one number beside shingle and pivot keeps what is shuffled small
-    packed = F.shiftleft("n", 32) + F.shiftleft(F.col("place").cast("long"), 4) + F.col("need")
-    places = places.select("shingle", "pivot", packed.alias("packed")).repartition("shingle").select("shingle", "pivot", F.shiftright("packed", 32).alias("n"), F.shiftright("packed", 4).bitwiseAND(0xFFFFFFF).alias("place"), F.col("packed").bitwiseAND(15).alias("need"))
-    places = places.groupBy("shingle", "pivot").agg(F.min("need").alias("need"), F.max("need").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"))
-    one, two = (places.withColumnsRenamed({c: f"{c}_{side}" for c in ("need", "most", "low", "high", "left")} | {"pivot": side}) for side in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
-    fits &= (F.least("left_a", "left_b") + F.least("most_a", "most_b") - 1) * (100 + percent) >= (F.col("low_a") + F.col("low_b")) * percent
-    candidates = one.join(two, "shingle").where(fits).groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.least("need_a", "need_b")).alias("need")).where("common >= need").select("a", "b")
-    candidates = written(candidates, "candidates")
+    candidates = written(_candidates(members, sketch, percent), "candidates")
     pivot_sets = _sets(docs, classes, candidates.select(F.col("a").alias("node")).union(candidates.select("b")), k)
     checked = written(_verified(candidates, pivot_sets).select("a", "b", linked.alias("linked"), distance.alias("distance")), "checked")
-
-    ids = classes.select("node", "doc_id")
-    named = lambda pairs: pairs.join(ids.withColumnsRenamed({"node": "a", "doc_id": "u"}), "a").join(ids.withColumnsRenamed({"node": "b", "doc_id": "v"}), "b").select("u", "v")
-    found = named(stood.select("a", "b").union(checked.where("linked").select("a", "b")))
-    if checked.where("not linked").isEmpty():
-        return components(found)
-    groups = components(found)
+    groups = components(stood.select(F.col("a").alias("u"), F.col("b").alias("v")).union(checked.where("linked").select("a", "b")))
 
     # pairs of balls whose pivots don't link and aren't in one group yet, opened where the triangle inequality allows a link
-    behind = stood.select(F.col("b").alias("pivot"), F.col("a").alias("node"), "distance")
-    balls = behind.groupBy("pivot").agg(F.max("distance").alias("radius"))
-    apart = checked.where("not linked").join(balls.withColumnsRenamed({"pivot": "a", "radius": "radius_a"}), "a", "left").join(balls.withColumnsRenamed({"pivot": "b", "radius": "radius_b"}), "b", "left")
+    balls = stood.groupBy("b").agg(F.max("distance").alias("radius"))
+
+    def still_apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        out = pairs
+        for side in "ab":
+            out = out.join(groups.withColumnsRenamed({"vertex": side, "component": f"group_{side}"}), side, "left")
+        return out.where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select(pairs.columns)
+
+    apart = checked.where("not linked").select("a", "b", "distance")
+    for side in "ab":
+        apart = apart.join(balls.withColumnsRenamed({"b": side, "radius": f"radius_{side}"}), side, "left")
     apart = apart.where("radius_a is not null or radius_b is not null").fillna(0.0, ["radius_a", "radius_b"]).where(F.col("distance") <= most + F.col("radius_a") + F.col("radius_b"))
-    group_of = ids.join(groups, ids["doc_id"] == groups["vertex"], "left").select("node", F.coalesce("component", "doc_id").alias("group"))
-    apart = apart.join(group_of.withColumnsRenamed({"node": "a", "group": "group_a"}), "a").join(group_of.withColumnsRenamed({"node": "b", "group": "group_b"}), "b").where("group_a <> group_b")
-    apart = written(apart.select("a", "b"), "apart")
+    apart = written(still_apart(apart, groups), "apart")
     if apart.isEmpty():
         return groups
-    # their members' own prefixes then say which of them may link
-    alone = written(apart.select(F.col("a").alias("pivot")).union(apart.select("b")).distinct(), "alone")
-    places = members.join(sized_broadcast(alone), "pivot").select("pivot", "node", F.col("need").cast("int").alias("need"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
-    one, two = (places.select("shingle", F.col("pivot").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("node", "need", "n")), (F.col("n") - F.col("place")).alias(f"left_{side}")) for side in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+
+    # members against the other ball's pivot: (ball, other) in both directions
+    both = apart.select(F.col("a").alias("ball"), F.col("b").alias("other"), "distance", F.col("radius_b").alias("reach")).union(apart.select("b", "a", "distance", "radius_a"))
+    behind = stood.select(F.col("b").alias("ball"), F.col("a").alias("node"), F.col("distance").alias("own"))
+    crossing = written(behind.join(both, "ball").where(F.col("own") + F.col("reach") + most >= F.col("distance")).select("ball", "other", "node", "own", "reach"), "crossing")
+    every = written(sets.union(pivot_sets).dropDuplicates(["node"]), "every")
+    measured = _verified(crossing.select(F.col("node").alias("a"), F.col("other").alias("b"), "ball", "own", "reach"), every)
+    measured = written(measured.select(F.col("a").alias("node"), F.col("b").alias("other"), "ball", "own", "reach", distance.alias("far"), linked.alias("linked")), "measured")
+    joins = measured.where("linked").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    if not joins.isEmpty():
+        groups = components(groups.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(joins))
+        apart = written(still_apart(apart, groups), "apart")
+        if apart.isEmpty():
+            return groups
+
+    # of what is still apart, members near enough to the other pivot, pair of balls by pair; pivots have been measured with all
+    edge = measured.where(F.col("far") <= most + F.col("reach")).select("ball", "other", "node", "own", "far")
+    prefixes = classes.select("node", F.col("need").cast("int").alias("need"), F.col("n").cast("int").alias("n"), "prefix")
+    wanted = written(edge.join(apart.select(F.col("a").alias("ball"), F.col("b").alias("other")).union(apart.select("b", "a")), ["ball", "other"], "left_semi"), "edge")
+    places = prefixes.join(wanted, "node").withColumns({"a": F.least("ball", "other"), "b": F.greatest("ball", "other")})
+    places = places.select("a", "b", "ball", "node", "own", "far", "need", "n", F.posexplode("prefix").alias("place", "shingle"))
+    one, two = (places.where(F.col("ball") == F.col(side)).select("a", "b", "shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "own", "far", "need", "n")), (F.col("n") - F.col("place")).alias(f"left_{side}")) for side in "ab")
+    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     fits &= (F.least("left_a", "left_b") + F.least("need_a", "need_b") - 1) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    opened = one.join(two, "shingle").where(fits).groupBy("a", "b", "node_a", "node_b").agg(F.count("*").alias("common"), F.min(F.least("need_a", "need_b")).alias("need")).where("common >= need")
-    opened = opened.join(apart.select("a", "b"), ["a", "b"], "left_semi")
-    opened = written(opened.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "opened")
+    fits &= (F.abs(F.col("own_a") - F.col("far_b")) <= most) & (F.abs(F.col("own_b") - F.col("far_a")) <= most)
+    opened = one.join(two, ["a", "b", "shingle"]).where(fits).groupBy("node_a", "node_b").agg(F.count("*").alias("common"), F.min(F.least("need_a", "need_b")).alias("need")).where("common >= need")
+    opened = written(opened.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "opened")
     if opened.isEmpty():
         return groups
-    inside = _verified(opened, sets.union(pivot_sets)).where(linked).select("a", "b")
-    return components(groups.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(named(inside)))
+    inside = _verified(opened, every).where(linked).select("a", "b")
+    return components(groups.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(inside))
 
 
-def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
-
-    Two documents link when 100 * shared >= percent * union over their sets of k-word shingles.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = written(_described(docs, k, percent), "described")
+def grouped_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row of docs (doc_id, text) with its class digest and set size, and the classes: sig, size, group and first, the group's smallest id."""
+    sketch = frequency_sketch(docs, k)
+    described = written(_described(docs, sketch, k, percent), "described")
     some = described.where("n > 0 and doc_id is not null")
     classes = some.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "key", "rare", "need", "prefix")).alias("c"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("node"), "sig", "copies", "c.*")
     classes = written(classes, "classes")
     rows = written(described.select("doc_id", "n", "sig"), "rows")
     discard(described)
-    groups = linked_groups(classes, docs, k, percent)
-    by_class = classes.select("sig", F.col("doc_id").alias("vertex")).join(groups, "vertex", "left").select("sig", F.coalesce("component", "vertex").alias("component"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(by_class, "sig", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    groups = linked_groups(classes, docs, sketch, k, percent)
+    named = written(groups.join(classes.select(F.col("node").alias("vertex"), "sig", "copies", "doc_id"), "vertex"), "named")
+    firsts = written(named.groupBy("component").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "firsts")
+    named = join_groups(named, firsts, "component").select("sig", F.col("copies").alias("size"), F.col("component").alias("group"), "first")
+    alone = classes.join(groups.select(F.col("vertex").alias("node")), "node", "left_anti").select("sig", F.col("copies").alias("size"), F.col("node").alias("group"), F.col("doc_id").alias("first"))
+    return rows, written(named.unionByName(alone), "by-class")
+
+
+def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, batch_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
 
+    Two documents link when 100 * shared >= percent * union over their sets of k-word shingles. ``batch_rows``: whole texts that go
+    to Python at once.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with batches_of(docs.sparkSession, batch_rows):
+        rows, by_class = grouped_rows(docs, k, percent)
+    counted = F.col("n").alias("n_shingles")
+    found = join_groups(rows.where("n > 0 and doc_id is not null"), by_class, "sig").select("doc_id", counted, F.col("first").alias("component_id"))
+    return found.unionByName(rows.where("n = 0 or doc_id is null").select("doc_id", counted, F.col("doc_id").alias("component_id")))
 
-def keep_one_of_each(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """The documents, with all their columns, that are the first of their group; one row of each id that repeats.
 
-    Rows without an id take no part and stay.
+def keep_one_of_each(docs: DataFrame, k: int = 4, percent: int = 85, batch_rows: int = 1000) -> DataFrame:
+    """The documents, with all their columns, that are the first of their group: one row of the smallest id.
+
+    Rows without an id or without words link with nothing and stay. Rows that share an id but not their group stay as well, one
+    of each group whose smallest id it is.
     """
-    found = written(link_documents(docs, k, percent), "linked")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(sized_broadcast(written(gone, "gone")), "doc_id", "left_anti").select(docs.columns)
-    again = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    with batches_of(docs.sparkSession, batch_rows):
+        rows, by_class = grouped_rows(docs.select("doc_id", F.col("text").cast("string").alias("text")), k, percent)
+        found = written(join_groups(rows.where("n > 0 and doc_id is not null"), by_class, "sig").select("doc_id", "sig", "group", "first"), "grouped")
+    again = sized_broadcast(written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again"))
     if again.isEmpty():
-        return left
-    again = sized_broadcast(again)
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return _without(docs, found.where("doc_id <> first").select("doc_id"))
+    # rows of repeated ids are told apart by their texts, all others by their ids
+    gone = found.join(again, "doc_id", "left_anti").where("doc_id <> first").select("doc_id")
+    left = _without(docs, gone.unionByName(again))
+    schema = T.StructType([T.StructField("rest", T.StructType(docs.schema.fields)), T.StructField("sig", T.BinaryType())])
+
+    def signed(batches):
+        for batch in batches:
+            sig = [digest(hashes) if len(hashes) else None for _, hashes in sets_of(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], names=["rest", "sig"])
+
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    repeated = docs.join(again, "doc_id", "left_semi").select(rest, F.col("text").cast("string").alias("text")).mapInArrow(signed, schema)
+    own = found.join(again, "doc_id", "left_semi").where("doc_id = first").select("sig", "group", "first").distinct()
+    firsts = repeated.join(own, "sig").where(F.col("rest.doc_id") == F.col("first")).groupBy("group").agg(F.min_by("rest", "sig").alias("rest"))
+    return left.unionByName(firsts.select("rest.*")).unionByName(repeated.where("sig is null").select("rest.*"))
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id isn't among those; all without an id, which no shuffle sees."""
+    ids = sized_broadcast(written(ids.distinct(), "gone"))
+    left = docs.where("doc_id is not null").join(ids, "doc_id", "left_anti").select(docs.columns)
+    return left.unionByName(docs.where("doc_id is null"))

@@ -196,11 +196,45 @@ def test_decontamination_blocks_and_spans(spark):
     docs = spark.createDataFrame([(1, "A b c d e f g h i j k"), (2, "nothing here"), (3, None), (4, "x short-item y")], "doc_id long, text string")
     bench = spark.createDataFrame([(10, "b c d e f g h i j k l"), (2, "Short item"), (5, ""), (6, None)], "item_id long, text string")
     one = sorted(map(tuple, decontaminate.scan_documents(docs, bench).collect()))
-    many = sorted(map(tuple, decontaminate.scan_documents(docs, bench, block_chars=5).collect()))
+    many = sorted(map(tuple, decontaminate.scan_documents(docs, bench, block_windows=1).collect()))
     assert one == many and [(r[0], r[2], r[3], r[5]) for r in one] == [(1, 10, 1, True), (2, 0, 0, False), (3, 0, 0, False), (4, 2, 1, True)]
-    assert {r["doc_id"]: r["text"] for r in decontaminate.remove_contamination(docs, bench, mode="span").collect()} == {1: "A ", 2: "nothing here", 3: None, 4: "x  y"}
-    assert sorted(r["doc_id"] for r in decontaminate.remove_contamination(docs, bench).collect()) == [2, 3]
+    for size in (1, 1000):
+        assert {r["doc_id"]: r["text"] for r in decontaminate.remove_contamination(docs, bench, mode="span", block_windows=size).collect()} == {1: "A ", 2: "nothing here", 3: None, 4: "x  y"}
+        assert sorted(r["doc_id"] for r in decontaminate.remove_contamination(docs, bench, block_windows=size).collect()) == [2, 3]
     assert decontaminate.scan_documents(docs, bench.limit(0)).where("contaminated").count() == 0
+    named = bench.selectExpr("concat('item-', item_id) AS item_id", "text")
+    assert {r["doc_id"]: r["n_items"] for r in decontaminate.scan_documents(docs, named).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
+
+
+@pytest.mark.parametrize("block", [40, 10_000])
+def test_decontamination_equals_brute_force(spark, monkeypatch, block):
+    """Over ten blocks and long items in parts, or one block; repeated rows and items, ties, a very long text."""
+    monkeypatch.setattr(decontaminate, "PART", 7)
+    rng = random.Random(9)
+    some = lambda n: " ".join(rng.choice(["Foo", "bar", "baz", "été", "x1"]) for _ in range(n))
+    items = [(k, some(rng.choice([0, 1, 3, 9, 10, 11, 40]))) for k in range(40)] + [(3, "Foo bar baz"), (3, "Foo bar baz"), (77, "Foo bar baz")]
+    texts = [some(rng.randint(0, 30)) + "; -" + items[rng.randrange(40)][1].upper().replace("ÉTÉ", "été") + some(3) for _ in range(60)] + [some(30_000), None, ""]
+    rows = [(k % 61, t) for k, t in enumerate(texts)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    windows = set()
+    for item, text in items:
+        w = words_of(text, pattern)
+        n = min(10, len(w))
+        windows |= {(item, tuple(w[i : i + n])) for i in range(len(w) - n + 1) if n}
+    by_window = {}
+    for item, w in windows:
+        by_window.setdefault(w, set()).add(item)
+    want = []
+    for doc, text in rows:
+        w, hit, found = words_of(text, pattern), set(), set()
+        for n in {len(x) for x in by_window}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in by_window:
+                    hit.update(range(i, i + n))
+                    found |= by_window[tuple(w[i : i + n])]
+        want.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
+    assert sorted(map(tuple, decontaminate.scan_documents(docs, bench, block_windows=block).collect())) == sorted(want)
 
 
 def brute_components(rows):
