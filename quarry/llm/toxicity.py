@@ -3,25 +3,31 @@
 Kernel of two words: over all subsequences of three letters, the product of their weights in both, where an occurrence that
 spans s letters weighs DECAY ** s (up to SPAN letters), scaled by the weight that a word of that length can hold. Inserted
 letters, gaps and doubled letters so cost a part of the similarity only; punctuation and digits inside a word are skipped,
-case is folded, and runs of single letters are read as one word.
+case, width and ornament of letters are folded, and runs of single letters are read as one word. A word over LONGEST letters
+stands for its overlapping windows of LONGEST letters, in training and in scoring alike.
 
-Training sees labelled texts as bags of words: words of texts that aren't toxic are negative; in a toxic text the words that
-tell it from the others best are its witnesses, with variants that have a letter inserted or doubled. Landmarks are drawn from
-both; the words' Nystroem features go into a linear SVM, which then picks the hardest negatives and the witnesses anew. The
-landmarks' expansion is one weight for each subsequence, so scoring a word is a sum over its subsequences, equal to the
-kernel expansion. A text scores by its most toxic word, through a logistic curve fitted on the training texts.
+Training sees labelled texts as bags of words. Words that stand in toxic texts more often than chance would have it are
+positive, and so, from the second turn on, is the most toxic word of a toxic text that has none of them; each comes with
+variants that have letters inserted or doubled. Words of texts that aren't toxic are negative. Landmarks are drawn from both;
+the words' Nystroem features go into a linear SVM, which then picks the hardest negatives for the next turn. The landmarks'
+expansion is one weight for each subsequence, so scoring a word is a sum over its subsequences, equal to the kernel expansion.
+A text scores by its MARGINS most toxic places, through a logistic regression fitted on the training texts, so one word that
+merely looks like an insult weighs less than several.
 
-Bounds: the sample of training texts has at most ``train_docs`` rows of each label, taken by a hash of their id, and at most
-``TRAIN_UNITS`` distinct words a text. All texts are scored whole.
+Bounds of the training, all parameters: ``train_docs`` texts of each label, taken by a hash of their id, one row an id;
+``negatives`` negative words to begin with; ``landmarks``. Training texts and all others are read whole.
 
 Null and empty texts score as texts without a word. Without labelled rows of both kinds every score is 0. Rows with no label
-or no id take no part in training; a null id is not held out. Repeated rows each give a row. Columns other than id and text,
-also of the label table but for its id and ``toxic``, are never read.
+or no id take no part in training; a null id is not held out. Repeated rows each give a row. Words of one or two letters are
+below the kernel's subsequences and not seen. Columns other than id and text, also of the label table but for its id and
+``toxic``, are never read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,23 +41,24 @@ from .arrays import ragged, run_hashes, text_slices, words
 
 DECAY, SPAN, LONGEST, LETTERS = 0.7, 7, 24, 64
 WHITE = 255
-TRAIN_UNITS = 4000
-#: Log-likelihood gain from which a word can be a toxic text's witness.
+#: Log-likelihood gain from which a word counts as toxic by its texts' labels alone.
 EVIDENCE = 11.0
+#: Most toxic places of a text that its score depends on, and the least and largest margin told apart there.
+MARGINS, LOW, HIGH = 2, 0.0, 6.0
 REMEMBERED = 600_000
 _WHITE_TABLE = np.arange(256) == WHITE
 
 
 @lru_cache(1)
 def letter_table() -> np.ndarray:
-    """Letter number of each code point up to U+FFFF: a to z 1 to 26, other letters 27 to 63, white space 255."""
-    table = np.zeros(0x10000, np.uint8)
-    for c in range(0x10000):
+    """Letter number of each code point up to U+1FFFF: a to z 1 to 26, other letters 27 to 63, white space 255."""
+    table = np.zeros(0x20000, np.uint8)
+    for c in range(0x20000):
         x = chr(c)
         if x.isspace():
             table[c] = WHITE
         elif x.isalpha():
-            plain = x.lower()[0]
+            plain = (unicodedata.normalize("NFKC", x).lower() or x)[0]
             table[c] = ord(plain) - 96 if "a" <= plain <= "z" else 27 + zlib.crc32(plain.encode()) % (LETTERS - 27)
     return table
 
@@ -67,11 +74,16 @@ def letters_of(data: np.ndarray) -> np.ndarray:
     three = np.flatnonzero((data >= 0xE0) & (data < 0xF0))
     if len(three):
         out[three] = table[(data[three].astype(np.uint32) & 0x0F) << 12 | (data[three + 1].astype(np.uint32) & 0x3F) << 6 | (data[three + 2] & 0x3F)]
+    four = np.flatnonzero(data >= 0xF0)
+    if len(four):
+        point = (data[four].astype(np.uint32) & 0x07) << 18 | (data[four + 1].astype(np.uint32) & 0x3F) << 12 | (data[four + 2].astype(np.uint32) & 0x3F) << 6 | (data[four + 3] & 0x3F)
+        # beyond the table: ideographs
+        out[four] = np.where(point < len(table), table[np.minimum(point, len(table) - 1)], 27 + point % (LETTERS - 27))
     return out
 
 
 def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters of all texts, and start, length and text of each word of three letters or more."""
+    """Letters of all texts, and start, length and text of each word of three letters or more; of long ones, of their windows."""
     codes = letters_of(data)
     starts, ends, texts = words(codes, offsets, _WHITE_TABLE)
     at = np.flatnonzero((codes > 0) & (codes < WHITE))
@@ -86,8 +98,16 @@ def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         head = np.flatnonzero(new)
         length = np.add.reduceat(length, head)
         first, texts = first[head], texts[head]
-    long = length >= 3
-    return flat, first[long], length[long], texts[long]
+    some = length >= 3
+    first, length, texts = first[some], length[some], texts[some]
+    if len(length) and length.max() > LONGEST:
+        n = np.where(length > LONGEST, -(-(length - LONGEST) // (LONGEST // 2)) + 1, 1)
+        owner = np.repeat(np.arange(len(first)), n)
+        step = ragged(np.zeros(len(n), np.int64), n)
+        # the last window ends with the word
+        step = np.minimum(step * (LONGEST // 2), np.maximum(length[owner] - LONGEST, 0))
+        first, length, texts = first[owner] + step, np.minimum(length[owner], LONGEST), texts[owner]
+    return flat, first, length, texts
 
 
 @lru_cache(64)
@@ -99,30 +119,22 @@ def places(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return i, j, k, (weight / np.sqrt((weight**2).sum())).astype(np.float32)
 
 
-def in_windows(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words over LONGEST letters as overlapping windows: owner, start and length of each."""
-    n = np.where(length > LONGEST, -(-(length - LONGEST) // (LONGEST // 2)) + 1, 1)
-    owner = np.repeat(np.arange(len(first)), n)
-    step = ragged(np.zeros(len(n), np.int64), n) * (LONGEST // 2)
-    return owner, first[owner] + step, np.minimum(length[owner] - step, LONGEST)
+def by_size(length: np.ndarray, rows: int):
+    """Words of one size at a time, a number of rows at once: (size, rows)."""
+    for size in np.unique(length):
+        some = np.flatnonzero(length == size)
+        for a in range(0, len(some), rows):
+            yield int(size), some[a : a + rows]
 
 
 def expand(flat: np.ndarray, first: np.ndarray, length: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The sum of ``weights`` over the subsequences of each word, by the kernel's own weights; the largest of its windows."""
-    owner, at, n = in_windows(first, length)
-    out = np.zeros(len(at), np.float32)
-    for size in np.unique(n):
-        rows = np.flatnonzero(n == size)
-        if size < 3:
-            continue
-        i, j, k, w = places(int(size))
-        for a in range(0, len(rows), 2048):
-            some = rows[a : a + 2048]
-            word = flat[at[some][:, None] + np.arange(size)].astype(np.int32)
-            out[some] = weights[(word[:, i] * LETTERS + word[:, j]) * LETTERS + word[:, k]] @ w
-    best = np.full(len(first), -np.inf, np.float32)
-    np.maximum.at(best, owner, out)
-    return best
+    """The sum of ``weights`` over the subsequences of each word, by the kernel's own weights."""
+    out = np.zeros(len(first), np.float32)
+    for size, some in by_size(length, 2048):
+        i, j, k, w = places(size)
+        word = flat[first[some][:, None] + np.arange(size)].astype(np.int32)
+        out[some] = weights[(word[:, i] * LETTERS + word[:, j]) * LETTERS + word[:, k]] @ w
+    return out
 
 
 def landmark_features(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,11 +152,23 @@ def landmark_features(marks: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     weights: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -60, 60)))
+    def score(self, margins: np.ndarray) -> np.ndarray:
+        """Scores of texts; margins: a row of MARGINS each."""
+        return 1 / (1 + np.exp(-np.clip(margins @ self.slopes + self.shift, -60, 60)))
+
+
+def largest(values: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
+    """The MARGINS largest values of each of n texts, LOW where there are fewer, clipped."""
+    out = np.full((n, MARGINS), LOW)
+    order = np.lexsort((-values, texts))
+    texts = texts[order]
+    place = np.arange(len(texts)) - np.searchsorted(texts, texts)
+    some = place < MARGINS
+    out[texts[some], place[some]] = np.clip(values[order[some]], LOW, HIGH)
+    return out
 
 
 def as_runs(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,121 +212,106 @@ def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 3000
 
 
 def features(runs: tuple[np.ndarray, np.ndarray, np.ndarray], used: np.ndarray, project: np.ndarray) -> np.ndarray:
-    """The projections of each word's feature vector, summed over the windows of long words; project: a row each, over ``used``."""
+    """The projections of each word's feature vector; project: a row each, over ``used``."""
     flat, first, length = runs
-    owner, at, n = in_windows(first, length)
     columns = np.vstack([np.zeros((1, len(project))), project.T]).astype(np.float32)
     place = np.zeros(LETTERS**3, np.int32)
     place[used] = np.arange(1, len(used) + 1)
     out = np.zeros((len(first), len(project)))
-    for size in np.unique(n):
-        rows = np.flatnonzero(n == size)
-        i, j, k, w = places(int(size))
-        for a in range(0, len(rows), 32):
-            some = rows[a : a + 32]
-            word = flat[at[some][:, None] + np.arange(size)].astype(np.int32)
-            np.add.at(out, owner[some], np.einsum("btm,t->bm", columns[place[(word[:, i] * LETTERS + word[:, j]) * LETTERS + word[:, k]]], w))
+    for size, some in by_size(length, 32):
+        i, j, k, w = places(size)
+        word = flat[first[some][:, None] + np.arange(size)].astype(np.int32)
+        out[some] = np.einsum("btm,t->bm", columns[place[(word[:, i] * LETTERS + word[:, j]) * LETTERS + word[:, k]]], w)
     return out
 
 
 def train(bags: list[tuple[int, list[str]]], landmarks: int = 256, negatives: int = 4000, turns: int = 8, seed: int = 7) -> Model | None:
-    """Fit on (toxic, distinct words) of labelled texts; words are strings of letter numbers."""
-    counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    totals = {0: 0, 1: 0}
-    for label, units in bags:
-        totals[label] += 1
-        for u in units:
-            counts[label][u] = counts[label].get(u, 0) + 1
-    if not totals[0] or not totals[1]:
+    """Fit on (toxic, words) of labelled texts; words are strings of letter numbers, repeated up to MARGINS times each."""
+    label = np.array([x for x, _ in bags], float)
+    totals = (label == 0).sum(), (label == 1).sum()
+    if not all(totals):
         return None
-    rng = np.random.default_rng(seed)
-    odds = {u: np.log((k + 0.5) / (totals[1] + 1)) - np.log((counts[0].get(u, 0) + 0.5) / (totals[0] + 1)) for u, k in counts[1].items()}
-
-    prior = totals[1] / (totals[0] + totals[1])
-
-    def telling(u: str) -> bool:
-        """Whether a word stands in toxic texts more often than chance would have it among so many words."""
-        k, n = counts[1][u], counts[1][u] + counts[0].get(u, 0)
-        p = k / n
-        gain = p * np.log(p / prior) + (1 - p) * np.log((1 - p + 1e-12) / (1 - prior))
-        return p > prior and n * gain > EVIDENCE and len(u) <= LONGEST
-
-    told = {u for u in counts[1] if telling(u)}
-
-    def witnesses(value) -> dict[str, int]:
-        found: dict[str, int] = {}
-        for label, units in bags:
-            if label:
-                for u in sorted((u for u in units if u in told), key=lambda u: (-value(u), u))[:4]:
-                    found[u] = found.get(u, 0) + 1
-        return found
-
-    positive = witnesses(lambda u: odds[u])
-    if not positive:
-        positive = {max(odds, key=lambda u: (odds[u], u)): 1} if odds else {}
-    if not positive:
+    names = sorted({u for _, units in bags for u in units})
+    number = {u: i for i, u in enumerate(names)}
+    owner = np.repeat(np.arange(len(bags)), [len(units) for _, units in bags])
+    held = np.fromiter((number[u] for _, units in bags for u in units), np.int64, len(owner))
+    pairs = np.unique(owner * max(1, len(names)) + held)
+    counts = [np.bincount(pairs[label[pairs // max(1, len(names))] == t] % max(1, len(names)), minlength=len(names)) for t in (0, 1)]
+    if not counts[1].any():
         return None
-    all_negative = sorted(counts[0])
-    all_runs = as_runs(all_negative)
-    picked = set(rng.permutation(len(all_negative))[:negatives].tolist())
-    weights, bias = np.zeros(LETTERS**3, np.float32), 0.0
+    rng = np.random.default_rng(seed)
+    runs = as_runs(names)
+
+    # words that stand in toxic texts more often than chance would have it among so many words
+    n, prior = counts[0] + counts[1], totals[1] / len(bags)
+    p = counts[1] / n
+    gain = n * (p * np.log(np.maximum(p, 1e-12) / prior) + (1 - p) * np.log(np.maximum(1 - p, 1e-12) / (1 - prior)))
+    told = (p > np.maximum(prior, 0.5)) & (gain > EVIDENCE)
+    if not told.any():
+        odds = np.log((counts[1] + 0.5) / (totals[1] + 1)) - np.log((counts[0] + 0.5) / (totals[0] + 1))
+        told[odds.argmax()] = True
+    positive = {int(i): int(counts[1][i]) for i in np.flatnonzero(told)}
+    unsaid = np.setdiff1d(np.flatnonzero(label), owner[told[held]])
+    clean = np.flatnonzero(counts[0])
+    picked = set(rng.permutation(clean)[:negatives].tolist())
+    often = counts[0] ** 0.5
     hard: dict[int, None] = {}
-    least, model, label = np.inf, None, np.array([x for x, _ in bags], float)
-    often = np.array([counts[0][u] for u in all_negative]) ** 0.5
+    least, model = np.inf, None
     for turn in range(turns):
-        pos = sorted(positive, key=lambda u: (-positive[u], u))[:800]
-        neg = [all_negative[i] for i in sorted(picked)]
-        marks = pos[: landmarks * 2 // 5] + [all_negative[i] for i in hard if len(all_negative[i]) <= LONGEST][: landmarks - landmarks * 2 // 5]
-        used, phi = landmark_features(marks)
+        pos = sorted(positive, key=lambda i: (-positive[i], names[i]))
+        neg = sorted(picked - set(pos))
+        marks = pos[: landmarks * 2 // 5]
+        marks += list(hard)[: landmarks - len(marks)]
+        used, phi = landmark_features([names[i] for i in marks])
         values, vectors = np.linalg.eigh(phi @ phi.T)
         good = values > 1e-6 * values.max()
         project = (vectors[:, good] / np.sqrt(values[good])).T @ phi
-        bent = variants(pos[:250], seed + turn)
-        units = [*pos, *bent, *neg]
-        runs = as_runs(units)
-        x = features(runs, used, project)
+        bent = variants([names[i] for i in pos], seed + turn)
+        x = features(as_runs([*(names[i] for i in pos), *bent, *(names[i] for i in neg)]), used, project)
         y = np.array([1.0] * (len(pos) + len(bent)) + [-1.0] * len(neg))
-        # witnesses count by how many texts they tell apart
-        weight = np.array([positive[u] for u in pos] + [8.0] * len(bent) + [counts[0][u] ** 0.5 for u in neg])
+        # positive words count by how many texts they tell apart, variants like their words
+        weight = np.array([positive[i] for i in pos] + [positive[i] / 3 for i in pos for _ in range(3)] + [often[i] for i in neg], float)
         weight[y > 0] *= 0.5 / weight[y > 0].sum()
         weight[y < 0] *= 0.5 / max(1, weight[y < 0].sum())
         w, bias = linear_svm(x, y, weight)
         weights = np.zeros(LETTERS**3, np.float32)
         weights[used] = w @ project
-        margin = expand(*all_runs, weights)
-        wrong = np.maximum(0, 0.5 + margin + bias) ** 2 * often
-        order = np.argsort(-wrong, kind="stable")
+        margin = expand(*runs, weights) + bias
+        order = clean[np.argsort(-np.where(told, 0, np.maximum(0, 0.5 + margin) ** 2 * often)[clean], kind="stable")]
         picked |= set(order[:600].tolist())
         hard |= dict.fromkeys(order[: landmarks * 3 // (5 * turns - 5)].tolist())
-        cache: dict[str, float] = {}
-        todo = sorted(counts[1])
-        cache.update(zip(todo, expand(*as_runs(todo), weights).tolist(), strict=True))
-        positive = witnesses(lambda u: cache[u]) or positive
+        positive = {int(i): int(counts[1][i]) for i in np.flatnonzero(told)}
+        for b in unsaid:
+            own = held[owner == b]
+            if len(own) and margin[own].max() > 0:
+                best = int(own[margin[own].argmax()])
+                positive[best] = positive.get(best, 0) + 1
         # the turn whose texts are told apart best counts
-        cache.update(zip(all_negative, margin.tolist(), strict=True))
-        best = np.array([max(map(cache.__getitem__, units), default=-1.0) for _, units in bags]) + bias
-        slope, shift = logistic(best, label)
-        p = np.clip(1 / (1 + np.exp(-(slope * best + shift))), 1e-6, 1 - 1e-6)
-        loss = -(np.log(p[label > 0]).mean() + np.log(1 - p[label == 0]).mean())
+        seen = largest(margin[held], owner, len(bags))
+        slopes, shift = logistic(seen, label)
+        own = Model(weights, bias, slopes, shift)
+        p = np.clip(own.score(seen), 1e-6, 1 - 1e-6)
+        loss = -(label * np.log(p) + (1 - label) * np.log(1 - p)).mean()
         if loss < least:
-            least, model = loss, Model(weights, bias, slope, shift)
+            least, model = loss, own
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a little weight decay; both labels count alike."""
-    w = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    theta, design = np.zeros(2), np.stack([x, np.ones_like(x)], axis=1)
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a logistic regression, by Newton steps with a little weight decay; both labels count alike."""
+    w = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    design = np.hstack([x, np.ones((len(x), 1))])
+    theta = np.zeros(design.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        grad = design.T @ (w * (p - y)) + 1e-4 * theta
-        hess = design.T @ (design * (w * p * (1 - p))[:, None]) + 1e-4 * np.eye(2)
+        grad = design.T @ (w * (p - y)) + 1e-3 * theta
+        hess = design.T @ (design * (w * p * (1 - p))[:, None]) + 1e-3 * np.eye(len(theta))
         theta = theta - np.linalg.solve(hess, grad)
-    return float(theta[0]), float(theta[1])
+    return theta[:-1], float(theta[-1])
 
 
 class Scorer:
-    """Margins of texts; remembers the words that a worker has scored."""
+    """The largest margins of texts; remembers the words that a worker has scored."""
 
     def __init__(self, model: Model | None):
         self.model = model
@@ -311,9 +320,8 @@ class Scorer:
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         flat, first, length, texts = letter_words(data, offsets)
-        out = np.full(n, -1.0, np.float32)
         if not len(first):
-            return out + self.model.bias
+            return np.full((n, MARGINS), LOW)
         distinct, where, inverse = np.unique(run_hashes(flat, first, length), return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > REMEMBERED:
             self.known, self.value = np.zeros(0, np.uint64), np.zeros(0, np.float32)
@@ -326,8 +334,7 @@ class Scorer:
             value = expand(flat, first[pick], length[pick], self.model.weights)
             self.known, self.value = np.insert(self.known, at[new], distinct[new]), np.insert(self.value, at[new], value)
             at = np.searchsorted(self.known, distinct)
-        np.maximum.at(out, texts, self.value[at][inverse])
-        return out + self.model.bias
+        return largest(self.value[at][inverse] + self.model.bias, texts, n)
 
 
 def _held_out(column: str) -> F.Column:
@@ -341,23 +348,24 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 2000, id_col: str
     labels = labels.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     few = [labels.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs) for t in (0, 1)]
     few = few[0].unionByName(few[1])
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "doc_id").select("toxic", "text")
+    # one row an id, so that the sample is as small as it says
+    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
     def bags(batches):
         for batch in batches:
-            units = []
+            out = []
             for first_row, last_row, data, offsets in text_slices(batch.column(1)):
                 flat, first, length, texts = letter_words(data, offsets)
-                letters = flat.tobytes().decode("latin-1")
-                found = [dict() for _ in range(last_row - first_row)]
+                letters = flat.tobytes()
+                found = [Counter() for _ in range(last_row - first_row)]
                 for s, n, t in zip(first.tolist(), length.tolist(), texts.tolist(), strict=True):
-                    if len(found[t]) < TRAIN_UNITS:
-                        found[t][letters[s : s + n]] = None
-                units += [list(f) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.list_(pa.string()))], names=["toxic", "units"])
+                    found[t][letters[s : s + n]] += 1
+                # no letter has the number 0
+                out += [b"\0".join(u for u, n in f.items() for _ in range(min(n, MARGINS))) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["toxic", "units"])
 
-    rows = sample.mapInArrow(bags, "toxic int, units array<string>").collect()
-    return train(sorted((r["toxic"], r["units"]) for r in rows))
+    rows = sample.mapInArrow(bags, "toxic int, units binary").collect()
+    return train(sorted((r["toxic"], bytes(r["units"]).decode("latin-1").split("\0") if r["units"] else []) for r in rows))
 
 
 def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
