@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -104,32 +105,53 @@ SELECT conv_id, n::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss
 """
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
 
 def _plain_text_sql(c: str) -> str:
+    """Plain text of a page; names of characters come from the standard table, in a row ``m`` of names and texts."""
+    reference = "&(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
     c = f"regexp_replace({c}, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g')"
     c = f"regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g')"
-    c = f"regexp_replace({c}, '(?i)</?({warc.BLOCKS})(\\s[^>]*)?/?>', chr(10), 'g')"
+    c = f"regexp_replace({c}, '(?i)</?(p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav|aside|main|title|head|body|html)(\\s[^>]*)?/?>', chr(10), 'g')"
     c = f"regexp_replace({c}, '(?s)<[^>]*>', '', 'g')"
-    for reference, character in warc.ENTITIES:
-        c = f"replace({c}, '{reference}', '{character.replace(chr(39), chr(39) * 2)}')"
-    return f"regexp_replace(regexp_replace(regexp_replace({c}, '[ \\t\\r\\f]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    number = "(CASE WHEN lower(x[2]) = 'x' THEN ('0x' || x[3:])::BIGINT ELSE x[2:]::BIGINT END)"
+    plain = f"CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr({number}::INT) ELSE chr(65533) END"
+    one = f"CASE WHEN x[1] = '#' THEN coalesce(CASE WHEN {number} BETWEEN 128 AND 159 THEN m['#' || {number}] END, {plain}) ELSE coalesce(m[x], '&' || x || ';') END"
+    c = f"(SELECT array_to_string(list_transform(list_zip(string_split_regex(c, '{reference}'), list_append(list_transform(regexp_extract_all(c, '{reference}', 1), lambda x: {one}), '')), lambda z: z[1] || z[2]), '') FROM (SELECT {c} AS c))"
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '[ \\t\\r\\f\\x{{A0}}]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 
 
 def _record_id_sql(*parts: str) -> str:
     h = f"sha256(concat_ws(chr(10), {', '.join(parts)}))"
-    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+    return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-8' || substr({h}, 14, 3) || '-' || translate(substr({h}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
+
+
+def _characters_sql() -> str:
+    held = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+    held |= {f"#{b}": bytes([b]).decode("cp1252") for b in range(128, 160) if bytes([b]).decode("cp1252", "ignore")}
+    return "MAP {" + ", ".join(f"{_quoted(n)}: {_quoted(x)}" for n, x in held.items()) + "}"
+
 
+_URL = "coalesce(url, '')"
+for _x, _y in ((" ", "%20"), ("chr(9)", "%09"), ("chr(13)", "%0D"), ("chr(10)", "%0A")):
+    _URL = f"replace({_URL}, {_x if _x.startswith('chr') else _quoted(_x)}, '{_y}')"
+_URL = f"regexp_replace({_URL}, '[\\x00-\\x1F\\x7F]', '', 'g')"
+_SPACE = "[\\t\\n\\x0B\\f\\r ]+"
 
 OP5_SQL = f"""
-WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest, {_plain_text_sql("coalesce(html, '')")} AS text FROM pages),
-q AS (SELECT *, {_record_id_sql("'response'", "coalesce(page_id::VARCHAR, '')", "url", "payload_digest")} AS response FROM p),
-r AS (SELECT page_id, url, payload_digest, response, 'response' AS warc_type, 'text/html' AS content_type, html AS block FROM q
-  UNION ALL SELECT page_id, url, payload_digest, response, 'conversion', 'text/plain', text FROM q
-  UNION ALL SELECT page_id, url, payload_digest, response, 'metadata', 'application/warc-fields', 'via: ' || url || chr(13) || chr(10) || 'host: ' || regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1) || chr(13) || chr(10)
-    || 'title: ' || regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g') || chr(13) || chr(10) || 'source-length: ' || strlen(html) || chr(13) || chr(10) || 'text-length: ' || strlen(text) || chr(13) || chr(10) FROM q),
+WITH e AS (SELECT {_characters_sql()} AS m),
+p AS (SELECT page_id, {_URL} AS url, coalesce(html, '') AS html, 'sha256:' || sha256(coalesce(html, '')) AS source_digest, {_plain_text_sql("coalesce(html, '')")} AS text FROM pages, e),
+q AS (SELECT *, {_record_id_sql("'response'", "coalesce(page_id::VARCHAR, '')", "url", "source_digest")} AS response, chr(13) || chr(10) AS nl FROM p),
+r AS (SELECT page_id, url, source_digest, response, nl, 'response' AS warc_type, 'application/http; msgtype=response' AS content_type, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(html) || nl || nl || html AS block FROM q
+  UNION ALL SELECT page_id, url, source_digest, response, nl, 'conversion', 'text/plain; charset=utf-8', text FROM q
+  UNION ALL SELECT page_id, url, source_digest, response, nl, 'metadata', 'application/warc-fields', 'via: ' || url || nl || 'host: ' || regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1) || nl
+    || 'title: ' || regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{_SPACE}', ' ', 'g') || nl || 'source-content-type: text/html' || nl || 'source-payload-digest: ' || source_digest || nl || 'source-length: ' || strlen(html) || nl || 'text-length: ' || strlen(text) || nl FROM q),
 d AS (SELECT *, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, CASE WHEN warc_type <> 'response' THEN response END AS refers_to FROM r),
-i AS (SELECT *, CASE WHEN warc_type = 'response' THEN response ELSE {_record_id_sql("warc_type", "response", "block_digest")} END AS record_id FROM d)
-SELECT page_id, warc_type, record_id, refers_to, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Date: {warc.DATE}', 'WARC-Target-URI: ' || url, 'WARC-Refers-To: ' || refers_to,
+i AS (SELECT *, CASE warc_type WHEN 'response' THEN source_digest WHEN 'conversion' THEN block_digest END AS payload_digest, CASE WHEN warc_type = 'response' THEN response ELSE {_record_id_sql("warc_type", "response", "block_digest")} END AS record_id FROM d)
+SELECT page_id, warc_type, record_id, refers_to, concat_ws(nl, 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Date: 2024-01-01T00:00:00Z', 'WARC-Target-URI: ' || url, 'WARC-Refers-To: ' || refers_to,
+  CASE WHEN refers_to IS NOT NULL THEN 'WARC-Refers-To-Target-URI: ' || url END, CASE WHEN refers_to IS NOT NULL THEN 'WARC-Refers-To-Date: 2024-01-01T00:00:00Z' END, CASE WHEN refers_to IS NOT NULL THEN 'X-Source-Payload-Digest: ' || source_digest END,
   'WARC-Payload-Digest: ' || payload_digest, 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type, 'Content-Length: ' || content_length) AS headers, payload_digest, block_digest, content_length::BIGINT AS content_length, block FROM i
 """
 
