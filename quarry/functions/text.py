@@ -75,8 +75,28 @@ def sentences(c: Column) -> Column:
 
 
 def embedding_input(title: Column, day: Column, section: Column, text: Column) -> Column:
-    """A header of title, date and section before the text; a date that the title has isn't said again."""
-    return F.concat(F.concat_ws(" — ", title, F.when(~F.contains(title, day), day), section), F.lit("\n"), text)
+    """A header of title, date and section before the text; a date that the title has isn't said again, what is missing is left out."""
+    title = F.nullif(title, F.lit(""))
+    header = F.concat_ws(" — ", title, F.when(title.isNull() | ~F.contains(title, day), day), F.nullif(section, F.lit("")))
+    return F.when(header == "", text).otherwise(F.concat(header, F.lit("\n"), text))
+
+
+def rendered(name: str, kind: str) -> Column:
+    """A value as text: null as NULL, decimals without trailing zeros, times to the minute, dates as they are."""
+    c = F.col(name)
+    if kind.startswith("decimal"):
+        # zeros after the point go, and the point if nothing is left behind it
+        shown = F.regexp_replace(F.regexp_replace(c.cast("string"), "(\\.[0-9]*?)0+$", "$1"), "\\.$", "")
+    elif kind.startswith("timestamp"):
+        shown = F.date_format(c, "yyyy-MM-dd HH:mm")
+    else:
+        shown = c.cast("string")
+    return F.coalesce(shown, F.lit("NULL"))
+
+
+def pipe_row(df_types: list[tuple[str, str]]) -> Column:
+    """A row's values between pipes, in the order of the columns."""
+    return F.concat_ws(" | ", *[rendered(n, t) for n, t in df_types])
 
 
 def source_block(number: Column, title: Column, section: Column, day: Column, text: Column) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -42,7 +44,7 @@ def split_by_template(df: DataFrame, seed: int = 7, share: float = 0.15) -> Data
     n = F.count("*").over(Window.partitionBy("task"))
     rank = F.row_number().over(Window.partitionBy("task").orderBy(seeded_order("template_id", seed), "template_id"))
     held = F.when(n >= 3, F.greatest(F.lit(1), F.bround(n * share).cast("int"))).otherwise(0)
-    named = templates.withColumn("split", F.when(rank <= held, "test").when(rank <= 2 * held, "validation").otherwise("train"))
+    named = templates.withColumn("split", F.when(rank <= held, "test").when(rank <= 2 * held, "val").otherwise("train"))
     return df.join(named, ["task", "template_id"])
 
 
@@ -75,15 +77,15 @@ def oversample(df: DataFrame, weights: DataFrame) -> DataFrame:
     """Each row as often as its task's weight says, rounded half up, once at least."""
     whole = F.floor("weight")
     copies = F.greatest(F.lit(1), whole) + (F.col("weight") - whole >= 0.5).cast("int")
-    return df.join(F.broadcast(weights.select("task", "weight")), "task").withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("weight")
+    return df.join(weights.select("task", "weight"), "task").withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("weight")
 
 
 def expand_templates(templates: DataFrame, vocabularies: dict[str, DataFrame]) -> DataFrame:
-    """Each template with every choice of its slots; vocabularies are small lists of words (word)."""
+    """Each template with every choice of its slots; vocabularies are lists of words (word)."""
     out = templates
     for slot, words in vocabularies.items():
         mark = F.lit("{" + slot + "}")
-        with_slot = out.where(F.contains("text", mark)).join(F.broadcast(words)).withColumn("text", F.replace(F.col("text"), mark, F.col("word"))).drop("word")
+        with_slot = out.where(F.contains("text", mark)).join(words).withColumn("text", F.replace(F.col("text"), mark, F.col("word"))).drop("word")
         out = out.where(~F.contains("text", mark)).unionByName(with_slot)
     return out
 
@@ -95,20 +97,48 @@ def malformed_rows(corpus: DataFrame) -> DataFrame:
     return corpus.where(wrong)
 
 
-def contains_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(text_id, term_id) where a text has a term. Candidates share the term's rarest token; then the term is looked for.
+def contains_join(texts: DataFrame, terms: DataFrame, block_chars: int = 4_000_000) -> DataFrame:
+    """(text_id, term_id) where a text has a term, in any case and inside longer words as well.
 
-    The first and the last token of three or more may be parts of words of the text, so the rarest of the others is taken. Terms
-    without a token can't be found.
+    One scan: the terms make an automaton that each task runs over its texts, so no text is shuffled. Their size is measured; more
+    than ``block_chars`` characters are dealt into blocks, one scan each, and one block is at the driver at a time. Empty terms are
+    in no text; terms with the same text are found together.
     """
-    posted = texts.select("text_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"))
-    tokens = X.tokens(F.col("term"))
-    inner = F.when(F.size(tokens) > 2, F.slice(tokens, F.lit(2), F.size(tokens) - 2)).otherwise(tokens)
-    wanted = terms.select("term_id", F.explode(F.array_distinct(inner)).alias("token"))
-    common = posted.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    rarest = wanted.join(common, "token", "left").groupBy("term_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), F.col("token"))).alias("token"))
-    pairs = posted.join(rarest, "token").select("text_id", "term_id")
-    return pairs.join(texts, "text_id").join(terms, "term_id").where(F.contains(F.lower("text"), F.lower("term"))).select("text_id", "term_id")
+    lowered = terms.select("term_id", F.lower("term").alias("term")).where("term <> ''")
+    size = lowered.agg(F.sum(F.length("term"))).first()[0] or 0
+    count = max(1, math.ceil(size / block_chars))
+    held = texts.select("text_id", F.lower("text").alias("text"))
+    found = []
+    for b in range(count):
+        block: dict[str, list] = {}
+        for row in lowered.where(F.pmod(F.xxhash64("term"), F.lit(count)) == b).collect():
+            block.setdefault(row["term"], []).append(row["term_id"])
+        part = _scanned(held, block, terms.schema["term_id"].dataType)
+        # with several blocks each is scanned before the next one is collected
+        found.append(part if count == 1 else part.checkpoint())
+    return reduce(DataFrame.unionByName, found)
+
+
+def _scanned(texts: DataFrame, block: dict[str, list], kind: T.DataType) -> DataFrame:
+    """(text_id, term_id) for the terms of a block (text to ids)."""
+    wanted = texts.sparkSession.sparkContext.broadcast(block)
+    schema = T.StructType([texts.schema["text_id"], T.StructField("term_id", kind)])
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for term, ids in wanted.value.items():
+            automaton.add_word(term, ids)
+        automaton.make_automaton()
+        for f in frames:
+            rows = []
+            for text_id, text in zip(f["text_id"], f["text"], strict=True):
+                if text and wanted.value:
+                    rows += [(text_id, i) for ids in {id(ids): ids for _, ids in automaton.iter(text)}.values() for i in ids]
+            yield pd.DataFrame(rows, columns=["text_id", "term_id"])
+
+    return texts.mapInPandas(scan, schema)
 
 
 def name_leaks(texts: DataFrame, names: DataFrame) -> DataFrame:
@@ -155,12 +185,14 @@ def narration(texts: DataFrame) -> DataFrame:
 
 
 def first_object(text: str | None) -> str | None:
-    """The first balanced JSON object of a text."""
-    start = (text or "").find("{")
+    """The first JSON object of a text. One that is nested deeper than the parser goes isn't looked into: there is none then."""
+    text, decoder = text or "", json.JSONDecoder()
+    start = text.find("{")
     while start >= 0:
         try:
-            _, size = json.JSONDecoder().raw_decode(text[start:])
-            return text[start : start + size]
+            return text[start : decoder.raw_decode(text, start)[1]]
+        except RecursionError:
+            return None
         except ValueError:
             start = text.find("{", start + 1)
     return None

@@ -81,9 +81,9 @@ def shared_pairs(edges_: DataFrame, rel: str) -> DataFrame:
 
 def t_medications_for(courses: DataFrame, conditions: DataFrame, terms: DataFrame) -> DataFrame:
     """A scope's courses whose condition a term names (F12) and that the scope has."""
-    named = conditions.join(F.broadcast(terms), F.contains(F.lower("condition"), F.lower("term"))).select("condition", "term").distinct()
+    named = conditions.join(terms, F.contains(F.lower("condition"), F.lower("term"))).select("condition", "term").distinct()
     has = courses.select("scope", "condition").distinct()
-    rows = courses.join(F.broadcast(named), "condition").join(has, ["scope", "condition"], "left_semi")
+    rows = courses.join(named, "condition").join(has, ["scope", "condition"], "left_semi")
     return limited(rows.groupBy("scope", "term", "condition", "name").agg(F.min("start_date").alias("since")), [F.asc("since"), F.asc("name"), F.asc("condition"), F.asc("term")])
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Metrics of which less is better.
 LOWER_IS_BETTER = ["mean_ms", "p50_ms", "p95_ms", "max_ms", "error_rate", "mean_tool_calls"]
+#: Steps that a group's values are counted in before some of them are ordered.
+BINS = 4096
 
 
 def rate(condition: Column) -> Column:
@@ -69,14 +72,30 @@ def json_validity(df: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def traversal_metrics(choices: DataFrame, templates: DataFrame) -> DataFrame:
     """Whether a chosen traversal has all relations asked for and goes as deep (template, edges, hops)."""
-    chosen = choices.join(F.broadcast(templates), "template", "left")
+    chosen = choices.join(templates, "template", "left")
     return chosen.select("case_id", (F.size(F.array_except("expected_relations", F.coalesce("edges", F.array().cast("array<string>")))) == 0).alias("covers"), (F.coalesce("hops", F.lit(0)) >= F.col("expected_hops")).alias("deep_enough"))
 
 
 def latency_summary(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
-    """Mean, nearest-rank percentiles and maximum."""
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by {column})")
-    return df.groupBy(*by).agg(F.avg(column).alias("mean_ms"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), F.max(column).alias("max_ms"))
+    """Mean, nearest-rank percentiles and maximum.
+
+    A group's values are counted in BINS equal steps first; only those of the step that holds a percentile are ordered.
+    """
+    by = list(by)
+    values = df.select(*by, F.col(column).alias("value"))
+    held = values.groupBy(*by).agg(F.avg("value").alias("mean_ms"), F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("max_ms"))
+    step = F.coalesce(F.least(F.lit(BINS - 1), F.floor(F.try_divide(F.col("value") - F.col("least"), F.col("max_ms") - F.col("least")) * BINS)), F.lit(0)).alias("step")
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    joined = lambda left, right, *more, how="inner": left.alias("l").join(right.alias("r") if by else F.broadcast(right.alias("r")), reduce(and_, [*on, *more], F.lit(True)), how)
+    placed = joined(values.where("value is not null"), held).select(*[F.col(f"l.{c}") for c in by], "value", step).groupBy(*by, "step", "value").agg(F.count("*").alias("k"))
+    steps = placed.groupBy(*by, "step").agg(F.sum("k").alias("k"))
+    upto = F.coalesce(F.sum("k").over(Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = joined(steps.withColumn("before", upto), held).select(*[F.col(f"l.{c}") for c in by], "step", "before", "l.k", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.greatest(F.lit(1), F.ceil(F.col("r.n") * p)).alias("at")) for p in (0.5, 0.95)])).alias("w"))
+    wanted = wanted.where((F.col("before") < F.col("w.at")) & (F.col("w.at") <= F.col("before") + F.col("k"))).select(*by, "step", "before", "w.p", "w.at")
+    inside = joined(placed, wanted, F.col("l.step") == F.col("r.step")).select(*[F.col(f"l.{c}") for c in by], "l.value", "l.k", "r.before", "r.p", "r.at")
+    place = F.col("before") + F.sum("k").over(Window.partitionBy(*by, "p").orderBy("value"))
+    found = inside.withColumn("place", place).where("place >= at").groupBy(*by).agg(F.min(F.when(F.col("p") == 0.5, F.col("value"))).alias("p50_ms"), F.min(F.when(F.col("p") == 0.95, F.col("value"))).alias("p95_ms"))
+    return joined(held, found, how="left").select(*[F.col(f"l.{c}") for c in by], "mean_ms", "p50_ms", "p95_ms", "max_ms")
 
 
 def run_states(df: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .records import choose_provider, top
@@ -17,7 +18,7 @@ LEAD_DAYS, SLOT_MINUTES, MATCH_HOURS, WINDOW_SECONDS = 365, 30, 12, 60
 def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """The cost of each row's tokens at its model's price a million; no price, no cost."""
     cost = (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1_000_000
-    return usage.join(F.broadcast(prices), "model", "left").withColumn("cost_usd", F.round(cost, 8)).drop("input_price", "output_price")
+    return usage.join(prices, "model", "left").withColumn("cost_usd", F.round(cost, 8)).drop("input_price", "output_price")
 
 
 def trace_rollup(traces: DataFrame, by: list[str | Column]) -> DataFrame:
@@ -57,28 +58,66 @@ class Limiter:
         return "accepted", 0.0
 
 
+DECIDED = "client long, request_id long, second double, decision string, retry_after double"
+
+
 def admit(requests: DataFrame, per_window: int, per_day: int, window: float = WINDOW_SECONDS) -> DataFrame:
-    """Each request (client, request_id, second) with its decision: an ordered fold over each client and day's requests.
+    """Each request (client, request_id, second) with its decision: an ordered fold over each client's requests.
 
-    The window may reach over midnight, so a client's requests are one group; a client sends what a client can send.
+    Clients are dealt to tasks and sorted there; the fold sees one batch of rows at a time and holds one client's state, so a
+    client with very many requests needs no more memory than another.
     """
+    return _folded(requests.select("client", "request_id", "second", F.lit(False).alias("closed")), per_window, per_day, window)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["second", "request_id"], kind="stable")
-        own = Limiter(per_window, per_day, window)
-        group["decision"], group["retry_after"] = zip(*(own.admit(t) for t in group["second"]), strict=True)
-        return group[["client", "request_id", "second", "decision", "retry_after"]]
 
-    return requests.select("client", "request_id", "second").groupBy("client").applyInPandas(fold, "client long, request_id long, second double, decision string, retry_after double")
+def _folded(requests: DataFrame, per_window: int, per_day: int, window: float) -> DataFrame:
+    """The fold; requests that are ``closed`` are refused by the day's budget and use nothing up."""
 
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, own = None, None
+        for f in frames:
+            decision, retry = [], []
+            for who, t, closed in zip(f["client"], f["second"], f["closed"], strict=True):
+                if own is None or who != client:
+                    client, own = who, Limiter(per_window, per_day, window)
+                said, wait = ("budget", (int(t // 86400) + 1) * 86400 - t) if closed else own.admit(t)
+                decision.append(said)
+                retry.append(wait)
+            yield f[["client", "request_id", "second"]].assign(decision=decision, retry_after=retry)
+
+    return requests.repartition("client").sortWithinPartitions("client", "second", "request_id").mapInPandas(fold, DECIDED)
 
-def admit_global(requests: DataFrame, budget: int) -> DataFrame:
-    """Whether a request is among the first of its day. Counts of short spans are added up first, so no task sees a whole day.
 
-    This is the approximate mode that SURVEY names: it takes all requests for admitted by their clients.
+def admit_within_budget(requests: DataFrame, per_window: int, per_day: int, budget: int, window: float = WINDOW_SECONDS) -> DataFrame:
+    """Admit, but no more than ``budget`` requests a day are accepted over all clients; the budget is asked first.
+
+    What is refused uses up nothing. A day is closed from its budget-th accepted request on; as a closed day changes what the first
+    requests of the next one meet, days are closed until no closing changes. One row a day is held.
     """
-    from pyspark.sql import Window
+    spark = requests.sparkSession
+    rows = requests.select("client", "request_id", "second")
+    day = F.floor(F.col("second") / 86400).alias("day")
+    closings: dict[int, tuple[float, int]] = {}
+    while True:
+        ends = spark.createDataFrame([(d, t, i) for d, (t, i) in closings.items()], "day long, end_second double, end_id long")
+        closed = F.struct("second", "request_id") > F.struct(F.col("end_second").alias("second"), F.col("end_id").alias("request_id"))
+        marked = rows.withColumn("day", day).join(F.broadcast(ends), "day", "left").select("client", "request_id", "second", (F.col("end_second").isNotNull() & closed).alias("closed"))
+        decided = _folded(marked, per_window, per_day, window)
+        taken = decided.where("decision = 'accepted'").select(day, "second", "request_id")
+        # the place in the day: counts of minutes first, then within the minute where the budget is reached
+        minutes = taken.groupBy("day", F.floor(F.col("second") / 60).alias("minute")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("day").orderBy("minute"))
+        last = minutes.withColumn("upto", upto).where((F.col("upto") >= budget) & (F.col("upto") - F.col("n") < budget)).select("day", "minute", (F.lit(budget) - (F.col("upto") - F.col("n"))).alias("place"))
+        place = F.row_number().over(Window.partitionBy("day").orderBy("second", "request_id"))
+        inside = taken.withColumn("minute", F.floor(F.col("second") / 60)).join(last, ["day", "minute"]).withColumn("at", place).where("at = place")
+        new = {r["day"]: (r["second"], r["request_id"]) for r in inside.select("day", "second", "request_id").collect()}
+        if new == closings:
+            return decided
+        closings = new
+
 
+def admit_global(requests: DataFrame, budget: int) -> DataFrame:
+    """T2 for requests that their clients' limits let through: whether one is among the first of its day. Counts of short spans are added up first, so no task sees a whole day."""
     rows = requests.withColumns({"day": F.floor(F.col("second") / 86400), "span": F.floor(F.col("second") / 60)})
     spans = rows.groupBy("day", "span").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("day").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -11,6 +11,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 #: Bounds of a list that a caller may ask for.
 LEAST, MOST = 1, 200
 
@@ -210,3 +212,12 @@ def list_conversations(messages: DataFrame, limit: int = 20, by: str = "owner")
     """Q11: each owner's conversations by their last message (conv_id, owner, updated_at)."""
     last = messages.groupBy(by, "conv_id").agg(F.max("updated_at").alias("updated_at"), F.count("*").alias("n_messages"))
     return top(last, [by], [F.desc("updated_at"), F.asc("conv_id")], limit)
+
+
+def pipe_table(df: DataFrame, order: list[Column], most: int = 25) -> DataFrame:
+    """One row ``table``: a header, the first rows in order between pipes, and how many more there are. ``most`` is the view's length."""
+    first = df.withColumn("row", X.pipe_row(df.dtypes)).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    shown = first.where(F.col("place") <= most).agg(F.array_sort(F.collect_list(F.struct("place", "row"))).alias("rows"))
+    out = shown.join(F.broadcast(df.agg(F.count("*").alias("n"))))
+    lines = F.concat(F.array(F.lit(" | ".join(df.columns))), F.transform("rows", lambda r: r["row"]), F.when(F.col("n") > most, F.array(F.format_string("... %d more row(s)", F.col("n") - most))).otherwise(F.array().cast("array<string>")))
+    return out.select(F.when(F.col("n") == 0, "(no rows)").otherwise(F.array_join(lines, "\n")).alias("table"))

@@ -15,6 +15,13 @@ from ..functions import vectors as V
 SECTION_PRIOR = {"Assessment": 0.10, "Plan": 0.10, "Impression": 0.10, "Medications": 0.05, "Chief Complaint": 0.03}
 OVERLAP_WEIGHT, RECENCY_WEIGHT, AGREEMENT = 0.25, 0.08, 0.05
 FLOOR, FUSION_K = 0.55, 60
+#: BM25's usual parameters.
+K1, B = 1.2, 0.75
+
+
+def with_documents(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunks with what a citation names of their document (doc_id, title, chunk_date); chunks of no document go."""
+    return chunks.join(docs.select("doc_id", "title", "chunk_date"), "doc_id")
 
 
 def chunk_filters(chunks: DataFrame, encounter_id=None, sections: Sequence[str] | None = None, since=None, until=None) -> DataFrame:
@@ -46,18 +53,35 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = 20, within: Da
     return ranked(near, [F.asc("distance"), F.asc("chunk_id")], k).withColumn("retriever", F.lit("vector"))
 
 
-def postings(chunks: DataFrame, keys: Sequence[str] = ("scope", "chunk_id")) -> DataFrame:
-    """Token counts of each chunk: (scope, chunk_id, term, tf), and what else the keys name."""
-    return chunks.select(*keys, F.explode(X.tokens(F.col("text"))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, keys: Sequence[str] = ("scope", "chunk_id"), wanted: DataFrame | None = None) -> DataFrame:
+    """Token counts of each chunk: (scope, chunk_id, term, tf), and what else the keys name; of the wanted (scope, term) alone, if given."""
+    tokens = chunks.select(*keys, F.explode(X.tokens(F.col("text"))).alias("term"))
+    tokens = tokens if wanted is None else tokens.join(wanted, ["scope", "term"], "left_semi")
+    return tokens.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
 
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 20, within: DataFrame | None = None, scorer: str = "count") -> DataFrame:
+    """Q4: the chunks of each query's scope and, if given, its documents (query_id, doc_id, each once) that fit its terms best.
 
-def keyword_search(queries: DataFrame, posted: DataFrame, k: int = 20, within: DataFrame | None = None) -> DataFrame:
-    """Q4: the chunks of each query's scope and, if given, its documents (query_id, doc_id, each once) with most occurrences of its terms; an occurrence counts one."""
-    on = ["scope", "term"] if within is None else ["scope", "term", "doc_id"]
+    scorer "count": an occurrence of a term counts one; "bm25": BM25 with K1 and B over the scope's chunks. Only tokens that some
+    query of the scope asks for are counted.
+    """
+    keys = ["scope", "chunk_id"] if within is None else ["scope", "doc_id", "chunk_id"]
     terms = queries.select("query_id", "scope", F.explode(X.keyword_terms(F.col("query"))).alias("term"))
-    terms = terms if within is None else terms.join(within, "query_id")
-    hits = terms.join(posted, on).groupBy("query_id", "scope", "chunk_id").agg(F.sum("tf").alias("hits"))
-    return ranked(hits, [F.desc("hits"), F.asc("chunk_id")], k).select("query_id", "scope", "chunk_id", F.lit(1.0).alias("distance"), "rank", F.lit("keyword").alias("retriever"), "hits")
+    posted = postings(chunks, keys, terms.select("scope", "term").distinct())
+    weight = F.col("tf").cast("long")
+    if scorer == "bm25":
+        sizes = chunks.select("scope", "chunk_id", F.size(X.tokens(F.col("text"))).alias("size"))
+        whole = sizes.groupBy("scope").agg(F.count("*").alias("n_chunks"), F.avg("size").alias("mean_size"))
+        often = posted.groupBy("scope", "term").agg(F.count("*").alias("df"))
+        posted = posted.join(sizes, ["scope", "chunk_id"]).join(often, ["scope", "term"]).join(whole, "scope")
+        rare = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = rare * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+    hits = posted.select(*keys, "term", weight.alias("weight"))
+    asked = terms if within is None else terms.join(within, "query_id")
+    hits = asked.join(hits, ["scope", "term"] if within is None else ["scope", "term", "doc_id"]).groupBy("query_id", "scope", "chunk_id").agg(F.sum("weight").alias("hits"))
+    order = F.desc("hits") if scorer == "count" else F.desc(F.round("hits", 9))
+    return ranked(hits, [order, F.asc("chunk_id")], k).select("query_id", "scope", "chunk_id", F.lit(1.0).alias("distance"), "rank", F.lit("keyword").alias("retriever"), "hits")
 
 
 def rrf(lists: Sequence[DataFrame], k: int = FUSION_K) -> DataFrame:
@@ -70,14 +94,16 @@ def rrf(lists: Sequence[DataFrame], k: int = FUSION_K) -> DataFrame:
 
 
 def dedup_passages(hits: DataFrame) -> DataFrame:
-    """One hit for each passage of a query, the best; how often it stood there, and the other dates it has."""
-    same = Window.partitionBy("query_id", "passage")
-    all_ = same.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keyed = hits.withColumn("passage", X.passage_key(F.col("text")))
-    keyed = keyed.withColumns({"copy": F.row_number().over(same.orderBy("rank")), "occurrences": F.count("*").over(same), "dates": F.collect_list("chunk_date").over(all_)})
-    others = F.array_distinct(F.filter("dates", lambda d: d.isNotNull() & ~d.eqNullSafe(F.col("chunk_date"))))
-    kept = keyed.where("copy = 1").withColumn("other_dates", others).drop("passage", "copy", "dates", "rank")
-    return kept
+    """One hit for each passage of a query, the best; how often it stood there, and the other dates it has.
+
+    Copies are counted by date first, so a group of copies comes to one task as its dates only.
+    """
+    keyed = hits.withColumn("passage", F.md5(X.passage_key(F.col("text"))))
+    by_date = keyed.groupBy("query_id", "passage", "chunk_date").agg(F.min_by(F.struct("rank", *[c for c in hits.columns if c not in ("query_id", "rank")]), "rank").alias("best"), F.count("*").alias("n"))
+    dated = F.array_sort(F.collect_list(F.when(F.col("chunk_date").isNotNull(), F.struct(F.col("best.rank").alias("rank"), "chunk_date"))))
+    whole = by_date.groupBy("query_id", "passage").agg(F.min_by("best", "best.rank").alias("kept"), F.sum("n").alias("occurrences"), F.transform(dated, lambda d: d["chunk_date"]).alias("dates"))
+    others = F.filter("dates", lambda d: ~d.eqNullSafe(F.col("kept.chunk_date"))).alias("other_dates")
+    return whole.select("query_id", *[F.col(f"kept.{c}").alias(c) for c in hits.columns if c not in ("query_id", "rank")], "occurrences", others)
 
 
 def fuse_report(vector: DataFrame, keyword: DataFrame, fused: DataFrame, kept: DataFrame) -> DataFrame:
@@ -130,14 +156,13 @@ def pack_context(hits: DataFrame, budget: int = 3000) -> DataFrame:
     return numbered.withColumn("cost", cost).withColumn("spent", spent).where((F.col("spent") <= budget) | (F.col("rank") == 1))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, today, vector_k: int = 20, keyword_k: int = 20, k: int = 5, budget: int = 3000, within: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, today, vector_k: int = 20, keyword_k: int = 20, k: int = 5, budget: int = 3000, within: DataFrame | None = None, scorer: str = "count") -> DataFrame:
     """Queries (query_id, scope, query, embedding) against chunks (scope, chunk_id, text, section, title, chunk_date, embedding).
 
     F8: with documents given (query_id, doc_id, each once), only their chunks are candidates of a query; chunks then have a doc_id.
     """
     queries = queries.withColumn("query", X.normal_query(F.col("query")))
-    posted = postings(chunks) if within is None else postings(chunks, ("scope", "doc_id", "chunk_id"))
-    fused = rrf([vector_search(queries, chunks, vector_k, within), keyword_search(queries, posted, keyword_k, within)])
+    fused = rrf([vector_search(queries, chunks, vector_k, within), keyword_search(queries, chunks, keyword_k, within, scorer)])
     hits = fused.join(chunks.drop("embedding", "scope"), "chunk_id")
     best = rerank_heuristic(similarity_floor(dedup_passages(hits)).withColumn("rank", F.lit(0)), queries, today, k)
     return pack_context(best, budget)

@@ -22,7 +22,7 @@ def _rows(spark, sf_dir):
 
 
 _ROWS = "(SELECT doc_id, lang AS task, lang || '-' || source || '-' || n_chars % 5 AS template_id FROM documents)"
-_SPLIT = f"""(SELECT t.task, t.template_id, CASE WHEN r <= held THEN 'test' WHEN r <= 2 * held THEN 'validation' ELSE 'train' END AS split FROM (SELECT task, template_id, row_number() OVER (PARTITION BY task ORDER BY md5('7:' || template_id), template_id) AS r,
+_SPLIT = f"""(SELECT t.task, t.template_id, CASE WHEN r <= held THEN 'test' WHEN r <= 2 * held THEN 'val' ELSE 'train' END AS split FROM (SELECT task, template_id, row_number() OVER (PARTITION BY task ORDER BY md5('7:' || template_id), template_id) AS r,
 CASE WHEN count(*) OVER (PARTITION BY task) >= 3 THEN greatest(1, round_even(count(*) OVER (PARTITION BY task) * 0.15, 0)::INT) ELSE 0 END AS held FROM (SELECT DISTINCT task, template_id FROM {_ROWS})) t)"""
 
 
@@ -81,16 +81,16 @@ def _texts(spark, sf_dir):
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
 
 
-def _terms(spark, sf_dir):
-    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.regexp_extract("text", "^([^ ]+ [^ ]+ [^ ]+)", 1).alias("term"))
-
-
-_TERMS = "(SELECT item_id AS term_id, regexp_extract(text, '^([^ ]+ [^ ]+ [^ ]+)', 1) AS term FROM benchmark)"
+@query("SELECT doc_id AS text_id, item_id AS term_id FROM documents, benchmark WHERE contains(lower(documents.text), lower(benchmark.text)) AND benchmark.text <> ''")
+def leak_scan(spark, sf_dir):
+    """Whole benchmark items inside whole documents."""
+    return C.contains_join(_texts(spark, sf_dir), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term")))
 
 
-@query(f"SELECT doc_id AS text_id, term_id FROM documents, {_TERMS} WHERE term <> '' AND contains(lower(text), lower(term)) AND regexp_matches(lower(term), '[a-z0-9]')")
-def leak_scan(spark, sf_dir):
-    return C.contains_join(_texts(spark, sf_dir), _terms(spark, sf_dir).where("term <> ''"))
+@query("SELECT doc_id AS text_id, n_nationkey AS term_id FROM documents, nation WHERE contains(lower(text), lower(substr(n_name, 2, 3)))")
+def term_scan(spark, sf_dir):
+    """Short terms, made of nations' names, that mostly stand inside words."""
+    return C.contains_join(_texts(spark, sf_dir), load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("term_id"), F.substring("n_name", 2, 3).alias("term")))
 
 
 def _windows(table: str, key: str, name: str) -> str:
@@ -100,7 +100,7 @@ def _windows(table: str, key: str, name: str) -> str:
 
 @query(f"SELECT text_id, term_id, count(*)::BIGINT AS n_windows FROM {_windows('documents', 'doc_id', 'text_id')} JOIN {_windows('benchmark', 'item_id', 'term_id')} USING (v) GROUP BY ALL")
 def leak_scan_windows(spark, sf_dir):
-    """Every three words of each item; leak_scan has the first three, as its SQL does. No item has less than three words."""
+    """Every three words of each item. No item has less than three words."""
     return C.window_leaks(_texts(spark, sf_dir), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term")))
 
 
@@ -265,6 +265,12 @@ def admit_global(spark, sf_dir):
     return O.admit_global(_requests(spark, sf_dir), 100).select("request_id", "admitted")
 
 
+@query()
+def admit_within_budget(spark, sf_dir):
+    """Folds that depend on each other; a unit test compares them with one fold over all requests."""
+    return O.admit_within_budget(_requests(spark, sf_dir), 1, 3, 100, 3600).select("client", "request_id", "decision")
+
+
 @query("SELECT event_id, (epoch(date_trunc('day', ts) + INTERVAL 1 DAY)::BIGINT - epoch(date_trunc('second', ts))::BIGINT) AS seconds FROM events")
 def seconds_to_midnight(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", O.seconds_to_midnight(F.date_trunc("second", F.col("ts").cast("timestamp"))).alias("seconds"))

@@ -31,7 +31,7 @@ def recall_precision_mrr(spark, sf_dir):
     rows = load(spark, sf_dir, "embeddings")
     asked = rows.where("vec_id % 100 = 0")
     everywhere = lambda df, name: df.select(F.col("vec_id").alias(name), F.lit(0).alias("scope"), "embedding")
-    hits = Q.vector_search(F.broadcast(everywhere(asked, "query_id")), everywhere(rows, "chunk_id"))
+    hits = Q.vector_search(everywhere(asked, "query_id"), everywhere(rows, "chunk_id"))
     relevant = asked.select(F.col("vec_id").alias("query_id"), "label").join(rows.select(F.col("vec_id").alias("id"), "label"), "label")
     return K.ranking_metrics(hits.withColumnRenamed("chunk_id", "id"), relevant, 10)
 

@@ -1,9 +1,7 @@
 """Registered retrieval queries and their SQL.
 
 Passages are the documents' non-empty lines; a query is the whole first user turn of every conversation, asked in one source of
-four. The queries whose SQL is older (normal_queries, keyword_topk, retrieval_status, chunk_filters, resolve_relevant) keep its
-excerpt: lines of 40 characters or more, and the first 60 characters of turn 0. Vectors are the stored ones, whose scope is their
-label.
+four. Vectors are the stored ones, whose scope is their label.
 """
 
 from __future__ import annotations
@@ -25,14 +23,9 @@ TODAY = date(2024, 6, 1)
 AT = 1 << 31
 
 
-def lines(spark, sf_dir, at=AT):
+def lines(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("at", "text")).where("text <> ''")
-    return docs.select("doc_id", F.col("source").alias("scope"), (F.col("doc_id").cast("long") * at + F.col("at")).alias("chunk_id"), "text", F.element_at(X.words_of(["Plan", "History", "Medications", "Vitals"]), (F.col("at") % 4 + 1).cast("int")).alias("section"), F.concat(F.lit("note_"), F.col("doc_id").cast("string")).alias("title"), F.date_sub(F.lit(TODAY), (F.col("doc_id") % 1500).cast("int")).alias("chunk_date"))
-
-
-def passages(spark, sf_dir):
-    """The lines that the older SQL has."""
-    return lines(spark, sf_dir, 10000).where(F.length("text") >= 40)
+    return docs.select("doc_id", F.col("source").alias("scope"), (F.col("doc_id").cast("long") * AT + F.col("at")).alias("chunk_id"), "text", F.element_at(X.words_of(["Plan", "History", "Medications", "Vitals"]), (F.col("at") % 4 + 1).cast("int")).alias("section"), F.concat(F.lit("note_"), F.col("doc_id").cast("string")).alias("title"), F.date_sub(F.lit(TODAY), (F.col("doc_id") % 1500).cast("int")).alias("chunk_date"))
 
 
 def _asked(first):
@@ -44,48 +37,48 @@ def first_questions(spark, sf_dir):
     return _asked(said.groupBy("conv_id").agg(F.min_by("text", F.struct("turn", "text")).alias("text")))
 
 
-def questions(spark, sf_dir):
-    """The questions that the older SQL has."""
-    return _asked(load(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.substring("text", 1, 60).alias("text")))
-
-
-P = """(SELECT doc_id, source AS scope, doc_id * 10000 + pos - 1 AS chunk_id, text, ['Plan', 'History', 'Medications', 'Vitals'][((pos - 1) % 4 + 1)::INT] AS section, 'note_' || doc_id AS title, DATE '2024-06-01' - (doc_id % 1500)::INTEGER AS chunk_date
-FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(text) >= 40)"""
-QS = "(SELECT conv_id AS query_id, 'src' || conv_id % 4 AS scope, 'Hello, please ' || substr(text, 1, 60) AS query FROM conversations WHERE turn = 0)"
-LINES = P.replace("doc_id * 10000", f"doc_id::BIGINT * {AT}").replace("length(text) >= 40", "text <> ''")
+LINES = f"""(SELECT doc_id, source AS scope, doc_id::BIGINT * {AT} + pos - 1 AS chunk_id, text, ['Plan', 'History', 'Medications', 'Vitals'][((pos - 1) % 4 + 1)::INT] AS section, 'note_' || doc_id AS title, DATE '2024-06-01' - (doc_id % 1500)::INTEGER AS chunk_date
+FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE text <> '')"""
 FIRST = "(SELECT conv_id AS query_id, 'src' || conv_id % 4 AS scope, 'Hello, please ' || first(text ORDER BY turn, text) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id)"
-NORMAL = "trim(regexp_replace(regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '^(hi|hello|hey)[,!.\\s]+', '', 'i'), '^(can you|could you|please|i want to know|tell me)\\s+', '', 'i'))"
+_NORMAL = "trim(regexp_replace(regexp_replace(trim(regexp_replace(query, '\\s+', ' ', 'g')), '^(hi|hello|hey)[,!.\\s]+', '', 'i'), '^(can you|could you|please|i want to know|tell me)\\s+', '', 'i'))"
+NORMAL = f"coalesce(nullif({_NORMAL}, ''), trim(query))"
 STOP = ", ".join(f"'{w}'" for w in X.QUESTION_WORDS)
 RERANK = ", ".join(f"'{w}'" for w in X.RERANK_STOP)
-KEYWORD = f"""q AS (SELECT query_id, scope, {NORMAL.format("query")} AS query FROM {QS}), c AS (SELECT * FROM {P}),
+POSTED = f"""q AS (SELECT query_id, scope, {NORMAL} AS query FROM {FIRST}), c AS (SELECT * FROM {LINES}),
 t AS (SELECT DISTINCT query_id, scope, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS term FROM q),
-p AS (SELECT scope, chunk_id, term, count(*) AS tf FROM (SELECT scope, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM c) GROUP BY ALL),
+w AS (SELECT scope, chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM c),
+p AS (SELECT scope, chunk_id, term, count(*) AS tf FROM (SELECT scope, chunk_id, unnest(ws) AS term FROM w) GROUP BY ALL)"""
+KEYWORD = f"""{POSTED},
 k AS (SELECT query_id, scope, chunk_id, sum(tf)::BIGINT AS hits, row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, chunk_id)::INTEGER AS rank FROM t JOIN p USING (scope, term) WHERE length(term) > 1 AND term NOT IN ({STOP}) GROUP BY query_id, scope, chunk_id QUALIFY rank <= 20)"""
 
-NORMAL_OR_ALL = f"coalesce(nullif({NORMAL.format('query')}, ''), trim(query))"
-WHOLE_KEYWORD = KEYWORD.replace(NORMAL.format("query"), NORMAL_OR_ALL).replace(QS, FIRST).replace(P, LINES)
 
-
-@query(f"SELECT query_id, {NORMAL_OR_ALL} AS query FROM {FIRST}")
-def normal_queries_whole(spark, sf_dir):
+@query(f"SELECT query_id, {NORMAL} AS query FROM {FIRST}")
+def normal_queries(spark, sf_dir):
     return first_questions(spark, sf_dir).select("query_id", X.normal_query(F.col("query")).alias("query"))
 
 
-@query(f"WITH {WHOLE_KEYWORD} SELECT query_id, chunk_id, hits, rank FROM k")
-def keyword_topk_whole(spark, sf_dir):
-    asked = first_questions(spark, sf_dir).withColumn("query", X.normal_query(F.col("query")))
-    return Q.keyword_search(asked, Q.postings(lines(spark, sf_dir))).select("query_id", "chunk_id", "hits", "rank")
+@query(f"SELECT conv_id, turn, {NORMAL} AS query FROM (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user')")
+def normal_queries_whole(spark, sf_dir):
+    """Every user turn."""
+    said = load(spark, sf_dir, "conversations").where("role = 'user'")
+    return said.select("conv_id", "turn", X.normal_query(F.col("text")).alias("query"))
 
 
-@query(f"SELECT query_id, {NORMAL.format('query')} AS query FROM {QS}")
-def normal_queries(spark, sf_dir):
-    return questions(spark, sf_dir).select("query_id", X.normal_query(F.col("query")).alias("query"))
+def _asked_normally(spark, sf_dir):
+    return first_questions(spark, sf_dir).withColumn("query", X.normal_query(F.col("query")))
 
 
 @query(f"WITH {KEYWORD} SELECT query_id, chunk_id, hits, rank FROM k")
 def keyword_topk(spark, sf_dir):
-    asked = questions(spark, sf_dir).withColumn("query", X.normal_query(F.col("query")))
-    return Q.keyword_search(asked, Q.postings(passages(spark, sf_dir))).select("query_id", "chunk_id", "hits", "rank")
+    return Q.keyword_search(_asked_normally(spark, sf_dir), lines(spark, sf_dir)).select("query_id", "chunk_id", "hits", "rank")
+
+
+@query(f"""WITH {POSTED}, s AS (SELECT scope, count(*) AS n, avg(len(ws)) AS mean FROM w GROUP BY 1), d AS (SELECT scope, term, count(*) AS df FROM p GROUP BY ALL),
+b AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))), 9) AS score FROM t JOIN p USING (scope, term) JOIN w USING (scope, chunk_id) JOIN s USING (scope) JOIN d USING (scope, term) WHERE length(term) > 1 AND term NOT IN ({STOP}) GROUP BY ALL)
+SELECT query_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM b QUALIFY rank <= 20""")
+def keyword_topk_bm25(spark, sf_dir):
+    hits = Q.keyword_search(_asked_normally(spark, sf_dir), lines(spark, sf_dir), scorer="bm25")
+    return hits.select("query_id", F.round("hits", 4).alias("score"), "rank")
 
 
 _VECTOR = """SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(1 - list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))), 6) AS distance,
@@ -188,9 +181,9 @@ def rerank_none(spark, sf_dir):
     return Q.rerank_none(_document_hits(spark, sf_dir), 5).select("query_id", "chunk_id", "rank")
 
 
-@query(f"SELECT scope, section, count(*)::BIGINT AS n FROM {P} WHERE section IN ('Plan', 'Vitals') AND chunk_date BETWEEN DATE '2022-01-01' AND DATE '2023-12-31' GROUP BY ALL")
+@query(f"SELECT scope, section, count(*)::BIGINT AS n FROM {LINES} WHERE section IN ('Plan', 'Vitals') AND chunk_date BETWEEN DATE '2022-01-01' AND DATE '2023-12-31' GROUP BY ALL")
 def chunk_filters(spark, sf_dir):
-    return Q.chunk_filters(passages(spark, sf_dir), sections=["Plan", "Vitals"], since=date(2022, 1, 1), until=date(2023, 12, 31)).groupBy("scope", "section").agg(F.count("*").alias("n"))
+    return Q.chunk_filters(lines(spark, sf_dir), sections=["Plan", "Vitals"], since=date(2022, 1, 1), until=date(2023, 12, 31)).groupBy("scope", "section").agg(F.count("*").alias("n"))
 
 
 @query("SELECT md5(text) AS text_md5, count(*)::BIGINT AS n FROM documents GROUP BY text")
@@ -203,25 +196,20 @@ _STATUS = "SELECT q.query_id, q.scope, n AS n_indexed, coalesce(h, 0)::BIGINT AS
 
 @query(f"WITH {KEYWORD} {_STATUS}")
 def retrieval_status(spark, sf_dir):
-    return _status(questions(spark, sf_dir), passages(spark, sf_dir))
-
-
-@query(f"WITH {WHOLE_KEYWORD} {_STATUS}")
-def retrieval_status_whole(spark, sf_dir):
     return _status(first_questions(spark, sf_dir), lines(spark, sf_dir))
 
 
 def _status(asked, chunks):
     asked = asked.withColumns({"query": X.normal_query(F.col("query")), "scope": F.when(F.col("query_id") % 5 == 0, "nowhere").otherwise(F.col("scope"))})
-    return Q.retrieval_status(asked, chunks, Q.keyword_search(asked, Q.postings(chunks)))
+    return Q.retrieval_status(asked, chunks, Q.keyword_search(asked, chunks))
 
 
-@query(f"SELECT case_id, count(DISTINCT chunk_id)::BIGINT AS n_relevant, min(chunk_id) AS first_chunk FROM (SELECT source AS scope, 'note_' || (row_number() OVER (ORDER BY source) % 9 + 1) AS prefix, source AS case_id FROM (SELECT DISTINCT source FROM documents)) JOIN {P} USING (scope) WHERE starts_with(title, prefix) AND section IN ('Plan', 'History') GROUP BY 1")
+@query(f"SELECT case_id, count(DISTINCT chunk_id)::BIGINT AS n_relevant, min(chunk_id) AS first_chunk FROM (SELECT source AS scope, 'note_' || (row_number() OVER (ORDER BY source) % 9 + 1) AS prefix, source AS case_id FROM (SELECT DISTINCT source FROM documents)) JOIN {LINES} USING (scope) WHERE starts_with(title, prefix) AND section IN ('Plan', 'History') GROUP BY 1")
 def resolve_relevant(spark, sf_dir):
     sources = load(spark, sf_dir, "documents").select("source").distinct()
     number = F.row_number().over(Q.Window.orderBy("source"))
     cases = sources.select(F.col("source").alias("scope"), F.concat(F.lit("note_"), (number % 9 + 1).cast("string")).alias("title_prefix"), F.col("source").alias("case_id"), X.words_of(["Plan", "History"]).alias("sections"))
-    return Q.resolve_relevant(cases, passages(spark, sf_dir)).select("case_id", F.size("relevant").cast("long").alias("n_relevant"), F.get("relevant", F.lit(0)).alias("first_chunk"))
+    return Q.resolve_relevant(cases, lines(spark, sf_dir)).select("case_id", F.size("relevant").cast("long").alias("n_relevant"), F.get("relevant", F.lit(0)).alias("first_chunk"))
 
 
 def _embedded(df, key, column):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -52,9 +52,18 @@ def checked_stream(answers: DataFrame) -> DataFrame:
 
 
 def ingest_batches(target: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a batch's documents as chunks, under its own folder, so a batch that is run again replaces itself."""
+    """For foreachBatch: a batch's documents as chunks, with a note of which documents it had, both under the batch's own
+    folder, so a batch that is run again replaces itself. Nothing older is rewritten; ``current_chunks`` reads the latest of each.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        chunk_documents(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.select("doc_id").distinct().write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
+        chunk_documents(batch).write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
 
     return write
+
+
+def current_chunks(spark: SparkSession, target: str) -> DataFrame:
+    """Each document's chunks from the last batch that had it; none, if it was empty there."""
+    last = spark.read.parquet(f"{target}/documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{target}/chunks").join(last, ["doc_id", "batch"], "left_semi").drop("batch")
