@@ -28,6 +28,51 @@ def edges(df: DataFrame, src_label: str, src: str, rel: str, dst_label: str, dst
     return rows.select(F.lit(src_label).alias("src_label"), F.col(src).cast("string").alias("src_id"), F.lit(rel).alias("rel"), F.lit(dst_label).alias("dst_label"), F.col(dst).cast("string").alias("dst_id")).distinct()
 
 
+# Which table gives the nodes of which label (key, scope, name) and the edges of which relation (from column, to column).
+NODE_SOURCES = {
+    "patients": [("Patient", "id", "id", "name")],
+    "providers": [("Provider", "id", None, "name")],
+    "encounters": [("Encounter", "id", "scope", None)],
+    "conditions": [("Condition", "id", None, "name")],
+    "medications": [("Medication", "id", None, "name")],
+    "lab_results": [("Lab", "lab_id", None, "lab_id"), ("LabResult", "id", "scope", None)],
+    "departments": [("Department", "id", None, "name")],
+    "procedures": [("Procedure", "id", "scope", "name")],
+    "allergies": [("Allergy", "id", None, "name")],
+    "diagnoses": [("Diagnosis", "id", "scope", None)],
+}
+EDGE_SOURCES = {
+    "encounters": [("Patient", "scope", "HAD_ENCOUNTER", "Encounter", "id"), ("Encounter", "id", "WITH_PROVIDER", "Provider", "provider_id"), ("Encounter", "id", "FOR_CONDITION", "Condition", "condition_id")],
+    "providers": [("Provider", "id", "IN_DEPARTMENT", "Department", "department_id")],
+    "conditions": [("Patient", "scope", "HAS_CONDITION", "Condition", "id")],
+    "medications": [("Patient", "scope", "TAKES", "Medication", "id"), ("Encounter", "encounter_id", "PRESCRIBED", "Medication", "id"), ("Medication", "id", "TREATS", "Condition", "condition_id")],
+    "lab_results": [("Patient", "scope", "HAS_LAB_RESULT", "LabResult", "id"), ("Encounter", "encounter_id", "ORDERED", "LabResult", "id"), ("LabResult", "id", "OF_LAB", "Lab", "lab_id")],
+    "procedures": [("Patient", "scope", "HAD_PROCEDURE", "Procedure", "id"), ("Encounter", "encounter_id", "PERFORMED", "Procedure", "id")],
+    "allergies": [("Patient", "scope", "HAS_ALLERGY", "Allergy", "id")],
+    "diagnoses": [("Patient", "scope", "DIAGNOSED", "Diagnosis", "id"), ("Encounter", "encounter_id", "MADE_DIAGNOSIS", "Diagnosis", "id"), ("Diagnosis", "id", "OF_CONDITION", "Condition", "condition_id")],
+}
+
+
+def project_nodes(tables: dict[str, DataFrame]) -> DataFrame:
+    """G1: the nodes of all labels whose tables are given; each table is read once."""
+    text = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+    parts = []
+    for table, df in tables.items():
+        made = [F.struct(F.lit(label).alias("label"), text(key).alias("id"), (F.col(scope) if scope else F.lit(None)).cast("long").alias("scope"), text(name).alias("name")) for label, key, scope, name in NODE_SOURCES[table]]
+        parts.append(df.select(F.inline(F.array(*made))).where("id is not null"))
+    return union_all(parts).groupBy("label", "id").agg(F.min("scope").alias("scope"), F.min("name").alias("name"))
+
+
+def project_edges(tables: dict[str, DataFrame]) -> DataFrame:
+    """The edges of all relations whose tables are given; each table is read once, a null key gives no edge."""
+    parts = []
+    for table, df in tables.items():
+        made = [F.struct(F.lit(src_label).alias("src_label"), F.col(src).cast("string").alias("src_id"), F.lit(rel).alias("rel"), F.lit(dst_label).alias("dst_label"), F.col(dst).cast("string").alias("dst_id")) for src_label, src, rel, dst_label, dst in EDGE_SOURCES.get(table, [])]
+        if made:
+            parts.append(df.select(F.inline(F.array(*made))).where("src_id is not null and dst_id is not null"))
+    return union_all(parts).distinct()
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

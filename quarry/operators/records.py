@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -101,9 +102,8 @@ def with_provider(facts: DataFrame, providers: DataFrame) -> DataFrame:
 
 
 def in_effect(courses: DataFrame, dates: DataFrame) -> DataFrame:
-    """Courses in force on each date of their scope (scope, on_date); both ends count, an open end is in force."""
-    held = (F.col("start_date") <= F.col("on_date")) & (F.col("end_date").isNull() | (F.col("end_date") >= F.col("on_date")))
-    return courses.join(dates, "scope").where(held)
+    """Courses in force on each date of their scope (scope, on_date)."""
+    return courses.join(dates, "scope").where(in_force(F.col("on_date")))
 
 
 def current(courses: DataFrame, as_of: date) -> DataFrame:
@@ -112,30 +112,37 @@ def current(courses: DataFrame, as_of: date) -> DataFrame:
     return courses.where((F.col("status") == "active") & (F.col("start_date") <= on) & (F.col("end_date").isNull() | (F.col("end_date") >= on)))
 
 
-def diff_states(before: DataFrame, after: DataFrame, values: Sequence[str]) -> DataFrame:
-    """What started, stopped or changed between two states (scope, name, values...), names matched without case and edges.
+def diff_flagged(rows: DataFrame, values: Sequence[str]) -> DataFrame:
+    """What started, stopped or changed between two states: rows (scope, name, start_date, values..., was, now) are in either or both.
 
-    A name that a state has several times counts with its latest start, then by its values.
+    Names match without case and edges. A name that a state has several times counts with its latest start, then by its values.
     """
-    order = [F.desc("start_date"), *[F.desc(v) for v in values]]
-
-    def state(df: DataFrame, side: str) -> DataFrame:
-        named = df.withColumn("key", F.lower(F.trim("name")))
-        return top(named, ["scope", "key"], order, 1).select("scope", "key", *[F.col(v).alias(f"{v}_{side}") for v in values], F.lit(True).alias(f"in_{side}"))
-
-    both = state(before, "before").join(state(after, "after"), ["scope", "key"], "full")
+    state = F.struct("start_date", *values)
+    both = rows.groupBy("scope", F.lower(F.trim("name")).alias("key")).agg(F.max(F.when(F.col("was"), state)).alias("before"), F.max(F.when(F.col("now"), state)).alias("after"))
     same = F.lit(True)
     for v in values:
-        same = same & F.col(f"{v}_before").eqNullSafe(F.col(f"{v}_after"))
-    change = F.when(F.col("in_before").isNull(), "started").when(F.col("in_after").isNull(), "stopped").when(~same, "changed")
-    return both.withColumn("change", change).where("change is not null").drop("in_before", "in_after")
+        same = same & F.col(f"before.{v}").eqNullSafe(F.col(f"after.{v}"))
+    change = F.when(F.col("before").isNull(), "started").when(F.col("after").isNull(), "stopped").when(~same, "changed")
+    return both.select("scope", "key", *[F.col(f"{side}.{v}").alias(f"{v}_{side}") for side in ("before", "after") for v in values], change.alias("change")).where("change is not null")
+
+
+def diff_states(before: DataFrame, after: DataFrame, values: Sequence[str]) -> DataFrame:
+    """J6 for two tables."""
+    columns = ["scope", "name", "start_date", *values]
+    flagged = lambda df, was: df.select(*columns, F.lit(was).alias("was"), F.lit(not was).alias("now"))
+    return diff_flagged(flagged(before, True).unionByName(flagged(after, False)), values)
+
+
+def in_force(day: Column) -> Column:
+    """Whether a course holds on a day; both ends count, an open end is in force."""
+    return (F.col("start_date") <= day) & (F.col("end_date").isNull() | (F.col("end_date") >= day))
 
 
 def changes_at_last_encounter(encounters: DataFrame, courses: DataFrame, values: Sequence[str]) -> DataFrame:
-    """What changed between the day before each scope's latest encounter and that day."""
+    """What changed between the day before each scope's latest encounter and that day; courses are read once."""
     days = last_encounter(encounters).select("scope", "encounter_date")
-    at = lambda back: in_effect(courses, days.select("scope", F.date_sub("encounter_date", back).alias("on_date")))
-    return diff_states(at(1), at(0), values)
+    rows = courses.join(days, "scope").withColumns({"was": in_force(F.date_sub("encounter_date", 1)), "now": in_force(F.col("encounter_date"))})
+    return diff_flagged(rows.where("was or now"), values)
 
 
 def choose_provider(requests: DataFrame, encounters: DataFrame, providers: DataFrame) -> DataFrame:
@@ -208,6 +215,58 @@ def record_card(appointments_: DataFrame, readings_: DataFrame, courses: DataFra
     return out
 
 
+# The lookups of a record and what they say where nothing is found.
+LOOKUPS = [
+    ("profile", "No patient record found."),
+    ("next_appointment", "No upcoming appointment is scheduled."),
+    ("appointments", "No appointments are on record."),
+    ("medications", "No active medications are recorded."),
+    ("lab_results", "No lab results found."),
+    ("encounters", "No encounters are recorded."),
+    ("last_encounter", "No encounters are recorded."),
+    ("medication_changes", "No encounters are recorded."),
+]
+
+
+def record_lookups(people: DataFrame, appointments_: DataFrame, readings_: DataFrame, courses: DataFrame, encounters: DataFrame, now, today: date, most: int = 10) -> DataFrame:
+    """One row per scope and lookup: how many rows it found, and what it says in one line.
+
+    people: scope, full_name, age, record_no; appointments: appointment_date, appointment_type, provider_name, status, id; readings:
+    test_name, value, unit, result_date, id; courses: name, dosage, frequency, status, start_date, end_date; encounters:
+    encounter_date, encounter_type, reason, provider_name, id. Lists name their ``most`` latest rows and count the older ones.
+    """
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    said = lambda name, *parts: F.when(F.col(name).isNotNull(), text(*parts)).otherwise("")
+    day, moment = X.human_date, lambda c: text(X.human_date(c), " at ", F.date_format(c, "HH:mm"))
+    shown = lambda lookup, df, line, n=None: df.select("scope", F.lit(lookup).alias("lookup"), (F.lit(1) if n is None else n).cast("long").alias("n"), line.alias("summary"))
+    number, who = F.col("n").cast("string"), said("provider_name", " with ", F.col("provider_name"))
+
+    upcoming = appointments_.groupBy("scope").agg(F.count_if(F.col("appointment_date") > F.lit(now)).alias("upcoming"))
+    visits = listed(appointments_, text(moment(F.col("appointment_date")), " ", F.col("appointment_type"), who, " (", F.col("status"), ")"), ["appointment_date", "id"], most).join(upcoming, "scope")
+    drugs = current(courses, today).groupBy("scope").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "name", F.col("dosage").cast("string"), "frequency"))), "; ").alias("line"))
+    latest = readings_.groupBy("scope").agg(F.count("*").alias("n"), F.max(F.struct("result_date", "id", "test_name", F.col("value").cast("string").alias("value"), "unit")).alias("x"))
+    stays = listed(encounters, text(day(F.col("encounter_date")), " ", F.col("encounter_type"), said("reason", " for ", F.col("reason")), who), ["encounter_date", "id"], most)
+    last = last_encounter(encounters)
+    changes = changes_at_last_encounter(encounters, courses, ["dosage"])
+    before, after = F.col("dosage_before").cast("string"), F.col("dosage_after").cast("string")
+    change = F.when(F.col("change") == "started", text(F.col("key"), " started (", after, ")")).when(F.col("change") == "stopped", text(F.col("key"), " discontinued (was ", before, ")")).otherwise(text(F.col("key"), " changed from ", before, " to ", after))
+    changed = changes.groupBy("scope").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(change)), "; ").alias("line"))
+    changed = last.select("scope", "encounter_date").join(changed, "scope", "left")
+    at = day(F.col("encounter_date"))
+    parts = [
+        shown("profile", people, text(F.col("full_name"), ", age ", F.col("age").cast("string"), ", record ", F.col("record_no"), ".")),
+        shown("next_appointment", next_appointment(appointments_, now), text("Next appointment: ", moment(F.col("appointment_date")), who, ".")),
+        shown("appointments", visits, text(number, " appointments on record, ", F.col("upcoming").cast("string"), " of them upcoming: ", F.col("summary"), "."), F.col("n")),
+        shown("medications", drugs, text(number, " active medications: ", F.col("line"), "."), F.col("n")),
+        shown("lab_results", latest, text(number, " results; most recent ", F.concat_ws(" ", "x.test_name", "x.value", "x.unit"), " on ", day(F.col("x.result_date")), "."), F.col("n")),
+        shown("encounters", stays, text(number, " encounters on record: ", F.col("summary"), "."), F.col("n")),
+        shown("last_encounter", last, text("Last visit: ", at, who, ".", said("reason", " Reason: ", F.col("reason")))),
+        shown("medication_changes", changed, F.when(F.col("n").isNull(), text("No medication changes were recorded at the ", at, " visit.")).otherwise(text("At the ", at, " visit: ", F.col("line"), ".")), F.coalesce("n", F.lit(0))),
+    ]
+    every = people.select("scope", F.explode(F.array(*[F.struct(F.lit(k).alias("lookup"), F.lit(none).alias("none")) for k, none in LOOKUPS])).alias("x")).select("scope", "x.*")
+    return every.join(reduce(DataFrame.unionByName, parts), ["scope", "lookup"], "left").select("scope", "lookup", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("summary", "none").alias("summary"))
+
+
 def list_conversations(messages: DataFrame, limit: int = 20, by: str = "owner") -> DataFrame:
     """Q11: each owner's conversations by their last message (conv_id, owner, updated_at)."""
     last = messages.groupBy(by, "conv_id").agg(F.max("updated_at").alias("updated_at"), F.count("*").alias("n_messages"))

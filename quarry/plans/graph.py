@@ -26,6 +26,71 @@ def graph_counts(spark, sf_dir):
     return G.graph_counts(*_graph(spark, sf_dir))
 
 
+def _record_tables(spark, sf_dir):
+    """All ten tables of a record: suppliers' nations are departments, return flags tests, line states procedures, market segments allergies."""
+    text = lambda *c: F.concat_ws("-", *c)
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("encounter_id"), F.col("o_custkey").alias("scope"))
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("encounter_id"), "l_linenumber", F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("lab_id"), "l_linestatus")
+    parts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("condition_id"))
+    rows = lines.join(orders, "encounter_id").join(parts, "id")
+    line = text("encounter_id", "l_linenumber").alias("id")
+    customers, suppliers = load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier")
+    first = F.when(F.col("id") % 10 > 0, F.concat(F.lit("T"), F.col("id") % 5))
+    return {
+        "patients": customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")),
+        "departments": load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")),
+        "providers": suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("department_id")),
+        "encounters": S.encounters(spark, sf_dir).withColumn("condition_id", first),
+        "conditions": rows.select("scope", F.col("condition_id").alias("id"), F.col("condition_id").alias("name")),
+        "medications": rows,
+        "lab_results": rows.select("scope", "encounter_id", line, "lab_id"),
+        "procedures": rows.select("scope", "encounter_id", text("encounter_id", "l_linestatus").alias("id"), F.col("l_linestatus").alias("name")),
+        "allergies": customers.select(F.col("c_custkey").alias("scope"), F.col("c_mktsegment").alias("id"), F.col("c_mktsegment").alias("name")),
+        "diagnoses": rows.select("scope", "encounter_id", text("encounter_id", "condition_id").alias("id"), "condition_id"),
+    }
+
+
+_RECORDS = """WITH l AS (SELECT l_orderkey AS e, l_linenumber AS n, l_partkey AS m, l_returnflag AS lab, l_linestatus AS ship, o_custkey AS s, p_type AS c FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+f AS (SELECT o_orderkey AS e, CASE WHEN o_orderkey % 10 > 0 THEN 'T' || o_orderkey % 5 END AS c, p FROM orders LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+_COUNTS = {
+    ("node", "Patient"): "count(*) FROM customer",
+    ("node", "Provider"): "count(*) FROM supplier",
+    ("node", "Encounter"): "count(*) FROM orders",
+    ("node", "Condition"): "count(DISTINCT c) FROM l",
+    ("node", "Medication"): "count(DISTINCT m) FROM l",
+    ("node", "Lab"): "count(DISTINCT lab) FROM l",
+    ("node", "LabResult"): "count(*) FROM (SELECT DISTINCT e, n FROM l)",
+    ("node", "Department"): "count(*) FROM nation",
+    ("node", "Procedure"): "count(*) FROM (SELECT DISTINCT e, ship FROM l)",
+    ("node", "Allergy"): "count(DISTINCT c_mktsegment) FROM customer",
+    ("node", "Diagnosis"): "count(*) FROM (SELECT DISTINCT e, c FROM l)",
+    ("edge", "HAD_ENCOUNTER"): "count(*) FROM orders",
+    ("edge", "WITH_PROVIDER"): "count(p) FROM f",
+    ("edge", "FOR_CONDITION"): "count(c) FROM f",
+    ("edge", "IN_DEPARTMENT"): "count(*) FROM supplier",
+    ("edge", "HAS_CONDITION"): "count(*) FROM (SELECT DISTINCT s, c FROM l)",
+    ("edge", "TAKES"): "count(*) FROM (SELECT DISTINCT s, m FROM l)",
+    ("edge", "PRESCRIBED"): "count(*) FROM (SELECT DISTINCT e, m FROM l)",
+    ("edge", "TREATS"): "count(*) FROM (SELECT DISTINCT m, c FROM l)",
+    ("edge", "HAS_LAB_RESULT"): "count(*) FROM (SELECT DISTINCT s, e, n FROM l)",
+    ("edge", "ORDERED"): "count(*) FROM (SELECT DISTINCT e, n FROM l)",
+    ("edge", "OF_LAB"): "count(*) FROM (SELECT DISTINCT e, n, lab FROM l)",
+    ("edge", "HAD_PROCEDURE"): "count(*) FROM (SELECT DISTINCT s, e, ship FROM l)",
+    ("edge", "PERFORMED"): "count(*) FROM (SELECT DISTINCT e, ship FROM l)",
+    ("edge", "HAS_ALLERGY"): "count(*) FROM customer",
+    ("edge", "DIAGNOSED"): "count(*) FROM (SELECT DISTINCT s, e, c FROM l)",
+    ("edge", "MADE_DIAGNOSIS"): "count(*) FROM (SELECT DISTINCT e, c FROM l)",
+    ("edge", "OF_CONDITION"): "count(*) FROM (SELECT DISTINCT e, c FROM l)",
+}
+
+
+@query(_RECORDS + " UNION ALL ".join(f" SELECT '{kind}' AS kind, '{name}' AS name, ({'SELECT ' + count})::BIGINT AS n" for (kind, name), count in _COUNTS.items()))
+def graph_projection(spark, sf_dir):
+    """All eleven labels and seventeen relations."""
+    tables = _record_tables(spark, sf_dir)
+    return G.graph_counts(G.project_nodes(tables), G.project_edges(tables))
+
+
 def _drifted(spark, sf_dir):
     """The graph with visits of every 50th owner also hung on the next owner."""
     nodes, edges = _graph(spark, sf_dir)

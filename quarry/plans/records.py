@@ -85,10 +85,8 @@ FROM b FULL JOIN a ON b.scope = a.scope AND b.key = a.key WHERE b.scope IS NULL
 
 @query(_diff(f"SELECT * FROM {M} WHERE " + IN_EFFECT.format("DATE '1997-01-01'"), f"SELECT * FROM {M} WHERE " + IN_EFFECT.format("DATE '1999-01-01'")))
 def state_diff(spark, sf_dir):
-    courses = S.medications(spark, sf_dir)
-    scopes = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scope"))
-    on = lambda d: R.in_effect(courses, scopes.withColumn("on_date", F.lit(d)))
-    return R.diff_states(on(date(1997, 1, 1)), on(date(1999, 1, 1)), ["dosage", "status"])
+    flagged = S.medications(spark, sf_dir).withColumns({"was": R.in_force(F.lit(date(1997, 1, 1))), "now": R.in_force(F.lit(date(1999, 1, 1)))})
+    return R.diff_flagged(flagged.where("was or now"), ["dosage", "status"])
 
 
 LAST = f"(SELECT scope, encounter_date FROM {E} QUALIFY row_number() OVER (PARTITION BY scope ORDER BY encounter_date DESC, id DESC) = 1)"
@@ -168,6 +166,39 @@ def record_card(spark, sf_dir):
     return R.record_card(S.appointments(spark, sf_dir), S.readings(spark, sf_dir), S.medications(spark, sf_dir), S.encounters(spark, sf_dir), NOW, TODAY)
 
 
+_DAY = "strftime({0}, '%-d %B %Y')"
+_MOMENT = "strftime({0}, '%-d %B %Y at %H:%M')"
+_NAMED = "(SELECT x.*, s_name AS provider_name, CASE WHEN x.id % 3 = 0 THEN 'review' END AS reason, 'visit' AS encounter_type FROM {0} x LEFT JOIN supplier ON s_suppkey = x.provider_id)"
+_SEEN = f"(SELECT a.*, provider_name FROM {A} a JOIN {_NAMED.format(E)} e ON e.id = a.id)"
+_LIST = "(SELECT scope, count(*) AS n, string_agg(item, '; ' ORDER BY r) FILTER (r <= 10) || CASE WHEN count(*) > 10 THEN '; and ' || (count(*) - 10) || ' older' ELSE '' END AS line{2} FROM (SELECT *, {1} AS item, row_number() OVER (PARTITION BY scope ORDER BY d DESC, id DESC) AS r FROM {0}) GROUP BY 1)"
+_WHO = "coalesce(' with ' || provider_name, '')"
+_CHANGE = "CASE change WHEN 'started' THEN key || ' started (' || dosage_after || ')' WHEN 'stopped' THEN key || ' discontinued (was ' || dosage_before || ')' ELSE key || ' changed from ' || dosage_before || ' to ' || dosage_after END"
+_CHANGES = f"""(SELECT * FROM (SELECT coalesce(b.scope, a.scope) AS scope, coalesce(b.key, a.key) AS key, b.dosage AS dosage_before, a.dosage AS dosage_after, CASE WHEN b.scope IS NULL THEN 'started' WHEN a.scope IS NULL THEN 'stopped' WHEN a.dosage IS DISTINCT FROM b.dosage THEN 'changed' END AS change
+FROM (SELECT m.scope, lower(trim(name)) AS key, dosage FROM {M} m JOIN {LAST} l ON m.scope = l.scope WHERE {IN_EFFECT.format("l.encounter_date - 1")} QUALIFY row_number() OVER (PARTITION BY m.scope, lower(trim(name)) ORDER BY start_date DESC, dosage DESC) = 1) b
+FULL JOIN (SELECT m.scope, lower(trim(name)) AS key, dosage FROM {M} m JOIN {LAST} l ON m.scope = l.scope WHERE {IN_EFFECT.format("l.encounter_date")} QUALIFY row_number() OVER (PARTITION BY m.scope, lower(trim(name)) ORDER BY start_date DESC, dosage DESC) = 1) a ON a.scope = b.scope AND a.key = b.key) WHERE change IS NOT NULL)"""
+
+
+@query(f"""WITH e AS (SELECT *, encounter_date AS d FROM {_NAMED.format(E)}), a AS (SELECT *, appointment_date AS d FROM {_SEEN}),
+r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY result_date DESC, id DESC, test_name DESC, value::VARCHAR DESC) AS k, count(*) OVER (PARTITION BY scope) AS n FROM {L}),
+z AS (SELECT scope, encounter_date, provider_name, reason FROM e QUALIFY row_number() OVER (PARTITION BY scope ORDER BY encounter_date DESC, id DESC) = 1),
+p AS (SELECT c_custkey AS scope, 'profile' AS lookup, 1 AS n, c_name || ', age ' || c_custkey % 90 || ', record P' || c_custkey || '.' AS summary FROM customer
+UNION ALL SELECT scope, 'next_appointment', 1, 'Next appointment: ' || {_MOMENT.format("d")} || {_WHO} || '.' FROM (SELECT * FROM a WHERE status = 'scheduled' AND d >= TIMESTAMP '1999-06-15' QUALIFY row_number() OVER (PARTITION BY scope ORDER BY d, id) = 1)
+UNION ALL SELECT scope, 'appointments', n, n || ' appointments on record, ' || up || ' of them upcoming: ' || line || '.' FROM {_LIST.format("a", _MOMENT.format("d") + " || ' ' || appointment_type || " + _WHO + " || ' (' || status || ')'", ", count(CASE WHEN d > TIMESTAMP '1999-06-15' THEN 1 END) AS up")}
+UNION ALL SELECT scope, 'medications', count(*), count(*) || ' active medications: ' || string_agg(name || ' ' || dosage || ' daily', '; ' ORDER BY name || ' ' || dosage || ' daily') || '.' FROM {M} WHERE status = 'active' AND {IN_EFFECT.format("DATE '1999-06-15'")} GROUP BY 1
+UNION ALL SELECT scope, 'lab_results', n, n || ' results; most recent ' || test_name || ' ' || value || ' mg on ' || {_DAY.format("result_date")} || '.' FROM r WHERE k = 1
+UNION ALL SELECT scope, 'encounters', n, n || ' encounters on record: ' || line || '.' FROM {_LIST.format("e", _DAY.format("d") + " || ' ' || encounter_type || coalesce(' for ' || reason, '') || " + _WHO, "")}
+UNION ALL SELECT scope, 'last_encounter', 1, 'Last visit: ' || {_DAY.format("encounter_date")} || {_WHO} || '.' || coalesce(' Reason: ' || reason, '') FROM z
+UNION ALL SELECT z.scope, 'medication_changes', coalesce(n, 0), CASE WHEN n IS NULL THEN 'No medication changes were recorded at the ' || {_DAY.format("encounter_date")} || ' visit.' ELSE 'At the ' || {_DAY.format("encounter_date")} || ' visit: ' || line || '.' END FROM z LEFT JOIN (SELECT scope, count(*) AS n, string_agg({_CHANGE}, '; ' ORDER BY {_CHANGE}) AS line FROM {_CHANGES} GROUP BY 1) c ON c.scope = z.scope)
+SELECT c_custkey AS scope, w.lookup, coalesce(n, 0)::BIGINT AS n, coalesce(summary, nothing) AS summary FROM customer, (VALUES {", ".join(f"('{k}', '{none}')" for k, none in R.LOOKUPS)}) w(lookup, nothing) LEFT JOIN p ON p.scope = c_custkey AND p.lookup = w.lookup""")
+def record_lookups(spark, sf_dir):
+    people = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scope"), F.col("c_name").alias("full_name"), (F.col("c_custkey") % 90).alias("age"), F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("record_no"))
+    names = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("provider_id"), F.col("s_name").alias("provider_name"))
+    visits = R.with_provider(S.encounters(spark, sf_dir), names).withColumns({"reason": F.when(F.col("id") % 3 == 0, "review"), "encounter_type": F.lit("visit")})
+    booked = S.appointments(spark, sf_dir).join(visits.select("id", "provider_name"), "id")
+    tests = S.readings(spark, sf_dir).withColumn("unit", F.lit("mg"))
+    return R.record_lookups(people, booked, tests, S.medications(spark, sf_dir).withColumn("frequency", F.lit("daily")), visits, NOW, TODAY)
+
+
 @query("SELECT DISTINCT user_id, c_custkey AS scope FROM events JOIN customer ON c_custkey = user_id % 97 WHERE event_type = 'signup'")
 def resolve_scope(spark, sf_dir):
     events, customers = load(spark, sf_dir, "events"), load(spark, sf_dir, "customer")
