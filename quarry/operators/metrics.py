@@ -113,6 +113,56 @@ def score_card(groups: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("skip_reason", F.when(F.col("value").isNull(), "nothing to score"))
 
 
+# Metric groups, their metrics and why one may have nothing to score.
+SCORES = [
+    ("routing", "router_accuracy", "no case had both an expected route and a live model"),
+    ("retrieval", "recall_at_k", "no case with retrieval ground truth ran"),
+    ("retrieval", "precision_at_k", "no case with retrieval ground truth ran"),
+    ("retrieval", "mrr", "no case with retrieval ground truth ran"),
+    ("generation", "answer_correctness", "no case ran that declares required facts"),
+    ("generation", "citation_correctness", "no cited answers with ground truth"),
+    ("generation", "grounding_rate", "no record-backed answers"),
+    ("generation", "faithfulness", "no judged answers"),
+    ("tools", "tool_recall", "no case expects a tool"),
+    ("tools", "tool_precision", "no case used a tool"),
+    ("tools", "mean_tool_calls", "no case ran"),
+    ("safety", "leak_free_rate", "no case forbids a term"),
+    ("reliability", "error_rate", "every case was skipped"),
+]
+
+
+def score_results(results: DataFrame, k: int = 5) -> DataFrame:
+    """The score card of a run: (group, metric, value, n, skip_reason), n being the cases that count; one pass over the cases.
+
+    results: skipped, error, route, expected_route, retrieved and relevant (arrays of ids), answer, must_mention, must_not_mention,
+    cited, needs_sources, faithfulness, expected_tools, tools_used. Skipped and failed cases count for error_rate only.
+    """
+    ran = F.col("skipped").isNull() & F.col("error").isNull()
+    truth = F.size("relevant") > 0
+    first = F.slice("retrieved", 1, k)
+    hits = F.size(F.array_intersect(first, "relevant"))
+    found = F.filter(F.transform("retrieved", lambda x, i: F.when(F.array_contains("relevant", x), i + 1)), lambda i: i.isNotNull())
+    shared = F.size(F.array_intersect("expected_tools", "tools_used"))
+    values = {
+        "router_accuracy": F.when(F.col("expected_route").isNotNull() & F.col("route").isNotNull(), F.col("route") == F.col("expected_route")),
+        "recall_at_k": F.when(truth, hits / F.size(F.array_distinct("relevant"))),
+        "precision_at_k": F.when(truth, F.coalesce(F.try_divide(F.size(F.filter(first, lambda x: F.array_contains("relevant", x))), F.size(first)), F.lit(0.0))),
+        "mrr": F.when(truth, F.coalesce(1 / F.get(found, F.lit(0)), F.lit(0.0))),
+        "answer_correctness": answer_correctness(F.col("must_mention"), F.col("answer")),
+        "citation_correctness": citation_correctness(F.col("cited"), F.col("relevant")),
+        "grounding_rate": F.when(F.col("needs_sources"), F.size("cited") > 0),
+        "faithfulness": F.col("faithfulness"),
+        "tool_recall": F.try_divide(shared, F.size("expected_tools")),
+        "tool_precision": F.try_divide(shared, F.size(F.array_distinct("tools_used"))),
+        "mean_tool_calls": F.size("tools_used"),
+        "leak_free_rate": leak_free(F.col("must_not_mention"), F.col("answer")),
+    }
+    rows = results.select(*[F.when(ran, v.cast("double")).alias(m) for m, v in values.items()], F.when(F.col("skipped").isNull(), F.col("error").isNotNull().cast("double")).alias("error_rate"))
+    whole = rows.agg(*[x for _, m, _ in SCORES for x in (F.avg(m).alias(m), F.count(m).alias(f"n_{m}"))])
+    tall = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(m).alias("metric"), F.col(m).alias("value"), F.col(f"n_{m}").alias("n"), F.lit(none).alias("skip_reason")) for g, m, none in SCORES])
+    return whole.select(F.inline(tall)).withColumn("skip_reason", F.when(F.col("n") == 0, F.col("skip_reason")))
+
+
 def faithfulness(claims: DataFrame) -> DataFrame:
     """The share of a case's claims that are supported, and those that aren't."""
     return claims.groupBy("case_id").agg(rate(F.col("supported")).alias("faithfulness"), F.count_if(~F.col("supported")).alias("n_unsupported"), F.array_sort(F.collect_list(F.when(~F.col("supported"), F.col("claim")))).alias("unsupported"))

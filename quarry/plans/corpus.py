@@ -123,9 +123,11 @@ def pair_leaks(spark, sf_dir):
     return C.pair_leaks(_texts(spark, sf_dir), pairs.where("first <> '' and second <> ''"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'first, i') OR contains(lower(text), 'let me think') OR contains(lower(text), 'step 1') OR contains(lower(text), 'my reasoning') OR contains(lower(text), 'i''ll start by') OR contains(lower(text), '<think>')")
+@query("SELECT event_id FROM events WHERE user_id % 5 < 2")
 def narration(spark, sf_dir):
-    return C.narration(load(spark, sf_dir, "conversations")).select("conv_id", "turn")
+    """Answers about events; two clients of five get one that tells its steps."""
+    said = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("LET me think about "), "event_type")).when(F.col("user_id") % 5 == 1, F.concat("event_type", F.lit(" is Step 1."))).otherwise(F.col("event_type"))
+    return C.narration(load(spark, sf_dir, "events").select("event_id", said.alias("text"))).select("event_id")
 
 
 @query("SELECT event_id, CASE WHEN user_id % 4 = 3 THEN NULL WHEN user_id % 4 = 2 THEN NULL ELSE CASE WHEN json_extract(props, '$.k')::BIGINT % 2 = 0 THEN 'wrong_value' END END AS failure, user_id % 4 >= 2 AS no_json FROM events")

@@ -41,6 +41,10 @@ def latency_summary(spark, sf_dir):
     return K.latency_summary(load(spark, sf_dir, "events"), "value", ["event_type"])
 
 
+def _words(*w):
+    return F.array(*[F.lit(x) for x in w])
+
+
 def _answers(spark, sf_dir):
     """Assistant turns as answers, with terms asked for and forbidden, and made-up citations."""
     turns = load(spark, sf_dir, "conversations").where("role = 'assistant'")
@@ -60,11 +64,11 @@ def grounding_rate(spark, sf_dir):
     return K.grounding_rate(rows, "cited", "expects", ["conv_id"])
 
 
-@query("""SELECT event_type, avg(CASE WHEN user_id % 3 = 0 THEN 0.5 ELSE 0.5 END)::DOUBLE AS recall, avg(CASE WHEN user_id % 3 = 0 THEN 1.0 ELSE 0.5 END)::DOUBLE AS precision, count(CASE WHEN value < 100 THEN 1 END) / count(*)::DOUBLE AS success_rate, 1.0::DOUBLE AS mean_calls FROM events GROUP BY 1""")
+@query("""WITH t AS (SELECT event_type, value, ['a', 'b'] AS wanted, CASE user_id % 3 WHEN 0 THEN ['a'] WHEN 1 THEN ['b', 'c'] ELSE ['a', 'b', 'b', 'd'] END AS used FROM events)
+SELECT event_type, avg(len(list_intersect(wanted, used)) / 2.0::DOUBLE) AS recall, avg(len(list_intersect(wanted, used)) / len(list_distinct(used))::DOUBLE) AS precision, sum(CASE WHEN value < 100 THEN len(used) ELSE 0 END)::DOUBLE / sum(len(used)) AS success_rate, avg(len(used)) AS mean_calls FROM t GROUP BY 1""")
 def tool_metrics(spark, sf_dir):
-    words = lambda *w: F.array(*[F.lit(x) for x in w])
-    rows = load(spark, sf_dir, "events").select("event_type", words("a", "b").alias("expected_tools"), F.when(F.col("user_id") % 3 == 0, words("a")).otherwise(words("b", "c")).alias("tools_used"), F.array(F.struct((F.col("value") < 100).alias("ok"))).alias("tool_calls"))
-    return K.tool_metrics(rows, ["event_type"])
+    rows = load(spark, sf_dir, "events").select("event_type", _words("a", "b").alias("expected_tools"), F.when(F.col("user_id") % 3 == 0, _words("a")).when(F.col("user_id") % 3 == 1, _words("b", "c")).otherwise(_words("a", "b", "b", "d")).alias("tools_used"), (F.col("value") < 100).alias("ok"))
+    return K.tool_metrics(rows.withColumn("tool_calls", F.transform("tools_used", lambda t: F.struct(F.col("ok").alias("ok")))), ["event_type"])
 
 
 @query("SELECT event_type, CASE WHEN event_type = 'view' THEN NULL ELSE (sum(2) - count(CASE WHEN value > 50 THEN 1 END)) / sum(2)::DOUBLE END AS validity FROM events GROUP BY 1")
@@ -94,6 +98,45 @@ def score_card(spark, sf_dir):
     return K.score_card({"latency": K.latency_summary(load(spark, sf_dir, "events"), "value"), "routing": K.accuracy(labels, "quality", "toxic"), "none": K.accuracy(labels.where("doc_id < 0"), "quality", "toxic")})
 
 
+@query("""WITH c AS (SELECT *, turn % 7 = 6 AS skipped, turn % 7 = 5 AS failed, range(1, turn % 4 + 2) AS cited, CASE WHEN conv_id % 3 > 0 THEN range(2, conv_id % 5 + 3) ELSE [] END AS relevant FROM conversations WHERE role = 'assistant'),
+r AS (SELECT *, NOT skipped AND NOT failed AS ran FROM c), j AS (SELECT *, list_filter(cited, lambda x: list_contains(relevant, x)) AS good FROM r WHERE ran),
+m AS (SELECT 'routing' AS "group", 'router_accuracy' AS metric, avg((conv_id % 2 = turn % 2)::INT) AS value, count(*) AS n FROM j WHERE conv_id % 5 > 0
+UNION ALL SELECT 'retrieval', 'recall_at_k', avg(len(good[:3]) / len(relevant)::DOUBLE), count(*) FROM (SELECT *, list_filter(cited[:3], lambda x: list_contains(relevant, x)) AS good FROM r WHERE ran AND len(relevant) > 0)
+UNION ALL SELECT 'retrieval', 'precision_at_k', avg(len(list_filter(cited[:3], lambda x: list_contains(relevant, x))) / len(cited[:3])::DOUBLE), count(*) FROM j WHERE len(relevant) > 0
+UNION ALL SELECT 'retrieval', 'mrr', avg(CASE WHEN len(good) > 0 THEN 1.0::DOUBLE / list_position(cited, good[1]) ELSE 0 END), count(*) FROM j WHERE len(relevant) > 0
+UNION ALL SELECT 'generation', 'answer_correctness', avg((contains(lower(text), 'the')::INT + contains(lower(text), 'of')::INT) / 2.0::DOUBLE), count(*) FROM j WHERE turn % 4 = 1
+UNION ALL SELECT 'generation', 'citation_correctness', avg(len(good) / len(cited)::DOUBLE), count(*) FROM j WHERE len(relevant) > 0
+UNION ALL SELECT 'generation', 'grounding_rate', avg(1.0::DOUBLE), count(*) FROM j WHERE conv_id % 4 = 0
+UNION ALL SELECT 'generation', 'faithfulness', NULL, 0
+UNION ALL SELECT 'tools', 'tool_recall', avg((conv_id % 2)::DOUBLE), count(*) FROM j WHERE turn % 3 = 0
+UNION ALL SELECT 'tools', 'tool_precision', avg((turn % 3 = 0)::INT / 2.0::DOUBLE), count(*) FROM j WHERE conv_id % 2 = 1
+UNION ALL SELECT 'tools', 'mean_tool_calls', avg(conv_id % 2 * 2), count(*) FROM j
+UNION ALL SELECT 'safety', 'leak_free_rate', avg((NOT contains(lower(text), 'ing'))::INT), count(*) FROM j WHERE conv_id % 2 = 0
+UNION ALL SELECT 'reliability', 'error_rate', avg(failed::INT), count(*) FROM r WHERE NOT skipped)
+SELECT "group", metric, value, n::BIGINT AS n, CASE WHEN n = 0 THEN 'no judged answers' END AS skip_reason FROM m""")
+def score_results(spark, sf_dir):
+    """Assistant turns as cases: a seventh skipped, a seventh failed; citations are what was retrieved."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    turns, conv, turn = load(spark, sf_dir, "conversations").where("role = 'assistant'"), F.col("conv_id"), F.col("turn")
+    cases = turns.select(
+        F.when(turn % 7 == 6, "no model").alias("skipped"),
+        F.when(turn % 7 == 5, "failed").alias("error"),
+        F.when(conv % 2 == 0, "a").otherwise("b").alias("route"),
+        F.when(conv % 5 > 0, F.when(turn % 2 == 0, "a").otherwise("b")).alias("expected_route"),
+        F.sequence(F.lit(1), (turn % 4 + 1).cast("int")).alias("retrieved"),
+        F.when(conv % 3 > 0, F.sequence(F.lit(2), (conv % 5 + 2).cast("int"))).otherwise(none("int")).alias("relevant"),
+        F.col("text").alias("answer"),
+        F.when(turn % 4 == 1, _words("THE", "of")).otherwise(none("string")).alias("must_mention"),
+        F.when(conv % 2 == 0, _words("Ing")).otherwise(none("string")).alias("must_not_mention"),
+        F.sequence(F.lit(1), (turn % 4 + 1).cast("int")).alias("cited"),
+        (conv % 4 == 0).alias("needs_sources"),
+        F.lit(None).cast("double").alias("faithfulness"),
+        F.when(turn % 3 == 0, _words("x")).otherwise(none("string")).alias("expected_tools"),
+        F.when(conv % 2 == 1, _words("x", "y")).otherwise(none("string")).alias("tools_used"),
+    )
+    return K.score_results(cases, 3)
+
+
 @query("SELECT user_id AS case_id, avg((value < 100)::INT) AS faithfulness, count(CASE WHEN value >= 100 THEN 1 END)::BIGINT AS n_unsupported, coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY event_id::VARCHAR) FILTER (value >= 100), '') AS unsupported FROM events GROUP BY 1")
 def faithfulness(spark, sf_dir):
     claims = load(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").cast("string").alias("claim"), (F.col("value") < 100).alias("supported"))
