@@ -10,9 +10,9 @@
    fewest rare shingles. Those that link stand behind their pivot with their distance, a ball; prefixes are then joined by pivot,
    places of a shingle that very many pivots have in blocks. Pairs of pivots are verified.
 5. Where two pivots don't link, aren't in one group by other links, and the triangle inequality of the Jaccard distance allows a
-   link between their balls, each ball's members are verified against the other's pivot. What links joins the groups. Of balls
-   that are still apart, the members near enough to the other pivot have their own prefixes joined, pair of balls by pair, where
-   the distances to both pivots allow a link; what comes of that is verified. No link that could join two groups is left out.
+   link between their balls, the members' own prefixes are joined, pair of balls by pair, and what comes of that is verified.
+   Pairs of balls for which that would make many more rows than they have members have their members verified against the other
+   pivot first; if none of them links, only those near enough to it are joined. No link that could join two groups is left out.
 6. Links become groups by alternating large-star and small-star steps over written edge tables.
 
 Shingles are 64-bit hashes of word hashes, classes 128-bit digests of their sets; verification intersects whole sets.
@@ -43,7 +43,9 @@ MOST_SHARED = 6
 #: What verifying a candidate costs, in places read.
 VERIFY_COST = 8.0
 #: Pivots with one shingle that are joined with each other in one block.
-BLOCK = 4096
+BLOCK = 16384
+#: Pairs of places a member, from which the members of two balls are measured against the other pivot first.
+CROWDED = 16
 #: Tasks whose sketches are added up in one group.
 FAN = 1024
 _SECOND = np.uint64(0xA24BAED4963EE407)
@@ -210,52 +212,62 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def _pivot_places(members: DataFrame, sketch: np.ndarray) -> tuple[DataFrame, DataFrame | None]:
-    """Places of the members' prefixes by shingle and pivot, and the shingles that more than BLOCK places have, with their blocks.
+SIDES = ("need", "most", "low", "high", "left", "count")
+
+
+def _fits(percent: int) -> F.Column:
+    """Whether two balls' places of a shingle (columns of both sides) leave room for a link between their members."""
+    sizes = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+    return sizes & ((F.least("left_a", "left_b") + F.least("most_a", "most_b") - 1) * (100 + percent) >= (F.col("low_a") + F.col("low_b")) * percent)
+
+
+def _by_ball(places: DataFrame, *keys: str) -> DataFrame:
+    """Places (n, place, need) by the keys and pivot.
 
     need and most: the least and the largest multiplicity of the pivot's members there; low and high: their set sizes; left: the
-    shingles of a set from the place on, at most.
+    shingles of a set from the place on, at most; count: the places.
     """
-    places = members.select("pivot", "need", "n", F.posexplode("prefix").alias("place", "shingle"))
-    # one number beside shingle and pivot keeps what is shuffled small
-    packed = F.shiftleft("n", 32) + F.shiftleft(F.col("place").cast("long"), 4) + F.col("need")
-    places = places.select("shingle", "pivot", packed.alias("packed"))
-    hot = np.flatnonzero(sketch > BLOCK)
-    often = None
-    if len(hot):
-        # exact counts, of the few shingles that the sketch allows to be so frequent
-        buckets = F.broadcast(members.sparkSession.createDataFrame(pd.DataFrame({"bucket": hot.astype(np.int64)})))
-        often = places.join(buckets, F.shiftrightunsigned("shingle", 64 - SKETCH_BITS) == F.col("bucket"), "left_semi").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-        often = written(often.select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "often")
-        often = None if often.isEmpty() else sized_broadcast(often)
+    return places.groupBy(*keys, "pivot").agg(F.min("need").alias("need"), F.max("need").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"), F.count("*").alias("count"))
+
 
-    def grouped(some: DataFrame) -> DataFrame:
-        some = some.select("shingle", "pivot", F.shiftright("packed", 32).alias("n"), F.shiftright("packed", 4).bitwiseAND(0xFFFFFFF).alias("place"), F.col("packed").bitwiseAND(15).alias("need"))
-        return some.groupBy("shingle", "pivot").agg(F.min("need").alias("need"), F.max("need").alias("most"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("left"))
+def _pairs_of_balls(places: DataFrame, percent: int, *keys: str) -> DataFrame:
+    """Pairs of pivots (a < b) with a shingle of their members' prefixes in common, and what _by_ball says of both."""
+    one, two = (places.withColumnsRenamed({c: f"{c}_{side}" for c in (*SIDES, "own") if c in places.columns} | {"pivot": side}) for side in "ab")
+    return one.join(two, list(keys)).where(F.col("a") < F.col("b")).where(_fits(percent))
 
-    if often is None:
-        return grouped(places.repartition("shingle")), None
-    return grouped(places.join(often, "shingle", "left_anti").repartition("shingle")), grouped(places.join(often.select("shingle"), "shingle", "left_semi")).join(often, "shingle")
+
+def _often(places: DataFrame, sketch: np.ndarray) -> DataFrame | None:
+    """Shingles that more than BLOCK places have, with their number of blocks; exact counts, of the few that the sketch allows to be so frequent."""
+    hot = np.flatnonzero(sketch > BLOCK)
+    if not len(hot):
+        return None
+    buckets = F.broadcast(places.sparkSession.createDataFrame(pd.DataFrame({"bucket": hot.astype(np.int64)})))
+    counts = places.join(buckets, F.shiftrightunsigned("shingle", 64 - SKETCH_BITS) == F.col("bucket"), "left_semi").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    often = written(counts.select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "often")
+    return None if often.isEmpty() else sized_broadcast(often)
 
 
 def _candidates(members: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """Pairs of pivots (a < b) that share as many places as one of their members' multiplicities asks for."""
-    places, blocked = _pivot_places(members, sketch)
-    sides = ("need", "most", "low", "high", "left")
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    fits = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
-    fits &= (F.least("left_a", "left_b") + F.least("most_a", "most_b") - 1) * (100 + percent) >= (F.col("low_a") + F.col("low_b")) * percent
-    one, two = (places.withColumnsRenamed({c: f"{c}_{side}" for c in sides} | {"pivot": side}) for side in "ab")
-    shared = one.join(two, "shingle").where(F.col("a") < F.col("b")).where(fits).select("a", "b", F.least("need_a", "need_b").alias("need"))
-    if blocked is not None:
-        # every pair of blocks, a block with itself once
-        own = F.pmod(F.xxhash64("pivot"), F.col("blocks")).cast("int")
-        first = blocked.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)))
-        second = blocked.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
-        one, two = (x.drop("blocks").withColumnsRenamed({c: f"{c}_{side}" for c in sides} | {"pivot": side}) for x, side in ((first, "a"), (second, "b")))
-        pairs = one.join(two, ["shingle", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))).where(fits)
-        shared = shared.unionByName(pairs.select(low.alias("a"), high.alias("b"), F.least("need_a", "need_b").alias("need")))
-    return shared.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
+    """Pairs of pivots (a < b) that share as many places as one of their members' multiplicities asks for.
+
+    Places of a shingle that very many have are dealt into blocks; every two blocks meet in a task of their own.
+    """
+    places = members.select("pivot", "need", "n", F.posexplode("prefix").alias("place", "shingle"))
+    # one number beside shingle and pivot keeps what is shuffled small
+    packed = F.shiftleft("n", 32) + F.shiftleft(F.col("place").cast("long"), 4) + F.col("need")
+    places = places.select("shingle", "pivot", packed.alias("packed"))
+    often, keys, once = _often(places, sketch), ["shingle"], F.lit(True)
+    if often is not None:
+        keys = ["shingle", "i", "j"]
+        places = places.join(often, "shingle", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("pivot"), F.col("blocks")).cast("int"), F.lit(0)))
+        meets = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
+        places = places.select("shingle", "pivot", "packed", "own", F.inline(meets))
+        # two places of one block meet where it meets itself
+        once = (F.col("own_a") != F.col("own_b")) | (F.col("i") == F.col("j"))
+    places = places.repartition(*keys).withColumns({"n": F.shiftright("packed", 32), "place": F.shiftright("packed", 4).bitwiseAND(0xFFFFFFF), "need": F.col("packed").bitwiseAND(15)})
+    places = _by_ball(places, *keys, *(["own"] if often is not None else []))
+    shared = _pairs_of_balls(places, percent, *keys).where(once)
+    return shared.groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.least("need_a", "need_b")).alias("need")).where("common >= need").select("a", "b")
 
 
 def linked_groups(classes: DataFrame, docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -297,35 +309,51 @@ def linked_groups(classes: DataFrame, docs: DataFrame, sketch: np.ndarray, k: in
     if apart.isEmpty():
         return groups
 
-    # members against the other ball's pivot: (ball, other) in both directions
-    both = apart.select(F.col("a").alias("ball"), F.col("b").alias("other"), "distance", F.col("radius_b").alias("reach")).union(apart.select("b", "a", "distance", "radius_a"))
-    behind = stood.select(F.col("b").alias("ball"), F.col("a").alias("node"), F.col("distance").alias("own"))
-    crossing = written(behind.join(both, "ball").where(F.col("own") + F.col("reach") + most >= F.col("distance")).select("ball", "other", "node", "own", "reach"), "crossing")
-    every = written(sets.union(pivot_sets).dropDuplicates(["node"]), "every")
-    measured = _verified(crossing.select(F.col("node").alias("a"), F.col("other").alias("b"), "ball", "own", "reach"), every)
-    measured = written(measured.select(F.col("a").alias("node"), F.col("b").alias("other"), "ball", "own", "reach", distance.alias("far"), linked.alias("linked")), "measured")
-    joins = measured.where("linked").select(F.col("node").alias("u"), F.col("other").alias("v"))
-    if not joins.isEmpty():
-        groups = components(groups.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(joins))
-        apart = written(still_apart(apart, groups), "apart")
-        if apart.isEmpty():
-            return groups
-
-    # of what is still apart, members near enough to the other pivot, pair of balls by pair; pivots have been measured with all
-    edge = measured.where(F.col("far") <= most + F.col("reach")).select("ball", "other", "node", "own", "far")
-    prefixes = classes.select("node", F.col("need").cast("int").alias("need"), F.col("n").cast("int").alias("n"), "prefix")
-    wanted = written(edge.join(apart.select(F.col("a").alias("ball"), F.col("b").alias("other")).union(apart.select("b", "a")), ["ball", "other"], "left_semi"), "edge")
-    places = prefixes.join(wanted, "node").withColumns({"a": F.least("ball", "other"), "b": F.greatest("ball", "other")})
-    places = places.select("a", "b", "ball", "node", "own", "far", "need", "n", F.posexplode("prefix").alias("place", "shingle"))
-    one, two = (places.where(F.col("ball") == F.col(side)).select("a", "b", "shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "own", "far", "need", "n")), (F.col("n") - F.col("place")).alias(f"left_{side}")) for side in "ab")
-    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    fits &= (F.least("left_a", "left_b") + F.least("need_a", "need_b") - 1) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    fits &= (F.abs(F.col("own_a") - F.col("far_b")) <= most) & (F.abs(F.col("own_b") - F.col("far_a")) <= most)
-    opened = one.join(two, ["a", "b", "shingle"]).where(fits).groupBy("node_a", "node_b").agg(F.count("*").alias("common"), F.min(F.least("need_a", "need_b")).alias("need")).where("common >= need")
-    opened = written(opened.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "opened")
-    if opened.isEmpty():
+    # which pairs of balls share shingles in their members' prefixes, and how many pairs of places that makes
+    alone = sized_broadcast(written(apart.select(F.col("a").alias("pivot")).union(apart.select("b")).distinct(), "alone"))
+    places = members.join(alone, "pivot").select("pivot", "node", F.col("distance").alias("own"), F.col("need").cast("int").alias("need"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
+    held = _by_ball(places.repartition("shingle"), "shingle")
+    shared = _pairs_of_balls(held, percent, "shingle").select("a", "b", "shingle", "count_a", "count_b")
+    shared = written(shared.join(sized_broadcast(apart), ["a", "b"]), "shared").drop("radius_a", "radius_b", "distance")
+    sizes = members.join(alone, "pivot").groupBy("pivot").agg(F.count("*").alias("size"))
+    work = shared.groupBy("a", "b").agg(F.sum(F.col("count_a") * F.col("count_b")).alias("work")).join(apart, ["a", "b"])
+    for side in "ab":
+        work = work.join(sizes.withColumnsRenamed({"pivot": side, "size": f"size_{side}"}), side)
+    work = written(work, "work")
+    few = F.col("work") <= CROWDED * (F.col("size_a") + F.col("size_b"))
+    every = sets.union(pivot_sets)
+
+    def opened(keys: DataFrame, places: DataFrame, far: bool) -> DataFrame:
+        """Pairs of members that may link; keys: pairs of balls with the shingles they share and their pivots' distance."""
+        both = keys
+        for side in "ab":
+            own = places.withColumn("left", F.col("n") - F.col("place")).drop("place")
+            both = both.join(own.withColumnsRenamed({"pivot": side} | {c: f"{c}_{side}" for c in own.columns if c not in ("pivot", "shingle", "other")} | {"other": "b" if side == "a" else "a"}), ["shingle", "a", "b"] if far else ["shingle", side])
+        fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+        fits &= (F.least("left_a", "left_b") + F.least("need_a", "need_b") - 1) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+        fits &= F.col("own_a") + F.col("own_b") + most >= F.col("distance")
+        if far:
+            fits &= (F.abs(F.col("own_a") - F.col("far_b")) <= most) & (F.abs(F.col("own_b") - F.col("far_a")) <= most)
+        found = both.where(fits).groupBy("node_a", "node_b").agg(F.count("*").alias("common"), F.min(F.least("need_a", "need_b")).alias("need")).where("common >= need")
+        return found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    pairs = opened(shared.drop("count_a", "count_b").join(sized_broadcast(written(work.where(few).select("a", "b", "distance"), "few")), ["a", "b"]), places, False)
+    crowded = written(work.where(~few).select("a", "b", "distance", "radius_a", "radius_b"), "crowded")
+    if not crowded.isEmpty():
+        # members against the other ball's pivot, in both directions
+        both = crowded.select(F.col("a").alias("ball"), F.col("b").alias("other"), "distance", F.col("radius_b").alias("reach")).union(crowded.select("b", "a", "distance", "radius_a"))
+        behind = stood.select(F.col("b").alias("ball"), F.col("a").alias("node"), F.col("distance").alias("own"))
+        crossing = written(behind.join(both, "ball").where(F.col("own") + F.col("reach") + most >= F.col("distance")).select(F.col("node").alias("a"), F.col("other").alias("b"), "ball", "own", "reach"), "crossing")
+        every = written(every.dropDuplicates(["node"]), "every")
+        measured = written(_verified(crossing, every).select(F.col("a").alias("node"), F.col("b").alias("other"), "ball", "reach", distance.alias("far"), linked.alias("linked")), "measured")
+        groups = components(groups.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(measured.where("linked").select("node", "other")))
+        crowded = sized_broadcast(written(still_apart(crowded.select("a", "b", "distance"), groups), "still"))
+        edge = measured.where(F.col("far") <= most + F.col("reach")).select("node", "other", "far")
+        pairs = pairs.union(opened(shared.drop("count_a", "count_b").join(crowded, ["a", "b"]), places.join(edge, "node"), True))
+    pairs = written(pairs, "opened")
+    if pairs.isEmpty():
         return groups
-    inside = _verified(opened, every).where(linked).select("a", "b")
+    inside = _verified(pairs, every).where(linked).select("a", "b")
     return components(groups.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(inside))
 
 
