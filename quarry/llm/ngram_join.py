@@ -187,9 +187,9 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> Data
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Written pairs (a, b, ...) with the sizes of their sets' intersection and union."""
+    """Written pairs (a, b, ...) with the sizes of their sets' intersection and union; no set is shuffled that isn't in a pair."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(sized_broadcast(pairs), "a")
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    right = sets.join(sized_broadcast(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = left.join(right, "b").withColumn("shared", F.size(F.array_intersect("of_a", "of_b")))
     return both.withColumn("union", F.size("of_a") + F.size("of_b") - F.col("shared")).drop("of_a", "of_b")
 
@@ -321,6 +321,7 @@ def linked_groups(classes: DataFrame, docs: DataFrame, sketch: np.ndarray, k: in
         work = work.join(sizes.withColumnsRenamed({"pivot": side, "size": f"size_{side}"}), side)
     work = written(work, "work")
     few = F.col("work") <= CROWDED * (F.col("size_a") + F.col("size_b"))
+    # a class may have its set in both
     every = sets.union(pivot_sets)
 
     def opened(keys: DataFrame, places: DataFrame, far: bool) -> DataFrame:
@@ -344,8 +345,7 @@ def linked_groups(classes: DataFrame, docs: DataFrame, sketch: np.ndarray, k: in
         both = crowded.select(F.col("a").alias("ball"), F.col("b").alias("other"), "distance", F.col("radius_b").alias("reach")).union(crowded.select("b", "a", "distance", "radius_a"))
         behind = stood.select(F.col("b").alias("ball"), F.col("a").alias("node"), F.col("distance").alias("own"))
         crossing = written(behind.join(both, "ball").where(F.col("own") + F.col("reach") + most >= F.col("distance")).select(F.col("node").alias("a"), F.col("other").alias("b"), "ball", "own", "reach"), "crossing")
-        every = written(every.dropDuplicates(["node"]), "every")
-        measured = written(_verified(crossing, every).select(F.col("a").alias("node"), F.col("b").alias("other"), "ball", "reach", distance.alias("far"), linked.alias("linked")), "measured")
+        measured = written(_verified(crossing, every).select(F.col("a").alias("node"), F.col("b").alias("other"), "ball", "reach", distance.alias("far"), linked.alias("linked")).distinct(), "measured")
         groups = components(groups.select(F.col("vertex").alias("u"), F.col("component").alias("v")).union(measured.where("linked").select("node", "other")))
         crowded = sized_broadcast(written(still_apart(crowded.select("a", "b", "distance"), groups), "still"))
         edge = measured.where(F.col("far") <= most + F.col("reach")).select("node", "other", "far")
