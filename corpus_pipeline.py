@@ -43,7 +43,7 @@ STAGES = [
 ]
 
 #: Whole texts that go to Python at once.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 #: The classifiers' verdicts can't be said in SQL.
 ORACLE_SQL = None

@@ -21,7 +21,7 @@ from .arrays import ragged, run_hashes, text_slices
 
 LETTER, NUMBER, OTHER, WHITE, UNSURE = 0, 1, 2, 3, 4
 #: Pre-tokens remembered by one worker; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Bytes from which a pre-token is merged in blocks, and those of a block.
 LONG, BLOCK = 256, 64
 

@@ -374,7 +374,7 @@ def grouped_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     return rows, written(named.unionByName(alone), "by-class")
 
 
-def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, batch_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, batch_rows: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
 
     Two documents link when 100 * shared >= percent * union over their sets of k-word shingles. ``batch_rows``: whole texts that go
@@ -388,7 +388,7 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, batch_rows: i
     return found.unionByName(rows.where("n = 0 or doc_id is null").select("doc_id", counted, F.col("doc_id").alias("component_id")))
 
 
-def keep_one_of_each(docs: DataFrame, k: int = 4, percent: int = 85, batch_rows: int = 1000) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, k: int = 4, percent: int = 85, batch_rows: int = 500) -> DataFrame:
     """The documents, with all their columns, that are the first of their group: one row of the smallest id.
 
     Rows without an id or without words link with nothing and stay. Rows that share an id but not their group stay as well, one

@@ -45,7 +45,7 @@ WHITE = 255
 EVIDENCE = 11.0
 #: Most toxic places of a text that its score depends on, and the least and largest margin told apart there.
 MARGINS, LOW, HIGH = 2, 0.0, 6.0
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 _WHITE_TABLE = np.arange(256) == WHITE
 
 
