@@ -7,7 +7,7 @@ from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_search, chat, decontaminate, license_scan, ngram_join, packing, quality, token_counts, toxicity, warc
+from . import bin_search, chat, decontaminate, importance, license_scan, ngram_join, packing, quality, token_counts, toxicity, warc
 from .common import table
 
 
@@ -56,9 +56,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_pack_token_ids, op3_quality_lines, op4_license_scan, op5_warc_derivatives, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity, op10_ngram_jaccard)
+    for f in (op1_chat_format, op2_pack_token_ids, op3_quality_lines, op4_license_scan, op5_warc_derivatives, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity, op10_ngram_jaccard, op13_importance_resampling)
 }
 
 #: Words of a text: A-Z lower-cased, then runs of anything but ASCII that is no digit or letter. DuckDB's lower() would fold more.
@@ -155,4 +159,28 @@ SELECT page_id, warc_type, record_id, refers_to, concat_ws(nl, 'WARC/1.1', 'WARC
   'WARC-Payload-Digest: ' || payload_digest, 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type, 'Content-Length: ' || content_length) AS headers, payload_digest, block_digest, content_length::BIGINT AS content_length, block FROM i
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op5_warc_derivatives": OP5_SQL, "op7_decontaminate": OP7_SQL, "op10_ngram_jaccard": OP10_SQL}
+#: crc32 byte by byte over the hexadecimal digits of a text.
+_CRC32_SQL = """
+byte_table AS (SELECT list(c ORDER BY b) AS t FROM (WITH RECURSIVE r AS (SELECT range AS b, range::UINTEGER AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1 FROM r WHERE k < 8) SELECT b, c FROM r WHERE k = 8)),
+checked AS (SELECT g, xor(list_reduce(list_prepend(4294967295::UINTEGER, list_transform(regexp_extract_all(hex(g), '..'), lambda h: (instr('0123456789ABCDEF', h[1]) * 16 + instr('0123456789ABCDEF', h[2]) - 17)::UINTEGER)),
+  lambda c, b: xor(t[1 + xor(c & 255::UINTEGER, b)], c >> 8)), 4294967295::UINTEGER) AS crc FROM (SELECT DISTINCT g FROM (SELECT g FROM df UNION ALL SELECT g FROM bf)), byte_table)"""
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+df AS (SELECT r, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)),
+bf AS (SELECT array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)),
+{_CRC32_SQL},
+s AS (SELECT (crc % 10000)::INT AS bucket, count(*) AS s FROM df JOIN checked USING (g) GROUP BY ALL),
+t AS (SELECT (crc % 10000)::INT AS bucket, count(*) AS t FROM bf JOIN checked USING (g) GROUP BY ALL),
+gain AS (SELECT range::INT AS bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM range(10000) LEFT JOIN s ON s.bucket = range LEFT JOIN t ON t.bucket = range),
+f AS (SELECT r, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM df JOIN checked USING (g) JOIN gain ON gain.bucket = (crc % 10000)::INT GROUP BY r),
+o AS (SELECT doc_id, r, len(w) AS n, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN f USING (r)),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank, count(*) OVER () AS n FROM o WHERE n >= 20 AND score IS NOT NULL)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * k.n // 100 THEN rank END AS rank FROM o LEFT JOIN k USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op5_warc_derivatives": OP5_SQL, "op7_decontaminate": OP7_SQL, "op10_ngram_jaccard": OP10_SQL, "op13_importance_resampling": OP13_SQL}
