@@ -7,7 +7,7 @@ from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_search, chat, decontaminate, importance, license_scan, ngram_join, packing, quality, token_counts, toxicity, warc
+from . import bin_search, chat, decontaminate, importance, license_scan, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -56,13 +56,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_pack_token_ids, op3_quality_lines, op4_license_scan, op5_warc_derivatives, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity, op10_ngram_jaccard, op13_importance_resampling)
+    for f in (op1_chat_format, op2_pack_token_ids, op3_quality_lines, op4_license_scan, op5_warc_derivatives, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity, op10_ngram_jaccard, op12_suffix_dedup, op13_importance_resampling)
 }
 
 #: Words of a text: A-Z lower-cased, then runs of anything but ASCII that is no digit or letter. DuckDB's lower() would fold more.
@@ -159,6 +163,20 @@ SELECT page_id, warc_type, record_id, refers_to, concat_ws(nl, 'WARC/1.1', 'WARC
   'WARC-Payload-Digest: ' || payload_digest, 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type, 'Content-Length: ' || content_length) AS headers, payload_digest, block_digest, content_length::BIGINT AS content_length, block FROM i
 """
 
+#: Texts as hexadecimal digits, two a byte.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(coalesce(text, '')) AS h FROM documents),
+c AS (SELECT r, doc_id, b, substr(h, 2 * b + 1, 1098) AS h FROM (SELECT r, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 500)) AS b FROM d WHERE doc_id IS NOT NULL)),
+s AS (SELECT r, doc_id, b + p AS p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT r, doc_id, b, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM c)),
+m AS (SELECT g, min(doc_id) AS m FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+e AS (SELECT r, p, p - coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -51) > 50 AS fresh FROM s JOIN m USING (g) WHERE m.m < s.doc_id),
+x AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM e) GROUP BY r, k),
+k AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM x) JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
 #: crc32 byte by byte over the hexadecimal digits of a text.
 _CRC32_SQL = """
 byte_table AS (SELECT list(c ORDER BY b) AS t FROM (WITH RECURSIVE r AS (SELECT range AS b, range::UINTEGER AS c, 0 AS k FROM range(256)
@@ -183,4 +201,4 @@ k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank, coun
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * k.n // 100 THEN rank END AS rank FROM o LEFT JOIN k USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op5_warc_derivatives": OP5_SQL, "op7_decontaminate": OP7_SQL, "op10_ngram_jaccard": OP10_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op5_warc_derivatives": OP5_SQL, "op7_decontaminate": OP7_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_suffix_dedup": OP12_SQL, "op13_importance_resampling": OP13_SQL}
