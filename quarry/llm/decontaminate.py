@@ -35,8 +35,9 @@ _WORD_BYTES = bytes(32 if c < 128 and not chr(c).isalnum() else int(LOWER[c]) fo
 PART = 4096
 
 
-def normal_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
+def normal_words(text: str | bytes | None) -> list[bytes]:
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return raw.translate(_WORD_BYTES).split()
 
 
 @dataclass

@@ -7,7 +7,7 @@ from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bin_search, chat, decontaminate, importance, license_scan, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import bin_search, chat, decontaminate, importance, lexical_search, license_scan, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_pack_token_ids, op3_quality_lines, op4_license_scan, op5_warc_derivatives, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity, op10_ngram_jaccard, op12_suffix_dedup, op13_importance_resampling)
+    for f in (op1_chat_format, op2_pack_token_ids, op3_quality_lines, op4_license_scan, op5_warc_derivatives, op6_best_fit_search, op7_decontaminate, op8_token_counts, op9_toxicity, op10_ngram_jaccard, op11_lexical_search, op12_suffix_dedup, op13_importance_resampling)
 }
 
 #: Words of a text: A-Z lower-cased, then runs of anything but ASCII that is no digit or letter. DuckDB's lower() would fold more.
@@ -163,6 +167,18 @@ SELECT page_id, warc_type, record_id, refers_to, concat_ws(nl, 'WARC/1.1', 'WARC
   'WARC-Payload-Digest: ' || payload_digest, 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type, 'Content-Length: ' || content_length) AS headers, payload_digest, block_digest, content_length::BIGINT AS content_length, block FROM i
 """
 
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+q AS (SELECT item_id, row_number() OVER () AS q, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+z AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d),
+qt AS (SELECT q, t, count(*)::BIGINT AS times FROM (SELECT q, unnest(w) AS t FROM q) GROUP BY ALL),
+p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+v AS (SELECT t, floor(1000 * ln((2 * (SELECT n FROM z) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS v FROM p GROUP BY t),
+i AS (SELECT r, t, v * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * n) // l))) AS x FROM p JOIN v USING (t) JOIN d USING (r), z),
+s AS (SELECT q, r, sum(times * x)::BIGINT AS score FROM i JOIN qt USING (t) GROUP BY ALL HAVING sum(times * x) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT q, r, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM s JOIN d USING (r)) JOIN q USING (q) JOIN d USING (r) WHERE rank <= 20
+"""
+
 #: Texts as hexadecimal digits, two a byte.
 OP12_SQL = """
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(coalesce(text, '')) AS h FROM documents),
@@ -201,4 +217,4 @@ k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS rank, coun
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * k.n // 100 THEN rank END AS rank FROM o LEFT JOIN k USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op5_warc_derivatives": OP5_SQL, "op7_decontaminate": OP7_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_suffix_dedup": OP12_SQL, "op13_importance_resampling": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op5_warc_derivatives": OP5_SQL, "op7_decontaminate": OP7_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_importance_resampling": OP13_SQL}
