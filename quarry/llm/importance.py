@@ -180,7 +180,7 @@ def drawn(scores: DataFrame, wanted: int) -> F.Column:
         return F.col("score") >= cutoff
     # the smallest id up to which enough ties stand: ids are turned round for it
     turned = scores.where(F.col("score") == cutoff).select((-F.col("doc_id")).alias("turned"))
-    smallest = -_bisected(turned, "turned", -last, -first, ties - (wanted - above) + 1)
+    smallest = -_bisected(turned, "turned", -last, -first, wanted - above)
     return (F.col("score") > cutoff) | ((F.col("score") == cutoff) & (F.col("doc_id") <= smallest))
 
 
