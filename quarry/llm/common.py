@@ -14,16 +14,37 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 500_000
 
 
+#: Bytes that go to Python at once, unless one row alone has more.
+BATCH_BYTES = 4 << 20
+#: Folders to delete, for each block of ``scratch`` that is open.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int, size: int = BATCH_BYTES) -> Iterator[None]:
+    """At most this many rows and bytes go to Python at once while the block runs; whole texts are long. The session's own settings come back after it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """At most this many rows go to Python at once while the block runs; whole texts are long. The session's own setting comes back after it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, when the block ends, the tables that ``written`` made in it, but for those to be kept: they go with the block around it, if there is one."""
+    _OPEN.append([])
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _OPEN.pop():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +63,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: executors may be lost later without any of it computed anew."""
+def written(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: executors may be lost later without any of it computed anew.
+
+    It goes when the ``scratch`` block around it ends; with ``keep``, one block later.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    for folders in _OPEN[::-1][int(keep) : int(keep) + 1]:
+        folders.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import ragged, sums, text_slices
-from .common import batches_of, written
+from .common import batches_of, scratch, written
 from .decontaminate import normal_words
 
 #: Terms and queries of a block of queries, about.
@@ -301,28 +301,29 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, batch_rows: int = 5
     schema = T.StructType([queries.schema["item_id"], T.StructField("rank", T.IntegerType()), docs.schema["doc_id"], T.StructField("score", T.LongType())])
     out = spark.createDataFrame([], schema)
     for block in _query_blocks(queries):
-        size = len(block.numbers)
-        with batches_of(spark, batch_rows):
-            forward = written(_forward(docs, block.numbers), "forward")
-        n_docs, n_words = forward.agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
-        if not n_docs:
-            continue
-        holding = np.zeros(size, np.int64)
-        for row in forward.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-            holding[row["term"]] = row["count"]
-        weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1))) for df in holding.tolist()], np.int64)
-        asked = [weights[t] * n for t, n in zip(block.terms, block.times, strict=True)]
-        with batches_of(spark, 4096):
-            index = written(_index(forward, weights, n_docs, n_words), "index")
-        with batches_of(spark, 1):
-            seeds = _best(_search(index, block.terms, asked, size, k, None), k).where(F.col("rank") == k).select("query", "score").collect()
-            least = np.zeros(len(asked), np.int64)
-            for row in seeds:
-                least[row["query"]] = row["score"]
-            found = written(_search(index, block.terms, asked, size, k, least), "hits")
-        if counts is not None:
-            counts.append(tuple(found.agg(F.sum("blocks"), F.sum("scored")).first()))
-        names = spark.createDataFrame([(q, x) for q, x in enumerate(block.ids)], T.StructType([T.StructField("query", T.IntegerType()), queries.schema["item_id"]]))
-        best = _best(found, k).join(F.broadcast(names), "query")
-        out = out.unionByName(written(best.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "ranked"))
+        with scratch(spark):
+            size = len(block.numbers)
+            with batches_of(spark, batch_rows):
+                forward = written(_forward(docs, block.numbers), "forward")
+            n_docs, n_words = forward.agg(F.count_if(F.col("n") > 0), F.sum("n")).first()
+            if not n_docs:
+                continue
+            holding = np.zeros(size, np.int64)
+            for row in forward.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
+                holding[row["term"]] = row["count"]
+            weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1))) for df in holding.tolist()], np.int64)
+            asked = [weights[t] * n for t, n in zip(block.terms, block.times, strict=True)]
+            with batches_of(spark, 4096):
+                index = written(_index(forward, weights, n_docs, n_words), "index")
+            with batches_of(spark, 1):
+                seeds = _best(_search(index, block.terms, asked, size, k, None), k).where(F.col("rank") == k).select("query", "score").collect()
+                least = np.zeros(len(asked), np.int64)
+                for row in seeds:
+                    least[row["query"]] = row["score"]
+                found = written(_search(index, block.terms, asked, size, k, least), "hits")
+            if counts is not None:
+                counts.append(tuple(found.agg(F.sum("blocks"), F.sum("scored")).first()))
+            names = spark.createDataFrame([(q, x) for q, x in enumerate(block.ids)], T.StructType([T.StructField("query", T.IntegerType()), queries.schema["item_id"]]))
+            best = _best(found, k).join(F.broadcast(names), "query")
+            out = out.unionByName(written(best.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "ranked", keep=True))
     return out

@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import MULTIPLIER, mix, ragged, sums, text_slices
-from .common import BROADCAST_IDS, batches_of, sized_broadcast, written
+from .common import BROADCAST_IDS, batches_of, scratch, sized_broadcast, written
 
-#: Runs that a task puts together before they go out.
-HELD_RUNS = 1_000_000
+#: Runs that a task puts together before they go out, and bytes whose runs are found at once.
+HELD_RUNS, SLICE = 300_000, 1 << 18
+#: Documents whose repeats one task puts together.
+PART_DOCS = 16_384
 #: Suffixes whose windows are sorted at once, if no anchor has more.
 HELD_SUFFIXES = 30_000
 #: Documents in which anchors with many different runs are looked for, and how many such runs an anchor needs.
@@ -110,13 +112,12 @@ class Runs:
         self.first, self.last, self.anchor, self.key, self.content = first - start, last - start, anchor - start, key, content
 
 
-def _many(docs: DataFrame, width: int, sampled: int) -> np.ndarray:
-    """Keys of the anchors that stand in ``MANY_RUNS`` different runs or more of a sample of about ``sampled`` documents, sorted."""
-    share = min(1.0, sampled / max(1, docs.count()))
+def _many(docs: DataFrame, width: int, share: float) -> np.ndarray:
+    """Keys of the anchors that stand in ``MANY_RUNS`` different runs or more of a share of the documents, sorted."""
 
     def runs(batches):
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
+            for _, _, data, offsets in text_slices(batch.column(0), SLICE):
                 found = Runs(data, offsets, width)
                 yield pa.RecordBatch.from_arrays([pa.array(found.key.view(np.int64)), pa.array(found.content.view(np.int64))], names=["key", "content"])
 
@@ -135,50 +136,69 @@ def _widened(raw: bytes, size: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_DEALT = {"bucket": pa.int32(), "ids": pa.binary(), "marks": pa.binary(), "counts": pa.binary(), "keys": pa.binary(), "contents": pa.binary(), "firsts": pa.binary(), "runs": pa.binary()}
-_DEALT_SCHEMA = "bucket int, ids binary, marks binary, counts binary, keys binary, contents binary, firsts binary, runs binary"
+_DEALT = {"bucket": pa.int32(), **{c: pa.binary() for c in ("ids", "marks", "counts", "keys", "contents", "firsts", "lasts")}}
+_DEALT_SCHEMA = "bucket int, ids binary, marks binary, counts binary, keys binary, contents binary, firsts binary, lasts binary"
+_JUDGED_SCHEMA = "part int, ids binary, marks binary, hits binary, asks binary, firsts binary, lasts binary, asked binary"
 _FOUND_SCHEMA = "doc_id long, mark long, firsts array<int>, lasts array<int>, asked array<int>"
 
 
+def _by_document(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Places at which another document starts, and their number at the end."""
+    if not len(ids):
+        return np.zeros(1, np.int64)
+    return np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])) + 1, [len(ids)]])
+
+
+def _joined(ids: np.ndarray, marks: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of windows by document and place; those that touch or overlap as one."""
+    order = np.lexsort((first, marks, ids))
+    ids, marks, first, last = ids[order], marks[order], first[order].astype(np.int64), last[order].astype(np.int64)
+    edge = _by_document(ids, marks)
+    document = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    # a running maximum that starts anew with each document
+    reach = np.maximum.accumulate(last + (document << 33)) - (document << 33) if len(last) else last
+    new = np.ones(len(ids), bool)
+    new[1:] = (document[1:] != document[:-1]) | (first[1:] > reach[:-1] + 1)
+    heads = np.flatnonzero(new)
+    return ids[heads], marks[heads], first[heads], reach[np.append(heads[1:], len(ids)) - 1] if len(heads) else last
+
+
 def _dealt(docs: DataFrame, width: int, buckets: int, many) -> DataFrame:
     """Runs in rows of arrays, by bucket: ids, marks and numbers of runs of the documents, then of each run key, content, first window and windows after it.
 
-    Rows without keys hold runs that are repeats already.
+    Rows without keys hold windows that are repeats already.
     """
 
-    def row(bucket, ids, marks, doc, first, run, key=None, content=None):
-        new = np.flatnonzero(np.diff(doc, prepend=-1))
-        counts = np.diff(np.append(new, len(doc)))
-        empty = b""
-        return [bucket, ids[doc[new]].tobytes(), marks[doc[new]].tobytes(), counts.astype("<u4").tobytes(), empty if key is None else _trimmed(key, KEY_BYTES), empty if content is None else content.tobytes(), first.astype("<u4").tobytes(), run.astype(np.uint8).tobytes()]
+    def row(bucket, ids, marks, first, last, key=None, content=None):
+        edge = _by_document(ids, marks)
+        held = [b"", b""] if key is None else [_trimmed(key, KEY_BYTES), content.tobytes()]
+        return [bucket, ids[edge[:-1]].tobytes(), marks[edge[:-1]].tobytes(), np.diff(edge).astype("<u4").tobytes(), *held, first.astype("<u4").tobytes(), last.astype("<u4" if key is None else np.uint8).tobytes()]
 
     def out(held, turn):
         ids, marks = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         base = np.cumsum([0] + [len(h[0]) for h in held[:-1]])
-        doc = np.concatenate([h[2].text + b for h, b in zip(held, base, strict=True)])
+        doc = np.concatenate([(h[2].text + b).astype(np.int32) for h, b in zip(held, base, strict=True)])
         key, content, first, last = (np.concatenate([getattr(h[2], c) for h in held]) for c in ("key", "content", "first", "last"))
+        held.clear()
         order = np.lexsort((first, marks[doc], ids[doc], content, key))
-        doc, key, content, first, run = doc[order], key[order], content[order], first[order], (last - first)[order]
+        doc, key, content, first, last = doc[order], key[order], content[order], first[order], last[order]
         new = np.ones(len(doc), bool)
         new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-        smallest = ids[doc[new]][np.cumsum(new) - 1]
+        smallest = ids[doc[new]][np.cumsum(new, dtype=np.int32) - 1]
         fresh = new.copy()
         fresh[1:] |= (ids[doc[1:]] != ids[doc[:-1]]) | (marks[doc[1:]] != marks[doc[:-1]]) | (first[1:] != first[:-1])
-        again = (ids[doc] > smallest) & fresh
-        rows = []
-        if again.any():
-            some = np.flatnonzero(again)
-            some = some[np.argsort(doc[some], kind="stable")]
-            rows.append(row(turn % buckets, ids, marks, doc[some], first[some], run[some]))
+        rows, some = [], np.flatnonzero((ids[doc] > smallest) & fresh)
+        if len(some):
+            rows.append(row(turn % buckets, *_joined(ids[doc[some]], marks[doc[some]], first[some], last[some])))
         some = np.flatnonzero((ids[doc] == smallest) & fresh)
         bucket = (key[some] % np.uint64(buckets)).astype(np.int32)
-        some = some[np.lexsort((first[some], doc[some], bucket))]
-        bucket = (key[some] % np.uint64(buckets)).astype(np.int32)
+        by_bucket = np.lexsort((first[some], doc[some], bucket))
+        some, bucket = some[by_bucket], bucket[by_bucket]
         for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(bucket)) + 1):
             if len(part):
                 s = some[part]
-                rows.append(row(int(bucket[part[0]]), ids, marks, doc[s], first[s], run[s], key[s] // np.uint64(buckets), content[s]))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DEALT.values(), strict=True)] if rows else [pa.array([], t) for t in _DEALT.values()], names=list(_DEALT))
+                rows.append(row(int(bucket[part[0]]), ids[doc[s]], marks[doc[s]], first[s], (last - first)[s], key[s] // np.uint64(buckets), content[s]))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _DEALT.values(), strict=True)], names=list(_DEALT))
 
     def deal(batches):
         from pyspark import TaskContext
@@ -186,7 +206,7 @@ def _dealt(docs: DataFrame, width: int, buckets: int, many) -> DataFrame:
         turn, held, size = TaskContext.get().partitionId(), [], 0
         for batch in batches:
             ids, marks = (np.asarray(batch.column(c), np.int64) for c in (0, 1))
-            for a, b, data, offsets in text_slices(batch.column(2)):
+            for a, b, data, offsets in text_slices(batch.column(2), SLICE):
                 held.append((ids[a:b], marks[a:b], Runs(data, offsets, width, many.value)))
                 size += len(held[-1][2].key)
                 if size >= HELD_RUNS:
@@ -202,42 +222,81 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
 
 
-def _judged(group: pa.Table) -> pa.Table:
-    """Runs of a bucket: which are repeats, and which have to be asked for window by window."""
-    parts: dict[str, list] = {c: [] for c in ("id", "mark", "key", "content", "first", "run", "known")}
+def _judged(parts: int):
+    """Runs of a bucket: which are repeats, and which have to be asked for window by window; in a row for each part of the documents."""
+
+    def part_of(ids, marks):
+        return (mix(ids.view(np.uint64) * MULTIPLIER + marks.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+    def judge(group: pa.Table) -> pa.Table:
+        columns: dict[str, list] = {c: [] for c in ("id", "mark", "key", "content", "first", "last")}
+        known = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for row in group.to_pylist():
+            counts = np.frombuffer(row["counts"], "<u4")
+            id_, mark = (np.repeat(np.frombuffer(row[c], np.int64), counts) for c in ("ids", "marks"))
+            first = np.frombuffer(row["firsts"], "<u4").astype(np.int64)
+            if not row["keys"]:
+                for held, values in zip(known, (id_, mark, first, np.frombuffer(row["lasts"], "<u4").astype(np.int64)), strict=True):
+                    held.append(values)
+                continue
+            for c, values in zip(columns, (id_, mark, _widened(row["keys"], KEY_BYTES), np.frombuffer(row["contents"], np.uint64), first.astype(np.int32), np.frombuffer(row["lasts"], np.uint8)), strict=True):
+                columns[c].append(values)
+        del group
+        if columns["id"]:
+            id_, mark, key, content, first, last = (np.concatenate(columns.pop(c)) for c in list(columns))
+            order = np.lexsort((id_, content, key))
+            k, c, i = key[order], content[order], id_[order]
+            new_key = np.append(True, k[1:] != k[:-1])
+            new = new_key | np.append(True, c[1:] != c[:-1])
+            smallest = i[new][np.cumsum(new, dtype=np.int32) - 1]
+            hit = order[i > smallest]
+            # anchors with different runs, of different documents
+            heads = np.flatnonzero(new_key)
+            mixed = (np.minimum.reduceat(smallest, heads) < np.maximum.reduceat(smallest, heads))[np.cumsum(new_key, dtype=np.int32) - 1]
+            ask = order[mixed & (i == smallest)]
+            for held, values in zip(known, (id_[hit], mark[hit], first[hit].astype(np.int64), first[hit].astype(np.int64) + last[hit]), strict=True):
+                held.append(values)
+            asked = id_[ask], mark[ask], first[ask].astype(np.int64)
+        else:
+            asked = known[0][0], known[0][0], known[0][0]
+        hits = _joined(*(np.concatenate(x) for x in known))
+        own, asking = part_of(*hits[:2]), part_of(*asked[:2])
+        order, asking_order = np.argsort(own, kind="stable"), np.lexsort((asked[2], asked[1], asked[0], asking))
+        out = []
+        for p in np.union1d(own, asking):
+            h, a = (o[np.searchsorted(w[o], p, "left") : np.searchsorted(w[o], p, "right")] for o, w in ((order, own), (asking_order, asking)))
+            ids, marks = np.concatenate([hits[0][h], asked[0][a]]), np.concatenate([hits[1][h], asked[1][a]])
+            kind = np.repeat([0, 1], [len(h), len(a)])
+            by = np.lexsort((kind, marks, ids))
+            edge = _by_document(ids[by], marks[by])
+            counts = sums(kind[by], edge)
+            out.append([int(p), ids[by][edge[:-1]].tobytes(), marks[by][edge[:-1]].tobytes(), (np.diff(edge) - counts).astype("<u4").tobytes(), counts.astype("<u4").tobytes(), *(x.astype("<u4").tobytes() for x in (hits[2][h], hits[3][h], asked[2][a]))])
+        names = ["part", "ids", "marks", "hits", "asks", "firsts", "lasts", "asked"]
+        kinds = [pa.int32(), *[pa.binary()] * 7]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=names)
+
+    return judge
+
+
+def _by_text(group: pa.Table) -> pa.Table:
+    """A part's documents, each once, with their repeats and asked runs."""
+    held = [[np.zeros(0, np.int64)] for _ in range(4)], [[np.zeros(0, np.int64)] for _ in range(3)]
     for row in group.to_pylist():
-        counts = np.frombuffer(row["counts"], "<u4")
-        n = int(counts.sum())
-        known = not row["keys"]
-        parts["id"].append(np.repeat(np.frombuffer(row["ids"], np.int64), counts))
-        parts["mark"].append(np.repeat(np.frombuffer(row["marks"], np.int64), counts))
-        parts["key"].append(np.zeros(n, np.uint64) if known else _widened(row["keys"], KEY_BYTES))
-        parts["content"].append(np.zeros(n, np.uint64) if known else np.frombuffer(row["contents"], np.uint64))
-        parts["first"].append(np.frombuffer(row["firsts"], "<u4").astype(np.int32))
-        parts["run"].append(np.frombuffer(row["runs"], np.uint8))
-        parts["known"].append(np.full(n, known))
-    id_, mark, key, content, first, run, known = (np.concatenate(parts[c]) for c in parts)
-    order = np.lexsort((id_, content, key))
-    order = order[~known[order]]
-    k, c, i = key[order], content[order], id_[order]
-    repeat, asked = known.copy(), np.zeros(len(known), bool)
-    if len(order):
-        new_key = np.append(True, k[1:] != k[:-1])
-        new = new_key | np.append(True, c[1:] != c[:-1])
-        smallest = i[new][np.cumsum(new) - 1]
-        repeat[order] = i > smallest
-        # anchors with different runs, of different documents
-        heads = np.flatnonzero(new_key)
-        least, most = np.minimum.reduceat(smallest, heads), np.maximum.reduceat(smallest, heads)
-        mixed = (least < most)[np.cumsum(new_key) - 1]
-        asked[order] = mixed & (i == smallest)
-    some = np.flatnonzero(repeat | asked)
-    some = some[np.lexsort((first[some], mark[some], id_[some]))]
-    new = np.flatnonzero(np.append(True, (id_[some[1:]] != id_[some[:-1]]) | (mark[some[1:]] != mark[some[:-1]]))) if len(some) else some
-    edge = np.append(new, len(some))
-    hit, ask = some[repeat[some]], some[asked[some]]
-    hits, asks = sums(repeat[some], edge), sums(asked[some], edge)
-    return pa.table({"doc_id": pa.array(id_[some[new]]), "mark": pa.array(mark[some[new]]), "firsts": _lists(first[hit], hits), "lasts": _lists(first[hit] + run[hit], hits), "asked": _lists(first[ask], asks)})
+        ids, marks = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["marks"], np.int64)
+        for kind, counts, names in ((0, "hits", ("firsts", "lasts")), (1, "asks", ("asked",))):
+            counts = np.frombuffer(row[counts], "<u4")
+            for x, values in zip(held[kind], (np.repeat(ids, counts), np.repeat(marks, counts), *(np.frombuffer(row[c], "<u4").astype(np.int64) for c in names)), strict=True):
+                x.append(values)
+    hits = _joined(*(np.concatenate(x) for x in held[0]))
+    asked = [np.concatenate(x) for x in held[1]]
+    order = np.lexsort((asked[2], asked[1], asked[0]))
+    ids, marks = np.concatenate([hits[0], asked[0][order]]), np.concatenate([hits[1], asked[1][order]])
+    kind = np.repeat([0, 1], [len(hits[0]), len(order)])
+    by = np.lexsort((kind, marks, ids))
+    edge = _by_document(ids[by], marks[by])
+    asks = sums(kind[by], edge)
+    counts = np.diff(edge) - asks
+    return pa.table({"doc_id": pa.array(ids[by][edge[:-1]]), "mark": pa.array(marks[by][edge[:-1]]), "firsts": _lists(hits[2], counts), "lasts": _lists(hits[3], counts), "asked": _lists(asked[2][order], asks)})
 
 
 def _binaries(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -253,7 +312,7 @@ def _suffixes(docs: DataFrame, width: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             ids, marks, asked = batch.column(0), batch.column(1), batch.column(3)
-            for a, b, data, offsets in text_slices(batch.column(2)):
+            for a, b, data, offsets in text_slices(batch.column(2), SLICE):
                 found = Runs(data, offsets, width)
                 part = asked.slice(a, b - a)
                 rows, firsts = np.asarray(pc.list_parent_indices(part), np.int64), np.asarray(pc.list_flatten(part), np.int64)
@@ -383,11 +442,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, buckets: int | None = None,
         raise ValueError("width must be from 8 to 250 bytes")
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    with batches_of(spark, batch_rows):
+    with batches_of(spark, batch_rows), scratch(spark):
         named = docs.where("doc_id is not null").select("doc_id", "mark", "text")
         buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-        many = spark.sparkContext.broadcast(_many(named, width, sampled_docs))
-        found = written(_dealt(named, width, buckets, many).groupBy("bucket").applyInArrow(_judged, _FOUND_SCHEMA), "found")
+        n = named.count()
+        many = spark.sparkContext.broadcast(_many(named, width, min(1.0, sampled_docs / max(1, n))))
+        judged = _dealt(named, width, buckets, many).groupBy("bucket").applyInArrow(_judged(max(1, n // PART_DOCS)), _JUDGED_SCHEMA)
+        found = written(judged.groupBy("part").applyInArrow(_by_text, _FOUND_SCHEMA), "found")
         asked = found.where(F.size("asked") > 0).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("asked")).alias("asked"))
         asked = written(asked, "asked")
         suffixes = _suffixes(named.join(sized_broadcast(asked.select("doc_id", "mark")), ["doc_id", "mark"], "left_semi").join(asked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "asked"), width)
@@ -403,4 +464,4 @@ def remove_repeats(docs: DataFrame, width: int = 50, buckets: int | None = None,
         else:
             parts = [docs.join(repeats, ["doc_id", "mark"], "left").select("doc_id", "text", *[F.coalesce(c, n).alias(c) for c, n in zip(("firsts", "lasts"), none, strict=True)])]
         parts = [_kept(p, width, with_text) for p in parts]
-        return written(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "kept")
+        return written(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), "kept", keep=True)
