@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import LOWER, WHITE, mix, run_hashes, shingle_hashes, text_slices, words
-from .common import batches_of, discard, join_groups, sized_broadcast, written
+from .common import batches_of, discard, join_groups, scratch, sized_broadcast, written
 
 #: Counters of the frequency sketch, as a power of two, and the counters of one row of it.
 SKETCH_BITS, ROW_BITS = 20, 14
@@ -247,26 +247,30 @@ def _often(places: DataFrame, sketch: np.ndarray) -> DataFrame | None:
     return None if often.isEmpty() else sized_broadcast(often)
 
 
-def _candidates(members: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """Pairs of pivots (a < b) that share as many places as one of their members' multiplicities asks for.
+def _in_blocks(places: DataFrame, sketch: np.ndarray) -> tuple[DataFrame, list[str], F.Column]:
+    """Places (shingle, pivot, ...) with the block of their pivot (own), the columns to join them by, and the condition that makes every pair of pivots once.
 
-    Places of a shingle that very many have are dealt into blocks; every two blocks meet in a task of their own.
+    Places of a shingle that very many have are dealt into blocks; every two blocks meet under a key of their own.
     """
+    often = _often(places, sketch)
+    if often is None:
+        return places.withColumn("own", F.lit(0)), ["shingle"], F.lit(True)
+    columns = places.columns
+    dealt = places.join(often, "shingle", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("pivot"), F.col("blocks")).cast("int"), F.lit(0)))
+    meets = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
+    # two places of one block meet where it meets itself
+    return dealt.select(*columns, "own", F.inline(meets)), ["shingle", "i", "j"], (F.col("own_a") != F.col("own_b")) | (F.col("i") == F.col("j"))
+
+
+def _candidates(members: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+    """Pairs of pivots (a < b) that share as many places as one of their members' multiplicities asks for."""
     places = members.select("pivot", "need", "n", F.posexplode("prefix").alias("place", "shingle"))
     # one number beside shingle and pivot keeps what is shuffled small
     packed = F.shiftleft("n", 32) + F.shiftleft(F.col("place").cast("long"), 4) + F.col("need")
     places = places.select("shingle", "pivot", packed.alias("packed"))
-    often, keys, once = _often(places, sketch), ["shingle"], F.lit(True)
-    if often is not None:
-        keys = ["shingle", "i", "j"]
-        places = places.join(often, "shingle", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("pivot"), F.col("blocks")).cast("int"), F.lit(0)))
-        meets = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda x: F.struct(F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-        places = places.select("shingle", "pivot", "packed", "own", F.inline(meets))
-        # two places of one block meet where it meets itself
-        once = (F.col("own_a") != F.col("own_b")) | (F.col("i") == F.col("j"))
+    places, keys, once = _in_blocks(places, sketch)
     places = places.repartition(*keys).withColumns({"n": F.shiftright("packed", 32), "place": F.shiftright("packed", 4).bitwiseAND(0xFFFFFFF), "need": F.col("packed").bitwiseAND(15)})
-    places = _by_ball(places, *keys, *(["own"] if often is not None else []))
-    shared = _pairs_of_balls(places, percent, *keys).where(once)
+    shared = _pairs_of_balls(_by_ball(places, *keys, "own"), percent, *keys).where(once)
     return shared.groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.least("need_a", "need_b")).alias("need")).where("common >= need").select("a", "b")
 
 
@@ -312,8 +316,10 @@ def linked_groups(classes: DataFrame, docs: DataFrame, sketch: np.ndarray, k: in
     # which pairs of balls share shingles in their members' prefixes, and how many pairs of places that makes
     alone = sized_broadcast(written(apart.select(F.col("a").alias("pivot")).union(apart.select("b")).distinct(), "alone"))
     places = members.join(alone, "pivot").select("pivot", "node", F.col("distance").alias("own"), F.col("need").cast("int").alias("need"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
-    held = _by_ball(places.repartition("shingle"), "shingle")
-    shared = _pairs_of_balls(held, percent, "shingle").select("a", "b", "shingle", "count_a", "count_b")
+    # each task puts its places of a pivot together first, so a shingle that all members have sends few rows
+    dealt, keys, once = _in_blocks(places.drop("own"), sketch)
+    held = _by_ball(dealt, *keys, "own")
+    shared = _pairs_of_balls(held, percent, *keys).where(once).select("a", "b", "shingle", "count_a", "count_b")
     shared = written(shared.join(sized_broadcast(apart), ["a", "b"]), "shared").drop("radius_a", "radius_b", "distance")
     sizes = members.join(alone, "pivot").groupBy("pivot").agg(F.count("*").alias("size"))
     work = shared.groupBy("a", "b").agg(F.sum(F.col("count_a") * F.col("count_b")).alias("work")).join(apart, ["a", "b"])
@@ -359,19 +365,20 @@ def linked_groups(classes: DataFrame, docs: DataFrame, sketch: np.ndarray, k: in
 
 def grouped_rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Every row of docs (doc_id, text) with its class digest and set size, and the classes: sig, size, group and first, the group's smallest id."""
-    sketch = frequency_sketch(docs, k)
-    described = written(_described(docs, sketch, k, percent), "described")
-    some = described.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "key", "rare", "need", "prefix")).alias("c"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("node"), "sig", "copies", "c.*")
-    classes = written(classes, "classes")
-    rows = written(described.select("doc_id", "n", "sig"), "rows")
-    discard(described)
-    groups = linked_groups(classes, docs, sketch, k, percent)
-    named = written(groups.join(classes.select(F.col("node").alias("vertex"), "sig", "copies", "doc_id"), "vertex"), "named")
-    firsts = written(named.groupBy("component").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "firsts")
-    named = join_groups(named, firsts, "component").select("sig", F.col("copies").alias("size"), F.col("component").alias("group"), "first")
-    alone = classes.join(groups.select(F.col("vertex").alias("node")), "node", "left_anti").select("sig", F.col("copies").alias("size"), F.col("node").alias("group"), F.col("doc_id").alias("first"))
-    return rows, written(named.unionByName(alone), "by-class")
+    with scratch(docs.sparkSession):
+        sketch = frequency_sketch(docs, k)
+        described = written(_described(docs, sketch, k, percent), "described")
+        some = described.where("n > 0 and doc_id is not null")
+        classes = some.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "key", "rare", "need", "prefix")).alias("c"), F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("node"), "sig", "copies", "c.*")
+        classes = written(classes, "classes")
+        rows = written(described.select("doc_id", "n", "sig"), "rows", keep=True)
+        discard(described)
+        groups = linked_groups(classes, docs, sketch, k, percent)
+        named = written(groups.join(classes.select(F.col("node").alias("vertex"), "sig", "copies", "doc_id"), "vertex"), "named")
+        firsts = written(named.groupBy("component").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), "firsts")
+        named = join_groups(named, firsts, "component").select("sig", F.col("copies").alias("size"), F.col("component").alias("group"), "first")
+        alone = classes.join(groups.select(F.col("vertex").alias("node")), "node", "left_anti").select("sig", F.col("copies").alias("size"), F.col("node").alias("group"), F.col("doc_id").alias("first"))
+        return rows, written(named.unionByName(alone), "by-class", keep=True)
 
 
 def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, batch_rows: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
