@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bin_search, decontaminate, ngram_join, quality, toxicity
-from quarry.llm.common import batches_of, shared_folder, table
+from quarry.llm.common import batches_of, scratch, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Whole texts that go to Python at once.
+#: Whole texts that go to Python at once, if they have no more than BATCH_BYTES together.
 BATCH_ROWS = 500
 
 #: The classifiers' verdicts can't be said in SQL.
@@ -54,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        with batches_of(spark, BATCH_ROWS):
+        with batches_of(spark, BATCH_ROWS), scratch(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
