@@ -63,7 +63,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, what: str, keep: bool = False, options: dict[str, str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: executors may be lost later without any of it computed anew.
 
     It goes when the ``scratch`` block around it ends; with ``keep``, one block later.
@@ -72,7 +72,7 @@ def written(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     for folders in _OPEN[::-1][int(keep) : int(keep) + 1]:
         folders.append(path)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

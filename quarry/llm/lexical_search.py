@@ -10,7 +10,7 @@
    skipped only if its bound is below the threshold. Documents of all other blocks are scored whole, each once.
 4. Every segment's k best go to a window over the query.
 
-Impacts, weights and scores are integers; bounds are summed in doubles and raised by more than what rounding can take from them.
+Impacts, weights and scores are integers; bounds are summed in single precision and raised by more than what rounding can take from them.
 
 Null and empty texts have no terms and are found by nothing. Documents without an id count and can be found; among equal scores
 they come last. Repeated rows are documents, and queries, of their own. Queries without terms find nothing. An empty table gives
@@ -38,7 +38,7 @@ from .decontaminate import normal_words
 #: Terms and queries of a block of queries, about.
 BLOCK_TERMS, BLOCK_QUERIES = 8192, 512
 #: Documents times terms of a segment, and its documents at most.
-SEGMENT_CELLS, SEGMENT_DOCS = 1 << 25, 8192
+SEGMENT_CELLS, SEGMENT_DOCS = 1 << 23, 8192
 #: Postings that a block has on average; a cluster of over twice as many is cut.
 BLOCK = 128
 #: One step of a summary; impacts are below 1,000,000.
@@ -46,7 +46,9 @@ STEP = 4000
 #: Numbers that stand for a document's direction.
 DIRECTIONS = 32
 #: Blocks whose bounds are worked out at once.
-BOUNDS_AT_ONCE = 1024
+BOUNDS_AT_ONCE = 256
+#: Segments are long rows: one or two of them are read or written at once.
+LONG_ROWS = {"parquet.block.size": str(4 << 20), **{f"parquet.{what}.size.row.check.{edge}": "1" for what in ("block", "page") for edge in ("min", "max")}}
 
 
 @dataclass
@@ -203,12 +205,19 @@ class Segment:
         """An upper bound of the score of any document in each block, by query; -1 where the query hasn't the block's term."""
         out = np.full((len(self.of), matrix.shape[1]), -1.0)
         at = np.concatenate([[0], np.cumsum(self.mask.sum(axis=1))])
+        asking, small = matrix > 0, matrix.astype(np.float32)
+        # more than what rounding to single precision can take from a sum of so many terms
+        slack = 1 + 1.2e-7 * (int(asking.sum(axis=0).max(initial=0)) + 2)
         for a in range(0, len(self.of), BOUNDS_AT_ONCE):
             b = min(a + BOUNDS_AT_ONCE, len(self.of))
-            part = np.zeros((b - a, self.size))
+            part = np.zeros((b - a, self.size), np.float32)
             part[self.mask[a:b]] = self.tops[at[a] : at[b]]
-            asked = matrix[self.of[a:b]] > 0
-            out[a:b] = np.where(asked, (part @ matrix) * (STEP * (1 + 1e-9)), -1.0)
+            # the blocks of a term stand together
+            heads = np.flatnonzero(np.diff(self.of[a:b], prepend=-1))
+            for i, j in zip(heads, np.append(heads[1:], b - a), strict=True):
+                queries = np.flatnonzero(asking[self.of[a + i]])
+                if len(queries):
+                    out[a + i : a + j, queries] = (part[i:j] @ small[:, queries]).astype(np.float64) * (STEP * slack)
         return out
 
     def scores(self, blocks: np.ndarray, weight: np.ndarray, done: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,8 +322,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 20, batch_rows: int = 5
                 holding[row["term"]] = row["count"]
             weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1))) for df in holding.tolist()], np.int64)
             asked = [weights[t] * n for t, n in zip(block.terms, block.times, strict=True)]
-            with batches_of(spark, 4096):
-                index = written(_index(forward, weights, n_docs, n_words), "index")
+            with batches_of(spark, 1024):
+                index = written(_index(forward, weights, n_docs, n_words), "index", options=LONG_ROWS)
             with batches_of(spark, 1):
                 seeds = _best(_search(index, block.terms, asked, size, k, None), k).where(F.col("rank") == k).select("query", "score").collect()
                 least = np.zeros(len(asked), np.int64)
