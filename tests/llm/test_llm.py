@@ -127,9 +127,10 @@ def test_search_is_no_worse_than_best_fit(low, high, monkeypatch):
     lengths = [rng.randint(low, high) for _ in range(800)]
     one = bin_search.exchange
 
-    def watched(bins, lengths, room, donor):
+    def watched(pool, donor):
         """Every exchange raises the sum of squared fills, and fits."""
-        step = one(bins, lengths, room, donor)
+        step = one(pool, donor)
+        bins, room = pool.bins, pool.room
         if step:
             given, taken, to = step
             gain = sum(lengths[i] for i in given) - sum(lengths[i] for i in taken)
@@ -144,6 +145,55 @@ def test_search_is_no_worse_than_best_fit(low, high, monkeypatch):
     assert len(bins) <= len(packing.best_fit_decreasing(lengths, 1024))
 
 
+@pytest.mark.parametrize("lengths", [[600] * 4096, [random.Random(1).randint(515, 1000) for _ in range(2048)], [random.Random(2).randint(340, 520) for _ in range(4096)]])
+def test_a_shard_costs_under_a_second(lengths):
+    import time
+
+    began = time.process_time()
+    bins = bin_search.search(lengths, 1024)
+    assert time.process_time() - began < 1
+    assert bin_search.least_bins(lengths, 1024) <= len(bins) <= len(packing.best_fit_decreasing(lengths, 1024))
+
+
+def test_lower_bound_by_all_packings():
+    """No packing of a few pieces has fewer bins than the bound says."""
+
+    def fewest(items, bins):
+        if not items:
+            return len(bins)
+        put = [fewest(items[1:], [*bins[:k], b - items[0], *bins[k + 1 :]]) for k, b in enumerate(bins) if b >= items[0] and b not in bins[:k]]
+        return min([*put, fewest(items[1:], [*bins, 10 - items[0]])])
+
+    rng = random.Random(3)
+    for _ in range(200):
+        lengths = [rng.randint(1, 10) for _ in range(rng.randint(1, 7))]
+        assert bin_search.least_bins(lengths, 10) <= fewest(sorted(lengths, reverse=True), [])
+
+
+def test_repeated_rows_pack_right(spark):
+    """A hundred thousand rows of one text and no id are dealt to many shards; no two sequences share a number."""
+    docs = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "repeat('word ', 300) AS text")
+    got = bin_search.pack_documents(docs).groupBy("sequence_id").agg({"length": "sum", "offset": "max", "*": "count"}).toPandas()
+    assert got["sum(length)"].max() <= 1024 and got["count(1)"].sum() == 100_000
+    size = int(got["sum(length)"].sum() // 100_000)
+    assert len(got) <= -(-100_000 // (1024 // size)) + 1 and (got["max(offset)"] == (got["count(1)"] - 1) * size).all()
+
+
+def test_levels_gain_over_shards_alone(spark):
+    """Bins of different shards exchange: fewer sequences than the shards' own, no piece lost or doubled."""
+    rng = random.Random(11)
+    sizes = [(i, rng.randint(200, 700)) for i in range(6000)]
+    frame = spark.createDataFrame(sizes, "row long, length int")
+    got = bin_search.packed_rows(frame, 1024, 300).collect()
+    assert sorted(r["row"] for r in got) == list(range(6000))
+    fill: dict[int, list] = {}
+    for r in got:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], sizes[r["row"]][1]))
+    for items in fill.values():
+        assert [o for o, _ in sorted(items)] == list(itertools.accumulate([n for _, n in sorted(items)][:-1], initial=0)) and sum(n for _, n in items) <= 1024
+    assert len(fill) < len(packing.best_fit_decreasing([n for _, n in sizes], 1024))
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", " lead", "tail \n", "", "<\\|im_end|> <\\\\| x", "日本 😀é", "a|<|"]
     rows = [(c, t, r, x) for c in range(30) for t, (r, x) in enumerate(zip(["user", "assistant", "sys\ntem\\n<|im_sep|>", "assistant"], random.Random(c).choices(texts, k=4), strict=True))]
