@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Iterator
+import re
 from functools import reduce
 
 import pandas as pd
@@ -24,6 +22,10 @@ TITLES = "dr|doctor|mr|mrs|ms|miss|patient"
 LEAST_SURNAME = 4
 #: Runs of letters and digits of any alphabet, and of the characters that a regular expression counts as a word's.
 WORD, NAME_WORD = "[\\p{L}\\p{N}]+", "(?U)\\w+"
+ASCII_WORD = "[a-z0-9]+"
+#: A brace that may open an object; white space, and a token of JSON if there is one.
+JSON_OPENING = re.compile(r'[{](?=[ \t\n\r]*["}])')
+JSON_TOKEN = re.compile(r'[ \t\n\r]*("[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity|[]{}[:,])?')
 FIGURE = "\\b\\d+(?:\\.\\d+)?\\b"
 
 
@@ -97,64 +99,78 @@ def malformed_rows(corpus: DataFrame) -> DataFrame:
     return corpus.where(wrong)
 
 
-def contains_join(texts: DataFrame, terms: DataFrame, block_chars: int = 4_000_000) -> DataFrame:
+def _grams(column: str, n: int) -> Column:
+    """The distinct strings of n characters in a row, overlapping ones too, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1)))
+
+
+def contains_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_id, term_id) where a text has a term, in any case and inside longer words as well.
 
-    One scan: the terms make an automaton that each task runs over its texts, so no text is shuffled. Their size is measured; more
-    than ``block_chars`` characters are dealt into blocks, one scan each, and one block is at the driver at a time. Empty terms are
-    in no text; terms with the same text are found together.
+    An index of trigrams: each term stands under the trigram that fewest texts have (shorter terms under themselves), texts are
+    looked up by theirs, and what is found is verified. Whole texts are shuffled once, for the verification, and only those with a
+    candidate. Empty terms are in no text; terms with the same text are found together. Ids of texts are unique.
     """
-    lowered = terms.select("term_id", F.lower("term").alias("term")).where("term <> ''")
-    size = lowered.agg(F.sum(F.length("term"))).first()[0] or 0
-    count = max(1, math.ceil(size / block_chars))
     held = texts.select("text_id", F.lower("text").alias("text"))
+    own = terms.select("term_id", F.lower("term").alias("term")).where("term <> ''")
+    distinct = own.select("term").distinct()
     found = []
-    for b in range(count):
-        block: dict[str, list] = {}
-        for row in lowered.where(F.pmod(F.xxhash64("term"), F.lit(count)) == b).collect():
-            block.setdefault(row["term"], []).append(row["term_id"])
-        part = _scanned(held, block, terms.schema["term_id"].dataType)
-        # with several blocks each is scanned before the next one is collected
-        found.append(part if count == 1 else part.checkpoint())
-    return reduce(DataFrame.unionByName, found)
-
-
-def _scanned(texts: DataFrame, block: dict[str, list], kind: T.DataType) -> DataFrame:
-    """(text_id, term_id) for the terms of a block (text to ids)."""
-    wanted = texts.sparkSession.sparkContext.broadcast(block)
-    schema = T.StructType([texts.schema["text_id"], T.StructField("term_id", kind)])
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for term, ids in wanted.value.items():
-            automaton.add_word(term, ids)
-        automaton.make_automaton()
-        for f in frames:
-            rows = []
-            for text_id, text in zip(f["text_id"], f["text"], strict=True):
-                if text and wanted.value:
-                    rows += [(text_id, i) for ids in {id(ids): ids for _, ids in automaton.iter(text)}.values() for i in ids]
-            yield pd.DataFrame(rows, columns=["text_id", "term_id"])
-
-    return texts.mapInPandas(scan, schema)
+    for n in (1, 2):
+        # such a term is its own gram
+        short = distinct.where(F.char_length("term") == n)
+        found.append(held.select("text_id", F.explode(_grams("text", n)).alias("term")).join(short, "term"))
+    cut = distinct.where(F.char_length("term") >= 3).select("term", F.explode(_grams("term", 3)).alias("gram"))
+    posted = held.select("text_id", F.explode(_grams("text", 3)).alias("gram")).join(cut.select("gram").distinct(), "gram", "left_semi")
+    often = posted.groupBy("gram").agg(F.count("*").alias("n"))
+    # a gram that no text has settles its term
+    rarest = cut.join(often, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).getField("gram").alias("gram"))
+    asked = posted.join(rarest, "gram").groupBy("text_id").agg(F.collect_set("term").alias("asked"))
+    verified = held.join(asked, "text_id").select("text_id", F.explode(F.filter("asked", lambda x: F.contains("text", x))).alias("term"))
+    return reduce(DataFrame.unionByName, [*found, verified]).join(own, "term").select("text_id", "term_id")
+
+
+def postings(texts: DataFrame, word: str, columns: tuple[str, ...] = ("text_id",), text: str = "text") -> DataFrame:
+    """The words of lower-cased texts: the given columns, of (how many), at (0, 1, ...), token, and what stands before and after it."""
+    low = F.lower(text)
+    tokens, gaps = F.regexp_extract_all(low, F.lit(word), F.lit(0)), F.split(low, word, -1)
+    zipped = F.arrays_zip(tokens.alias("token"), F.slice(gaps, F.lit(1), F.size(tokens)).alias("before"), F.slice(gaps, F.lit(2), F.size(tokens)).alias("after"))
+    return texts.select(*columns, F.size(tokens).alias("of"), F.posexplode(zipped).alias("at", "x")).select(*columns, "of", "at", "x.*")
+
+
+def phrases_found(posted: DataFrame, phrases: DataFrame, word: str) -> DataFrame:
+    """Where phrases (key, phrase) stand in posted texts: text_id, key, first and last word, what comes after, and the columns ``start`` and ``stop`` of their words, if posted.
+
+    A phrase is its words and what stands between them; what it has before its first and after its last word must be there too, and
+    no other word right beside that. Words of a phrase are joined by token, and those that follow one another are put together.
+    """
+    own = postings(phrases, word, ("key",), "phrase").withColumnsRenamed({"of": "n", "at": "k", "before": "lead", "after": "trail"})
+    both = posted.join(own, "token")
+    opening = F.endswith("before", F.col("lead")) & ((F.col("lead") == "") | (F.length("before") > F.length("lead")) | (F.col("at") == 0))
+    closing = F.startswith("after", F.col("trail")) & ((F.col("trail") == "") | (F.length("after") > F.length("trail")) | (F.col("at") == F.col("of") - 1))
+    fits = F.when(F.col("k") == 0, opening).otherwise(F.col("before") == F.col("lead")) & ((F.col("k") < F.col("n") - 1) | closing)
+    rest = F.max(F.when(F.col("k") == F.col("n") - 1, F.substr("after", F.length("trail") + 1))).alias("rest")
+    edges = [F.min(F.col("start") - F.when(F.col("k") == 0, F.length("lead")).otherwise(0)).alias("start"), F.max(F.col("stop") + F.when(F.col("k") == F.col("n") - 1, F.length("trail")).otherwise(0)).alias("stop")] if "start" in posted.columns else []
+    found = both.where(fits).groupBy("text_id", "key", (F.col("at") - F.col("k")).alias("first_at"), "n").agg(F.count("*").alias("words"), rest, *edges).where("words = n")
+    return found.withColumn("last_at", F.col("first_at") + F.col("n") - 1).drop("n", "words")
 
 
 def name_leaks(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(text_id, name_id) where a text has a full name (name_id, name), as contains_join finds it, or its surname after a title or the first name.
 
-    A candidate has the first word of the surname as a word; then the pattern is looked for. A surname alone is no leak.
+    Surnames and first names are looked up in the words of the texts with their places; a surname counts where the word before it
+    is a title or the first name, with at most a full stop and white space between. A surname alone is no leak. Ids of texts are unique.
     """
     parts = F.split(F.trim(F.lower("name")), "(?U)\\s+")
-    quoted = lambda c: F.concat(F.lit("\\Q"), F.col(c), F.lit("\\E"))  # noqa: E731  # lower-cased, so without \E
-    named = names.where(F.size(parts) > 1).select(F.col("name_id"), F.get(parts, F.lit(0)).alias("first"), F.regexp_replace(F.element_at(parts, -1), "^[,.]+|[,.]+$", "").alias("surname")).where(F.length("surname") >= LEAST_SURNAME)
-    named = named.withColumns({"token": F.get(F.regexp_extract_all("surname", F.lit(NAME_WORD), F.lit(0)), F.lit(0)), "pattern": F.concat(F.lit(f"(?U)\\b(?:{TITLES}|"), quoted("first"), F.lit(")\\.?\\s+"), quoted("surname"), F.lit("\\b"))})
-    posted = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(NAME_WORD), F.lit(0)))).alias("token"))
-    asked = posted.join(named.select("name_id", "token", "pattern"), "token").groupBy("text_id").agg(F.collect_list(F.struct("name_id", "pattern")).alias("asked"))
-    titled = texts.join(asked, "text_id").select("text_id", F.explode(F.filter("asked", lambda x: F.regexp_like(F.lower("text"), x["pattern"])))).select("text_id", "col.name_id")
+    named = names.where(F.size(parts) > 1).select(F.col("name_id").alias("key"), F.get(parts, F.lit(0)).alias("first"), F.regexp_replace(F.element_at(parts, -1), "(?U)^\\W+|\\W+$", "").alias("surname")).where(F.length("surname") >= LEAST_SURNAME)
+    posted = postings(texts, NAME_WORD)
+    surnames = phrases_found(posted, named.select("key", F.col("surname").alias("phrase")), NAME_WORD).select("text_id", "key", "first_at")
+    firsts = phrases_found(posted, named.select("key", F.col("first").alias("phrase")), NAME_WORD).select("text_id", "key", (F.col("last_at") + 1).alias("first_at"), "rest")
+    titles = posted.where(F.col("token").isin(TITLES.split("|"))).select("text_id", (F.col("at") + 1).alias("first_at"), F.col("after").alias("rest"))
+    near = F.rlike("rest", F.lit("(?U)^\\.?\\s+$"))
+    titled = surnames.join(titles.where(near), ["text_id", "first_at"]).select("text_id", F.col("key").alias("name_id"))
+    called = surnames.join(firsts.where(near), ["text_id", "key", "first_at"]).select("text_id", F.col("key").alias("name_id"))
     full = contains_join(texts, names.select(F.col("name_id").alias("term_id"), F.trim("name").alias("term"))).withColumnRenamed("term_id", "name_id")
-    return full.unionByName(titled).distinct()
+    return full.unionByName(titled).unionByName(called).distinct()
 
 
 def window_leaks(texts: DataFrame, terms: DataFrame, n: int = 3) -> DataFrame:
@@ -170,13 +186,26 @@ def window_leaks(texts: DataFrame, terms: DataFrame, n: int = 3) -> DataFrame:
 
 
 def pair_leaks(texts: DataFrame, pairs: DataFrame, window: int = 40) -> DataFrame:
-    """Texts where two values stand as words within a window of characters, in either order (pair_id, first, second)."""
-    found = contains_join(texts, pairs.select(F.col("pair_id").alias("term_id"), F.col("first").alias("term")))
-    both = found.withColumnRenamed("term_id", "pair_id").join(texts, "text_id").join(pairs, "pair_id")
-    edge, word = "[^a-z0-9]", lambda c: F.concat(F.lit("\\Q"), F.lower(c), F.lit("\\E"))
-    one = lambda x, y: F.concat(F.lit(f"(^|{edge})"), word(x), F.lit(f"{edge}([\\s\\S]{{0,{window - 2}}}{edge})?"), word(y), F.lit(f"({edge}|$)"))
-    near = F.concat(one("first", "second"), F.lit("|"), one("second", "first"))
-    return both.where(F.regexp_like(F.lower("text"), near)).select("text_id", "pair_id")
+    """Texts where two values stand as words within a window of characters, in either order (pair_id, first, second).
+
+    Values are looked up in the words of the texts with their places. Ends of the one and starts of the other are put in order for
+    each text and pair, so that values that occur very often aren't all paired. Ids of texts are unique.
+    """
+    values = [pairs.select(F.struct("pair_id", F.lit(side).alias("side")).alias("key"), F.col(side).alias("phrase")) for side in ("first", "second")]
+    values = values[0].unionByName(values[1])
+    # places are counted in texts that have words of values only
+    words = postings(values, ASCII_WORD, ("key",), "phrase").select("token").distinct()
+    some = postings(texts, ASCII_WORD).join(words, "token", "left_semi").select("text_id").distinct()
+    posted = postings(texts.join(some, "text_id", "left_semi"), ASCII_WORD)
+    stop = F.sum(F.length("before") + F.length("token")).over(Window.partitionBy("text_id").orderBy("at"))
+    posted = posted.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("token")).join(words, "token", "left_semi")
+    found = phrases_found(posted, values, ASCII_WORD).select("text_id", "key.*", "start", "stop")
+    marks = F.inline(F.array(F.struct(F.col("stop").alias("place"), F.lit(True).alias("ends")), F.struct(F.col("start").alias("place"), F.lit(False).alias("ends"))))
+    marks = found.select("text_id", "pair_id", "side", marks)
+    before = Window.partitionBy("text_id", "pair_id").orderBy("place").rangeBetween(-window, -1)
+    ended = lambda side: F.count_if(F.col("ends") & (F.col("side") == side)).over(before) > 0
+    near = ~F.col("ends") & F.when(F.col("side") == "first", ended("second")).otherwise(ended("first"))
+    return marks.withColumn("near", near).where("near").select("text_id", "pair_id").distinct()
 
 
 def narration(texts: DataFrame) -> DataFrame:
@@ -184,17 +213,57 @@ def narration(texts: DataFrame) -> DataFrame:
     return texts.where(X.has_any(F.col("text"), NARRATION))
 
 
+def _object_at(text: str, at: int, closed: dict[int, int], failed: set[int]) -> None:
+    """Read JSON from an opening brace on: notes where objects that close end (closed), or, if it breaks off, which were open (failed)."""
+    stack, wants = [at], "key or end"
+    at += 1
+    while stack:
+        m = JSON_TOKEN.match(text, at)
+        token, at = m[1], m.end()
+        inside = stack[-1]
+        if token is None:
+            break
+        first = token[0]
+        if first == '"' and wants[0] == "k":
+            wants = "colon"
+        elif first == ":" and wants == "colon":
+            wants = "value"
+        elif first == "," and wants == "end":
+            wants = "key" if inside >= 0 else "value"
+        elif first in "}]" and wants[-3:] == "end" and (first == "}") == (inside >= 0):
+            stack.pop()
+            if inside >= 0:
+                closed[inside] = at
+            wants = "end"
+        elif wants[0] == "v" and first == "{":
+            stack.append(m.start(1))
+            wants = "key or end"
+        elif wants[0] == "v" and first == "[":
+            # arrays are known by a negative number
+            stack.append(-1)
+            wants = "value or end"
+        elif wants[0] == "v" and first not in "}]:,":
+            wants = "end"
+        else:
+            break
+    failed.update(stack)
+
+
 def first_object(text: str | None) -> str | None:
-    """The first JSON object of a text. One that is nested deeper than the parser goes isn't looked into: there is none then."""
-    text, decoder = text or "", json.JSONDecoder()
-    start = text.find("{")
-    while start >= 0:
-        try:
-            return text[start : decoder.raw_decode(text, start)[1]]
-        except RecursionError:
-            return None
-        except ValueError:
-            start = text.find("{", start + 1)
+    """The first JSON object of a text, however deep: that with the earliest opening brace from which a whole object can be read.
+
+    What was read for one brace settles those inside it as well, whether they closed or were open when it broke off, so only braces
+    inside strings are read from again, and the time grows with the length.
+    """
+    text = text or ""
+    closed: dict[int, int] = {}
+    failed: set[int] = set()
+    for opening in JSON_OPENING.finditer(text):
+        at = opening.start()
+        if at not in closed and at not in failed:
+            _object_at(text, at, closed, failed)
+        if at in closed:
+            return text[at : closed[at]]
     return None
 
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .records import choose_provider, top
+from ..sources.scratch import written
+from .records import choose_provider
 
 # Booking and admission rules.
 LEAD_DAYS, SLOT_MINUTES, MATCH_HOURS, WINDOW_SECONDS = 365, 30, 12, 60
@@ -64,28 +65,69 @@ DECIDED = "client long, request_id long, second double, decision string, retry_a
 def admit(requests: DataFrame, per_window: int, per_day: int, window: float = WINDOW_SECONDS) -> DataFrame:
     """Each request (client, request_id, second) with its decision: an ordered fold over each client's requests.
 
-    Clients are dealt to tasks and sorted there; the fold sees one batch of rows at a time and holds one client's state, so a
-    client with very many requests needs no more memory than another.
+    A client is cut where it pauses for longer than the window, for nothing but the day's count reaches across a pause; the parts
+    are folded by tasks of their own, so a client with very many requests is spread. Pauses are found from counts of spans as long
+    as the window, not from the requests in order. A first fold counts what each part lets through a day. Parts before which their
+    first day's count isn't 0 are folded again from that count, until no count changes; without a part that meets the day's limit
+    the first fold holds. A task sees one batch of rows at a time and holds one part's state.
     """
-    return _folded(requests.select("client", "request_id", "second", F.lit(False).alias("closed")), per_window, per_day, window)
+    rows = requests.select("client", "request_id", "second", F.lit(False).alias("closed"))
+    return _folded_parts(rows, per_window, per_day, window)
+
+
+def _parts(rows: DataFrame, window: float) -> DataFrame:
+    """The rows with ``part``, the span in which the client's last pause before them ended."""
+    span = F.floor(F.col("second") / window).alias("span")
+    spans = rows.groupBy("client", span).agg(F.min("second").alias("first"), F.max("second").alias("last"))
+    order = Window.partitionBy("client").orderBy("span")
+    fresh = F.coalesce(F.col("first") - F.lag("last").over(order) > window, F.lit(True))
+    heads = spans.withColumn("head", F.when(fresh, F.col("span"))).withColumn("part", F.max("head").over(order)).select("client", "span", "part")
+    return rows.withColumn("span", span).join(heads, ["client", "span"]).drop("span")
+
+
+def _folded_parts(rows: DataFrame, per_window: int, per_day: int, window: float) -> DataFrame:
+    keyed = _parts(rows.where("client is not null and second is not null"), window)
+    day = F.floor(F.col("second") / 86400).alias("day")
+    firsts = keyed.groupBy("client", "part").agg(F.min(day).alias("day"))
+    starts = None
+    while True:
+        begun = keyed.withColumn("start", F.lit(0)) if starts is None else keyed.join(starts, ["client", "part"], "left").fillna(0, ["start"])
+        done = written(_folded(begun, per_window, per_day, window), "admitted")
+        if not per_day:
+            break
+        taken = done.where("decision = 'accepted'").groupBy("client", day, "part").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("client", "day").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # a part without an accepted request has a count before it all the same
+        counts = taken.join(firsts, ["client", "day", "part"], "full").fillna(0, ["n"]).withColumn("start", F.least(F.lit(per_day), before))
+        found = written(counts.join(firsts, ["client", "day", "part"], "left_semi").where("start > 0").select("client", "part", "start"), "starts")
+        if starts is None:
+            # only a part that would go beyond the limit is decided otherwise
+            over = found.join(taken.join(firsts, ["client", "day", "part"]), ["client", "part"]).where(F.col("start") + F.col("n") > per_day)
+            if over.isEmpty():
+                break
+        elif found.exceptAll(starts).isEmpty() and starts.exceptAll(found).isEmpty():
+            break
+        starts = found
+    rest = rows.where("client is null or second is null").select("client", "request_id", "second", F.lit(None).cast("string").alias("decision"), F.lit(None).cast("double").alias("retry_after"))
+    return done.drop("part").unionByName(rest)
 
 
 def _folded(requests: DataFrame, per_window: int, per_day: int, window: float) -> DataFrame:
-    """The fold; requests that are ``closed`` are refused by the day's budget and use nothing up."""
+    """The fold of each client's parts, from ``start`` requests of the first day on; requests that are ``closed`` are refused by the day's budget and use nothing up."""
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, own = None, None
+        key, own = None, None
         for f in frames:
             decision, retry = [], []
-            for who, t, closed in zip(f["client"], f["second"], f["closed"], strict=True):
-                if own is None or who != client:
-                    client, own = who, Limiter(per_window, per_day, window)
+            for who, part, t, start, closed in zip(f["client"], f["part"], f["second"], f["start"], f["closed"], strict=True):
+                if own is None or (who, part) != key:
+                    key, own = (who, part), Limiter(per_window, per_day, window, (), int(t // 86400), start)
                 said, wait = ("budget", (int(t // 86400) + 1) * 86400 - t) if closed else own.admit(t)
                 decision.append(said)
                 retry.append(wait)
-            yield f[["client", "request_id", "second"]].assign(decision=decision, retry_after=retry)
+            yield f[["client", "request_id", "second", "part"]].assign(decision=decision, retry_after=retry)
 
-    return requests.repartition("client").sortWithinPartitions("client", "second", "request_id").mapInPandas(fold, DECIDED)
+    return requests.repartition("client", "part").sortWithinPartitions("client", "part", "second", "request_id").mapInPandas(fold, f"{DECIDED}, part long")
 
 
 def admit_within_budget(requests: DataFrame, per_window: int, per_day: int, budget: int, window: float = WINDOW_SECONDS) -> DataFrame:
@@ -102,7 +144,7 @@ def admit_within_budget(requests: DataFrame, per_window: int, per_day: int, budg
         ends = spark.createDataFrame([(d, t, i) for d, (t, i) in closings.items()], "day long, end_second double, end_id long")
         closed = F.struct("second", "request_id") > F.struct(F.col("end_second").alias("second"), F.col("end_id").alias("request_id"))
         marked = rows.withColumn("day", day).join(F.broadcast(ends), "day", "left").select("client", "request_id", "second", (F.col("end_second").isNotNull() & closed).alias("closed"))
-        decided = _folded(marked, per_window, per_day, window)
+        decided = _folded_parts(marked, per_window, per_day, window)
         taken = decided.where("decision = 'accepted'").select(day, "second", "request_id")
         # the place in the day: counts of minutes first, then within the minute where the budget is reached
         minutes = taken.groupBy("day", F.floor(F.col("second") / 60).alias("minute")).agg(F.count("*").alias("n"))
@@ -153,23 +195,57 @@ def validate_bookings(requests: DataFrame, appointments: DataFrame, encounters:
 
 
 def resolve_cancellations(requests: DataFrame, appointments: DataFrame, now) -> DataFrame:
-    """The scheduled appointment that a cancellation (request_id, scope, near) means: within 12 hours, the earliest."""
-    near = F.abs(F.unix_timestamp("near") - F.unix_timestamp(F.col("appointment_date").cast("timestamp"))) <= MATCH_HOURS * 3600
-    open_ = appointments.where((F.col("status") == "scheduled") & (F.col("appointment_date") >= F.lit(now)))
-    return top(requests.join(open_, "scope").where(near), ["request_id"], [F.asc("appointment_date"), F.asc("id")], 1).drop("rank")
+    """The scheduled appointment that a cancellation (request_id, scope, near) means: within 12 hours, the earliest.
+
+    Times are put into buckets of 12 hours; a request is joined with its scope's appointments of its own bucket and the two beside
+    it, and the earliest is aggregated, so only what is a day apart at most meets.
+    """
+    width = MATCH_HOURS * 3600
+    second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    bucket = lambda c: F.floor(second(c) / width)
+    asked = requests.select("*", F.explode(F.array(*[bucket("near") + i for i in (-1, 0, 1)])).alias("_bucket"))
+    open_ = appointments.where((F.col("status") == "scheduled") & (F.col("appointment_date") >= F.lit(now))).withColumn("_bucket", bucket("appointment_date"))
+    both = asked.join(open_, ["scope", "_bucket"]).where(F.abs(second("near") - second("appointment_date")) <= width)
+    rest = [c for c in both.columns if c not in ("request_id", "_bucket", "appointment_date", "id")]
+    return both.groupBy("request_id").agg(F.min(F.struct("appointment_date", "id", *rest)).alias("row")).select("request_id", "row.*")
 
 
 def not_yet_executed(confirms: DataFrame, audit: DataFrame) -> DataFrame:
-    """Confirmations whose token the audit log hasn't executed, each token once."""
-    return confirms.join(audit.where("outcome = 'executed'").select("token").distinct(), "token", "left_anti").dropDuplicates(["token"])
+    """Confirmations whose token the audit log hasn't executed."""
+    return confirms.join(audit.where("outcome = 'executed'").select("token").distinct(), "token", "left_anti")
 
 
 def apply_confirms(confirms: DataFrame, appointments: DataFrame, audit: DataFrame, now) -> DataFrame:
-    """Confirmations (token, scope, slot, expires_at) with their outcome: expired, repeated, slot taken or executed."""
-    fresh = not_yet_executed(confirms, audit).select("token").withColumn("fresh", F.lit(True))
-    taken = clashes(confirms.select("token", "scope", "slot"), appointments).select("token").distinct().withColumn("taken", F.lit(True))
-    rows = confirms.dropDuplicates(["token"]).join(fresh, "token", "left").join(taken, "token", "left")
-    return rows.withColumn("outcome", F.when(F.col("expires_at") < F.lit(now), "expired").when(F.col("fresh").isNull(), "repeated").when(F.col("taken"), "slot_taken").otherwise("executed")).drop("fresh", "taken")
+    """Confirmations (token, scope, slot, expires_at, ...) with their outcome: expired, repeated, slot taken or executed.
+
+    A token counts once, by its earliest (slot, expires_at). Of rival tokens for one slot of a scope, the one that was proposed first
+    (smallest expires_at, then token) is executed if the slot is free; the others find it taken. Rows of a slot are put together
+    by aggregation, so a slot that very many ask for is no group of one task.
+    """
+    rest = [c for c in confirms.columns if c not in ("token", "slot", "expires_at")]
+    once = confirms.groupBy("token").agg(F.min(F.struct("slot", "expires_at", *rest)).alias("row")).select("token", "row.*")
+    # a marked join side each: what the audit log executed, and what holds the slot
+    done = audit.where("outcome = 'executed'").select("token").distinct().withColumn("done", F.lit(True))
+    taken = appointments.where("status = 'scheduled'").select("scope", snapped(F.col("appointment_date")).alias("slot")).distinct().withColumn("taken", F.lit(True))
+    rows = once.join(done, "token", "left").join(taken, ["scope", "slot"], "left")
+    early = F.when(F.col("expires_at") < F.lit(now), "expired").when(F.col("done"), "repeated").when(F.col("taken"), "slot_taken")
+    rows = rows.withColumn("early", early).drop("done", "taken")
+    winners = rows.where("early is null").groupBy("scope", "slot").agg(F.min(F.struct("expires_at", "token")).getField("token").alias("winner"))
+    rows = rows.join(winners, ["scope", "slot"], "left")
+    outcome = F.coalesce("early", F.when(F.col("token") == F.col("winner"), "executed").otherwise("slot_taken"))
+    return rows.withColumn("outcome", outcome).select(*confirms.columns, "outcome")
+
+
+def booked(appointments: DataFrame, decided: DataFrame) -> DataFrame:
+    """The appointments with one more for each executed confirmation (token, scope, slot, ...); columns that both have are taken over.
+
+    A new row's id is a hash of its token, so doing it twice equals once.
+    """
+    own = {"id": F.xxhash64("token"), "appointment_date": F.col("slot"), "status": F.lit("scheduled")}
+    kinds = {f.name: f.dataType for f in appointments.schema.fields}
+    columns = [own.get(c, F.col(c) if c in decided.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in appointments.columns]
+    new = decided.where("outcome = 'executed'").select(*columns)
+    return appointments.unionByName(new.join(appointments.select("id"), "id", "left_anti").select(appointments.columns))
 
 
 def apply_cancels(cancels: DataFrame, appointments: DataFrame) -> DataFrame:

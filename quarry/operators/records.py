@@ -101,9 +101,34 @@ def with_provider(facts: DataFrame, providers: DataFrame) -> DataFrame:
     return facts.join(providers, "provider_id", "left")
 
 
+#: Widths of buckets of days, as powers of two from one day on; days are told apart from 1970 on by half of the widest each way.
+LEVELS = 22
+
+
+def _day(c: str) -> Column:
+    return F.least(F.lit((1 << LEVELS) - 1), F.greatest(F.lit(0), F.unix_date(c) + (1 << LEVELS - 1)))
+
+
+def _buckets_of(start: Column, end: Column) -> Column:
+    """The fewest buckets, of several widths, that make up the days from start to end, each day in one of them."""
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    width = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    low, high = (lambda k: F.call_function("shiftright", start + width(k) - 1, k)), (lambda k: F.call_function("shiftright", end + 1, k))
+    # a bucket at the left edge where that is the right half of a wider one, and at the right edge where that is the left half
+    edge = lambda k, odd, at: F.when((low(k) < high(k)) & (odd % 2 == 1), F.struct(k.alias("level"), at.alias("bucket")))
+    return F.array_compact(F.flatten(F.transform(levels, lambda k: F.array(edge(k, low(k), low(k)), edge(k, high(k), high(k) - 1)))))
+
+
 def in_effect(courses: DataFrame, dates: DataFrame) -> DataFrame:
-    """Courses in force on each date of their scope (scope, on_date)."""
-    return courses.join(dates, "scope").where(in_force(F.col("on_date")))
+    """Courses in force on each date of their scope (scope, on_date).
+
+    A course is cut into buckets of days, wide ones for most of a long course, and a date stands in one bucket of each width; those
+    of one scope and bucket are joined. A course has each of its days in one bucket, so what meets is in force, and nothing else meets.
+    """
+    asked = dates.where("on_date is not null").withColumn("_day", _day("on_date")).select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")).withColumn("bucket", F.call_function("shiftright", F.col("_day"), F.col("level"))).drop("_day")
+    end = F.when(F.col("end_date").isNull(), (1 << LEVELS) - 1).otherwise(_day("end_date"))
+    held = courses.where("start_date is not null").select("*", F.inline(_buckets_of(_day("start_date"), end)))
+    return held.join(asked, ["scope", "level", "bucket"]).drop("level", "bucket")
 
 
 def current(courses: DataFrame, as_of: date) -> DataFrame:

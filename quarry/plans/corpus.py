@@ -104,7 +104,12 @@ def leak_scan_windows(spark, sf_dir):
     return C.window_leaks(_texts(spark, sf_dir), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term")))
 
 
-@query()
+_NAMES = "(SELECT item_id AS name_id, array_to_string(string_split_regex(text, '\\s+')[1:2], ' ') AS name FROM benchmark)"
+_NAMED = f"(SELECT name_id, name, string_split_regex(lower(trim(name)), '\\s+')[1] AS first, regexp_replace(string_split_regex(lower(trim(name)), '\\s+')[-1], '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g') AS surname FROM {_NAMES})"
+
+
+@query(f"""SELECT DISTINCT doc_id AS text_id, name_id FROM documents, {_NAMED} WHERE (trim(name) <> '' AND contains(lower(text), lower(trim(name))))
+OR CASE WHEN contains(trim(name), ' ') AND length(surname) >= 4 AND contains(lower(text), surname) THEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])({C.TITLES}|' || regexp_escape(first) || ')\\.?\\s+' || regexp_escape(surname) || '($|[^\\p{{L}}\\p{{N}}_])')""")
 def name_leaks(spark, sf_dir):
     """The first two words of each benchmark item stand in for a person's names."""
     names = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name_id"), F.array_join(F.slice(F.split("text", "\\s+"), 1, 2), " ").alias("name"))
@@ -310,6 +315,33 @@ def apply_confirms(spark, sf_dir):
     return O.apply_confirms(confirms, rows.withColumn("appointment_date", F.col("appointment_date").cast("timestamp")), audit, now).select("token", "outcome")
 
 
+_RIVALS = f"""c AS (SELECT id AS token, scope, date_trunc('year', appointment_date)::TIMESTAMP AS slot, TIMESTAMP '2000-01-01' + to_days((id % 97)::INT) AS expires_at FROM {A} WHERE id % 2 = 0),
+a AS (SELECT scope, status, price, CASE WHEN id % 3 = 0 THEN date_trunc('year', appointment_date)::TIMESTAMP ELSE appointment_date::TIMESTAMP END AS appointment_date FROM {A} WHERE id % 2 = 1),
+e AS (SELECT *, CASE WHEN expires_at < TIMESTAMP '2000-01-10' THEN 'expired' WHEN token % 7 = 0 THEN 'repeated' WHEN (scope, slot) IN (SELECT (scope, appointment_date) FROM a WHERE status = 'scheduled') THEN 'slot_taken' END AS early FROM c),
+o AS (SELECT token, scope, slot, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY scope, slot, early IS NULL ORDER BY expires_at, token) = 1 THEN 'executed' ELSE 'slot_taken' END) AS outcome FROM e)"""
+
+
+def _rivals(spark, sf_dir):
+    """Even orders ask for the first of the year of their date, so many ask for one slot; odd ones are the appointments, a third of them on such days."""
+    rows = S.appointments(spark, sf_dir)
+    year = F.date_trunc("year", "appointment_date")
+    confirms = rows.where("id % 2 = 0").select(F.col("id").alias("token"), "scope", year.alias("slot"), (F.lit(datetime(2000, 1, 1)) + F.make_dt_interval(days=(F.col("id") % 97).cast("int"))).alias("expires_at"))
+    held = rows.where("id % 2 = 1").select("id", "scope", "status", "price", F.when(F.col("id") % 3 == 0, year).otherwise(F.col("appointment_date").cast("timestamp")).alias("appointment_date"))
+    audit = rows.where("id % 7 = 0").select(F.col("id").alias("token"), F.lit("executed").alias("outcome"))
+    return O.apply_confirms(confirms, held, audit, datetime(2000, 1, 10)), held
+
+
+@query(f"WITH {_RIVALS} SELECT token, outcome FROM o")
+def rival_confirms(spark, sf_dir):
+    return _rivals(spark, sf_dir)[0].select("token", "outcome")
+
+
+@query(f"WITH {_RIVALS} SELECT scope, appointment_date, status, price FROM a UNION ALL SELECT scope, slot, 'scheduled', NULL FROM o WHERE outcome = 'executed'")
+def booked_appointments(spark, sf_dir):
+    decided, held = _rivals(spark, sf_dir)
+    return O.booked(O.booked(held, decided), decided).select("scope", "appointment_date", "status", "price")
+
+
 @query(f"SELECT id, CASE WHEN status = 'scheduled' AND id % 4 = 0 THEN 'cancelled' ELSE status END AS status FROM {A}")
 def apply_cancels(spark, sf_dir):
     rows = S.appointments(spark, sf_dir)
