@@ -113,21 +113,21 @@ def score_card(groups: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("skip_reason", F.when(F.col("value").isNull(), "nothing to score"))
 
 
-# Metric groups, their metrics and why one may have nothing to score.
+# Metric groups, their metrics and what the cases are without where one has no value.
 SCORES = [
-    ("routing", "router_accuracy", "no case had both an expected route and a live model"),
-    ("retrieval", "recall_at_k", "no case with retrieval ground truth ran"),
-    ("retrieval", "precision_at_k", "no case with retrieval ground truth ran"),
-    ("retrieval", "mrr", "no case with retrieval ground truth ran"),
-    ("generation", "answer_correctness", "no case ran that declares required facts"),
-    ("generation", "citation_correctness", "no cited answers with ground truth"),
-    ("generation", "grounding_rate", "no record-backed answers"),
-    ("generation", "faithfulness", "no judged answers"),
-    ("tools", "tool_recall", "no case expects a tool"),
-    ("tools", "tool_precision", "no case used a tool"),
-    ("tools", "mean_tool_calls", "no case ran"),
-    ("safety", "leak_free_rate", "no case forbids a term"),
-    ("reliability", "error_rate", "every case was skipped"),
+    ("routing", "router_accuracy", "without routes to compare"),
+    ("retrieval", "recall_at_k", "without relevant documents"),
+    ("retrieval", "precision_at_k", "without relevant documents"),
+    ("retrieval", "mrr", "without relevant documents"),
+    ("generation", "answer_correctness", "without facts to mention"),
+    ("generation", "citation_correctness", "without citations to compare"),
+    ("generation", "grounding_rate", "without answers that need sources"),
+    ("generation", "faithfulness", "without judged claims"),
+    ("tools", "tool_recall", "without expected tools"),
+    ("tools", "tool_precision", "without used tools"),
+    ("tools", "mean_tool_calls", "without finished cases"),
+    ("safety", "leak_free_rate", "without forbidden terms"),
+    ("reliability", "error_rate", "without attempted cases"),
 ]
 
 

@@ -113,7 +113,7 @@ UNION ALL SELECT 'tools', 'tool_precision', avg((turn % 3 = 0)::INT / 2.0::DOUBL
 UNION ALL SELECT 'tools', 'mean_tool_calls', avg(conv_id % 2 * 2), count(*) FROM j
 UNION ALL SELECT 'safety', 'leak_free_rate', avg((NOT contains(lower(text), 'ing'))::INT), count(*) FROM j WHERE conv_id % 2 = 0
 UNION ALL SELECT 'reliability', 'error_rate', avg(failed::INT), count(*) FROM r WHERE NOT skipped)
-SELECT "group", metric, value, n::BIGINT AS n, CASE WHEN n = 0 THEN 'no judged answers' END AS skip_reason FROM m""")
+SELECT "group", metric, value, n::BIGINT AS n, CASE WHEN n = 0 THEN 'without judged claims' END AS skip_reason FROM m""")
 def score_results(spark, sf_dir):
     """Assistant turns as cases: a seventh skipped, a seventh failed; citations are what was retrieved."""
     none = lambda kind: F.array().cast(f"array<{kind}>")

@@ -1,6 +1,7 @@
 """Hand-built cases of the record, retrieval, ingestion, graph, metric, corpus, rule and operation jobs."""
 
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -268,7 +269,11 @@ def test_streams_classify_check_and_forget(spark, tmp_path):
         requests(row).write.parquet(f"{folder}/{k}")
         query = run(jobs.admit_stream(source, 1, 9, 60), "first")
         query.awaitTermination(120)
-    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    # what two days of silence leave: the state of one client
+    left = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    alone = run(jobs.admit_stream(spark.readStream.schema("client long, request_id long, ts timestamp").parquet(f"{folder}/3"), 1, 9, 60), "alone")
+    alone.awaitTermination(120)
+    assert left == alone.lastProgress["stateOperators"][0]["numRowsTotal"]
     spark.createDataFrame([(1, "when is my next appointment?")], "id long, text string").write.parquet(f"{tmp_path}/talk")
     said = spark.readStream.schema("id long, text string").parquet(f"{tmp_path}/talk")
     run(jobs.classified_stream(said), "routes").awaitTermination(120)
@@ -450,3 +455,191 @@ def test_stream_admits_as_batch(spark, tmp_path):
     job = trace_rollup_stream(traces).writeStream.format("memory").outputMode("complete").queryName("rolled").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     job.awaitTermination(120)
     assert spark.table("rolled").agg(F.sum("n")).first()[0] == 60
+
+
+def test_rival_confirmations(spark):
+    """One slot is booked once; a repeated token counts once; booking twice equals once."""
+    at = lambda h: datetime(2024, 5, 1, h)
+    held = spark.createDataFrame([(1, 7, at(9), "scheduled", "checkup"), (2, 7, at(10), "cancelled", "checkup")], "id long, scope long, appointment_date timestamp, status string, appointment_type string")
+    asked = [("b", 7, at(10), at(12), "x"), ("a", 7, at(10), at(12), "y"), ("c", 7, at(10), at(11), "z"), ("c", 7, at(10), at(11), "z"), ("d", 7, at(9), at(12), "x"), ("e", 7, at(11), at(1), "x"), ("f", 7, at(11), at(12), "x"), ("g", 8, at(10), at(12), "x"), ("h", 9, at(3), at(12), "x"), ("i", 9, at(3), at(13), "x")]
+    confirms = spark.createDataFrame(asked, "token string, scope long, slot timestamp, expires_at timestamp, appointment_type string")
+    audit = spark.createDataFrame([("f", "executed"), ("h", "executed"), ("g", "rejected")], "token string, outcome string")
+    decided = operations.apply_confirms(confirms, held, audit, at(5))
+    assert dict(rows(decided.select("token", "outcome"), "token")) == {"a": "slot_taken", "b": "slot_taken", "c": "executed", "d": "slot_taken", "e": "expired", "f": "repeated", "g": "executed", "h": "repeated", "i": "executed"}
+    once = operations.booked(held, decided)
+    assert rows(once.select("scope", "appointment_date", "status", "appointment_type"), "scope", "appointment_date", "status") == [(7, at(9), "scheduled", "checkup"), (7, at(10), "cancelled", "checkup"), (7, at(10), "scheduled", "z"), (8, at(10), "scheduled", "x"), (9, at(3), "scheduled", "x")]
+    assert rows(operations.booked(once, decided), "id") == rows(once, "id")
+    assert dict(rows(operations.apply_confirms(confirms, once, audit, at(5)).select("token", "outcome"), "token"))["c"] == "slot_taken"
+
+
+def test_replacing_on_disk_leaves_other_files(spark, tmp_path):
+    import glob
+
+    path, frame = f"{tmp_path}/t", lambda *r: spark.createDataFrame(r, "k long, v string")
+    every = frame(*[(k, f"{k}-{i}") for k in range(40) for i in range(2)])
+    tables.replace_on_disk(every, every, path, "k", 16)
+    before = set(glob.glob(f"{path}/bucket=*/*.parquet"))
+    update = frame((3, "new"), (99, "added"))
+    for _ in range(2):
+        tables.replace_on_disk(update, frame((3, ""), (99, ""), (4, "")), path, "k", 16)
+        want = sorted([(k, f"{k}-{i}") for k in range(40) for i in range(2) if k not in (3, 4)] + [(3, "new"), (99, "added")])
+        assert rows(tables.read_replaced(spark, path, "k"), "k", "v") == want
+    kept = before & set(glob.glob(f"{path}/bucket=*/*.parquet"))
+    assert len(before) - len(kept) <= 3 and len(kept) >= 10
+    # the last keys of all folders go
+    tables.replace_on_disk(frame().limit(0), every.union(update), path, "k", 16)
+    assert tables.read_replaced(spark, path, "k").isEmpty()
+
+
+def test_audit_batches_are_written_once(spark, tmp_path, monkeypatch):
+    """A batch that fails between its rows and its manifest is written over; one that is run again changes nothing."""
+    path, frame = f"{tmp_path}/audit", lambda *r: spark.createDataFrame(r, "token string, outcome string")
+    write = tables.audit_batches(path)
+    write(frame(("a", "executed"), ("b", "expired")), 0)
+    # rows of batch 1 without its number in the manifest: what a failure leaves
+    frame(("half", "executed")).write.parquet(f"{path}/rows/batch=1")
+    assert rows(tables.read_audit(spark, path), "token") == [("a", "executed"), ("b", "expired")]
+    for _ in range(2):
+        write(frame(("c", "executed")), 1)
+        write(frame(("a", "executed"), ("b", "expired")), 0)
+        assert rows(tables.read_audit(spark, path), "token") == [("a", "executed"), ("b", "expired"), ("c", "executed")]
+
+
+def _streamed(spark, tmp_path, batches, schema, build, name, files_per_batch=1):
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}-in/{k}")
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).parquet(f"{tmp_path}/{name}-in")
+    query = build(source).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/{name}.log").trigger(availableNow=True).start(f"{tmp_path}/{name}")
+    query.awaitTermination(200)
+    return spark.read.parquet(f"{tmp_path}/{name}"), query
+
+
+def test_streamed_limits_equal_the_fold(spark, tmp_path):
+    """Clients' limits over batches equal the batch form; with the budget of a day they equal one fold; both forget by timers."""
+    rng = random.Random(9)
+    asked = sorted((1_700_006_400.0 + round(rng.uniform(0, 2.5 * 86400), 3), i, rng.choice([1, 1, 1, 2, 3])) for i in range(900))
+    batch = [(c, i, datetime.fromtimestamp(t)) for t, i, c in asked]
+    schema, parts = "client long, request_id long, ts timestamp", [batch[:300], batch[300:600], batch[600:]]
+    alone, _ = _streamed(spark, tmp_path, parts, schema, lambda s: jobs.admit_stream(s, 2, 60, 900), "alone")
+    frame = spark.createDataFrame([(c, i, t) for t, i, c in asked], "client long, request_id long, second double")
+    assert rows(alone.select("request_id", "decision"), "request_id") == rows(operations.admit(frame, 2, 60, 900).select("request_id", "decision"), "request_id")
+    both, query = _streamed(spark, tmp_path, parts, schema, lambda s: jobs.admit_within_budget_stream(s, 2, 30, 80, 900), "both")
+    own, spent, want = {}, {}, {}
+    for t, i, c in asked:
+        said, day = own.setdefault(c, operations.Limiter(2, 30, 900)).admit(t)[0], int(t // 86400)
+        said = "budget" if spent.get(day, 0) >= 80 else said
+        spent[day] = spent.get(day, 0) + (said == "accepted")
+        want[i] = said
+    assert dict(rows(both.select("request_id", "decision"), "request_id")) == want and set(want.values()) == {"accepted", "window_limit", "daily_limit", "budget"}
+    # five days later one client is left, and one day
+    spark.createDataFrame([(8, 10_000, datetime.fromtimestamp(asked[-1][0] + 5 * 86400))], schema).write.parquet(f"{tmp_path}/both-in/9")
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/both-in")
+    query = jobs.admit_within_budget_stream(source, 2, 30, 80, 900).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/both.log").trigger(availableNow=True).start(f"{tmp_path}/both")
+    query.awaitTermination(200)
+    assert spark.read.parquet(f"{tmp_path}/both").count() == 901
+
+
+def test_confirmations_meet_their_proposals(spark, tmp_path):
+    """In time, too late, before the proposal, and of no proposal; a confirmation later than its watermark isn't seen."""
+    at = lambda m: datetime(2024, 5, 1, 8) + timedelta(minutes=m)
+    asked, said = "token string, scope long, slot timestamp, proposed_at timestamp", "token string, confirmed_at timestamp"
+    proposals = [[("a", 1, at(500), at(0)), ("b", 1, at(530), at(1)), ("c", 2, at(500), at(2))], [("d", 3, at(500), at(40)), ("z", 9, at(0), at(300))], [("z2", 9, at(0), at(301))]]
+    confirms = [[("a", at(5)), ("c", at(1)), ("n", at(3))], [("b", at(30)), ("d", at(45)), ("z", at(300))], [("a", at(6)), ("z2", at(301))]]
+    for name, batches, schema in (("p", proposals, asked), ("c", confirms, said)):
+        for k, batch in enumerate(batches):
+            spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/{k}")
+    read = lambda name, schema: spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    query = jobs.confirmed_stream(read("p", asked), read("c", said)).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination(200)
+    got = dict(rows(spark.read.parquet(f"{tmp_path}/out").select("token", "outcome"), "token"))
+    assert got == {"a": "open", "b": "expired", "c": "expired", "d": "open", "n": "expired", "z": "open", "z2": "open"}
+    assert spark.read.parquet(f"{tmp_path}/out").where("token = 'a'").count() == 1
+
+
+def test_a_hot_client_is_cut_at_its_pauses(spark):
+    """Half of all requests of one client, over midnights and with days that close inside a part: the decisions of one fold, from many parts."""
+    rng = random.Random(4)
+    asked = sorted((rng.uniform(0, 4 * 86400), i, rng.choice([1, 1, 1, 2, 3, 4])) for i in range(3000))
+    # busy stretches around midnights, without a pause
+    asked = sorted(asked + [(d * 86400 - 1500 + 9.5 * k, 5000 + 1000 * d + k, 1) for d in (1, 2, 3) for k in range(320)])
+    frame = spark.createDataFrame([(c, i, t) for t, i, c in asked], "client long, request_id long, second double").repartition(4)
+    for per_window, per_day, window in ((2, 60, 120), (3, 0, 60), (5, 7, 30), (1, 500, 45)):
+        own, want = {}, {}
+        for t, i, c in asked:
+            want[i] = own.setdefault(c, operations.Limiter(per_window, per_day, window)).admit(t)
+        got = {r["request_id"]: (r["decision"], r["retry_after"]) for r in operations.admit(frame, per_window, per_day, window).collect()}
+        assert got == want
+    assert operations._parts(frame, 30).where("client = 1").select("part").distinct().count() > 300
+    lost = spark.createDataFrame([(None, 1, 5.0), (1, 2, None)], "client long, request_id long, second double")
+    assert rows(operations.admit(lost, 1, 1).select("request_id", "decision"), "request_id") == [(1, None), (2, None)]
+
+
+def test_courses_meet_dates_by_buckets(spark):
+    """Random, long, open and reversed courses equal a scan of all pairs; what can't overlap never meets."""
+    rng = random.Random(8)
+    day = lambda n: date(1990, 1, 1) + timedelta(days=n)
+    courses = [(rng.randint(1, 3), i, day(a := rng.randint(0, 6000)), rng.choice([None, day(a + rng.choice([0, 1, 30, 3000])), day(a - 2)])) for i in range(300)] + [(1, 900, date(1, 1, 1), date(9999, 12, 31)), (1, 901, None, None)]
+    dates = [(rng.randint(1, 4), day(rng.randint(-50, 9000))) for _ in range(200)] + [(1, date(1, 1, 1)), (1, date(9999, 12, 31)), (1, None)]
+    frame, asked = spark.createDataFrame(courses, "scope long, id long, start_date date, end_date date"), spark.createDataFrame(dates, "scope long, on_date date")
+    want = sorted((i, d) for s, i, a, b in courses for t, d in dates if s == t and a and d and a <= d and (b is None or d <= b))
+    assert rows(records.in_effect(frame, asked).select("id", "on_date"), "id", "on_date") == want
+    # a scope of many short courses and dates
+    many = spark.range(100_000).selectExpr("1L AS scope", "id", "date_add(DATE '1900-01-01', CAST(id / 3 AS INT)) AS start_date", "date_add(DATE '1900-01-01', CAST(id / 3 AS INT) + 1) AS end_date")
+    every = spark.range(33_000).selectExpr("1L AS scope", "date_add(DATE '1900-01-01', CAST(id AS INT)) AS on_date")
+    assert records.in_effect(many, every).count() == sum(1 for i in range(100_000) for d in (i // 3, i // 3 + 1) if d < 33_000)
+
+
+def test_cancellations_mean_the_earliest_near(spark):
+    rng = random.Random(5)
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    held = [(i, rng.randint(1, 2), at(rng.randint(0, 20000)), rng.choice(["scheduled", "cancelled"])) for i in range(120)] + [(500, 1, at(5000), "scheduled"), (501, 1, at(5000), "scheduled")]
+    asked = [(i, rng.randint(1, 3), at(rng.randint(0, 20000))) for i in range(150)] + [(900, 1, at(5720)), (901, 1, at(4280))]
+    frame, requests = spark.createDataFrame(held, "id long, scope long, appointment_date timestamp, status string"), spark.createDataFrame(asked, "request_id long, scope long, near timestamp")
+    want = {}
+    for r, s, t in asked:
+        near = sorted((d, i) for i, scope, d, status in held if scope == s and status == "scheduled" and d >= at(3000) and abs(d - t) <= timedelta(hours=12))
+        if near:
+            want[r] = near[0][1]
+    assert dict(rows(operations.resolve_cancellations(requests, frame, at(3000)).select("request_id", "id"))) == want
+
+
+def test_terms_and_values_by_scan(spark):
+    """Terms of every length, upper case, other alphabets; pairs and names at all distances, repeated and overlapping: as a scan of all pairs finds them."""
+    import re
+
+    rng = random.Random(6)
+    alphabet = "abé日. \nA-1"
+    texts = [(i, "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 5, 60, 300])))) for i in range(80)] + [(90, None), (91, "a" * 5000)]
+    terms = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 5)))) for i in range(60)] + [(70, "aaaa"), (71, "aaaa"), (72, None)]
+    frame = spark.createDataFrame(texts, "text_id long, text string")
+    got = rows(corpus.contains_join(frame, spark.createDataFrame(terms, "term_id long, term string")), "text_id", "term_id")
+    assert got == sorted((i, j) for i, t in texts for j, x in terms if t and x and x.lower() in t.lower())
+    words = ["ab", "cd", "x.y", "ab cd", "(q)", "cd-e", "zz"]
+    said = [(i, "".join(rng.choice(words) + rng.choice([" ", ", ", "\n", " " * rng.randint(1, 45), "w"]) for _ in range(rng.randint(1, 9)))) for i in range(150)]
+    pairs = [(k, x, y) for k, (x, y) in enumerate((x, y) for x in words for y in words)]
+    near = lambda x, y: f"(^|[^a-z0-9]){re.escape(x)}[^a-z0-9]([\\s\\S]{{0,38}}[^a-z0-9])?{re.escape(y)}([^a-z0-9]|$)"
+    want = sorted((i, k) for i, t in said for k, x, y in pairs if re.search(f"{near(x, y)}|{near(y, x)}", t.lower()))
+    assert rows(corpus.pair_leaks(spark.createDataFrame(said, "text_id long, text string"), spark.createDataFrame(pairs, "pair_id long, first string, second string")), "text_id", "pair_id") == want
+
+
+def test_objects_in_long_and_odd_texts():
+    import json
+    import time
+
+    def slow(text):
+        start = text.find("{")
+        while start >= 0:
+            try:
+                return text[start : json.JSONDecoder().raw_decode(text, start)[1]]
+            except ValueError:
+                start = text.find("{", start + 1)
+        return None
+
+    rng = random.Random(1)
+    parts = ["{", "}", "[", "]", '"', ":", ",", "1", "-2.5e3", "true", "null", " ", "\n", '"a"', '"b":', '{"a":', '\\"', "x", "{}", '{"k":1}', '"\\u00e9"', "NaN", "-", "01"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert corpus.first_object(text) == slow(text)
+    for text, found in (("{" * 2_000_000, None), ('{"a": "' + "{" * 2_000_000, None), ('{"a":' * 200_000 + '{"ok": 1}', '{"ok": 1}'), ('{"a": [1,1,' * 90_000 + ' {"ok": 1}', '{"ok": 1}')):
+        began = time.process_time()
+        assert corpus.first_object(text) == found and time.process_time() - began < 5
