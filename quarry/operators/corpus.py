@@ -133,8 +133,9 @@ def postings(texts: DataFrame, word: str, columns: tuple[str, ...] = ("text_id",
     """The words of lower-cased texts: the given columns, of (how many), at (0, 1, ...), token, and what stands before and after it."""
     low = F.lower(text)
     tokens, gaps = F.regexp_extract_all(low, F.lit(word), F.lit(0)), F.split(low, word, -1)
-    zipped = F.arrays_zip(tokens.alias("token"), F.slice(gaps, F.lit(1), F.size(tokens)).alias("before"), F.slice(gaps, F.lit(2), F.size(tokens)).alias("after"))
-    return texts.select(*columns, F.size(tokens).alias("of"), F.posexplode(zipped).alias("at", "x")).select(*columns, "of", "at", "x.*")
+    # all in one array, so that nothing is worked out for each word again
+    zipped = F.arrays_zip(F.array_repeat(F.size(tokens), F.size(tokens)).alias("of"), tokens.alias("token"), F.slice(gaps, F.lit(1), F.size(tokens)).alias("before"), F.slice(gaps, F.lit(2), F.size(tokens)).alias("after"))
+    return texts.select(*columns, F.posexplode(zipped).alias("at", "x")).select(*columns, "at", "x.*")
 
 
 def phrases_found(posted: DataFrame, phrases: DataFrame, word: str) -> DataFrame:

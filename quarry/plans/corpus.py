@@ -109,7 +109,7 @@ _NAMED = f"(SELECT name_id, name, string_split_regex(lower(trim(name)), '\\s+')[
 
 
 @query(f"""SELECT DISTINCT doc_id AS text_id, name_id FROM documents, {_NAMED} WHERE (trim(name) <> '' AND contains(lower(text), lower(trim(name))))
-OR CASE WHEN contains(trim(name), ' ') AND length(surname) >= 4 AND contains(lower(text), surname) THEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])({C.TITLES}|' || regexp_escape(first) || ')\\.?\\s+' || regexp_escape(surname) || '($|[^\\p{{L}}\\p{{N}}_])')""")
+OR CASE WHEN contains(trim(name), ' ') AND length(surname) >= 4 AND contains(lower(text), surname) THEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])({C.TITLES}|' || regexp_escape(first) || ')\\.?\\s+' || regexp_escape(surname) || '($|[^\\p{{L}}\\p{{N}}_])') ELSE false END""")
 def name_leaks(spark, sf_dir):
     """The first two words of each benchmark item stand in for a person's names."""
     names = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name_id"), F.array_join(F.slice(F.split("text", "\\s+"), 1, 2), " ").alias("name"))
