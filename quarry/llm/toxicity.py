@@ -130,7 +130,7 @@ def by_size(length: np.ndarray, rows: int):
 def expand(flat: np.ndarray, first: np.ndarray, length: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The sum of ``weights`` over the subsequences of each word, by the kernel's own weights."""
     out = np.zeros(len(first), np.float32)
-    for size, some in by_size(length, 2048):
+    for size, some in by_size(length, 512):
         i, j, k, w = places(size)
         word = flat[first[some][:, None] + np.arange(size)].astype(np.int32)
         out[some] = weights[(word[:, i] * LETTERS + word[:, j]) * LETTERS + word[:, k]] @ w
@@ -365,7 +365,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 2000, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["toxic", "units"])
 
     rows = sample.mapInArrow(bags, "toxic int, units binary").collect()
-    return train(sorted((r["toxic"], bytes(r["units"]).decode("latin-1").split("\0") if r["units"] else []) for r in rows))
+    # a word is one object however many texts have it
+    held: dict[str, str] = {}
+    return train(sorted((r["toxic"], [held.setdefault(u, u) for u in bytes(r["units"]).decode("latin-1").split("\0")] if r["units"] else []) for r in rows))
 
 
 def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
