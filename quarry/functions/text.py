@@ -69,9 +69,13 @@ def heading(line: Column) -> Column:
     return F.when((bare != "") & (F.length(bare) <= 60), found)
 
 
+# Fixed value: what stands between sentences.
+SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9])"
+
+
 def sentences(c: Column) -> Column:
     """Parts that begin with a capital or a digit after the end of a sentence."""
-    return F.filter(F.transform(F.split(c, "(?<=[.!?])\\s+(?=[A-Z0-9])"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, SENTENCE_GAP), F.trim), lambda x: x != "")
 
 
 def embedding_input(title: Column, day: Column, section: Column, text: Column) -> Column:

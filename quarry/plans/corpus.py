@@ -169,13 +169,23 @@ def classify_routes(spark, sf_dir):
     return R.classify_routes(asked).select("conv_id", "turn", "route")
 
 
+def _answered(spark, sf_dir):
+    k = F.col("conv_id") % 5
+    text = F.when(k == 0, " ").when(k == 1, F.concat("text", F.lit(" SYSTEM INSTRUCTIONS"))).when(k == 2, F.concat("text", F.lit(" You should stop taking it"))).otherwise(F.col("text"))
+    return load(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", text.alias("answer"), (F.col("turn") % 3 == 0).alias("truncated"), F.array(F.lit("a")).alias("available"), F.when(F.col("turn") % 4 == 1, F.array(F.lit("a"), F.lit("b"))).alias("cited"), F.lit(True).alias("expect_sources"))
+
+
 @query("""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN k = 0 THEN 'empty_answer' END, CASE WHEN k = 1 THEN 'leaked_prompt_scaffolding' END, CASE WHEN turn % 3 = 0 THEN 'truncated_answer' END, CASE WHEN turn % 4 = 1 THEN 'cited_unavailable_source' END, CASE WHEN turn % 4 <> 1 THEN 'missing_sources' END, CASE WHEN k = 2 THEN 'possible_diagnosis' END], lambda x: x IS NOT NULL), ',') AS violations, k < 2 AS blocked
 FROM (SELECT *, conv_id % 5 AS k FROM conversations WHERE role = 'assistant')""")
 def check_answers(spark, sf_dir):
-    k = F.col("conv_id") % 5
-    text = F.when(k == 0, " ").when(k == 1, F.concat("text", F.lit(" SYSTEM INSTRUCTIONS"))).when(k == 2, F.concat("text", F.lit(" You should stop taking it"))).otherwise(F.col("text"))
-    rows = load(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", text.alias("answer"), (F.col("turn") % 3 == 0).alias("truncated"), F.array(F.lit("a")).alias("available"), F.when(F.col("turn") % 4 == 1, F.array(F.lit("a"), F.lit("b"))).alias("cited"), F.lit(True).alias("expect_sources"))
-    return R.check_answers(rows).select("conv_id", "turn", F.array_join("violations", ",").alias("violations"), "blocked")
+    return R.check_answers(_answered(spark, sf_dir)).select("conv_id", "turn", F.array_join("violations", ",").alias("violations"), "blocked")
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN k < 2 THEN '{R.BLOCKED}' ELSE trim(text || CASE WHEN k = 2 THEN ' You should stop taking it' ELSE '' END) || CASE WHEN turn % 3 = 0 THEN chr(10) || chr(10) || '{R.CUT_SHORT.strip()}' ELSE '' END END AS shown
+FROM (SELECT *, conv_id % 5 AS k FROM conversations WHERE role = 'assistant')""")
+def shown_answers(spark, sf_dir):
+    """What is shown of each answer: all of it, a note where it was cut short, or another text in its place."""
+    return R.check_answers(_answered(spark, sf_dir)).select("conv_id", "turn", "shown")
 
 
 @query("""SELECT 'order_status' AS rule, count(CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 1 END)::BIGINT AS n FROM orders UNION ALL SELECT 'ship_after_order', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate

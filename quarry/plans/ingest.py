@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import ingest as D
 from ..sources.tables import load
 from .registry import query
@@ -92,3 +93,11 @@ def check_dimension(spark, sf_dir):
 @query("SELECT count(*)::BIGINT AS n_chunks, count(CASE WHEN vec_id % 4 > 0 THEN 1 END)::BIGINT AS n_embedded, count(DISTINCT label)::BIGINT AS n_documents, count(*) / count(DISTINCT label) AS mean_chunks FROM embeddings")
 def chunk_stats(spark, sf_dir):
     return D.chunk_statistics(load(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.when(F.col("vec_id") % 4 > 0, F.col("embedding")).alias("embedding")))
+
+
+@query("""SELECT doc_id, len(s)::BIGINT AS n_sentences, md5(array_to_string(s, chr(10))) AS digest FROM
+(SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents WHERE NOT contains(text, chr(1)))""")
+def sentence_splits(spark, sf_dir):
+    """Sentences of whole documents."""
+    held = load(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\x01"))).select("doc_id", X.sentences(F.col("text")).alias("s"))
+    return held.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.md5(F.array_join("s", "\n")).alias("digest"))
