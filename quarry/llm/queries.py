@@ -121,18 +121,28 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def _plain_text_sql(c: str) -> str:
-    """Plain text of a page; names of characters come from the standard table, in a row ``m`` of names and texts."""
-    reference = "&(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
-    c = f"regexp_replace({c}, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g')"
-    c = f"regexp_replace({c}, '(?s)<!--.*?-->', ' ', 'g')"
-    c = f"regexp_replace({c}, '(?i)</?(p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav|aside|main|title|head|body|html)(\\s[^>]*)?/?>', chr(10), 'g')"
-    c = f"regexp_replace({c}, '(?s)<[^>]*>', '', 'g')"
-    number = "(CASE WHEN lower(x[2]) = 'x' THEN ('0x' || x[3:])::BIGINT ELSE x[2:]::BIGINT END)"
+#: What follows a tag's name in a page, and the white space of HTML.
+_HTML_SPACE = "[ \\t\\n\\x0B\\f\\r]"
+_REST = f"(?:(?:{_HTML_SPACE}|/)[^>=]*(?:=(?:{_HTML_SPACE}*(?:\"[^\"]*\"|''[^'']*''))?[^>=]*)*>|(?:{_HTML_SPACE}|/)[^>]*>|>)"
+
+
+def _resolved_sql(c: str) -> str:
+    """A text with its character references resolved; names of characters come from the standard table, in a row ``m`` of names and texts."""
+    reference = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});"
+    number = "(CASE WHEN lower(x[2]) = 'x' THEN TRY_CAST('0x' || x[3:] AS BIGINT) ELSE TRY_CAST(x[2:] AS BIGINT) END)"
     plain = f"CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr({number}::INT) ELSE chr(65533) END"
     one = f"CASE WHEN x[1] = '#' THEN coalesce(CASE WHEN {number} BETWEEN 128 AND 159 THEN m['#' || {number}] END, {plain}) ELSE coalesce(m[x], '&' || x || ';') END"
-    c = f"(SELECT array_to_string(list_transform(list_zip(string_split_regex(c, '{reference}'), list_append(list_transform(regexp_extract_all(c, '{reference}', 1), lambda x: {one}), '')), lambda z: z[1] || z[2]), '') FROM (SELECT {c} AS c))"
-    return f"regexp_replace(regexp_replace(regexp_replace({c}, '[ \\t\\r\\f\\x{{A0}}]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    return f"(SELECT array_to_string(list_transform(list_zip(string_split_regex(c, '{reference}'), list_append(list_transform(regexp_extract_all(c, '{reference}', 1), lambda x: {one}), '')), lambda z: z[1] || z[2]), '') FROM (SELECT {c} AS c))"
+
+
+def _plain_text_sql(c: str) -> str:
+    """Plain text of a page."""
+    raw = "|".join(f"<{name}{_REST}.*?(?:</{name}(?:(?:{_HTML_SPACE}|/)[^>]*)?>|\\z)" for name in ("script", "style", "noscript"))
+    tag = f"(?:</?[a-z][^ \\t\\n\\x0B\\f\\r/>]*{_REST}|<[!?][^>]*>)"
+    c = f"regexp_replace(replace(replace({c}, chr(65535), ''), chr(65534), ''), '(?is)(?:<!--.*?(?:-->|\\z)|{raw})|({tag})', chr(65535) || '\\1' || chr(65534), 'g')"
+    c = f"regexp_replace({c}, '(?i)\\x{{FFFF}}</?(?:p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav|aside|main|title|head|body|html)[ \\t\\n\\x0B\\f\\r/>][^\\x{{FFFE}}]*\\x{{FFFE}}', chr(10), 'g')"
+    c = f"replace(regexp_replace({c}, '\\x{{FFFF}}<[^\\x{{FFFE}}]*\\x{{FFFE}}', '', 'g'), chr(65535) || chr(65534), ' ')"
+    return f"regexp_replace(regexp_replace(regexp_replace({_resolved_sql(c)}, '[ \\t\\r\\f\\x{{A0}}]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 
 
 def _record_id_sql(*parts: str) -> str:
@@ -146,20 +156,21 @@ def _characters_sql() -> str:
     return "MAP {" + ", ".join(f"{_quoted(n)}: {_quoted(x)}" for n, x in held.items()) + "}"
 
 
+_SPACE = "[\\t\\n\\x0B\\f\\r ]+"
 _URL = "coalesce(url, '')"
 for _x, _y in ((" ", "%20"), ("chr(9)", "%09"), ("chr(13)", "%0D"), ("chr(10)", "%0A")):
     _URL = f"replace({_URL}, {_x if _x.startswith('chr') else _quoted(_x)}, '{_y}')"
 _URL = f"regexp_replace({_URL}, '[\\x00-\\x1F\\x7F]', '', 'g')"
-_SPACE = "[\\t\\n\\x0B\\f\\r ]+"
 
 OP5_SQL = f"""
 WITH e AS (SELECT {_characters_sql()} AS m),
-p AS (SELECT page_id, {_URL} AS url, coalesce(html, '') AS html, 'sha256:' || sha256(coalesce(html, '')) AS source_digest, {_plain_text_sql("coalesce(html, '')")} AS text FROM pages, e),
+p AS (SELECT page_id, {_URL} AS url, coalesce(html, '') AS html, 'sha256:' || sha256(coalesce(html, '')) AS source_digest, {_plain_text_sql("coalesce(html, '')")} AS text,
+  regexp_replace({_resolved_sql(f"regexp_extract(coalesce(html, ''), '(?is)<title{_REST}(.*?)</title', 1)")}, '{_SPACE}', ' ', 'g') AS title FROM pages, e),
 q AS (SELECT *, {_record_id_sql("'response'", "coalesce(page_id::VARCHAR, '')", "url", "source_digest")} AS response, chr(13) || chr(10) AS nl FROM p),
 r AS (SELECT page_id, url, source_digest, response, nl, 'response' AS warc_type, 'application/http; msgtype=response' AS content_type, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(html) || nl || nl || html AS block FROM q
   UNION ALL SELECT page_id, url, source_digest, response, nl, 'conversion', 'text/plain; charset=utf-8', text FROM q
   UNION ALL SELECT page_id, url, source_digest, response, nl, 'metadata', 'application/warc-fields', 'via: ' || url || nl || 'host: ' || regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1) || nl
-    || 'title: ' || regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{_SPACE}', ' ', 'g') || nl || 'source-content-type: text/html' || nl || 'source-payload-digest: ' || source_digest || nl || 'source-length: ' || strlen(html) || nl || 'text-length: ' || strlen(text) || nl FROM q),
+    || 'title: ' || title || nl || 'source-content-type: text/html' || nl || 'source-payload-digest: ' || source_digest || nl || 'source-length: ' || strlen(html) || nl || 'text-length: ' || strlen(text) || nl FROM q),
 d AS (SELECT *, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest, CASE WHEN warc_type <> 'response' THEN response END AS refers_to FROM r),
 i AS (SELECT *, CASE warc_type WHEN 'response' THEN source_digest WHEN 'conversion' THEN block_digest END AS payload_digest, CASE WHEN warc_type = 'response' THEN response ELSE {_record_id_sql("warc_type", "response", "block_digest")} END AS record_id FROM d)
 SELECT page_id, warc_type, record_id, refers_to, concat_ws(nl, 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Date: 2024-01-01T00:00:00Z', 'WARC-Target-URI: ' || url, 'WARC-Refers-To: ' || refers_to,

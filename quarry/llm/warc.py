@@ -7,8 +7,11 @@ target and date, and carry its payload's digest as the source's; their own diges
 functions are used and nothing is shuffled.
 
 White space and control characters in a url are percent-encoded or dropped, so it can't add header lines; a title is one line.
-Numeric and named character references of HTML are resolved in plain text, with the semicolon only; numbers that are no
-character give U+FFFD, names that HTML doesn't know stay. Null html is an empty page; a null url is an empty target. Repeated
+Numeric and named character references of HTML are resolved in plain text and titles, with the semicolon only; numbers that are no
+character, however long, give U+FFFD, names that HTML doesn't know stay. Tags are told from left to right: a quoted value after an
+equals sign may hold anything, scripts and styles end with their own end tag or the page, comments with theirs or the page, and a
+``<`` that begins none of these is text. A tag whose quoted values leave no end ends at its first ``>``; without one it is text.
+U+FFFE and U+FFFF are no characters and left out. Null html is an empty page; a null url is an empty target. Repeated
 rows give the same records again. An empty table gives an empty result. Other columns than page_id, url and html don't matter.
 """
 
@@ -24,7 +27,13 @@ from pyspark.sql import functions as F
 #: The capture date that pages without one of their own are given.
 DATE = "2024-01-01T00:00:00Z"
 BLOCKS = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|footer|nav|aside|main|title|head|body|html"
-REFERENCE = "&(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
+REFERENCE = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});"
+#: What follows a tag's name: attributes, whose values may be quoted after an equals sign, and the end.
+REST = "(?:[\\s/][^>=]*+(?:=(?:\\s*+(?:\"[^\"]*+\"|'[^']*+'))?+[^>=]*+)*+)?+>"
+RAW = "(?:" + "|".join(f"<{name}(?:{REST}|[\\s/][^>]*>).*?(?:</{name}(?:[\\s/][^>]*)?>|\\z)" for name in ("script", "style", "noscript")) + ")"
+TAG = f"(?:</?[a-z][^\\s/>]*+(?:{REST}|[\\s/][^>]*>)|<[!?][^>]*>)"
+#: Marks around what is no text.
+OPEN, CLOSE = "\uffff", "\ufffe"
 SPACE = "[\\t\\n\\x0B\\f\\r ]+"
 
 
@@ -41,7 +50,7 @@ def resolved(text: Column) -> Column:
     table = F.from_json(F.lit(characters()), "map<string,string>")
 
     def character(ref: Column) -> Column:
-        number = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2))).cast("long")
+        number = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(F.substr(ref, F.lit(3)), 16, 10)).otherwise(F.substr(ref, F.lit(2))).try_cast("long")
         valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         own = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("�")
         numeric = F.when(number.between(128, 159), F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), number.cast("string"))), own)).otherwise(own)
@@ -53,11 +62,14 @@ def resolved(text: Column) -> Column:
 
 
 def tagless(html: Column) -> Column:
-    """The page without scripts, styles, comments and tags; a line feed for each block."""
-    out = F.regexp_replace(html, "(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
-    out = F.regexp_replace(out, "(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, f"(?i)</?({BLOCKS})(\\s[^>]*)?/?>", "\n")
-    return F.regexp_replace(out, "(?s)<[^>]*>", "")
+    """The page without scripts, styles, comments and tags; a line feed for each block.
+
+    One pass from left to right puts marks around every tag and in place of the rest, so that no later one takes text for a tag.
+    """
+    plain = F.translate(html, OPEN + CLOSE, "")
+    out = F.regexp_replace(plain, f"(?is)(?:<!--.*?(?:-->|\\z)|{RAW})|({TAG})", f"{OPEN}$1{CLOSE}")
+    out = F.regexp_replace(out, f"(?i){OPEN}</?(?:{BLOCKS})[\\s/>][^{CLOSE}]*{CLOSE}", "\n")
+    return F.replace(F.regexp_replace(out, f"{OPEN}<[^{CLOSE}]*{CLOSE}", ""), F.lit(OPEN + CLOSE), F.lit(" "))
 
 
 def tidy(text: Column) -> Column:
@@ -96,7 +108,7 @@ def build_derivatives(pages: DataFrame) -> DataFrame:
     page = page.withColumn("bare", tagless(F.col("html"))).withColumn("text", tidy(resolved(F.col("bare")))).drop("bare")
     page = page.withColumns({"source_digest": digest("html"), "message": text("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", size("html"), "\r\n\r\n", F.col("html"))})
     page = page.withColumn("response", record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("url"), F.col("source_digest")))
-    title = F.regexp_replace(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), SPACE, " ")
+    title = F.regexp_replace(resolved(F.regexp_extract("html", f"(?is)<title(?:{REST}|[\\s/][^>]*>)(.*?)</title", 1)), SPACE, " ")
     host = F.regexp_extract("url", "^[a-zA-Z]+://([^/:?#]*)", 1)
     metadata = text("via: ", F.col("url"), "\r\nhost: ", host, "\r\ntitle: ", title, "\r\nsource-content-type: text/html\r\nsource-payload-digest: ", F.col("source_digest"), "\r\nsource-length: ", size("html"), "\r\ntext-length: ", size("text"), "\r\n")
     none = F.lit(None).cast("string")

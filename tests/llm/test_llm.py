@@ -584,3 +584,73 @@ def test_stages_keep_rows_they_should(spark):
     assert ngram_join.keep_one_of_each(docs).where("doc_id is null").count() == 1
     assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == 5
     assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), SF).count() == 0
+
+
+def tagless_by_hand(html):
+    """A page without scripts, styles, comments and tags, read character by character."""
+    blocks, raw, white = set(warc.BLOCKS.split("|")), {"script", "style", "noscript"}, " \t\n\x0b\f\r"
+
+    def end_of_tag(at):
+        """After the tag whose name ends at ``at``, or -1; quotes count right after an equals sign."""
+        if at < len(html) and html[at] == ">":
+            return at + 1
+        first, start = html.find(">", at), at
+        while at < len(html) and html[at] != ">":
+            if html[at] == "=":
+                quote = at + 1
+                while quote < len(html) and html[quote] in white:
+                    quote += 1
+                close = html.find(html[quote], quote + 1) if quote < len(html) and html[quote] in "\"'" else -1
+                at = close if close >= 0 else at
+            at += 1
+        return at + 1 if at < len(html) else first + 1 if first >= start and first >= 0 else -1
+
+    html, out, at = html.translate({0xFFFE: None, 0xFFFF: None}), [], 0
+    while at < len(html):
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        if html[at] == "<" and html[at + 1 : at + 2] in ("!", "?") and html.find(">", at) >= 0:
+            at = html.find(">", at) + 1
+            continue
+        name_at = at + 1 + (html[at + 1 : at + 2] == "/")
+        if html[at] == "<" and html[name_at : name_at + 1].isascii() and html[name_at : name_at + 1].isalpha():
+            name_end = name_at
+            while name_end < len(html) and html[name_end] not in white + "/>":
+                name_end += 1
+            name, end = html[name_at:name_end].lower(), end_of_tag(name_end)
+            if end > 0:
+                if name in raw and name_at == at + 1:
+                    out.append(" ")
+                    low, close = html.lower(), end
+                    while (close := low.find(f"</{name}", close)) >= 0:
+                        after = close + len(name) + 2
+                        if after < len(html) and (html[after] in white + "/>") and html.find(">", after) >= 0:
+                            break
+                        close += 1
+                    at = html.find(">", close) + 1 if close >= 0 else len(html)
+                else:
+                    out.append("\n" if name in blocks else "")
+                    at = end
+                continue
+        out.append(html[at])
+        at += 1
+    return "".join(out)
+
+
+def test_hard_pages(spark):
+    """Attributes with tags in them, code with end tags in it, unclosed elements, signs that are no tags: as read character by character."""
+    hard = '<a title="x > y">link</a> if a < b and c > d then <script>var s="</style>"; hidden()</script> end<script>open()'
+    pages = [hard, "<p title='a>b'>x</p><br/>y", "<!-- <p> -- > x -->z<!--open", "<SCRIPT a='>'>x</scripty></Script >y", "1 < 2 <3 > <", "<a href=it's>k</a>'>", "<a b=\"never closed>t</a>", "<div", "</p >q</ p>", "<?php x ?><!doctype html>d", "<script/>x</script>y", "<noscript><p>n</p></noscript>m", "￿<p>￿z", "<p" + " a='1'" * 20_000 + ">long</p>", "<" * 5000, "<b>" * 3000 + "t"]
+    rng = random.Random(4)
+    parts = ["<", ">", "=", '"', "'", "/", " ", "a", "p", "<p>", "</p>", "<b x='", "<script>", "</script>", "<!--", "-->", "<style a=\">\">", "</style", "text", "\n", "!", "?", "&amp;"]
+    pages += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(list(enumerate(pages)), "id long, html string").repartition(4)
+    got = dict(map(tuple, frame.select("id", warc.tagless(F.col("html"))).collect()))
+    assert [got[i] for i in range(len(pages))] == [tagless_by_hand(p) for p in pages]
+    built = {r["warc_type"]: r["block"] for r in warc.build_derivatives(spark.createDataFrame([(1, "u", f"<title a='>'>A &lt;b&gt; &#{'9' * 40};\n</title>{hard}&#x{'f' * 30};&#{'0' * 30}65;")], "page_id long, url string, html string")).collect()}
+    assert "title: A <b> � \r\n" in built["metadata"] and built["conversion"] == "A <b> �\nlink if a < b and c > d then end"
