@@ -30,8 +30,8 @@ BLOCKS = "p|div|br|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|header|fo
 REFERENCE = "&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});"
 #: What follows a tag's name: attributes, whose values may be quoted after an equals sign, and the end.
 REST = "(?:[\\s/][^>=]*+(?:=(?:\\s*+(?:\"[^\"]*+\"|'[^']*+'))?+[^>=]*+)*+)?+>"
-RAW = "(?:" + "|".join(f"<{name}(?:{REST}|[\\s/][^>]*>).*?(?:</{name}(?:[\\s/][^>]*)?>|\\z)" for name in ("script", "style", "noscript")) + ")"
-TAG = f"(?:</?[a-z][^\\s/>]*+(?:{REST}|[\\s/][^>]*>)|<[!?][^>]*>)"
+RAW = "|".join(f"{name}(?:{REST}|[\\s/][^>]*>).*?(?:</{name}(?:[\\s/][^>]*)?>|\\z)" for name in ("script", "style", "noscript"))
+TAG = f"(?:/?[a-z][^\\s/>]*+(?:{REST}|[\\s/][^>]*>)|[!?][^>]*>)"
 #: Marks around what is no text.
 OPEN, CLOSE = "\uffff", "\ufffe"
 SPACE = "[\\t\\n\\x0B\\f\\r ]+"
@@ -66,10 +66,12 @@ def tagless(html: Column) -> Column:
 
     One pass from left to right puts marks around every tag and in place of the rest, so that no later one takes text for a tag.
     """
-    plain = F.translate(html, OPEN + CLOSE, "")
-    out = F.regexp_replace(plain, f"(?is)(?:<!--.*?(?:-->|\\z)|{RAW})|({TAG})", f"{OPEN}$1{CLOSE}")
-    out = F.regexp_replace(out, f"(?i){OPEN}</?(?:{BLOCKS})[\\s/>][^{CLOSE}]*{CLOSE}", "\n")
-    return F.replace(F.regexp_replace(out, f"{OPEN}<[^{CLOSE}]*{CLOSE}", ""), F.lit(OPEN + CLOSE), F.lit(" "))
+    plain = F.replace(F.replace(html, F.lit(OPEN), F.lit("")), F.lit(CLOSE), F.lit(""))
+    out = F.regexp_replace(plain, f"(?is)<(?:!--.*?(?:-->|\\z)|{RAW}|({TAG}))", f"{OPEN}<$1{CLOSE}")
+    # nothing between the marks: no tag
+    out = F.replace(out, F.lit(f"{OPEN}<{CLOSE}"), F.lit(" "))
+    out = F.regexp_replace(out, f"(?i){OPEN}</?(?:{BLOCKS})[\\s/>][^{CLOSE}]*+{CLOSE}", "\n")
+    return F.regexp_replace(out, f"{OPEN}<[^{CLOSE}]*+{CLOSE}", "")
 
 
 def tidy(text: Column) -> Column:
