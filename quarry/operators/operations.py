@@ -215,12 +215,10 @@ def not_yet_executed(confirms: DataFrame, audit: DataFrame) -> DataFrame:
     return confirms.join(audit.where("outcome = 'executed'").select("token").distinct(), "token", "left_anti")
 
 
-def apply_confirms(confirms: DataFrame, appointments: DataFrame, audit: DataFrame, now) -> DataFrame:
-    """Confirmations (token, scope, slot, expires_at, ...) with their outcome: expired, repeated, slot taken or executed.
+def check_confirms(confirms: DataFrame, appointments: DataFrame, audit: DataFrame, now) -> DataFrame:
+    """Confirmations (token, scope, slot, expires_at, ...) each on its own, against what is booked: expired, repeated, slot_taken or executed.
 
-    A token counts once, by its earliest (slot, expires_at). Of rival tokens for one slot of a scope, the one that was proposed first
-    (smallest expires_at, then token) is executed if the slot is free; the others find it taken. Rows of a slot are put together
-    by aggregation, so a slot that very many ask for is no group of one task.
+    A token counts once, by its earliest (slot, expires_at). Others of the same table aren't looked at; ``apply_confirms`` does that.
     """
     rest = [c for c in confirms.columns if c not in ("token", "slot", "expires_at")]
     once = confirms.groupBy("token").agg(F.min(F.struct("slot", "expires_at", *rest)).alias("row")).select("token", "row.*")
@@ -228,14 +226,23 @@ def apply_confirms(confirms: DataFrame, appointments: DataFrame, audit: DataFram
     done = audit.where("outcome = 'executed'").select("token").distinct().withColumn("done", F.lit(True))
     taken = appointments.where("status = 'scheduled'").select("scope", snapped(F.col("appointment_date")).alias("slot")).distinct().withColumn("taken", F.lit(True))
     rows = once.join(done, "token", "left").join(taken, ["scope", "slot"], "left")
-    early = F.when(F.col("expires_at") < F.lit(now), "expired").when(F.col("done"), "repeated").when(F.col("taken"), "slot_taken")
-    rows = rows.withColumn("early", early).drop("done", "taken")
-    winners = rows.where("early is null").groupBy("scope", "slot").agg(F.min(F.struct("expires_at", "token")).getField("token").alias("winner"))
-    rows = rows.join(winners, ["scope", "slot"], "left")
-    outcome = F.coalesce("early", F.when(F.col("token") == F.col("winner"), "executed").otherwise("slot_taken"))
+    outcome = F.when(F.col("expires_at") < F.lit(now), "expired").when(F.col("done"), "repeated").when(F.col("taken"), "slot_taken").otherwise("executed")
     return rows.withColumn("outcome", outcome).select(*confirms.columns, "outcome")
 
 
+def apply_confirms(confirms: DataFrame, appointments: DataFrame, audit: DataFrame, now) -> DataFrame:
+    """Confirmations (token, scope, slot, expires_at, ...) with their outcome: expired, repeated, slot taken or executed.
+
+    Each is checked on its own first. Of rival tokens for one slot of a scope, the one that was proposed first (smallest expires_at,
+    then token) is executed if the slot is free; the others find it taken. Rows of a slot are put together by aggregation, so a slot
+    that very many ask for is no group of one task.
+    """
+    rows = check_confirms(confirms, appointments, audit, now)
+    winners = rows.where("outcome = 'executed'").groupBy("scope", "slot").agg(F.min(F.struct("expires_at", "token")).getField("token").alias("winner"))
+    beaten = (F.col("outcome") == "executed") & ~F.col("token").eqNullSafe(F.col("winner"))
+    return rows.join(winners, ["scope", "slot"], "left").withColumn("outcome", F.when(beaten, "slot_taken").otherwise(F.col("outcome"))).select(*confirms.columns, "outcome")
+
+
 def booked(appointments: DataFrame, decided: DataFrame) -> DataFrame:
     """The appointments with one more for each executed confirmation (token, scope, slot, ...); columns that both have are taken over.
 

@@ -642,3 +642,14 @@ def test_objects_in_long_and_odd_texts():
     for text, found in (("{" * 2_000_000, None), ('{"a": "' + "{" * 2_000_000, None), ('{"a":' * 200_000 + '{"ok": 1}', '{"ok": 1}'), ('{"a": [1,1,' * 90_000 + ' {"ok": 1}', '{"ok": 1}')):
         began = time.process_time()
         assert corpus.first_object(text) == found and time.process_time() - began < 5
+
+
+def test_confirmations_each_on_its_own(spark, tmp_path):
+    """The query judges two confirmations of one free slot alike, as its SQL does; the operator books one of them."""
+    from quarry.plans import corpus as corpus_plans
+
+    at = datetime(2000, 5, 1)
+    orders = [(2, 7, "F", at), (4, 7, "F", at), (6, 8, "O", at), (8, 8, "F", at), (14, 9, "F", at), (22, 9, "F", at)]
+    spark.createDataFrame([(i, c, s, 1.0, t, "1-URGENT") for i, c, s, t in orders], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = dict(rows(corpus_plans.apply_confirms(spark, str(tmp_path)), "token"))
+    assert got == {2: "executed", 4: "executed", 6: "slot_taken", 8: "slot_taken", 14: "repeated", 22: "expired"}
