@@ -653,3 +653,9 @@ def test_confirmations_each_on_its_own(spark, tmp_path):
     spark.createDataFrame([(i, c, s, 1.0, t, "1-URGENT") for i, c, s, t in orders], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = dict(rows(corpus_plans.apply_confirms(spark, str(tmp_path)), "token"))
     assert got == {2: "executed", 4: "executed", 6: "slot_taken", 8: "slot_taken", 14: "repeated", 22: "expired"}
+
+
+def test_sentences_lose_spaces_only(spark):
+    """The digits of a sentence's place aren't trimmed; Unicode's spaces are."""
+    df = spark.createDataFrame([("0 a. 1 b 1. \u00a02. 19.37.233.111",), (" . ",), ("",)], "t string")
+    assert [r[0] for r in df.select(X.sentences(F.col("t"))).collect()] == [["0 a.", "1 b 1. \u00a02.", "19.37.233.111"], ["."], []]
