@@ -659,3 +659,61 @@ def test_sentences_lose_spaces_only(spark):
     """The digits of a sentence's place aren't trimmed; Unicode's spaces are."""
     df = spark.createDataFrame([("0 a. 1 b 1. \u00a02. 19.37.233.111",), (" . ",), ("",)], "t string")
     assert [r[0] for r in df.select(X.sentences(F.col("t"))).collect()] == [["0 a.", "1 b 1. \u00a02.", "19.37.233.111"], ["."], []]
+
+
+def _small_blocks(monkeypatch):
+    from quarry.operators import blocks
+
+    for name, n in (("QUERY_BLOCK", 7), ("CHUNK_BLOCK", 40), ("VECTOR_BLOCK", 25), ("TILE", 16)):
+        monkeypatch.setattr(blocks, name, n)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    """Copies, vectors of length 0, other lengths and missing ones: the order of all pairs, whatever the blocks; no row for each pair is shuffled."""
+    _small_blocks(monkeypatch)
+    rng = random.Random(1)
+    vector = lambda: [float(rng.randint(-2, 2)) for _ in range(3)]
+    held = [(i, f"s{i % 2}", rng.choice([vector(), vector(), [0.0, 0.0, 0.0], [1.0, 2.0], None, [1.0, 2.0, 2.0]])) for i in range(150)]
+    df = spark.createDataFrame(held, "id long, scope string, embedding array<float>")
+    queries, chunks = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id")
+    both = queries.withColumnRenamed("embedding", "q").join(chunks, "scope").withColumn("distance", V.cosine_distance(F.col("q"), F.col("embedding")))
+    want = retrieval.ranked(both, [F.asc_nulls_last("distance"), F.asc("chunk_id")], 5).select("query_id", "chunk_id", "distance", "rank")
+    got = retrieval.vector_search(queries, chunks, 5)
+    assert rows(got.select("query_id", "chunk_id", "distance", "rank"), "query_id", "rank") == rows(want, "query_id", "rank")
+
+
+def test_terms_in_blocks(spark, monkeypatch):
+    """Hits and BM25 of all pairs by a loop; ties by id; ids may be texts."""
+    import math
+
+    _small_blocks(monkeypatch)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(12)] + ["the"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    chunks = [(f"c{i:03}", f"s{i % 2}", rng.choice([None, "", text(3), text(40), text(9)])) for i in range(200)]
+    queries = [(i, f"s{i % 3}", rng.choice([None, text(1), text(3)])) for i in range(40)]
+    q, c = spark.createDataFrame(queries, "query_id long, scope string, query string"), spark.createDataFrame(chunks, "chunk_id string, scope string, text string")
+    for scorer in ("count", "bm25"):
+        want = []
+        for i, scope, asked in queries:
+            mine, terms = [(j, (t or "").split()) for j, s, t in chunks if s == scope], sorted({w for w in (asked or "").split() if w != "the"})
+            full = [len(t) for (_, s, x) in chunks if s == scope and x is not None for t in [x.split()]]
+            found = []
+            for j, t in mine:
+                score = 0
+                for w in terms:
+                    tf, df = t.count(w), sum(w in u for _, u in mine)
+                    if tf:
+                        score += tf if scorer == "count" else math.log(1 + (len(mine) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / (sum(full) / len(full))))
+                if score:
+                    found.append((-round(score, 9), j))
+            want += [(i, j, n + 1, round(-s, 6)) for n, (s, j) in enumerate(sorted(found)[:4])]
+        got = retrieval.keyword_search(q, c, 4, scorer=scorer).select("query_id", "chunk_id", "rank", F.round(F.col("hits").cast("double"), 6))
+        assert rows(got, "query_id", "rank") == sorted(want, key=lambda r: (r[0], r[2]))
+
+
+def test_no_table_of_pairs(spark, tmp_path):
+    """Neither search joins queries with chunks row by row."""
+    q, c = spark.createDataFrame([(1, "s", "plan", [1.0])], "query_id long, scope string, query string, embedding array<float>"), spark.createDataFrame([(1, "s", "plan", [1.0])], "chunk_id long, scope string, text string, embedding array<float>")
+    for found in (retrieval.vector_search(q, c), retrieval.keyword_search(q, c), retrieval.keyword_search(q, c, scorer="bm25")):
+        assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
