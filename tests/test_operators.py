@@ -717,3 +717,13 @@ def test_no_table_of_pairs(spark, tmp_path):
     q, c = spark.createDataFrame([(1, "s", "plan", [1.0])], "query_id long, scope string, query string, embedding array<float>"), spark.createDataFrame([(1, "s", "plan", [1.0])], "chunk_id long, scope string, text string, embedding array<float>")
     for found in (retrieval.vector_search(q, c), retrieval.keyword_search(q, c), retrieval.keyword_search(q, c, scorer="bm25")):
         assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranking_without_texts(spark):
+    """Hits that bring their passage's digest and their overlap are ranked as those with texts are."""
+    hits = spark.createDataFrame([(1, i, i, "keyword", 0.5, date(2024, 1, i), "Plan", t) for i, t in enumerate(["a plan", "A  plan", "other plan", "none"], 1)], "query_id long, chunk_id long, rank int, retriever string, similarity double, chunk_date date, section string, text string")
+    asked = spark.createDataFrame([(1, "the other plan")], "query_id long, query string")
+    bare = hits.select("*", F.md5(X.passage_key(F.col("text"))).alias("passage"), F.expr("array(0.5, 0.5, 1.0, 0.0)[chunk_id - 1]").cast("double").alias("overlap")).drop("text")
+    names = ["chunk_id", "occurrences", F.round("score", 9), "rank"]
+    ranked = lambda df: rows(retrieval.rerank_heuristic(retrieval.dedup_passages(df).withColumn("rank", F.lit(0)), asked, date(2024, 6, 1), 5).select(*names), "rank")
+    assert ranked(bare) == ranked(hits) and len(ranked(bare)) == 3
