@@ -119,6 +119,32 @@ def test_anchors_come_before_the_candidate_limit(spark):
     assert got == [(q, i + 1, c, q == 1) for q, ids in ((1, inside), (2, every), (3, every)) for i, c in enumerate(ids)]
 
 
+@pytest.mark.parametrize("scorer", ["count", "bm25"])
+def test_groups_of_documents_confine_as_lists_do(spark, scorer):
+    """Queries that share a group of documents, and the same documents listed for each query: the hits of a scan; BM25 still weighs by the whole scope."""
+    rng = random.Random(11)
+    made = [(i % 2, i, i % 9, " ".join(rng.choice(["dose", "pain", "visit", "zeta"]) for _ in range(rng.randint(1, 6))), [rng.random(), rng.random()]) for i in range(200)]
+    chunks = spark.createDataFrame(made, "scope long, chunk_id long, doc_id long, text string, embedding array<double>")
+    asked = [(q, q % 2, rng.choice(["dose", "pain visit", "zeta dose"]), [rng.random(), 0.5]) for q in range(12)]
+    queries = spark.createDataFrame(asked, "query_id long, scope long, query string, embedding array<double>")
+    held = {"a": [0, 1, 2, 77], "b": [4, 5]}
+    group = {q: "ab"[q % 3 // 2] for q, *_ in asked if q < 10}
+    named = spark.createDataFrame(list(group.items()), "query_id long, group string"), spark.createDataFrame([(g, d) for g, ds in held.items() for d in ds], "group string, doc_id long")
+    listed = spark.createDataFrame([(q, d) for q, g in group.items() for d in held[g]], "query_id long, doc_id long")
+    for search in (lambda w: retrieval.vector_search(queries, chunks, 7, w), lambda w: retrieval.keyword_search(queries, chunks, 7, w, scorer)):
+        own = rows(search(named).select("query_id", "rank", "chunk_id", "scope"), "query_id", "rank")
+        assert own == rows(search(listed).select("query_id", "rank", "chunk_id", "scope"), "query_id", "rank")
+        # the first of all hits that lie in the query's documents
+        score = "distance" if "hits" not in search(named).columns else "hits"
+        every = retrieval.vector_search(queries, chunks, 200) if score == "distance" else retrieval.keyword_search(queries, chunks, 200, None, scorer)
+        kept, want = {}, []
+        for q, _, c, s in rows(every.select("query_id", "rank", "chunk_id", "scope"), "query_id", "rank"):
+            if q in group and c % 9 in held[group[q]] and kept.setdefault(q, 0) < 7:
+                kept[q] += 1
+                want.append((q, kept[q], c, s))
+        assert own == want
+
+
 def test_questions_and_passages_are_whole(spark, tmp_path):
     ask = " " * 70 + "zebra"
     spark.createDataFrame([(4, 0, "system", "be brief"), (4, 1, "user", ask), (4, 2, "user", "later"), (8, 0, "assistant", "hm")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
