@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.scratch import written
 
 # Phrases that decline, that speculate, that narrate reasoning, and that say nothing is known.
 DECLINES = ["i am not able", "i'm not able", "i can only help", "cannot help with", "can't help with", "not something i can", "please speak to your care team", "raise it with your care team", "i cannot provide", "i can't provide", "unable to", "not able to answer"]
@@ -99,6 +100,17 @@ def malformed_rows(corpus: DataFrame) -> DataFrame:
     return corpus.where(wrong)
 
 
+#: Texts of one partition where whole texts are dealt.
+DEALT = 2_000
+#: Rows of a table of tokens, grams or phrases that is broadcast at most; larger ones are shuffled.
+BROADCAST = 500_000
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """With a broadcast hint, if it is small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
 def _grams(column: str, n: int) -> Column:
     """The distinct strings of n characters in a row, overlapping ones too, in one pass over the text."""
     return F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(f"(?s)(?=({'.' * n}))"), F.lit(1)))
@@ -108,70 +120,85 @@ def contains_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(text_id, term_id) where a text has a term, in any case and inside longer words as well.
 
     An index of trigrams: each term stands under the trigram that fewest texts have (shorter terms under themselves), texts are
-    looked up by theirs, and what is found is verified. Whole texts are shuffled once, for the verification, and only those with a
-    candidate. Empty terms are in no text; terms with the same text are found together. Ids of texts are unique.
+    looked up by theirs, and what is found is verified. Grams that no term has are dropped where they are made. Whole texts are
+    shuffled once, for the verification, and only those with a candidate. Empty terms are in no text; terms with the same text are
+    found together. Ids of texts are unique.
     """
     held = texts.select("text_id", F.lower("text").alias("text"))
     own = terms.select("term_id", F.lower("term").alias("term")).where("term <> ''")
     distinct = own.select("term").distinct()
+    lengths = {r["n"] for r in distinct.select(F.least(F.char_length("term"), F.lit(3)).alias("n")).distinct().collect()}
     found = []
-    for n in (1, 2):
+    for n in sorted(lengths - {3}):
         # such a term is its own gram
         short = distinct.where(F.char_length("term") == n)
-        found.append(held.select("text_id", F.explode(_grams("text", n)).alias("term")).join(short, "term"))
-    cut = distinct.where(F.char_length("term") >= 3).select("term", F.explode(_grams("term", 3)).alias("gram"))
-    posted = held.select("text_id", F.explode(_grams("text", 3)).alias("gram")).join(cut.select("gram").distinct(), "gram", "left_semi")
-    often = posted.groupBy("gram").agg(F.count("*").alias("n"))
-    # a gram that no text has settles its term
-    rarest = cut.join(often, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).getField("gram").alias("gram"))
-    asked = posted.join(rarest, "gram").groupBy("text_id").agg(F.collect_set("term").alias("asked"))
-    verified = held.join(asked, "text_id").select("text_id", F.explode(F.filter("asked", lambda x: F.contains("text", x))).alias("term"))
-    return reduce(DataFrame.unionByName, [*found, verified]).join(own, "term").select("text_id", "term_id")
+        found.append(held.select("text_id", F.explode(_grams("text", n)).alias("term")).join(_sized(short), "term"))
+    if 3 in lengths:
+        cut = distinct.where(F.char_length("term") >= 3).select("term", F.explode(_grams("term", 3)).alias("gram"))
+        grams = held.select("text_id", F.explode(_grams("text", 3)).alias("gram"))
+        often = grams.join(_sized(cut.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+        # a gram that no text has settles its term
+        rarest = written(cut.join(often, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).getField("gram").alias("gram")), "rarest")
+        asked = grams.join(_sized(rarest), "gram").groupBy("text_id").agg(F.collect_set("term").alias("asked"))
+        found.append(held.join(asked, "text_id").select("text_id", F.explode(F.filter("asked", lambda x: F.contains("text", x))).alias("term")))
+    if not found:
+        return texts.select("text_id").join(own.select("term_id")).where("false")
+    return reduce(DataFrame.unionByName, found).join(_sized(own), "term").select("text_id", "term_id")
 
 
 def postings(texts: DataFrame, word: str, columns: tuple[str, ...] = ("text_id",), text: str = "text") -> DataFrame:
-    """The words of lower-cased texts: the given columns, of (how many), at (0, 1, ...), token, and what stands before and after it."""
+    """The words of lower-cased texts: the given columns, of (how many), at (0, 1, ...), token, the one before it (prior), and what stands before and after it."""
     low = F.lower(text)
     tokens, gaps = F.regexp_extract_all(low, F.lit(word), F.lit(0)), F.split(low, word, -1)
     # all in one array, so that nothing is worked out for each word again
-    zipped = F.arrays_zip(F.array_repeat(F.size(tokens), F.size(tokens)).alias("of"), tokens.alias("token"), F.slice(gaps, F.lit(1), F.size(tokens)).alias("before"), F.slice(gaps, F.lit(2), F.size(tokens)).alias("after"))
-    return texts.select(*columns, F.posexplode(zipped).alias("at", "x")).select(*columns, "at", "x.*")
+    zipped = F.arrays_zip(F.array_repeat(F.size(tokens), F.size(tokens)).alias("of"), tokens.alias("token"), F.concat(F.array(F.lit(None).cast("string")), tokens).alias("prior"), F.slice(gaps, F.lit(1), F.size(tokens)).alias("before"), F.slice(gaps, F.lit(2), F.size(tokens)).alias("after"))
+    return texts.select(*columns, F.posexplode(zipped).alias("at", "x")).select(*columns, "at", "x.*").where("token is not null")
 
 
 def phrases_found(posted: DataFrame, phrases: DataFrame, word: str) -> DataFrame:
-    """Where phrases (key, phrase) stand in posted texts: text_id, key, first and last word, what comes after, and the columns ``start`` and ``stop`` of their words, if posted.
+    """Where phrases (key, phrase) stand in posted texts: text_id, key, first and last word, the word before (prior) and the gap to it, what comes after, and the columns ``start`` and ``stop`` of their words, if posted.
 
     A phrase is its words and what stands between them; what it has before its first and after its last word must be there too, and
-    no other word right beside that. Words of a phrase are joined by token, and those that follow one another are put together.
+    no other word right beside that. Words of texts that no phrase has are dropped where they are made. A phrase of one word is found
+    where that stands; words of longer ones are joined by token, and those that follow one another are put together.
     """
-    own = postings(phrases, word, ("key",), "phrase").withColumnsRenamed({"of": "n", "at": "k", "before": "lead", "after": "trail"})
+    own = _sized(postings(phrases, word, ("key",), "phrase").drop("prior").withColumnsRenamed({"of": "n", "at": "k", "before": "lead", "after": "trail"}))
     both = posted.join(own, "token")
     opening = F.endswith("before", F.col("lead")) & ((F.col("lead") == "") | (F.length("before") > F.length("lead")) | (F.col("at") == 0))
     closing = F.startswith("after", F.col("trail")) & ((F.col("trail") == "") | (F.length("after") > F.length("trail")) | (F.col("at") == F.col("of") - 1))
     fits = F.when(F.col("k") == 0, opening).otherwise(F.col("before") == F.col("lead")) & ((F.col("k") < F.col("n") - 1) | closing)
-    rest = F.max(F.when(F.col("k") == F.col("n") - 1, F.substr("after", F.length("trail") + 1))).alias("rest")
-    edges = [F.min(F.col("start") - F.when(F.col("k") == 0, F.length("lead")).otherwise(0)).alias("start"), F.max(F.col("stop") + F.when(F.col("k") == F.col("n") - 1, F.length("trail")).otherwise(0)).alias("stop")] if "start" in posted.columns else []
-    found = both.where(fits).groupBy("text_id", "key", (F.col("at") - F.col("k")).alias("first_at"), "n").agg(F.count("*").alias("words"), rest, *edges).where("words = n")
-    return found.withColumn("last_at", F.col("first_at") + F.col("n") - 1).drop("n", "words")
+    head, last = F.col("k") == 0, F.col("k") == F.col("n") - 1
+    values = {"prior": F.when(head, F.col("prior")), "gap": F.when(head, F.col("before")), "rest": F.when(last, F.substr("after", F.length("trail") + 1))}
+    edges = {"start": F.col("start") - F.when(head, F.length("lead")).otherwise(0), "stop": F.col("stop") + F.when(last, F.length("trail")).otherwise(0)} if "start" in posted.columns else {}
+    place = ["text_id", "key", (F.col("at") - F.col("k")).alias("first_at")]
+    single = both.where(fits & (F.col("n") == 1)).select(*place, F.col("at").alias("last_at"), *[v.alias(c) for c, v in (values | edges).items()])
+    if phrases.where(F.size(F.regexp_extract_all(F.lower("phrase"), F.lit(word), F.lit(0))) > 1).isEmpty():
+        return single
+    joined = both.where(fits & (F.col("n") > 1)).groupBy(*place, "n").agg(F.count("*").alias("words"), *[(F.min if c == "start" else F.max)(v).alias(c) for c, v in (values | edges).items()]).where("words = n")
+    return single.unionByName(joined.withColumn("last_at", F.col("first_at") + F.col("n") - 1).drop("n", "words"))
 
 
 def name_leaks(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(text_id, name_id) where a text has a full name (name_id, name), as contains_join finds it, or its surname after a title or the first name.
 
-    Surnames and first names are looked up in the words of the texts with their places; a surname counts where the word before it
-    is a title or the first name, with at most a full stop and white space between. A surname alone is no leak. Ids of texts are unique.
+    Surnames are looked up in the words of the texts; one counts where the word before it is a title or the first name, with at most a
+    full stop and white space between. A first name that is no plain word is looked up with its places and joined. A surname alone is
+    no leak. Ids of texts are unique.
     """
     parts = F.split(F.trim(F.lower("name")), "(?U)\\s+")
-    named = names.where(F.size(parts) > 1).select(F.col("name_id").alias("key"), F.get(parts, F.lit(0)).alias("first"), F.regexp_replace(F.element_at(parts, -1), "(?U)^\\W+|\\W+$", "").alias("surname")).where(F.length("surname") >= LEAST_SURNAME)
+    named = names.where(F.size(parts) > 1).select("name_id", F.get(parts, F.lit(0)).alias("first"), F.regexp_replace(F.element_at(parts, -1), "(?U)^\\W+|\\W+$", "").alias("surname")).where(F.length("surname") >= LEAST_SURNAME)
+    named = named.withColumn("plain", F.rlike("first", F.lit(f"^{NAME_WORD}$")))
     posted = postings(texts, NAME_WORD)
-    surnames = phrases_found(posted, named.select("key", F.col("surname").alias("phrase")), NAME_WORD).select("text_id", "key", "first_at")
-    firsts = phrases_found(posted, named.select("key", F.col("first").alias("phrase")), NAME_WORD).select("text_id", "key", (F.col("last_at") + 1).alias("first_at"), "rest")
-    titles = posted.where(F.col("token").isin(TITLES.split("|"))).select("text_id", (F.col("at") + 1).alias("first_at"), F.col("after").alias("rest"))
-    near = F.rlike("rest", F.lit("(?U)^\\.?\\s+$"))
-    titled = surnames.join(titles.where(near), ["text_id", "first_at"]).select("text_id", F.col("key").alias("name_id"))
-    called = surnames.join(firsts.where(near), ["text_id", "key", "first_at"]).select("text_id", F.col("key").alias("name_id"))
+    near = lambda c: F.rlike(c, F.lit("(?U)^\\.?\\s+$"))
+    surnames = phrases_found(posted, named.select(F.struct("name_id", "first", "plain").alias("key"), F.col("surname").alias("phrase")), NAME_WORD).where(near("gap"))
+    called = F.col("key.plain") & (F.col("prior") == F.col("key.first"))
+    found = [surnames.where(F.col("prior").isin(TITLES.split("|")) | called).select("text_id", "key.name_id")]
+    odd = named.where("not plain").select(F.col("name_id").alias("key"), F.col("first").alias("phrase"))
+    if not odd.isEmpty():
+        firsts = phrases_found(posted, odd, NAME_WORD).where(near("rest")).select("text_id", F.col("key").alias("name_id"), (F.col("last_at") + 1).alias("first_at"))
+        found.append(surnames.where("not key.plain").select("text_id", "key.name_id", "first_at").join(firsts, ["text_id", "name_id", "first_at"]).drop("first_at"))
     full = contains_join(texts, names.select(F.col("name_id").alias("term_id"), F.trim("name").alias("term"))).withColumnRenamed("term_id", "name_id")
-    return full.unionByName(titled).unionByName(called).distinct()
+    return reduce(DataFrame.unionByName, [full, *found]).distinct()
 
 
 def window_leaks(texts: DataFrame, terms: DataFrame, n: int = 3) -> DataFrame:
@@ -189,17 +216,18 @@ def window_leaks(texts: DataFrame, terms: DataFrame, n: int = 3) -> DataFrame:
 def pair_leaks(texts: DataFrame, pairs: DataFrame, window: int = 40) -> DataFrame:
     """Texts where two values stand as words within a window of characters, in either order (pair_id, first, second).
 
-    Values are looked up in the words of the texts with their places. Ends of the one and starts of the other are put in order for
-    each text and pair, so that values that occur very often aren't all paired. Ids of texts are unique.
+    Texts are dealt once by their id, whole, and all steps keep to that: words get their places, those that no value has are dropped,
+    values are looked up, and ends of the one and starts of the other are put in order for each text and pair, so that values that
+    occur very often aren't all paired. Ids of texts are unique.
     """
     values = [pairs.select(F.struct("pair_id", F.lit(side).alias("side")).alias("key"), F.col(side).alias("phrase")) for side in ("first", "second")]
     values = values[0].unionByName(values[1])
-    # places are counted in texts that have words of values only
     words = postings(values, ASCII_WORD, ("key",), "phrase").select("token").distinct()
-    some = postings(texts, ASCII_WORD).join(words, "token", "left_semi").select("text_id").distinct()
-    posted = postings(texts.join(some, "text_id", "left_semi"), ASCII_WORD)
+    spark = texts.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, texts.count() // DEALT)
+    posted = postings(texts.repartition(n, "text_id"), ASCII_WORD).drop("prior")
     stop = F.sum(F.length("before") + F.length("token")).over(Window.partitionBy("text_id").orderBy("at"))
-    posted = posted.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("token")).join(words, "token", "left_semi")
+    posted = posted.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("token")).withColumn("prior", F.lit(None).cast("string")).join(_sized(words), "token", "left_semi")
     found = phrases_found(posted, values, ASCII_WORD).select("text_id", "key.*", "start", "stop")
     marks = F.inline(F.array(F.struct(F.col("stop").alias("place"), F.lit(True).alias("ends")), F.struct(F.col("start").alias("place"), F.lit(False).alias("ends"))))
     marks = found.select("text_id", "pair_id", "side", marks)

@@ -753,3 +753,12 @@ def test_ranking_without_texts(spark):
     names = ["chunk_id", "occurrences", F.round("score", 9), "rank"]
     ranked = lambda df: rows(retrieval.rerank_heuristic(retrieval.dedup_passages(df).withColumn("rank", F.lit(0)), asked, date(2024, 6, 1), 5).select(*names), "rank")
     assert ranked(bare) == ranked(hits) and len(ranked(bare)) == 3
+
+
+def test_words_that_no_phrase_has_are_not_shuffled(spark):
+    """Phrases of one word need no shuffle of a text's words; firsts that are no plain words are found by their places."""
+    texts = spark.createDataFrame([(1, "o'brien white, jo. white; x white"), (2, "jo white"), (3, "brien white")], "text_id long, text string")
+    names = spark.createDataFrame([(1, "O'Brien Gray White"), (2, "Jo. B White"), (3, "Jo C White")], "name_id long, name string")
+    assert rows(corpus.name_leaks(texts, names), "text_id", "name_id") == [(1, 1), (1, 2), (1, 3), (2, 3)]
+    found = corpus.phrases_found(corpus.postings(texts, corpus.NAME_WORD), spark.createDataFrame([(1, "white")], "key long, phrase string"), corpus.NAME_WORD)
+    assert found.count() == 5 and "hashpartitioning" not in found._jdf.queryExecution().optimizedPlan().toString() and "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
