@@ -103,6 +103,8 @@ def with_provider(facts: DataFrame, providers: DataFrame) -> DataFrame:
 
 #: Widths of buckets of days, as powers of two from one day on; days are told apart from 1970 on by half of the widest each way.
 LEVELS = 22
+#: Dates of a scope that each of its courses is compared with.
+FEW_DATES = 64
 
 
 def _day(c: str) -> Column:
@@ -122,9 +124,26 @@ def _buckets_of(start: Column, end: Column) -> Column:
 def in_effect(courses: DataFrame, dates: DataFrame) -> DataFrame:
     """Courses in force on each date of their scope (scope, on_date).
 
-    A course is cut into buckets of days, wide ones for most of a long course, and a date stands in one bucket of each width; those
-    of one scope and bucket are joined. A course has each of its days in one bucket, so what meets is in force, and nothing else meets.
+    Courses of a scope with few dates come once, to the list of its dates. Where a scope has more dates than FEW_DATES, a course is cut
+    into buckets of days, wide ones for most of a long course, and a date stands in one bucket of each width; those of one scope and
+    bucket are joined. A course has each of its days in one bucket, so what meets is in force, and nothing else meets.
     """
+    dates = dates.where("on_date is not null")
+    rest = [c for c in dates.columns if c != "scope"]
+    many = dates.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > FEW_DATES).select("scope")
+    crowded = not many.isEmpty()
+    few = dates.join(many, "scope", "left_anti") if crowded else dates
+    lists = few.groupBy("scope").agg(F.collect_list(F.struct(*rest)).alias("_dates"))
+    holds = lambda d: (F.col("start_date") <= d["on_date"]) & (F.col("end_date").isNull() | (F.col("end_date") >= d["on_date"]))
+    own = [c for c in courses.columns if c != "scope"]
+    found = courses.join(lists, "scope").select("scope", *own, F.inline(F.filter("_dates", holds)))
+    if not crowded:
+        return found
+    met = _in_effect_by_buckets(courses.join(many, "scope", "left_semi"), dates.join(many, "scope", "left_semi"))
+    return found.unionByName(met)
+
+
+def _in_effect_by_buckets(courses: DataFrame, dates: DataFrame) -> DataFrame:
     asked = dates.where("on_date is not null").withColumn("_day", _day("on_date")).select("*", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")).withColumn("bucket", F.call_function("shiftright", F.col("_day"), F.col("level"))).drop("_day")
     end = F.when(F.col("end_date").isNull(), (1 << LEVELS) - 1).otherwise(_day("end_date"))
     held = courses.where("start_date is not null").select("*", F.inline(_buckets_of(_day("start_date"), end)))

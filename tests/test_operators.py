@@ -762,3 +762,18 @@ def test_words_that_no_phrase_has_are_not_shuffled(spark):
     assert rows(corpus.name_leaks(texts, names), "text_id", "name_id") == [(1, 1), (1, 2), (1, 3), (2, 3)]
     found = corpus.phrases_found(corpus.postings(texts, corpus.NAME_WORD), spark.createDataFrame([(1, "white")], "key long, phrase string"), corpus.NAME_WORD)
     assert found.count() == 5 and "hashpartitioning" not in found._jdf.queryExecution().optimizedPlan().toString() and "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_few_dates_and_many_meet_the_same_courses(spark, monkeypatch):
+    """Scopes below and above the bound in one table: each way alone, and both, find the same."""
+    day = lambda n: date(1990, 1, 1) + timedelta(days=n)
+    courses = spark.createDataFrame([(s, i, day(i * 7), None if i % 5 == 0 else day(i * 7 + i % 40)) for s in (1, 2, 3) for i in range(40)], "scope long, id long, start_date date, end_date date")
+    dates = spark.createDataFrame([(s, day(11 * k)) for s in (1, 2) for k in range(3 if s == 1 else 30)] + [(1, None), (9, day(1))], "scope long, on_date date")
+    got = []
+    for few in (0, 10, 1000):
+        monkeypatch.setattr(records, "FEW_DATES", few)
+        found = records.in_effect(courses, dates)
+        got.append(rows(found.select("scope", "id", "on_date"), "scope", "id", "on_date"))
+        # few dates need no buckets
+        assert ("shiftright" in found._jdf.queryExecution().optimizedPlan().toString()) == (few < 30)
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
