@@ -14,6 +14,8 @@ from .records import choose_provider
 
 # Booking and admission rules.
 LEAD_DAYS, SLOT_MINUTES, MATCH_HOURS, WINDOW_SECONDS = 365, 30, 12, 60
+#: Requests of a client that one task folds in a row.
+WHOLE = 200_000
 
 
 def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -65,14 +67,32 @@ DECIDED = "client long, request_id long, second double, decision string, retry_a
 def admit(requests: DataFrame, per_window: int, per_day: int, window: float = WINDOW_SECONDS) -> DataFrame:
     """Each request (client, request_id, second) with its decision: an ordered fold over each client's requests.
 
-    A client is cut where it pauses for longer than the window, for nothing but the day's count reaches across a pause; the parts
-    are folded by tasks of their own, so a client with very many requests is spread. Pauses are found from counts of spans as long
+    Clients with at most WHOLE requests are folded once, in order. One with more is cut where it pauses for longer than the window,
+    for nothing but the day's count reaches across a pause; the parts are folded by tasks of their own, so a client with very many requests is spread. Pauses are found from counts of spans as long
     as the window, not from the requests in order. A first fold counts what each part lets through a day. Parts before which their
     first day's count isn't 0 are folded again from that count, until no count changes; without a part that meets the day's limit
     the first fold holds. A task sees one batch of rows at a time and holds one part's state.
     """
     rows = requests.select("client", "request_id", "second", F.lit(False).alias("closed"))
-    return _folded_parts(rows, per_window, per_day, window)
+    return _folded_clients(rows, per_window, per_day, window)
+
+
+def _folded_clients(rows: DataFrame, per_window: int, per_day: int, window: float) -> DataFrame:
+    valid = rows.where("client is not null and second is not null")
+    hot = valid.groupBy("client").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE).select("client")
+    if not hot.isEmpty():
+        parts = _folded_parts(rows.join(hot, "client", "left_semi"), per_window, per_day, window)
+        return parts.unionByName(_folded_once(rows.join(hot, "client", "left_anti"), per_window, per_day, window))
+    return _folded_once(rows, per_window, per_day, window)
+
+
+def _folded_once(rows: DataFrame, per_window: int, per_day: int, window: float) -> DataFrame:
+    whole = rows.where("client is not null and second is not null").withColumns({"part": F.lit(0).cast("long"), "start": F.lit(0)})
+    return written(_folded(whole, per_window, per_day, window), "admitted").drop("part").unionByName(_undecided(rows))
+
+
+def _undecided(rows: DataFrame) -> DataFrame:
+    return rows.where("client is null or second is null").select("client", "request_id", "second", F.lit(None).cast("string").alias("decision"), F.lit(None).cast("double").alias("retry_after"))
 
 
 def _parts(rows: DataFrame, window: float) -> DataFrame:
@@ -108,8 +128,7 @@ def _folded_parts(rows: DataFrame, per_window: int, per_day: int, window: float)
         elif found.exceptAll(starts).isEmpty() and starts.exceptAll(found).isEmpty():
             break
         starts = found
-    rest = rows.where("client is null or second is null").select("client", "request_id", "second", F.lit(None).cast("string").alias("decision"), F.lit(None).cast("double").alias("retry_after"))
-    return done.drop("part").unionByName(rest)
+    return done.drop("part").unionByName(_undecided(rows))
 
 
 def _folded(requests: DataFrame, per_window: int, per_day: int, window: float) -> DataFrame:
@@ -144,7 +163,7 @@ def admit_within_budget(requests: DataFrame, per_window: int, per_day: int, budg
         ends = spark.createDataFrame([(d, t, i) for d, (t, i) in closings.items()], "day long, end_second double, end_id long")
         closed = F.struct("second", "request_id") > F.struct(F.col("end_second").alias("second"), F.col("end_id").alias("request_id"))
         marked = rows.withColumn("day", day).join(F.broadcast(ends), "day", "left").select("client", "request_id", "second", (F.col("end_second").isNotNull() & closed).alias("closed"))
-        decided = _folded_parts(marked, per_window, per_day, window)
+        decided = _folded_clients(marked, per_window, per_day, window)
         taken = decided.where("decision = 'accepted'").select(day, "second", "request_id")
         # the place in the day: counts of minutes first, then within the minute where the budget is reached
         minutes = taken.groupBy("day", F.floor(F.col("second") / 60).alias("minute")).agg(F.count("*").alias("n"))

@@ -777,3 +777,19 @@ def test_a_few_dates_and_many_meet_the_same_courses(spark, monkeypatch):
         # few dates need no buckets
         assert ("shiftright" in found._jdf.queryExecution().optimizedPlan().toString()) == (few < 30)
     assert got[0] == got[1] == got[2] and len(got[0]) > 100
+
+
+def test_hot_clients_are_cut_and_others_folded_once(spark, monkeypatch):
+    """Clients above and below the bound in one table: the decisions of one fold."""
+    rng = random.Random(12)
+    asked = sorted((rng.uniform(0, 3 * 86400), i, rng.choice([1, 1, 1, 2, 3])) for i in range(600))
+    own, want = {}, {}
+    for t, i, c in asked:
+        want[i] = own.setdefault(c, operations.Limiter(1, 20, 900)).admit(t)[0]
+    frame = spark.createDataFrame([(c, i, t) for t, i, c in asked], "client long, request_id long, second double")
+    cut = []
+    monkeypatch.setattr(operations, "_parts", lambda rows_, window, f=operations._parts: (cut.append(1), f(rows_, window))[1])
+    for whole in (1000, 200, 0):
+        monkeypatch.setattr(operations, "WHOLE", whole)
+        assert dict(rows(operations.admit(frame, 1, 20, 900).select("request_id", "decision"), "request_id")) == want
+        assert bool(cut) == (whole < 1000)
