@@ -793,3 +793,14 @@ def test_hot_clients_are_cut_and_others_folded_once(spark, monkeypatch):
         monkeypatch.setattr(operations, "WHOLE", whole)
         assert dict(rows(operations.admit(frame, 1, 20, 900).select("request_id", "decision"), "request_id")) == want
         assert bool(cut) == (whole < 1000)
+
+
+def test_bodies_are_cut_a_few_at_once(spark, monkeypatch):
+    """The chunks of ``packed``, whatever number of bodies is cut at once; a column that isn't cut keeps its type."""
+    made = [(d, d % 3, "Plan", "word " * (300 + 40 * d)) for d in range(10)] + [(77, 0, "Plan", "short")]
+    sections = spark.createDataFrame(made, "doc_id long, part long, section string, body string")
+    want = sorted((d, p, s, i, t) for d, p, s, b in made for i, t in enumerate(ingest.packed(b.strip()) if len(b) > ingest.MOST else [b]))
+    monkeypatch.setattr(ingest, "AT_ONCE", 3)
+    out = ingest.pack_sections(sections)
+    assert sorted(map(tuple, out.collect())) == want
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
