@@ -804,3 +804,12 @@ def test_bodies_are_cut_a_few_at_once(spark, monkeypatch):
     out = ingest.pack_sections(sections)
     assert sorted(map(tuple, out.collect())) == want
     assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_relevant_ids_are_counted_not_listed(spark):
+    """Metrics with totals given equal those of the whole table of relevant ids."""
+    ranked = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 7, 1)], "query_id long, id long, rank int")
+    relevant = spark.createDataFrame([(1, 6), (1, 8), (1, 9), (2, 8), (3, 1)], "query_id long, id long")
+    total = spark.createDataFrame([(1, 3), (2, 1), (3, 1)], "query_id long, n_relevant long")
+    some = relevant.join(ranked, ["query_id", "id"], "left_semi")
+    assert rows(metrics.ranking_metrics(ranked, some, 2, total), "query_id") == rows(metrics.ranking_metrics(ranked, relevant, 2), "query_id")
