@@ -654,3 +654,17 @@ def test_hard_pages(spark):
     assert [got[i] for i in range(len(pages))] == [tagless_by_hand(p) for p in pages]
     built = {r["warc_type"]: r["block"] for r in warc.build_derivatives(spark.createDataFrame([(1, "u", f"<title a='>'>A &lt;b&gt; &#{'9' * 40};\n</title>{hard}&#x{'f' * 30};&#{'0' * 30}65;")], "page_id long, url string, html string")).collect()}
     assert "title: A <b> � \r\n" in built["metadata"] and built["conversion"] == "A <b> �\nlink if a < b and c > d then end"
+
+
+def test_stages_run_under_their_bounds(spark):
+    """A stage's rows are written before it returns, so no batch of it is made under another session setting; the setting comes back."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs, before = spark.read.parquet(f"{sf}/documents.parquet"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, docs, sf)
+        assert "MapInArrow" not in left._jdf.queryExecution().executedPlan().toString(), name
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+        assert sorted(left.columns) == sorted(docs.columns) or name == "best-fit packing"
+        assert left.count()
