@@ -159,8 +159,11 @@ def t_readings_for(readings: DataFrame, courses: DataFrame) -> DataFrame:
 
 def care_team(courses: DataFrame, encounters: DataFrame) -> DataFrame:
     """A scope's providers: visits, last seen, conditions."""
-    seen = courses.join(encounters.select(F.col("id").alias("encounter_id"), "encounter_date"), "encounter_id")
-    return seen.groupBy("scope", "provider_id").agg(F.count_distinct("encounter_id").alias("n_visits"), F.max("encounter_date").alias("last_seen"), F.count_distinct("condition").alias("n_conditions"))
+    seen = courses.select("scope", "encounter_id", "provider_id", "condition").join(encounters.select(F.col("id").alias("encounter_id"), "encounter_date"), "encounter_id")
+    # a visit counts at its first condition, so that visits needn't be kept apart any further
+    first = F.row_number().over(Window.partitionBy("encounter_id", "scope", "provider_id").orderBy("condition")) == 1
+    by_condition = seen.withColumn("visit", first.cast("long")).groupBy("scope", "provider_id", "condition").agg(F.sum("visit").alias("visits"), F.max("encounter_date").alias("last"))
+    return by_condition.groupBy("scope", "provider_id").agg(F.sum("visits").alias("n_visits"), F.max("last").alias("last_seen"), F.count("condition").alias("n_conditions"))
 
 
 def medication_history(courses: DataFrame) -> DataFrame:
