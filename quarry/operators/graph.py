@@ -54,23 +54,39 @@ EDGE_SOURCES = {
 
 
 def project_nodes(tables: dict[str, DataFrame]) -> DataFrame:
-    """G1: the nodes of all labels whose tables are given; each table is read once."""
-    text = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
+    """G1: the nodes of all labels whose tables are given. A label is of one table, so its keys are told apart before they are text."""
     parts = []
     for table, df in tables.items():
-        made = [F.struct(F.lit(label).alias("label"), text(key).alias("id"), (F.col(scope) if scope else F.lit(None)).cast("long").alias("scope"), text(name).alias("name")) for label, key, scope, name in NODE_SOURCES[table]]
-        parts.append(df.select(F.inline(F.array(*made))).where("id is not null"))
-    return union_all(parts).groupBy("label", "id").agg(F.min("scope").alias("scope"), F.min("name").alias("name"))
+        for label, key, scope, name in NODE_SOURCES[table]:
+            value = lambda c, kind: (F.col(c) if c else F.lit(None)).cast(kind)
+            found = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(value(scope, "long")).alias("scope"), F.min(value(name, "string")).alias("name"))
+            parts.append(found.select(F.lit(label).alias("label"), F.col("key").cast("string").alias("id"), "scope", "name"))
+    return union_all(parts)
 
 
 def project_edges(tables: dict[str, DataFrame]) -> DataFrame:
-    """The edges of all relations whose tables are given; each table is read once, a null key gives no edge."""
+    """The edges of all relations whose tables are given; a null key gives no edge.
+
+    All relations of a table have its id at one end. Where the id is one scope's own, so that few rows share it, rows are dealt by
+    it once and all their edges are told apart in place; edges of shared ids, like medications, are dealt by both ends.
+    """
     parts = []
     for table, df in tables.items():
-        made = [F.struct(F.lit(src_label).alias("src_label"), F.col(src).cast("string").alias("src_id"), F.lit(rel).alias("rel"), F.lit(dst_label).alias("dst_label"), F.col(dst).cast("string").alias("dst_id")) for src_label, src, rel, dst_label, dst in EDGE_SOURCES.get(table, [])]
-        if made:
-            parts.append(df.select(F.inline(F.array(*made))).where("src_id is not null and dst_id is not null"))
-    return union_all(parts).distinct()
+        sources = EDGE_SOURCES.get(table, [])
+        if any(key == "id" and scope == "scope" for _, key, scope, _ in NODE_SOURCES[table]):
+            ends = [dst if src == "id" else src for _, src, _, _, dst in sources]
+            # an id's rows are put together by sorting, which takes less memory than a table of all edges
+            rows = df.select("id", *ends).where("id is not null").repartition("id").groupBy("id").agg(*[F.collect_set(c).alias(f"of_{i}") for i, c in enumerate(ends)])
+            marked = lambda i: F.transform(f"of_{i}", lambda x: F.struct(F.lit(i).alias("source"), x.cast("string").alias("other")))
+            found = rows.select("id", F.inline(F.concat(*[marked(i) for i in range(len(ends))])))
+            said = lambda at: F.get(F.array(*[F.lit(x[at]) for x in sources]), F.col("source"))
+            end = lambda at: F.when(F.get(F.array(*[F.lit(x[at] == "id") for x in sources]), F.col("source")), F.col("id").cast("string")).otherwise(F.col("other"))
+            parts.append(found.select(said(0).alias("src_label"), end(1).alias("src_id"), said(2).alias("rel"), said(3).alias("dst_label"), end(4).alias("dst_id")))
+        else:
+            for src_label, src, rel, dst_label, dst in sources:
+                found = df.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+                parts.append(found.select(F.lit(src_label).alias("src_label"), F.col("src").cast("string").alias("src_id"), F.lit(rel).alias("rel"), F.lit(dst_label).alias("dst_label"), F.col("dst").cast("string").alias("dst_id")))
+    return union_all(parts)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

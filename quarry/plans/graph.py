@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..sources import standins as S
+from ..sources.scratch import written
 from ..sources.tables import load
 from .records import E, L, M
 from .registry import query
@@ -32,7 +33,8 @@ def _record_tables(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("encounter_id"), F.col("o_custkey").alias("scope"))
     lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("encounter_id"), "l_linenumber", F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("lab_id"), "l_linestatus")
     parts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("condition_id"))
-    rows = lines.join(orders, "encounter_id").join(parts, "id")
+    # ten tables are made of these rows, for nodes and for edges
+    rows = written(lines.join(orders, "encounter_id").join(parts, "id"), "records")
     line = text("encounter_id", "l_linenumber").alias("id")
     customers, suppliers = load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier")
     first = F.when(F.col("id") % 10 > 0, F.concat(F.lit("T"), F.col("id") % 5))
