@@ -167,10 +167,18 @@ def t_conditions(courses: DataFrame) -> DataFrame:
     return limited(rows, [F.coalesce("onset", F.lit("9999-12-31").cast("date")).asc(), F.asc("condition")])
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by their keys in as many partitions as the session's shuffles have; adaptive execution doesn't put these together, so a task's memory follows that number."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def t_readings_for(readings: DataFrame, courses: DataFrame) -> DataFrame:
     """Readings of visits where a condition was treated."""
-    visits = courses.select("scope", F.col("encounter_id").alias("id"), "condition").distinct()
-    return readings.join(visits, ["scope", "id"]).groupBy("scope", "condition", "test_name").agg(F.count("*").alias("n"), F.max("value").alias("highest"))
+    # both are dealt by visit once, and sorted once: a visit's condition counts where it comes first
+    again = F.row_number().over(Window.partitionBy("scope", "id", "condition").orderBy("condition"))
+    visits = dealt(courses.select("scope", F.col("encounter_id").alias("id"), "condition"), "scope", "id").withColumn("again", again).where("again = 1").drop("again")
+    own = dealt(readings.select("scope", "id", "test_name", "value"), "scope", "id")
+    return own.join(visits, ["scope", "id"]).groupBy("scope", "condition", "test_name").agg(F.count("*").alias("n"), F.max("value").alias("highest"))
 
 
 def care_team(courses: DataFrame, encounters: DataFrame) -> DataFrame:
