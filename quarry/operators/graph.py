@@ -64,6 +64,11 @@ def project_nodes(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all(parts)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by their keys in as many partitions as the session's shuffles have; adaptive execution doesn't put these together, so a task's memory follows that number."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def project_edges(tables: dict[str, DataFrame]) -> DataFrame:
     """The edges of all relations whose tables are given; a null key gives no edge.
 
@@ -76,7 +81,7 @@ def project_edges(tables: dict[str, DataFrame]) -> DataFrame:
         if any(key == "id" and scope == "scope" for _, key, scope, _ in NODE_SOURCES[table]):
             ends = [dst if src == "id" else src for _, src, _, _, dst in sources]
             # an id's rows are put together by sorting, which takes less memory than a table of all edges
-            rows = df.select("id", *ends).where("id is not null").repartition("id").groupBy("id").agg(*[F.collect_set(c).alias(f"of_{i}") for i, c in enumerate(ends)])
+            rows = dealt(df.select("id", *ends).where("id is not null"), "id").groupBy("id").agg(*[F.collect_set(c).alias(f"of_{i}") for i, c in enumerate(ends)])
             marked = lambda i: F.transform(f"of_{i}", lambda x: F.struct(F.lit(i).alias("source"), x.cast("string").alias("other")))
             found = rows.select("id", F.inline(F.concat(*[marked(i) for i in range(len(ends))])))
             said = lambda at: F.get(F.array(*[F.lit(x[at]) for x in sources]), F.col("source"))
@@ -167,11 +172,6 @@ def t_conditions(courses: DataFrame) -> DataFrame:
     return limited(rows, [F.coalesce("onset", F.lit("9999-12-31").cast("date")).asc(), F.asc("condition")])
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows by their keys in as many partitions as the session's shuffles have; adaptive execution doesn't put these together, so a task's memory follows that number."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def t_readings_for(readings: DataFrame, courses: DataFrame) -> DataFrame:
     """Readings of visits where a condition was treated."""
     # both are dealt by visit once, and sorted once: a visit's condition counts where it comes first
