@@ -1,14 +1,19 @@
 """Hand-built cases of the record, retrieval, ingestion, graph, metric, corpus, rule and operation jobs."""
 
+import itertools
+import math
 import random
+import re
+from collections import Counter
 from datetime import date, datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.functions import vectors as V
-from quarry.operators import conversations, corpus, graph, ingest, metrics, operations, records, retrieval, rules
+from quarry.operators import blocks, conversations, corpus, graph, ingest, metrics, operations, records, retrieval, rules
 from quarry.plans import ingest as ingest_plans
 from quarry.plans import retrieval as plans
 from quarry.sources import tables
@@ -852,3 +857,62 @@ def test_readings_of_visits_are_dealt_once(spark):
     assert sorted(map(str, rows(got, "scope"))) == sorted(map(str, [(1, "c", "A", 2, 3.0), (1, None, "A", 2, 3.0), (1, "c", "B", 1, None), (1, None, "B", 1, None), (2, "c", "A", 1, 7.0)]))
     plan = graph.t_readings_for(readings.hint("merge"), courses)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 3 and plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_chunks_are_dealt_once_for_many_queries(spark):
+    """20,000 queries of a scope are one block: a chunk isn't shuffled anew for every few thousand of them."""
+    queries, chunks = spark.range(20_000).select(F.col("id").alias("query_id"), F.lit("s").alias("scope"), F.lit("plan").alias("text")), spark.range(1_000).select(F.col("id").alias("chunk_id"), F.lit("s").alias("scope"), F.lit("plan").alias("text"))
+    assert blocks.paired(queries, chunks).where("side = 1").count() == 1_000
+
+
+def _odd_texts():
+    rng = random.Random(5)
+    words = ["a", "of", "planplan", "planplano", "planplane", "x" * 16, "x" * 17, "x" * 17 + "y", "9" * 300, "\u00e9t\u00e9", "\u4e2d", "a1b", "--"]
+    return [None, "", "abc", "def", " ", "\u00e9", *("".join(rng.choice(words) + rng.choice([" ", "", ",", "\n", "\u00df"]) for _ in range(rng.randint(0, 30))) for _ in range(200))]
+
+
+def test_tokens_as_numbers():
+    """The same tokens as the pattern's, in slices and chunks too: equal ones are one number, others are not."""
+    texts = _odd_texts()
+    column = pa.chunked_array([pa.array(texts[:90]), pa.array(texts)[90:150], pa.array(texts)[150:], pa.array([], pa.string())])
+    numbers, at = blocks.tokens(column)
+    want = [re.findall("[a-z0-9]+", t or "") for t in texts]
+    assert at.tolist() == [0, *itertools.accumulate(map(len, want))]
+    named = dict(zip([w for t in want for w in t], numbers.tolist(), strict=True))
+    assert len(set(named.values())) == len(named) and [named[w] for t in want for w in t] == numbers.tolist()
+
+
+@pytest.mark.parametrize("scorer", [None, (1.2, 0.75)])
+def test_terms_that_cannot_reach_find_no_chunks(monkeypatch, scorer):
+    """Tiles, ranges, looked up terms and left out ranges: the first ones of a loop, for fewer postings than all."""
+    for name, n in (("FIRST_RANGE", 8), ("WIDER", 2), ("DENSE", 5)):
+        monkeypatch.setattr(blocks, name, n)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    draw = lambda n: rng.choices(words, [1 / (i + 1) for i in range(300)], k=n)
+    chunks = [draw(int(rng.paretovariate(1) * 3) % 400) for _ in range(2_000)]
+    queries = [sorted(set(draw(10))) for _ in range(30)]
+    mean, df = sum(map(len, chunks)) / len(chunks), Counter(w for c in chunks for w in set(c))
+    weight = {w: math.log(1 + (len(chunks) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    texts = pa.table({"query_id": range(30), "text": [" ".join(q) for q in queries]})
+    if scorer:
+        numbers, at = blocks.tokens(texts["text"])
+        lists = lambda x: [x[a:b] for a, b in itertools.pairwise(at.tolist())]
+        texts = pa.table({"query_id": range(30), "terms": lists(numbers.tolist()), "weights": lists([weight.get(w, 0.0) for q in queries for w in q]), "mean": [mean] * 30})
+    found, seen = blocks.Counted(texts, 5, scorer), []
+    gathered = blocks._Postings.gathered
+    monkeypatch.setattr(blocks._Postings, "gathered", lambda self, rows, s: seen.append(int((self.cut[rows, s + 1] - self.cut[rows, s]).sum())) or gathered(self, rows, s))
+    for a in range(0, 2_000, 700):
+        found.add(pa.table({"chunk_id": range(a, min(2_000, a + 700)), "text": [" ".join(c) for c in chunks[a : a + 700]]}))
+    got = list(zip(*(x.tolist() for x in found.best()), strict=True))
+    want, postings = [], 0
+    for q, terms in enumerate(queries):
+        scored = []
+        for c, mine in enumerate(chunks):
+            tf = [(mine.count(w), weight.get(w)) for w in terms if w in mine]
+            postings += len(tf)
+            if tf:
+                scored.append((round(-sum(w * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(mine) / mean)) if scorer else n for n, w in tf), 9), c))
+        want += [(q, c, -s) for s, c in sorted(scored)[:5]]
+    assert [(q, c, round(s, 6)) for q, c, s in got] == [(q, c, round(s, 6)) for q, c, s in want]
+    assert sum(seen) < 0.7 * postings
