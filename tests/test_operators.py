@@ -916,3 +916,17 @@ def test_terms_that_cannot_reach_find_no_chunks(monkeypatch, scorer):
         want += [(q, c, -s) for s, c in sorted(scored)[:5]]
     assert [(q, c, round(s, 6)) for q, c, s in got] == [(q, c, round(s, 6)) for q, c, s in want]
     assert sum(seen) < 0.7 * postings
+
+
+def test_terms_counted_by_scope(spark):
+    """In how many texts of a scope a term is, and how many texts and tokens a scope has: of all partitions together, each text once."""
+    texts = _odd_texts()
+    df = spark.createDataFrame([(i, ["s", "t", None][i % 3], t) for i, t in enumerate(texts)], "id long, scope string, text string")
+    pairs = {(r["id"], r["term"]) for r in blocks.terms_of(df, "id", "bigint", "string").collect()}
+    own = {i: [re.findall("[a-z0-9]+", t or "") for t in [t]][0] for i, t in enumerate(texts)}
+    assert Counter(i for i, _ in pairs) == {i: len(set(x)) for i, x in own.items() if x}
+    want = Counter((["s", "t"][i % 3], n) for i, n in pairs if i % 3 < 2)
+    got = {(r["scope"], r["term"]): (r["n"], r["n_words"]) for r in blocks.frequencies(df.repartition(3), "string").collect()}
+    assert {k: v[0] for k, v in got.items() if k[1] is not None} == want
+    for x, s in enumerate("st"):
+        assert got[s, None] == (sum(t is not None for t in texts[x::3]), sum(len(own[i]) for i in range(x, len(texts), 3)))
