@@ -15,6 +15,7 @@ from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import blocks, conversations, corpus, graph, ingest, metrics, operations, records, retrieval, rules
 from quarry.plans import ingest as ingest_plans
+from quarry.plans import metrics as metric_plans
 from quarry.plans import retrieval as plans
 from quarry.sources import tables
 from quarry.streaming import jobs
@@ -930,3 +931,18 @@ def test_terms_counted_by_scope(spark):
     assert {k: v[0] for k, v in got.items() if k[1] is not None} == want
     for x, s in enumerate("st"):
         assert got[s, None] == (sum(t is not None for t in texts[x::3]), sum(len(own[i]) for i in range(x, len(texts), 3)))
+
+
+def test_every_vector_is_a_query_of_the_ranking_metrics(spark):
+    """One row for each vector, not for those of some ids only; what they are, for ids that aren't divisible by 100."""
+    folder = "/root/testdata/sf0.001"
+    got = {r["query_id"]: r for r in metric_plans.recall_precision_mrr(spark, folder).collect()}
+    stored = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    assert len(got) == len(stored) and set(got) == {r["vec_id"] for r in stored}
+    unit = lambda e: [x / sum(y * y for y in e) ** 0.5 for x in e]
+    units = [(r["vec_id"], r["label"], unit(r["embedding"])) for r in stored]
+    for i, label, e in units[1:4]:
+        near = [b for *_, b in sorted((round(1 - sum(x * y for x, y in zip(e, f, strict=True)), 9), j, a == label) for j, a, f in units)][:20]
+        first = next((n for n, hit in enumerate(near, 1) if hit), None)
+        want = sum(near[:10]) / sum(a == label for _, a, _ in units), sum(near[:10]) / 10, 1 / first if first else 0.0
+        assert [got[i]["recall"], got[i]["precision"], got[i]["reciprocal_rank"]] == pytest.approx(want)
