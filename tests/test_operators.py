@@ -946,3 +946,30 @@ def test_every_vector_is_a_query_of_the_ranking_metrics(spark):
         first = next((n for n, hit in enumerate(near, 1) if hit), None)
         want = sum(near[:10]) / sum(a == label for _, a, _ in units), sum(near[:10]) / 10, 1 / first if first else 0.0
         assert [got[i]["recall"], got[i]["precision"], got[i]["reciprocal_rank"]] == pytest.approx(want)
+
+
+def test_embedding_without_a_row_for_each_word(spark, monkeypatch):
+    """The vectors of the column builders, for odd texts and a small store of digests; words aren't shuffled, other columns stay."""
+    monkeypatch.setattr(ingest, "EMBEDDED", 17)
+    monkeypatch.setattr(ingest, "KNOWN", 5)
+    df = spark.createDataFrame([(i, t, date(2024, 1, 1)) for i, t in enumerate([*_odd_texts(), "Plan PLAN plan K", "a b c " * 50])], "id long, text string, day date")
+    got = ingest.embed_hashing(df, "id", "text", 16)
+    assert got.columns == ["id", "text", "day", "embedding"] and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    counts = df.select("id", F.explode(X.tokens(F.col("text"))).alias("w")).groupBy("id", V.hash_bucket(F.col("w"), 16).alias("b")).agg(F.sum(V.hash_sign(F.col("w"))).alias("n"))
+    made = counts.groupBy("id").agg(V.dense_unit(F.map_from_entries(F.collect_list(F.struct("b", "n"))), 16).alias("want"))
+    want = rows(df.join(made, "id", "left").select("id", "text", "day", F.coalesce("want", F.array_repeat(F.lit(0.0), 16))), "id")
+    assert rows(got, "id") == want
+
+
+def test_nearest_of_many_tiles(spark, monkeypatch):
+    """A floor from a few chunks, text ids, and queries of which very many chunks are equally near: the order of all pairs."""
+    for name, n in (("VECTOR_TILE", 64), ("FIRST_RANGE", 4), ("VECTOR_CELLS", 640)):
+        monkeypatch.setattr(blocks, name, n)
+    rng = random.Random(7)
+    held = [(i, "s", [0.0, 0.0] if i % 3 == 0 else [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(400)]
+    df = spark.createDataFrame(held, "id long, scope string, embedding array<double>")
+    for kind in ("long", "string"):
+        queries, chunks = df.where("id % 7 < 2").withColumnRenamed("id", "query_id"), df.select(F.format_string("%05d", "id").cast(kind).alias("chunk_id"), "scope", "embedding")
+        both = queries.withColumnRenamed("embedding", "q").join(chunks, "scope").withColumn("distance", V.cosine_distance(F.col("q"), F.col("embedding")))
+        want = retrieval.ranked(both, [F.asc("distance"), F.asc("chunk_id")], 3).select("query_id", "chunk_id", "rank")
+        assert rows(retrieval.vector_search(queries, chunks, 3).select("query_id", "chunk_id", "rank"), "query_id", "rank") == rows(want, "query_id", "rank")
